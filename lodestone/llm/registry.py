@@ -1,9 +1,13 @@
 """The queries of this subpackage by name, and the SQL of those that SQL can express."""
 
-from . import quality_rules
+from . import bpe, langid, quality_rules, secrets, simhash
 
 QUERIES = {
     "op2_quality_rules": quality_rules.query,
+    "op3_language_id": langid.query,
+    "op5_secret_scan": secrets.query,
+    "op8_bpe_encoding": bpe.query,
+    "op9_simhash": simhash.query,
 }
 SQL = {
     "op2_quality_rules": quality_rules.SQL,
