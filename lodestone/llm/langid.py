@@ -153,7 +153,7 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", keep_text: b
     keep = [c for c in docs.columns if c not in ("lang_pred", "score", "ambiguous")]
     df = docs.select(*[F.col(f"`{c}`") for c in keep])
     left = df if keep_text else df.drop(text_col)
-    schema = T.StructType(left.schema.fields).add("lang_pred", "string").add("score", "double").add("ambiguous", "boolean")
+    schema = T.StructType([*left.schema.fields]).add("lang_pred", "string").add("score", "double").add("ambiguous", "boolean")
 
     left_names = left.columns
 
