@@ -1,14 +1,20 @@
 """The queries of this subpackage by name, and the SQL of those that SQL can express."""
 
-from . import bpe, langid, quality_rules, secrets, simhash
+from . import bpe, html_text, langid, mixing, quality_rules, secrets, simhash, suffixes, token_tables, vectors
 
 QUERIES = {
+    "op1_mixing": mixing.query,
     "op2_quality_rules": quality_rules.query,
     "op3_language_id": langid.query,
+    "op4_vectors": vectors.query,
     "op5_secret_scan": secrets.query,
+    "op6_suffixes": suffixes.query,
+    "op7_token_tables": token_tables.query,
     "op8_bpe_encoding": bpe.query,
     "op9_simhash": simhash.query,
+    "op10_html_text": html_text.query,
 }
 SQL = {
     "op2_quality_rules": quality_rules.SQL,
+    "op4_vectors": vectors.SQL,
 }
