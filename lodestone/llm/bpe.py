@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import table
+from ._common import slices, table
 from ._tokenizer import Piece, Words, tokenizer_path, words
 
 LEAF = 32768
@@ -35,8 +35,7 @@ def _short(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = words(path)
         for b in batches:
-            for at in range(0, b.num_rows, 1000):
-                part = b.slice(at, 1000)
+            for part in slices(b, "text"):
                 ids, offsets, decoder = w.encode(part.column("text"))
                 shas = _digests(ids, offsets, decoder.texts())
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.diff(offsets)), *[pa.array(x, pa.string()) for x in shas]], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])

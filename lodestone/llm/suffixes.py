@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ._common import staged, table
+from ._common import slices, staged, table
 
 LEAST = 50
 """Words a repeated passage has at least."""
@@ -34,7 +34,6 @@ GRAM = 8
 WINDOW = 32
 BASE = 0x9E3779B97F4A7C15
 """An odd multiplier."""
-SLICE = 1000
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -91,8 +90,7 @@ def minimisers(grams: np.ndarray, window: int) -> np.ndarray:
 def _suffixes(least: int, gram: int, window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for at in range(0, b.num_rows, SLICE):
-                part = b.slice(at, SLICE)
+            for part in slices(b, "text"):
                 words, offsets = word_hashes(part.column("text"))
                 keys, texts, places = [], [], []
                 for c, s, e in zip(part.column("cls").to_pylist(), offsets[:-1].tolist(), offsets[1:].tolist()):
@@ -146,8 +144,7 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _windows(least: int, gram: int, window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for at in range(0, b.num_rows, SLICE // 4):
-                part = b.slice(at, SLICE // 4)
+            for part in slices(b, "text", 1 << 20):
                 words, offsets = word_hashes(part.column("text"))
                 hashes, texts, starts = [], [], []
                 for c, live, s, e in zip(part.column("cls").to_pylist(), part.column("places"), offsets[:-1].tolist(), offsets[1:].tolist()):

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ._common import new_folder, staged, table
+from ._common import new_folder, slices, staged, table
 from ._tokenizer import tokenizer_path, words
 
 END_ID = 2
@@ -201,8 +201,7 @@ def _write(folder: str, path: str, end_id: int):
         w = out = None
         first = last = b""
         for b in batches:
-            for at in range(0, b.num_rows, 2000):
-                part = b.slice(at, 2000)
+            for part in slices(b, "text"):
                 if out is None:
                     encoder = words(path)
                     width = 2 if len(encoder.names) <= 1 << 16 else 4
