@@ -1,4 +1,7 @@
-"""The reference's own queries by name, and their SQL."""
+"""The reference's own queries by name, and their SQL with the domain tables it reads."""
 
-QUERIES: dict = {}
-SQL: dict = {}
+from lodestone.plans import analytics, retrieval, texts
+from lodestone.plans.fixtures import with_tables
+
+QUERIES: dict = texts.QUERIES | retrieval.QUERIES | analytics.QUERIES
+SQL: dict = {k: with_tables(v) for k, v in (texts.SQL | retrieval.SQL | analytics.SQL).items()}
