@@ -31,7 +31,7 @@ def hits(c: Column | str, pattern: str) -> Column:
 
 def requirements(tenders: DataFrame) -> DataFrame:
     """tender_id, full_text and what the text asks for: product, material, application, capacity, dimensions, testing, safety, refs."""
-    t = tenders.select("tender_id", F.col("text").alias("full_text"))
+    t = tenders.select("tender_id", text("text").alias("full_text"))
     return t.select(
         "tender_id",
         "full_text",
