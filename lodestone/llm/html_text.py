@@ -193,8 +193,24 @@ def merged(a: Node, b: Node) -> Node:
     return ["?" if marks == {"?"} else "+", inner] if marks != {"?", "+"} else ["?", [["+", inner]]]
 
 
+def grouped(nodes: list[Node], like: list[Node]) -> list[Node]:
+    """nodes with each run that `like` has as a group that may repeat made such a group."""
+    for unit in [n[1] for n in like if isinstance(n, list) and n[0] == "+"]:
+        out, k = [], 0
+        while k < len(nodes):
+            if nodes[k : k + len(unit)] == unit:
+                out.append(["+", unit])
+                k += len(unit)
+            else:
+                out.append(nodes[k])
+                k += 1
+        nodes = out
+    return fold(nodes)
+
+
 def align(a: list[Node], b: list[Node]) -> list[Node]:
     """One expression for both: nodes they share in order stay, all others become optional."""
+    a, b = grouped(a, b), grouped(b, a)
     if a == b:
         return a
     x, y = list(map(bare, a)), list(map(bare, b))
