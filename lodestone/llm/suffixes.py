@@ -188,6 +188,7 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
     windows = texts.mapInArrow(_windows(least, gram, window), "window bigint, cls bigint, start int").join(classes.select("cls", "low"), "cls")
     windows = staged(windows.distinct(), "suffix-windows")
     shared = windows.groupBy("window").agg(F.min("cls").alias("a"), F.max("cls").alias("z"), F.min("low").alias("first_doc")).where("a <> z").select("window", "first_doc")
+    shared = staged(shared, "suffix-shared")  # apart from its counting, so that a hot window's rows can be split in the join
     hits = windows.join(shared, "window").select("cls", "start", "first_doc")
     by = W.partitionBy("cls").orderBy("start")
     hits = hits.withColumn("new", F.coalesce((F.col("start") > F.lag("start").over(by) + least).cast("int"), F.lit(1)))
