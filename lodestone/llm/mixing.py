@@ -109,8 +109,10 @@ def schedule(sized: DataFrame, target: float = ENTROPY, most: float = REPEATS, s
         for k in range(max(1, whole)):
             rows.append((s, k, max(1, r["docs"] // BLOCK_DOCS), r["tokens"], float(times * r["tokens"])))
     passes = spark.createDataFrame(rows or [("", 0, 1, 0, 0.0)], "source string, pass int, blocks bigint, of bigint, budget double")
-    used = sized.join(passes, "source")
-    used = used.withColumn("block", F.pmod(F.xxhash64(F.lit(seed), "doc_id"), "blocks"))
+    passes = staged(passes, "mixing-passes")  # so that its size is known and Spark sends it to all tasks only if it is small
+    used = sized.join(passes, "source").withColumn("block", F.pmod(F.xxhash64(F.lit(seed), "doc_id"), "blocks"))
+    # by block, lest what follows takes the join's dealing by source as good enough
+    used = used.repartition("source", "pass", "block")
     mixed = F.xxhash64(F.lit(seed), "source", "pass", "block")
     blocks = used.groupBy("source", "pass", "block").agg(F.sum("tokens").alias("block_tokens")).withColumn("order", mixed)
     before = W.partitionBy("source", "pass").orderBy("order", "block").rowsBetween(W.unboundedPreceding, -1)
