@@ -182,7 +182,9 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     links = found.groupBy("key").agg(F.sum("links").alias("links"))
     root = components(found, "key", "root").select(F.col("node").alias("key"), "root")
     of = classes.select("key", "n", "low").join(links, "key", "left").join(root, "key", "left").withColumn("root", F.coalesce("root", "key"))
-    least = of.groupBy("root").agg(F.min("low").alias("least"))
+    # written, so that a large component's rows can be split in the join
+    of = staged(of, "vector-roots")
+    least = staged(of.groupBy("root").agg(F.min("low").alias("least")), "vector-least")
     of = staged(of.join(least, "root").select("key", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "least"), "vector-components")
     out = keyed.select("vec_id", "key").join(of, "key", "left")
     return out.select(
