@@ -113,7 +113,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     distinct = staged(fps.groupBy("fp").agg(F.count("*").alias("n"), F.min("doc_id").alias("low")), "simhash-distinct")
     root = links(distinct.select("fp", "n"), distance, blocks)
     of = distinct.join(root, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = of.groupBy("root").agg(F.min("low").alias("component_id"))
+    # written, so that a large component's rows can be split in the join
+    of = staged(of, "simhash-roots")
+    least = staged(of.groupBy("root").agg(F.min("low").alias("component_id")), "simhash-least")
     by_fp = staged(of.join(least, "root").select("fp", "component_id"), "simhash-components")
     return fps.join(by_fp, "fp").select("doc_id", "fp", "component_id")
 
