@@ -17,4 +17,5 @@ QUERIES = {
 SQL = {
     "op2_quality_rules": quality_rules.SQL,
     "op4_vectors": vectors.SQL,
+    "op6_suffixes": suffixes.SQL,
 }

@@ -202,3 +202,24 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated(table(spark, sf_dir, "documents"))
+
+
+SQL = r"""
+WITH d AS (
+  SELECT doc_id, text, list_filter(string_split_regex(text, '[ \t\n\x0B\f\r]+'), lambda x: x <> '') AS ws FROM documents WHERE text IS NOT NULL
+), c AS (
+  SELECT text, count(*) AS copies, min(doc_id) AS low, any_value(ws) AS ws, row_number() OVER () AS cls FROM d GROUP BY text
+), w AS (
+  SELECT cls, low, copies, i AS start, md5(array_to_string(ws[i + 1:i + 50], ' ')) AS win FROM (SELECT *, unnest(range(0, len(ws) - 49)) AS i FROM c WHERE len(ws) >= 50)
+), s AS (
+  SELECT win, min(low) AS first_doc FROM w GROUP BY win HAVING min(cls) <> max(cls)
+), h AS (
+  SELECT cls, start, first_doc, CASE WHEN start <= lag(start) OVER v + 50 THEN 0 ELSE 1 END AS new FROM w JOIN s USING (win) WHERE copies = 1 WINDOW v AS (PARTITION BY cls ORDER BY start)
+), g AS (
+  SELECT *, sum(new) OVER (PARTITION BY cls ORDER BY start) AS span FROM h
+), r AS (
+  SELECT cls, min(start) AS start_word, max(start) + 50 AS end_word, min(first_doc) AS first_doc FROM g GROUP BY cls, span
+  UNION ALL SELECT cls, 0, len(ws), low FROM c WHERE copies > 1 AND len(ws) >= 50
+)
+SELECT d.doc_id, start_word::INT AS start_word, end_word::INT AS end_word, (end_word - start_word)::INT AS n_words, first_doc FROM r JOIN c USING (cls) JOIN d ON d.text = c.text
+"""
