@@ -59,7 +59,7 @@ def status_counts(probes: DataFrame) -> DataFrame:
 
 def tender_pages(tenders: DataFrame) -> DataFrame:
     """A plain text as one page."""
-    return tenders.select(F.col("tender_id").alias("doc_id"), F.lit(1).alias("page"), F.col("text"), F.length(text("text")).alias("char_count"))
+    return tenders.select(F.col("tender_id").alias("doc_id"), F.lit(1).alias("page"), F.col("text"), F.length(text("text")).cast("bigint").alias("char_count"))
 
 
 def accepted(uploads: DataFrame, most_bytes: int = 25 << 20) -> DataFrame:
