@@ -15,14 +15,13 @@ def postings(chunks: DataFrame, key: str = "chunk_id", body: str = "text") -> Da
     return chunks.select(key, F.explode(tokens(body)).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
 
 
-def lengths(posts: DataFrame, key: str = "chunk_id") -> DataFrame:
-    return posts.groupBy(key).agg(F.sum("tf").alias("length"))
+def term_stats(chunks: DataFrame, body: str = "text", c: config.Config = config.DEFAULT) -> DataFrame:
+    """(term, df, idf). Terms in more than half the chunks get epsilon times the mean idf instead of a negative one.
 
-
-def term_stats(posts: DataFrame, chunks: DataFrame, key: str = "chunk_id", c: config.Config = config.DEFAULT) -> DataFrame:
-    """(term, df, idf). Terms in more than half the chunks get epsilon times the mean idf instead of a negative one."""
+    Chunks are counted by term alone, so counting starts in each task and no (chunk, term) pair is shuffled.
+    """
     n = chunks.agg(F.count("*").alias("n_chunks"))
-    df = posts.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(n))  # one row
+    df = chunks.select(F.explode(F.array_distinct(tokens(body))).alias("term")).groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(n))  # one row
     df = df.withColumn("raw", F.log(F.col("n_chunks") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     mean = df.agg(F.avg("raw").alias("mean_idf"))
     return df.crossJoin(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, c.epsilon * F.col("mean_idf")).otherwise(F.col("raw")).alias("idf"))
@@ -31,16 +30,20 @@ def term_stats(posts: DataFrame, chunks: DataFrame, key: str = "chunk_id", c: co
 def bm25(queries: DataFrame, chunks: DataFrame, key: str = "chunk_id", c: config.Config = config.DEFAULT) -> DataFrame:
     """(query_id, key, score) of every chunk with a term of the query; a repeated query term counts as often.
 
-    Scores are rounded to six places, so that they don't depend on the order of sums.
+    Only the queries' terms are counted within chunks; a chunk's length comes
+    from its own row. Scores are rounded to six places, so that they don't
+    depend on the order of sums.
     """
-    posts = postings(chunks, key)
-    size = lengths(posts, key)
-    average = size.agg(F.sum("length").alias("all_terms")).crossJoin(chunks.agg(F.count("*").alias("n_all"))).select((F.col("all_terms") / F.col("n_all")).alias("average"))
     asked = queries.select("query_id", F.explode(tokens("query")).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
-    wanted = posts.join(asked, "term").join(term_stats(posts, chunks, key, c), "term").join(size, key).crossJoin(F.broadcast(average))
+    size = chunks.select(F.size(tokens("text")).alias("length"))
+    average = size.agg((F.sum("length") / F.count("*")).alias("average"))
+    each = chunks.select(key, tokens("text").alias("all")).select(key, F.size("all").alias("length"), F.explode("all").alias("term"))
+    wanted = each.join(asked.select("term").distinct(), "term", "left_semi").groupBy(key, "term", "length").agg(F.count("*").alias("tf"))
+    weighted = asked.join(term_stats(chunks, c=c), "term")
+    found = wanted.join(weighted, "term").crossJoin(F.broadcast(average))  # one row
     norm = 1 - c.b + c.b * F.col("length") / F.col("average")
     part = F.col("times") * F.col("idf") * F.col("tf") * (c.k1 + 1) / (F.col("tf") + c.k1 * norm)
-    return wanted.groupBy("query_id", key).agg(rounded(F.sum(part), 6).alias("score"))
+    return found.groupBy("query_id", key).agg(rounded(F.sum(part), 6).alias("score"))
 
 
 def top(scored: DataFrame, k: int, key: str = "chunk_id", by: str = "query_id", score: str = "score") -> DataFrame:

@@ -148,10 +148,11 @@ def best_match(params: DataFrame, specs: DataFrame) -> DataFrame:
     the name in the property, 5 for a value inside the other, 4 for numbers
     within 15 %. The first of the best wins; none above 0 is not_found.
     """
-    both = params.join(specs.withColumnRenamed("value", "spec_value"), "tender_id", "left")
-    name, value = F.lower("name"), F.lower("value")
-    prop, other = F.lower(text("property")), F.lower(text("spec_value"))
-    a, b = first_number(value), first_number(other)
+    # what a row says is worked out before the rows are paired
+    own = params.withColumn("p_name", F.lower("name")).withColumn("p_value", F.lower("value")).withColumn("p_number", first_number(F.lower("value")))
+    theirs = specs.select("tender_id", "spec_ord", "spec_id", F.lower(text("property")).alias("s_property"), F.lower(text("value")).alias("s_value"), first_number(F.lower(text("value"))).alias("s_number"))
+    both = own.join(theirs, "tender_id", "left")
+    name, value, prop, other, a, b = (F.col(c) for c in ("p_name", "p_value", "s_property", "s_value", "p_number", "s_number"))
     score = F.when(F.contains(prop, name), 3).otherwise(0)
     score = score + F.when((value != "") & (other != "") & (F.contains(other, value) | F.contains(value, other)), 5).otherwise(0)
     score = score + F.when(F.abs(a - b) / F.greatest(F.abs(b), F.lit(1.0)) < 0.15, 4).otherwise(0)

@@ -40,7 +40,7 @@ def ret_01_postings(s, d):
 @query(f"WITH {POSTS}, {IDF} SELECT term, df, floor(idf * 1000000.0::DOUBLE + 0.5::DOUBLE) / 1000000.0::DOUBLE AS idf FROM idf")
 def ret_02_idf(s, d):
     c = t(s, d, "chunks")
-    x = search.term_stats(search.postings(c), c)
+    x = search.term_stats(c)
     return x.select("term", "df", search.rounded(F.col("idf"), 6).alias("idf"))
 
 
