@@ -14,6 +14,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -112,7 +113,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     """Fitted on a bounded sample: per language the `most / languages` labelled documents with the smallest hash of their ids.
 
     Documents with a null label, a null text or no letter are not used. The
-    sample's features, about twice `most` rows of 8 KB at most, are fitted on the driver.
+    sample's features, at most `most` rows of 8 KB, are fitted on the driver.
     """
     df = docs.select(F.xxhash64(id_col, text_col).alias("h"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     df = df.where(F.col("lang").isNotNull() & F.col("text").rlike("\\p{L}"))
@@ -120,21 +121,17 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     if not counts:
         return fit(np.zeros((0, DIMS), np.float32), [])
     each = max(1, most // len(counts))
-    # first by a hash threshold that leaves about twice the wanted rows, so that no language is ever sorted whole
+    # first by a hash threshold that leaves about twice the wanted rows, so that no language is ever sorted whole; those are then ranked
     cut = F.lit(False)
     for lang, n in counts.items():
         top = min(1.0, 2 * each / n + 40 / n)
         cut = cut | ((F.col("lang") == lang) & (F.col("h") <= F.lit(min(2**63 - 1, int(-(2**63) + top * 2**64)))))
-    chosen = df.where(cut).mapInArrow(_chosen, "lang string, h bigint, x binary")
+    place = F.row_number().over(W.partitionBy("lang").orderBy("h"))
+    chosen = df.where(cut).withColumn("place", place).where(F.col("place") <= each).select("h", "text", "lang").mapInArrow(_chosen, "lang string, h bigint, x binary")
     rows = chosen.toArrow()
     langs, h, x = rows.column("lang").to_pylist(), rows.column("h").to_pylist(), rows.column("x").to_pylist()
     order = sorted(range(len(h)), key=lambda i: (langs[i], h[i], x[i]))
-    kept, had = [], dict.fromkeys(counts, 0)
-    for i in order:
-        if had[langs[i]] < each:
-            had[langs[i]] += 1
-            kept.append(i)
-    return fit(np.stack([np.frombuffer(x[i], np.float16) for i in kept]).astype(np.float32), [langs[i] for i in kept])
+    return fit(np.stack([np.frombuffer(x[i], np.float16) for i in order]).astype(np.float32), [langs[i] for i in order])
 
 
 def _chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -98,8 +98,10 @@ def links(distinct: DataFrame, distance: int = DISTANCE, blocks: int = BLOCKS) -
     left = rooted.join(mixed, ["k", "bits"], "left_semi")
     right = left.select("k", "bits", F.col("fp").alias("fp2"), F.col("root").alias("root2"))
     rest = left.join(right, ["k", "bits"]).where((F.col("root") < F.col("root2")) & (hamming("fp", "fp2") <= distance))
-    rest = rest.select(F.col("fp").alias("a"), F.col("fp2").alias("b")).distinct()
-    return components(first.union(rest)).withColumnRenamed("node", "fp")
+    # of the second round's links only what they join matters: components of the first round
+    joined = components(rest.select("root", "root2"), "root", "root2").withColumnRenamed("root", "final")
+    root = root.join(joined.withColumnRenamed("node", "root"), "root", "full_outer").select(F.coalesce("node", "root").alias("fp"), F.coalesce("final", "root").alias("root"))
+    return root
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = DISTANCE, blocks: int = BLOCKS) -> DataFrame:
