@@ -24,7 +24,7 @@ PLAIN = r"^(?P<head>[A-Za-z\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{ff}]+)(?P<tail>[!
 PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
 BYTES = {b: 256 + n for n, b in enumerate(sorted(set(range(256)) - set(PRINTED)))}
 """The byte-level alphabet shows these bytes as themselves and the rest, in order, from 256 on."""
-REMEMBERED = 250_000
+REMEMBERED = 120_000
 """Units a worker remembers before it starts afresh; a bound on memory only, results never depend on it."""
 UNSPLIT = 2048
 """An unsplit run of more code points is encoded by halves."""

@@ -218,6 +218,7 @@ def _write(folder: str, path: str, end_id: int):
             return
         w.close()
         out.close()
+        pa.default_memory_pool().release_unused()  # many short tasks may leave idle workers behind; they should be small
         system.move(f"{base}/{draft}", f"{base}/{final}")  # a task that runs again puts the same file in place
         yield pa.RecordBatch.from_pydict(
             {"shard": pa.array([shard], pa.int32()), "path": [f"{folder}/{final}"], "n_docs": [w.entries], "n_ids": [w.ids], "first_key": pa.array([first], pa.binary()), "last_key": pa.array([last], pa.binary())}
