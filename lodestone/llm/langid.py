@@ -25,6 +25,8 @@ TRAIN_DOCS = 2000
 """The most labelled documents the model is fitted on, shared evenly among the languages; the rest of the labelled documents are not needed for the fit."""
 MARGIN = 0.1
 """A text whose best and second-best codewords differ by less in mean weighted loss is ambiguous."""
+TEXTS = 256
+"""Texts whose features are held at a time."""
 MULTIPLIERS = ((1,), (1, 31), (1, 31, 961))
 """Hash multipliers of single characters, pairs and triples."""
 
@@ -156,7 +158,7 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", keep_text: b
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = held.value.predict(b.column(text_col).to_pylist())
+            got = [g for k in range(0, b.num_rows, TEXTS) for g in held.value.predict(b.column(text_col).slice(k, TEXTS).to_pylist())]
             more = [pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64()), pa.array([g[2] for g in got], pa.bool_())]
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in left_names], *more], names=[*left_names, "lang_pred", "score", "ambiguous"])
 
