@@ -3,9 +3,11 @@
 Each page becomes a stream of block tags and text slots. The streams of a host
 are aligned one after the other: what repeats is folded into a group that may
 repeat, what one side lacks becomes optional, and text becomes a slot. The
-result is a union-free regular expression, the host's wrapper. Its slots are
-then judged once a host, from where they stand and from whether their text
-changes between pages, and every page of the host is read through them.
+result is a union-free regular expression, the host's wrapper. Every page is
+matched against it, which gives each block of text its slot; slots are judged
+once a host, from where they stand and from whether their text changes between
+pages, and every page of the host is read through them. A slot in a group that
+repeats is judged by its turn, counted from the first and from the last.
 """
 
 from __future__ import annotations
@@ -13,6 +15,7 @@ from __future__ import annotations
 import html
 import json
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -249,7 +252,100 @@ def shown(nodes: list[Node]) -> str:
     return " ".join(n if isinstance(n, str) else f"( {shown(n[1])} ){n[0]}" for n in nodes)
 
 
-PARSED = "page_id {id}, url string, host string, shape string, labels array<string>, texts array<string>"
+class Reader:
+    """A wrapper as a program that reads streams: leaves, and splits with the preferred branch first."""
+
+    def __init__(self, nodes: list[Node]):
+        self.ops: list[str | tuple[int, int] | None] = []
+        self.repeats: set[int] = set()
+        self._compile(nodes, False)
+        self.ops.append(None)  # the end
+        self.known: dict[tuple[int, str | None], list[int]] = {}
+
+    def _compile(self, nodes: list[Node], repeats: bool) -> None:
+        for n in nodes:
+            at = len(self.ops)
+            if isinstance(n, str):
+                self.ops.append(n)
+                if repeats:
+                    self.repeats.add(at)
+            elif n[0] == "?":
+                self.ops.append((0, 0))
+                self._compile(n[1], repeats)
+                self.ops[at] = (at + 1, len(self.ops))
+            else:
+                self._compile(n[1], True)
+                self.ops.append((at, len(self.ops) + 1))
+
+    def after(self, at: int, token: str | None) -> list[int]:
+        """The leaves with that token, or the end for None, that can come next, the preferred first."""
+        if (at, token) not in self.known:
+            found, seen, todo = [], set(), [at]
+            while todo:
+                k = todo.pop()
+                if k in seen:
+                    continue
+                seen.add(k)
+                if isinstance(self.ops[k], tuple):
+                    todo.extend(reversed(self.ops[k]))
+                elif self.ops[k] == token:
+                    found.append(k)
+            self.known[at, token] = found
+        return self.known[at, token]
+
+    def match(self, stream: list[str]) -> list[int] | None:
+        """The leaf of each token, or None where the wrapper doesn't hold the stream. What failed once at a token isn't tried there again."""
+        tokens = [*stream, None]
+        path: list[int] = []
+        dead: set[tuple[int, int]] = set()
+        frames = [iter(self.after(0, tokens[0]))]
+        while frames:
+            k = next(frames[-1], None)
+            if k is None:
+                frames.pop()
+                if path:
+                    dead.add((len(path), path.pop()))
+            elif len(path) == len(stream):
+                return path
+            elif (len(path) + 1, k) not in dead:
+                path.append(k)
+                frames.append(iter(self.after(k + 1, tokens[len(path)])))
+        return None
+
+    def places(self, stream: list[str]) -> list[list[int]]:
+        """For each text of the stream the places it has in the wrapper: its slot and its turn there, and in a group that repeats the turn from the last too."""
+        at = [k for k, t in zip(self.match(stream) or [], stream) if t[0] == "#"]
+        if not at:
+            return [[] for t in stream if t[0] == "#"]
+        total, turn, out = Counter(at), Counter(), []
+        for k in at:
+            out.append([(k << 32) + turn[k], (k << 32) + turn[k] - total[k]] if k in self.repeats else [k << 32])
+            turn[k] += 1
+        return out
+
+
+class Readers:
+    """Wrappers compiled, those of the last few megabytes."""
+
+    def __init__(self) -> None:
+        self.held: dict[str, Reader] = {}
+        self.size = 0
+
+    def of(self, shape: str) -> Reader:
+        if shape not in self.held:
+            if self.size > 1 << 22:
+                self.held, self.size = {}, 0
+            self.held[shape] = Reader(json.loads(shape))
+            self.size += len(shape)
+        return self.held[shape]
+
+
+def labelled(stream: str, labels: list[str]) -> list[str]:
+    of = iter(labels)
+    return ["#" + next(of) if t == "#" else t for t in stream.split()]
+
+
+PARSED = "page_id {id}, url string, host string, shape string, stream string, labels array<string>, texts array<string>"
 
 
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -257,9 +353,11 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = [blocks(x or "") for x in b.column("html").to_pylist()]
         shapes = [json.dumps(fold([f"#{labels[int(t[1:])]}" if t[0] == "#" else t for t in stream])) for stream, labels, _ in rows]
         hosts = [(re.match(r"(?i)[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", u or "") or [None, ""])[1].lower() for u in b.column("url").to_pylist()]
+        streams = [" ".join(t[0] if t[0] == "#" else t for t in stream) for stream, _, _ in rows]
         kind = pa.list_(pa.string())
         yield pa.RecordBatch.from_arrays(
-            [b.column("page_id"), b.column("url"), pa.array(hosts), pa.array(shapes), pa.array([r[1] for r in rows], kind), pa.array([r[2] for r in rows], kind)], names=["page_id", "url", "host", "shape", "labels", "texts"]
+            [b.column("page_id"), b.column("url"), pa.array(hosts), pa.array(shapes), pa.array(streams), pa.array([r[1] for r in rows], kind), pa.array([r[2] for r in rows], kind)],
+            names=["page_id", "url", "host", "shape", "stream", "labels", "texts"],
         )
 
 
@@ -280,40 +378,56 @@ def wrappers(parsed: DataFrame, salts: int = 16) -> DataFrame:
     return part.groupBy("host").applyInArrow(_wrap, shape)
 
 
-def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each place of each text that is neither furniture nor of the main part."""
+    readers = Readers()
     for b in batches:
-        found = [slots(json.loads(s)) for s in b.column("shape").to_pylist()]
-        main = [[x for x in s if x.startswith(MAIN_MARK)] for s in found]
-        rest = [[x for x in s if x[:1] not in (MAIN_MARK, ASIDE_MARK)] for s in found]
-        kind = pa.list_(pa.string())
-        yield pa.RecordBatch.from_arrays([b.column("host"), pa.array(main, kind), pa.array(rest, kind)], names=["host", "main", "rest"])
+        rows: list[tuple[str, int, int, int]] = []
+        for host, page, wrapper, stream, labels, hashes in zip(*[b.column(c).to_pylist() for c in ("host", "page", "wrapper", "stream", "labels", "hashes")]):
+            if all(x[:1] in (MAIN_MARK, ASIDE_MARK) for x in labels):
+                continue
+            places = readers.of(wrapper).places(labelled(stream, labels))
+            rows += [(host, page, p, t) for x, t, ps in zip(labels, hashes, places) if x[:1] not in (MAIN_MARK, ASIDE_MARK) for p in ps]
+        names = ["host", "page", "place", "t"]
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64() if k else pa.string()) for k in range(4)], names=names)
+
+
+def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    readers = Readers()
+    for b in batches:
+        out = []
+        for wrapper, fixed, stream, labels, texts in zip(*[b.column(c).to_pylist() for c in ("wrapper", "fixed", "stream", "labels", "texts")]):
+            main = [t for x, t in zip(labels, texts) if x[:1] == MAIN_MARK]
+            if not main and labels:
+                template = set(fixed or ())
+                places = readers.of(wrapper).places(labelled(stream, labels)) if template else [[]] * len(labels)
+                main = [t for x, t, ps in zip(labels, texts, places) if x[:1] != ASIDE_MARK and template.isdisjoint(ps)]
+            out.append("\n".join(main))
+        yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(out, pa.string())], names=["page_id", "url", "text"])
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """One row per page row: page_id, url, text, n_chars.
 
     A page's main slots are its text; without any, its slots that are no
-    furniture, less those whose text is the same on every page of a host that
-    has at least three different ones. A null or empty page has the empty text;
-    a null url, or one without a host, belongs to the host ''. Repeated rows
-    and identifiers give repeated rows.
+    furniture, less those whose text is the same on every page that has them,
+    where at least three different pages have. A null or empty page has the
+    empty text; a null url, or one without a host, belongs to the host ''.
+    Repeated rows and identifiers give repeated rows.
     """
     ident = pages.schema[id_col].dataType.simpleString()
     df = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
     parsed = staged(df.mapInArrow(_parse, PARSED.format(id=ident)), "pages")
-    judged = wrappers(parsed.select("host", "shape")).mapInArrow(_judge, "host string, main array<string>, rest array<string>")
+    wrapper = staged(wrappers(parsed.select("host", "shape")).select("host", F.col("shape").alias("wrapper")), "wrappers")
     # a slot with one text on all pages, on a host whose pages differ, is part of the template
-    one = parsed.select("host", F.xxhash64(F.array_join("texts", "\n")).alias("page"), F.explode(F.arrays_zip("labels", "texts")).alias("b"))
-    one = one.where(~F.substring("b.labels", 1, 1).isin(MAIN_MARK, ASIDE_MARK)).select("host", "page", F.col("b.labels").alias("label"), F.col("b.texts").alias("t"))
-    one = one.groupBy("host", "label", "page").agg(F.min("t").alias("a"), F.max("t").alias("z"))
-    same = one.groupBy("host", "label").agg(F.min("a").alias("a"), F.max("z").alias("z"), F.count("*").alias("pages")).where("a = z AND pages >= 3")
-    fixed = same.groupBy("host").agg(F.collect_list("label").alias("fixed"))
-    judged = judged.join(fixed, "host", "left").select("host", "main", F.array_except("rest", F.coalesce("fixed", F.array().cast("array<string>"))).alias("rest"))
-    read = parsed.join(staged(judged, "wrappers"), "host", "left")
-    chosen = F.when(F.arrays_overlap("labels", "main"), F.col("main")).otherwise(F.col("rest"))
-    read = read.withColumn("kept", chosen)
-    zipped = F.filter(F.arrays_zip("labels", "texts"), lambda b: F.array_contains("kept", b["labels"]))
-    read = read.withColumn("text", F.array_join(F.transform(zipped, lambda b: b["texts"]), "\n"))
+    hashed = parsed.select("host", F.xxhash64(F.array_join("texts", "\n")).alias("page"), "stream", "labels", F.transform("texts", lambda t: F.xxhash64(t)).alias("hashes"))
+    one = hashed.join(wrapper, "host").mapInArrow(_seen, "host string, page bigint, place bigint, t bigint")
+    one = one.groupBy("host", "place", "page").agg(F.min("t").alias("a"), F.max("t").alias("z"))
+    same = one.groupBy("host", "place").agg(F.min("a").alias("a"), F.max("z").alias("z"), F.count("*").alias("pages")).where("a = z AND pages >= 3")
+    fixed = same.groupBy("host").agg(F.collect_list("place").alias("fixed"))
+    judged = staged(wrapper.join(fixed, "host", "left"), "judged")
+    read = parsed.select("page_id", "url", "host", "stream", "labels", "texts").join(judged, "host")
+    read = read.mapInArrow(_read, f"page_id {ident}, url string, text string")
     return read.select("page_id", "url", "text", F.length("text").cast("bigint").alias("n_chars"))
 
 

@@ -97,6 +97,24 @@ def test_template_text_is_left_out(spark):
     assert html_text.extract(df.limit(0)).count() == 0
 
 
+def test_template_slots_apart_from_content(spark):
+    page = "<div><p>Welcome to our site</p>{}<p>All rights reserved</p></div>"
+    rows = [(i, "http://h.example/x", page.format("".join(f"<p>{k} body of page {i}</p>" for k in range(1 + i % 3)))) for i in range(7)]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    got = {r.page_id: r.text for r in html_text.extract(df).collect()}
+    assert got == {i: "\n".join(f"{k} body of page {i}" for k in range(1 + i % 3)) for i in range(7)}
+
+
+def test_wrappers_read_their_pages(spark, data):
+    df = spark.read.parquet(f"{data}/pages.parquet").select("page_id", "url", "html")
+    parsed = df.mapInArrow(html_text._parse, html_text.PARSED.format(id="bigint"))
+    of = {r.host: html_text.Reader(json.loads(r["shape"])) for r in html_text.wrappers(parsed.select("host", "shape")).collect()}
+    for r in parsed.collect():
+        stream = html_text.labelled(r.stream, r.labels)
+        assert [of[r.host].ops[k] for k in of[r.host].match(stream)] == stream and all(html_text.Reader.places(of[r.host], stream))
+    assert html_text.Reader(["p", ["?", ["#x"]], "/p"]).match(["p"]) is None
+
+
 # -- mixing
 
 
