@@ -44,7 +44,15 @@ MAIN_WORDS = frozenset("articlebody".split())
 
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.DOTALL)
 ATTR = re.compile(r"""([a-zA-Z:_-]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
-ASIDE_MARK, MAIN_MARK = "-", "+"
+STATES = re.compile(r"(?:has|with|no|without)[-_]")
+"""How a class begins that tells what its element has or lacks, not what it is."""
+OTHERS = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion related recommended comment comments disqus respond replies reply".split())
+"""Words of furniture whose articles are furniture too: comments, teasers and advertisements."""
+# SOFT_MARK: furniture by its class or a form, which an enclosed main part ends; ASIDE_MARK: furniture with all it encloses; OTHERS_MARK: only <main> ends it
+ASIDE_MARK, MAIN_MARK, SOFT_MARK, OTHERS_MARK = "-", "+", "~", "="
+FURNITURE = (ASIDE_MARK, SOFT_MARK, OTHERS_MARK)
+COMMON = 0.8
+"""A template's text is on this share of a host's different pages at least: nearly all."""
 
 
 def attributes(raw: str) -> dict[str, str]:
@@ -52,17 +60,28 @@ def attributes(raw: str) -> dict[str, str]:
 
 
 def standing(tag: str, a: dict[str, str], inside: str) -> str:
-    """`-` for furniture, `+` for the main part, else as what it stands in; furniture holds for all it encloses."""
+    """`+` for the main part, `-`, `~` or `=` for furniture, else as what it stands in. Furniture holds for all it encloses, but a main part in furniture that only a class or a form tells is the main part."""
     if inside == ASIDE_MARK:
         return inside
-    words = set(re.split(r"[^a-z0-9]+", f"{a.get('class', '')} {a.get('id', '')}".lower())) if a else set()
+    names = " ".join(x for x in f"{a.get('class', '')} {a.get('id', '')}".lower().split() if not STATES.match(x)) if a else ""
+    words = set(re.split(r"[^a-z0-9]+", names))
     role = a.get("role", "").lower()
     hidden = "hidden" in a or a.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", a.get("style", ""))
-    if tag in ("article", "main") or role in ("main", "article") or a.get("itemprop", "").lower() in MAIN_WORDS:
-        return ASIDE_MARK if words & {"comment", "comments", "related"} or hidden else MAIN_MARK
+    if hidden:
+        return ASIDE_MARK
+    if tag == "main" or role == "main":
+        return ASIDE_MARK if words & {"comment", "comments", "related"} else MAIN_MARK
+    if inside == OTHERS_MARK:
+        return inside
+    if tag == "article" or role == "article" or a.get("itemprop", "").lower() in MAIN_WORDS:
+        return ASIDE_MARK if words & {"comment", "comments", "related"} else MAIN_MARK
     if tag in ("html", "body"):
-        return ASIDE_MARK if hidden else inside
-    return ASIDE_MARK if tag in ASIDE or words & WORDS or role in ROLES or hidden else inside
+        return inside
+    if "form" not in (tag, role) and (tag in ASIDE or role in ROLES):
+        return ASIDE_MARK
+    if words & OTHERS:
+        return OTHERS_MARK
+    return SOFT_MARK if "form" in (tag, role) or words & WORDS else inside
 
 
 def blocks(page: str) -> tuple[list[str], list[str], list[str]]:
@@ -384,10 +403,10 @@ def _seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         rows: list[tuple[str, int, int, int]] = []
         for host, page, wrapper, stream, labels, hashes in zip(*[b.column(c).to_pylist() for c in ("host", "page", "wrapper", "stream", "labels", "hashes")]):
-            if all(x[:1] in (MAIN_MARK, ASIDE_MARK) for x in labels):
+            if all(x[:1] in (MAIN_MARK, *FURNITURE) for x in labels):
                 continue
             places = readers.of(wrapper).places(labelled(stream, labels))
-            rows += [(host, page, p, t) for x, t, ps in zip(labels, hashes, places) if x[:1] not in (MAIN_MARK, ASIDE_MARK) for p in ps]
+            rows += [(host, page, p, t) for x, t, ps in zip(labels, hashes, places) if x[:1] not in (MAIN_MARK, *FURNITURE) for p in ps]
         names = ["host", "page", "place", "t"]
         yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64() if k else pa.string()) for k in range(4)], names=names)
 
@@ -401,7 +420,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if not main and labels:
                 template = set(fixed or ())
                 places = readers.of(wrapper).places(labelled(stream, labels)) if template else [[]] * len(labels)
-                main = [t for x, t, ps in zip(labels, texts, places) if x[:1] != ASIDE_MARK and template.isdisjoint(ps)]
+                main = [t for x, t, ps in zip(labels, texts, places) if x[:1] not in FURNITURE and template.isdisjoint(ps)]
             out.append("\n".join(main))
         yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(out, pa.string())], names=["page_id", "url", "text"])
 
@@ -411,20 +430,22 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
 
     A page's main slots are its text; without any, its slots that are no
     furniture, less those whose text is the same on every page that has them,
-    where at least three different pages have. A null or empty page has the
-    empty text; a null url, or one without a host, belongs to the host ''.
-    Repeated rows and identifiers give repeated rows.
+    where at least three different pages and nearly all of the host's (COMMON)
+    have. A null or empty page has the empty text; a null url, or one without
+    a host, belongs to the host ''. Repeated rows and identifiers give repeated
+    rows.
     """
     ident = pages.schema[id_col].dataType.simpleString()
     df = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
     parsed = staged(df.mapInArrow(_parse, PARSED.format(id=ident)), "pages")
     wrapper = staged(wrappers(parsed.select("host", "shape")).select("host", F.col("shape").alias("wrapper")), "wrappers")
-    # a slot with one text on all pages, on a host whose pages differ, is part of the template
+    # a slot with one text on nearly all pages, on a host whose pages differ, is part of the template
     hashed = parsed.select("host", F.xxhash64(F.array_join("texts", "\n")).alias("page"), "stream", "labels", F.transform("texts", lambda t: F.xxhash64(t)).alias("hashes"))
     one = hashed.join(wrapper, "host").mapInArrow(_seen, "host string, page bigint, place bigint, t bigint")
     one = one.groupBy("host", "place", "page").agg(F.min("t").alias("a"), F.max("t").alias("z"))
     same = one.groupBy("host", "place").agg(F.min("a").alias("a"), F.max("z").alias("z"), F.count("*").alias("pages")).where("a = z AND pages >= 3")
-    fixed = same.groupBy("host").agg(F.collect_list("place").alias("fixed"))
+    whole = parsed.where(F.size("texts") > 0).select("host", F.xxhash64(F.array_join("texts", "\n")).alias("page")).distinct().groupBy("host").agg(F.count("*").alias("of"))
+    fixed = same.join(whole, "host").where(F.col("pages") >= COMMON * F.col("of")).groupBy("host").agg(F.collect_list("place").alias("fixed"))
     judged = staged(wrapper.join(fixed, "host", "left"), "judged")
     read = parsed.select("page_id", "url", "host", "stream", "labels", "texts").join(judged, "host")
     read = read.mapInArrow(_read, f"page_id {ident}, url string, text string")

@@ -105,6 +105,21 @@ def test_template_slots_apart_from_content(spark):
     assert got == {i: "\n".join(f"{k} body of page {i}" for k in range(1 + i % 3)) for i in range(7)}
 
 
+def test_equal_text_of_few_pages_stays(spark):
+    quote = "<blockquote><p>A quoted line.</p></blockquote>"
+    rows = [(i, "http://h.example/x", f"<div><p>Head</p><h2>Page {i}</h2>{quote if i < 3 else ''}</div>") for i in range(20)]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    assert {r.page_id: r.text for r in html_text.extract(df).collect()} == {i: f"Page {i}\nA quoted line." if i < 3 else f"Page {i}" for i in range(20)}
+
+
+@pytest.mark.parametrize("around", ["div class='layout has-sidebar'", "div class=elementor-widget-container", "form action=x", "div class='sidebar wrap'", "div class=has-ads"])
+def test_article_in_class_marked_container(around):
+    _, labels, texts = html_text.blocks(f"<{around}><p>beside</p><article><p>body</p><div class=comments><article><p>nice!</p></article></div><aside><article>more</article></aside></article></{around.split()[0]}>")
+    assert [t for x, t in zip(labels, texts) if x[:1] == "+"] == ["body"]
+    _, labels, texts = html_text.blocks("<div class='related'><article>teaser</article><main>body</main></div><div hidden><main>unseen</main></div>")
+    assert [t for x, t in zip(labels, texts) if x[:1] == "+"] == ["body"]
+
+
 def test_wrappers_read_their_pages(spark, data):
     df = spark.read.parquet(f"{data}/pages.parquet").select("page_id", "url", "html")
     parsed = df.mapInArrow(html_text._parse, html_text.PARSED.format(id="bigint"))
