@@ -17,26 +17,27 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents whose language is told. Rejected are texts that are null or without a letter (`und`); short texts with close codewords are kept. A null lang is filled with the prediction."""
+    """Keeps documents whose language is told. Rejected are texts that are null or without a letter (`und`); short texts with close codewords are kept. A null lang is filled with the prediction. Where no row has a label there is nothing to tell languages by: every text with a letter is kept, as `und`."""
     ready(spark)
     docs = docs.select(*COLUMNS)
     model = langid.train(docs)
-    known = langid.identify(docs, model).where("lang_pred <> 'und'")
+    told = F.col("lang_pred") != "und" if model.langs else F.coalesce(F.col("text").rlike("\\p{L}"), F.lit(False))
+    known = langid.identify(docs, model).where(told)
     return known.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest doc_id of each group; of repeated rows of that doc_id, one."""
+    """Keeps one row of each group: that with the smallest doc_id, of several texts of that doc_id the one with the smallest hash; of repeated rows, one. A null doc_id is kept where all of the group are null."""
     ready(spark)
     docs = docs.select(*COLUMNS)
-    groups = simhash.near_duplicates(docs)
-    kept = groups.groupBy("component_id").agg(F.count("*").alias("n")).where("component_id IS NOT NULL").select(F.col("component_id").alias("doc_id"))
-    rows = docs.join(kept, "doc_id", "left_semi")
-    # a doc_id names one document as a rule; where it names several rows the first by its text stays
-    first = rows.groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text"), F.xxhash64("source", "lang"))).alias("first"), F.count("*").alias("n")).where("n > 1").select("doc_id", "first")
-    rows = rows.join(first.withColumnRenamed("doc_id", "of"), F.col("doc_id") == F.col("of"), "left")
-    rows = rows.where(F.col("first").isNull() | (F.struct(F.xxhash64("text"), F.xxhash64("source", "lang")) == F.col("first")))
-    return rows.select(*COLUMNS)
+    # a row is known by its doc_id and its text, as a doc_id may be null or name several texts
+    key = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("hash"))
+    groups = simhash.near_duplicates(docs.select(key.alias("doc_id"), "text")).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    kept = groups.groupBy("component_id").agg(F.count("*").alias("n")).select(F.col("component_id.id").alias("id"), F.col("component_id.hash").alias("hash"), "n")
+    rows = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("id")) & (F.xxhash64("text") == F.col("hash")))
+    # rows of one doc_id and text differ in source or lang at most; the first stays
+    several = rows.where("n > 1").groupBy("id", "hash").agg(F.min(F.struct(F.xxhash64("source", "lang"), *COLUMNS)).alias("first"))
+    return rows.where("n = 1").select(*COLUMNS).union(several.select("first.*").select(*COLUMNS))
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

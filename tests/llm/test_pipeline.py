@@ -31,3 +31,22 @@ def test_run(spark, data):
     assert clean.count() == 0
     out = c.run(spark, data)
     assert out.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] and out.count() >= len(groups) - 1
+
+
+def test_rows_that_survive_near_duplicates(spark, data):
+    a, b, z = "one plain text about rivers and hills and the old road", "another story of seven ships that left the harbour", "a third of machines, none of which was ever built here"
+    rows = [(None, z, "en", "s", 1), (None, b, "en", "s", 1), (4, a, "en", "s", 1), (4, "x y z of quite other words in a row", "en", "s", 1), (3, "x y z of quite other words in a row", "en", "s", 1)]
+    rows += [(9, b, "en", "s", 1), (7, "said twice by the same", "en", "s", 1), (7, "said twice by the same", "en", "s", 1), (8, "said twice in two places", "en", "s", 1), (8, "said twice in two places", "de", "s", 1)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    got = sorted((r.doc_id or 0, r.text) for r in c.near_duplicates(spark, df, data).collect())
+    assert got == [(0, z), (3, rows[4][1]), (4, a), (7, rows[6][1]), (8, rows[8][1]), (9, b)]
+
+
+def test_survivors_of_odd_rows(spark, odd, data):
+    kept = c.near_duplicates(spark, c.language(spark, odd, data), data)
+    assert sorted((r.doc_id is None, r.doc_id or 0) for r in kept.collect()) == [(False, 3), (False, 4), (False, 5), (True, 0)]
+
+
+def test_no_labels(spark, odd, data):
+    kept = c.language(spark, odd.withColumn("lang", F.lit(None).cast("string")), data)
+    assert sorted((r.doc_id is None, r.doc_id or 0, r.lang) for r in kept.collect()) == [(False, 3, "und"), (False, 4, "und"), (False, 5, "und"), (False, 5, "und"), (True, 0, "und")]
