@@ -8,8 +8,9 @@ and pairs are never expanded inside a dense group:
 1. every key links its fingerprints to the commonest one among them, verified
    by Hamming distance, which settles dense groups with one row a member;
 2. components are formed; keys whose fingerprints are all in one component
-   have nothing left to say and are dropped by a min/max aggregate;
-3. in the remaining keys pairs of different components are verified, in full.
+   have nothing left to say and drop out;
+3. in the remaining keys pairs of different components are verified, in full;
+   of these, members of a key's largest component are on one side only.
 
 The components are then those of the complete link graph: a pair that is never
 compared was already connected.
@@ -87,17 +88,17 @@ def links(distinct: DataFrame, distance: int = DISTANCE, blocks: int = BLOCKS) -
     def keyed(df: DataFrame) -> DataFrame:
         return df.select("*", F.explode(keys(F.col("fp"), blocks, distance)).alias("key")).select("*", "key.k", "key.bits").drop("key")
 
-    centre = keyed(distinct).groupBy("k", "bits").agg(F.max_by("fp", F.struct("n", "fp")).alias("centre"), F.count("*").alias("members")).where("members > 1")
-    shared = staged(keyed(distinct).join(centre.select("k", "bits", "centre"), ["k", "bits"]).select("k", "bits", "fp", "centre"), "simhash-keys")
-    first = shared.where((F.col("fp") != F.col("centre")) & (hamming("fp", "centre") <= distance)).select(F.col("fp").alias("a"), F.col("centre").alias("b")).distinct()
-    first = staged(first, "simhash-links")
-    root = components(first)
+    # any centre gives true links; the commonest settles most
+    centre = keyed(distinct).groupBy("k", "bits").agg(F.max_by("fp", "n").alias("centre"), F.count("*").alias("members")).where("members > 1")
+    shared = staged(keyed(distinct.select("fp")).join(centre.select("k", "bits", "centre"), ["k", "bits"]).select("k", "bits", "fp", "centre"), "simhash-keys")
+    root = components(shared.where((F.col("fp") != F.col("centre")) & (hamming("fp", "centre") <= distance)).select("fp", "centre"), "fp", "centre")
     rooted = shared.select("k", "bits", "fp").join(root.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     rooted = staged(rooted, "simhash-rooted")
-    mixed = rooted.groupBy("k", "bits").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("k", "bits")
-    left = rooted.join(mixed, ["k", "bits"], "left_semi")
-    right = left.select("k", "bits", F.col("fp").alias("fp2"), F.col("root").alias("root2"))
-    rest = left.join(right, ["k", "bits"]).where((F.col("root") < F.col("root2")) & (hamming("fp", "fp2") <= distance))
+    # a key's largest component is never compared with itself, only what is outside of it with all
+    largest = rooted.groupBy("k", "bits", "root").agg(F.count("*").alias("n")).groupBy("k", "bits").agg(F.max_by("root", "n").alias("largest"), F.count("*").alias("roots")).where("roots > 1")
+    mixed = staged(rooted.join(largest.select("k", "bits", "largest"), ["k", "bits"]), "simhash-mixed")
+    outside = mixed.where("root <> largest").select("k", "bits", F.col("fp").alias("fp2"), F.col("root").alias("root2"))
+    rest = mixed.join(outside, ["k", "bits"]).where((F.col("root") != F.col("root2")) & (hamming("fp", "fp2") <= distance))
     # of the second round's links only what they join matters: components of the first round
     joined = components(rest.select("root", "root2"), "root", "root2").withColumnRenamed("root", "final")
     root = root.join(joined.withColumnRenamed("node", "root"), "root", "full_outer").select(F.coalesce("node", "root").alias("fp"), F.coalesce("final", "root").alias("root"))
@@ -113,13 +114,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     fps = staged(fingerprints(docs, id_col, text_col), "simhash")
     distinct = staged(fps.groupBy("fp").agg(F.count("*").alias("n"), F.min("doc_id").alias("low")), "simhash-distinct")
-    root = links(distinct.select("fp", "n"), distance, blocks)
-    of = distinct.join(root, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     # written, so that a large component's rows can be split in the join
-    of = staged(of, "simhash-roots")
-    least = staged(of.groupBy("root").agg(F.min("low").alias("component_id")), "simhash-least")
-    by_fp = staged(of.join(least, "root").select("fp", "component_id"), "simhash-components")
-    return fps.join(by_fp, "fp").select("doc_id", "fp", "component_id")
+    linked = staged(distinct.select("fp", "low").join(links(distinct.select("fp", "n"), distance, blocks), "fp"), "simhash-roots")
+    least = linked.groupBy("root").agg(F.min("low").alias("least"))
+    least = staged(linked.select("fp", "root").join(least, "root").select("fp", "least"), "simhash-least")
+    of = staged(distinct.select("fp", "low").join(least, "fp", "left").select("fp", F.coalesce("least", "low").alias("component_id")), "simhash-components")
+    return fps.join(of, "fp").select("doc_id", "fp", "component_id")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
