@@ -8,6 +8,7 @@ small gap to the second codeword flags the text as ambiguous.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -111,29 +112,39 @@ def fit(x: np.ndarray, langs: list[str]) -> Model:
     return Model(names, code, w / 2, b / 2, trust / trust.sum())
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", most: int = TRAIN_DOCS) -> Model:
-    """Fitted on a bounded sample: per language the `most / languages` labelled documents with the smallest hash of their ids.
+def sample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", most: int = TRAIN_DOCS) -> DataFrame:
+    """At most `most` rows (lang, h, text), shared evenly: per language the documents with the least hashes of id and text, repeated rows once.
 
-    Documents with a null label, a null text or no letter are not used. The
-    sample's features, at most `most` rows of 8 KB, are fitted on the driver.
+    Every language of a labelled text with a letter has a row; of more than
+    `most` languages the commonest are taken.
     """
-    df = docs.select(F.xxhash64(id_col, text_col).alias("h"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
+    df = docs.select(F.xxhash64(id_col, text_col).alias("h"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
     df = df.where(F.col("lang").isNotNull() & F.col("text").rlike("\\p{L}"))
-    counts = {r["lang"]: r["n"] for r in df.select("lang").groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    if not counts:
-        return fit(np.zeros((0, DIMS), np.float32), [])
-    each = max(1, most // len(counts))
-    # first by a hash threshold that leaves about twice the wanted rows, so that no language is ever sorted whole; those are then ranked
-    cut = F.lit(False)
-    for lang, n in counts.items():
-        top = min(1.0, 2 * each / n + 40 / n)
-        cut = cut | ((F.col("lang") == lang) & (F.col("h") <= F.lit(min(2**63 - 1, int(-(2**63) + top * 2**64)))))
-    place = F.row_number().over(W.partitionBy("lang").orderBy("h"))
-    chosen = df.where(cut).withColumn("place", place).where(F.col("place") <= each).select("h", "text", "lang").mapInArrow(_chosen, "lang string, h bigint, x binary")
-    rows = chosen.toArrow()
-    langs, h, x = rows.column("lang").to_pylist(), rows.column("h").to_pylist(), rows.column("x").to_pylist()
-    order = sorted(range(len(h)), key=lambda i: (langs[i], h[i], x[i]))
-    return fit(np.stack([np.frombuffer(x[i], np.float16) for i in order]).astype(np.float32), [langs[i] for i in order])
+    langs = df.groupBy("lang").agg(F.count("*").alias("n"), F.approx_count_distinct("h").alias("rows")).orderBy(F.desc("n"), "lang").limit(most).collect()
+    each = max(1, most // max(1, len(langs)))
+    # first by a hash threshold that leaves about twice the wanted documents and some more, all of a language with few; those are then ranked
+    top = [(r["lang"], min(2**63 - 1, int(-(2**63) + min(1.0, (2 * each + 40) / max(1, r["rows"])) * 2**64))) for r in langs]
+    cut = docs.sparkSession.createDataFrame(top, "lang string, cut bigint")
+    held = df.join(F.broadcast(cut), "lang").where("h <= cut").groupBy("lang", "h").agg(F.min("text").alias("text"))  # at most `most` rows are broadcast
+    return held.withColumn("place", F.row_number().over(W.partitionBy("lang").orderBy("h"))).where(F.col("place") <= each).select("lang", "h", "text")
+
+
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", most: int = TRAIN_DOCS) -> Model:
+    """Fitted on a bounded sample of the labelled documents (`sample`), in one task: at most `most` rows of 8 KB. Only the model comes to the driver.
+
+    Documents with a null label, a null text or no letter are not used. Without
+    any other the model has no languages.
+    """
+    chosen = sample(docs, id_col, text_col, lang_col, most).mapInArrow(_chosen, "lang string, h bigint, x binary")
+    found = chosen.repartition(1).mapInArrow(_fitted, "model binary").collect()
+    return pickle.loads(found[0]["model"]) if found else fit(np.zeros((0, DIMS), np.float32), [])
+
+
+def _fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    rows = sorted(r for b in batches for r in zip(*(b.column(c).to_pylist() for c in ("lang", "h", "x"))))
+    if rows:
+        x = np.stack([np.frombuffer(r[2], np.float16) for r in rows]).astype(np.float32)
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(x, [r[0] for r in rows]))], pa.binary())], names=["model"])
 
 
 def _chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

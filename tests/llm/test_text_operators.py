@@ -99,6 +99,17 @@ def test_language_odd(spark, odd, empty, docs):
     assert langid.identify(one, langid.train(one)).first().lang_pred == "en"
 
 
+def test_no_language_is_lost_beside_a_hot_one(spark):
+    many = spark.range(60000).select(F.lit(7).cast("bigint").alias("doc_id"), F.lit("le même texte encore une fois").alias("text"), F.lit("fr").alias("lang"))
+    few = spark.range(300).selectExpr("id + 100 AS doc_id", "concat('a plain english text number ', id) AS text", "'en' AS lang")
+    rare = spark.createDataFrame([(1, "ein einziger Satz", "de")], "doc_id bigint, text string, lang string")
+    docs = many.union(few).union(rare)
+    for most in (2000, 40, 3):
+        n = {r.lang: r["count"] for r in langid.sample(docs, most=most).groupBy("lang").count().collect()}
+        assert n == {"fr": 1, "de": 1, "en": min(300, most // 3)} and langid.train(docs, most=most).langs == ["de", "en", "fr"]
+    assert langid.train(docs, most=2).langs == ["en", "fr"]
+
+
 # -- secrets
 
 
