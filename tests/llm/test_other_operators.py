@@ -5,6 +5,7 @@ import re
 import numpy as np
 import pytest
 
+import brute_mix
 from lodestone.llm import _graph, html_text, mixing, vectors
 
 # -- components
@@ -135,11 +136,11 @@ def test_wrappers_read_their_pages(spark, data):
 
 def test_plan():
     tokens = {"hot": 9000, "a": 500, "b": 300, "c": 200, "none": 0}
-    p = mixing.plan(tokens, target=0.9, most=100)
-    assert abs(mixing.entropy(p.weights) - 0.9) < 1e-6 and abs(sum(p.weights.values()) - 1) < 1e-12 and "none" not in p.weights
-    p = mixing.plan(tokens, target=0.9, most=1.5)
+    p = brute_mix.plan(tokens, target=0.9, most=100)
+    assert abs(brute_mix.entropy(p.weights) - 0.9) < 1e-6 and abs(sum(p.weights.values()) - 1) < 1e-12 and "none" not in p.weights
+    p = brute_mix.plan(tokens, target=0.9, most=1.5)
     assert abs(max(p.passes.values()) - 1.5) < 1e-6 and min(p.passes.values()) == pytest.approx(1)
-    assert mixing.plan({"a": 5}).passes == {"a": 1.0} and mixing.plan({}).weights == {}
+    assert brute_mix.plan({"a": 5}).passes == {"a": 1.0} and brute_mix.plan({}).weights == {}
 
 
 def test_schedule(spark):
@@ -149,7 +150,7 @@ def test_schedule(spark):
     tokens = {}
     for _, s, n in rows:
         tokens[s] = tokens.get(s, 0) + n
-    p = mixing.plan(tokens, 0.99, 1.7)
+    p = brute_mix.plan(tokens, 0.99, 1.7)
     assert sum(r["pass"] == 0 for r in got) == len(rows) and all(0 <= r.place < 1 for r in got)
     for s, times in p.passes.items():
         used = sorted((r.offset, r.tokens) for r in got if r.source == s and r.tokens)
@@ -168,6 +169,45 @@ def test_same_schedule_however_dealt(spark):
     assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
 
 
+@pytest.mark.parametrize("target,most", [(0.9, 100), (0.9, 1.5), (0.99, 1.7), (0.2, 100), (1.0, 1.0)])
+def test_exponent_against_brute_force(spark, target, most):
+    for tokens in ({"hot": 9000, "a": 500, "b": 300, "c": 200, "none": 0}, {f"s{i}": 1 + 7 * i * i for i in range(40)}, {"a": 5}, {"a": 5, "b": 5}, {"none": 0}, {}):
+        df = spark.createDataFrame(list(tokens.items()), "source string, tokens bigint")
+        assert mixing.exponent(df, target, most) == pytest.approx(brute_mix.plan(tokens, target, most).exponent, abs=1e-8)
+
+
+def test_schedule_against_brute_force(spark, monkeypatch):
+    """A mix made by hand from the blocks: each source's blocks in the order of a pass, documents in the order of a block, until the budget ends."""
+    monkeypatch.setattr(mixing, "COPIES", 100)
+    rows = [(i, f"s{i % 7 % 4}", 1 + i % 5) for i in range(500)] + [(None, "s0", 3)] * 2500 + [(7, "s1", 2)] * 3
+    got = mixing.schedule(spark.createDataFrame(rows, "doc_id bigint, source string, tokens bigint"), 0.97, 3.0).collect()
+    tokens = {}
+    for _, s, n in rows:
+        tokens[s] = tokens.get(s, 0) + n
+    p = brute_mix.plan(tokens, 0.97, 3.0)
+    for s in tokens:
+        mine = sorted((r for r in got if r.source == s), key=lambda r: (r["pass"], r.offset))
+        each = {}
+        for r in mine:
+            each.setdefault(r["pass"], []).append((r.doc_id if r.doc_id is not None else -1, r.tokens))
+        whole = sorted((d if d is not None else -1, n) for d, x, n in rows if x == s)
+        at = 0
+        for k in sorted(each):
+            assert sorted(each[k]) == whole if k < max(each) else not set(each[k]) - set(whole)
+            for _, n in each[k]:
+                assert at < p.passes[s] * tokens[s] + 1e-6
+                at += n
+        assert at >= p.passes[s] * tokens[s] - 1e-6 and [r.offset for r in mine][0] == 0
+    hot = {r.block for r in got if r.doc_id is None}
+    assert len(hot) > 1
+
+
+def test_sizes(spark):
+    rows = [(1, "a\tb\n c", "s"), (2, None, None), (3, "", "s"), (None, " x\x0by\x0cz ", "s")]
+    got = mixing.sizes(spark.createDataFrame(rows, "doc_id bigint, text string, source string")).select("source", "tokens").collect()
+    assert [tuple(r) for r in got] == [("s", 3), ("", 0), ("s", 0), ("s", 3)]
+
+
 def test_wrappers_cover_all_pages(spark, data):
     df = spark.read.parquet(f"{data}/pages.parquet").select("page_id", "url", "html")
     parsed = df.mapInArrow(html_text._parse, html_text.PARSED.format(id="bigint"))

@@ -50,3 +50,12 @@ def test_survivors_of_odd_rows(spark, odd, data):
 def test_no_labels(spark, odd, data):
     kept = c.language(spark, odd.withColumn("lang", F.lit(None).cast("string")), data)
     assert sorted((r.doc_id is None, r.doc_id or 0, r.lang) for r in kept.collect()) == [(False, 3, "und"), (False, 4, "und"), (False, 5, "und"), (False, 5, "und"), (True, 0, "und")]
+
+
+def test_mixing_of_equal_rows(spark, data):
+    rows = [(i, f"words number {i} of the large one", "en", "large", 1) for i in range(400)] + [(None, "a b c", "en", "small", 1)] * 3 + [(None, "a b d", "en", "small", 1), (None, "", "en", "none", None), (1, None, None, None, None)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    n = {tuple(r)[:5]: r["count"] for r in c.mixing_stage(spark, df, data).groupBy(*c.COLUMNS).count().collect()}
+    assert set(n) == set(rows) and all(n[r] == 1 for r in rows if r[3] != "small")
+    assert 4 < n[rows[400]] + n[rows[403]] <= 8 and n[rows[400]] >= 3
+    assert c.mixing_stage(spark, df.limit(0), data).count() == 0
