@@ -17,7 +17,7 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents whose language is told. Rejected are texts that are null or without a letter (`und`); short texts with close codewords are kept. A null lang is filled with the prediction. Where no row has a label there is nothing to tell languages by: every text with a letter is kept, as `und`."""
+    """Keeps documents whose language is told. Rejected are texts that are null or without a letter (`und`); short texts with close codewords are kept. A null lang is filled with the prediction. Where no row has a label there is nothing to tell languages by: every text with a letter is kept, as `und`. Repeated rows stay, an empty table stays empty."""
     ready(spark)
     docs = docs.select(*COLUMNS)
     model = langid.train(docs)
@@ -52,18 +52,21 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as often as the mix uses it, at least once."""
+    """Every document row as often as the mix uses it, at least once; a null source is a source, an empty or null text has no tokens and is there once. Of rows that are equal in all columns the uses count together. An empty table stays empty."""
     ready(spark)
     docs = docs.select(*COLUMNS)
-    uses = mixing.schedule(mixing.sizes(docs)).groupBy("doc_id", "tokens").agg(F.count("*").alias("uses"), F.sum(F.when(F.col("pass") == 0, 1)).alias("rows"))
-    uses = uses.select(F.col("doc_id").alias("of"), F.col("tokens").alias("n"), F.ceil(F.col("uses") / F.col("rows")).cast("int").alias("times"))
-    tokens = F.size(F.array_remove(F.split(F.coalesce("text", F.lit("")), "[ \\t-\\r]+"), "")).cast("bigint")
-    rows = docs.join(uses, F.col("doc_id").eqNullSafe(F.col("of")) & (tokens == F.col("n")))
-    return rows.select(*COLUMNS, F.explode(F.sequence(F.lit(1), "times")).alias("use")).select(*COLUMNS)
+    key = F.xxhash64(*COLUMNS)
+    sized = mixing.sizes(docs.withColumn("key", key), id_col="key").drop("text_hash")
+    uses = mixing.schedule(sized).groupBy("doc_id").agg(F.count("*").cast("int").alias("uses"), F.count_if(F.col("pass") == 0).alias("rows")).withColumnRenamed("doc_id", "key")
+    rows = docs.withColumn("key", key).join(uses, "key")
+    again = lambda df: df.select(*COLUMNS, F.explode(F.sequence(F.lit(1), "uses")).alias("use")).select(*COLUMNS)
+    # equal rows are made one before their uses are spread
+    several = rows.where("rows > 1").groupBy(*COLUMNS).agg(F.max("uses").alias("uses"))
+    return again(rows.where("rows = 1")).union(again(several))
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of every document row."""
+    """Token counts and digests of every document row; null and empty texts have none, repeated rows stay, an empty table gives no rows."""
     ready(spark)
     return bpe.encoded(docs)
 
