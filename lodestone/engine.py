@@ -13,30 +13,31 @@ from lodestone.operators import analysis, ranking, search, tender
 
 @dataclass
 class Engine:
-    """chunks (chunk_id, standard_id, section, page, text), standards, and where there are any vectors (chunk_id, vector)."""
+    """chunks (chunk_id, standard_id, section, page, text), standards, and where there are any vectors (chunk_id, vector) and a written lexical index."""
 
     chunks: DataFrame
     standards: DataFrame
     vectors: DataFrame | None = None
+    index: search.Index | None = None
     settings: config.Config = field(default_factory=config.Config)
 
     def search(self, queries: DataFrame, mode: str = "lexical", k: int = 20) -> DataFrame:
-        """(query_id, chunk_id, score, rank). queries has query_id with query, vector or both, as the mode asks. Hybrid merges the best 20 of each."""
+        """(query_id, chunk_id, score, rank). queries has query_id with query, vector or both, as the mode asks. Hybrid merges the best 20 of each, with a bonus for identifiers that the query names."""
         if mode not in ("lexical", "semantic", "hybrid"):
             raise ValueError(f"no such mode: {mode}")
         if mode != "lexical" and self.vectors is None:
             raise ValueError("there is no vector index")
         if mode == "lexical":
-            found = search.lexical(queries, self.chunks, k)
+            found = search.lexical(queries, self.index or self.chunks, k)
         elif mode == "semantic":
             found = search.semantic(queries, self.vectors, k)
         else:
-            found = search.fused(search.semantic(queries, self.vectors, 20), search.lexical(queries, self.chunks, 20), c=self.settings).where(F.col("rank") <= k)
+            found = search.hybrid(queries, self.chunks, self.vectors, self.index, c=self.settings).where(F.col("rank") <= k)
         return found.select("query_id", "chunk_id", "score", "rank")
 
-    def recommend(self, queries: DataFrame, mode: str = "lexical") -> DataFrame:
-        """Standards of each query by rank, with the query's decision and confidence; a query without any is there once."""
-        hits = self.search(queries, mode).join(self.chunks, "chunk_id")
+    def recommend(self, queries: DataFrame) -> DataFrame:
+        """Standards of each query by rank, from the fused lists of both searches, with the query's decision and confidence; a query without any is there once."""
+        hits = self.search(queries, "hybrid", 40).join(self.chunks, "chunk_id")
         ranked = ranking.ranked(hits, self.standards, queries, self.settings)
         return ranking.decided(ranked, queries, self.settings).join(ranked.select("query_id", "standard", "score", "rank"), "query_id", "left")
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .text import safe_id, text
 
+# The strict and the loose form of an identifier.
 STRICT = r"(?i)IS\s*[:\-]?\s*([0-9]{2,6})\s*(?:\(?\s*Part\s*([0-9]+)\s*\)?)?\s*(?:\(?\s*Sec\s*([0-9]+)\s*\)?)?\s*[:\-]\s*([0-9]{4})"
 LOOSE = r"(?i)IS\s+([0-9]{2,6})\s*\(?\s*Part\s*([0-9]+)[^)]*\)?\s*([0-9]{4})"
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestone import config
 
+# What a token and a control character are.
 TOKEN = r"[a-z0-9]+(?:[_\-./][a-z0-9]+)*"
 CONTROL = r"[\x00-\x08\x0B\x0C\x0E-\x1F]"
 
@@ -79,7 +80,6 @@ def number_and_unit(c: Column | str) -> tuple[Column, Column]:
     shape = r"^([0-9.]+)\s*([a-zA-Z°μΩ±]+.*)?$"
     t = F.trim(text(c))
     unit = F.regexp_extract(t, shape, 2)
-    n = F.expr("1").cast("double")
     n = F.regexp_extract(t, shape, 1).try_cast("double")
     return n, F.when(n.isNotNull() & (unit != ""), F.trim(unit))
 
@@ -119,3 +119,29 @@ def snippet(c: Column | str, pattern: str, around: int, most: int) -> Column:
 
 def prefixed(c: Column | str, prefix: Column) -> Column:
     return F.concat(F.coalesce(prefix, F.lit("")), text(c))
+
+
+def stripped(c: Column | str) -> Column:
+    """Without white space at either end."""
+    return F.regexp_replace(text(c), r"^\s+|\s+$", "")
+
+
+def places(c: Column | str, pattern: str) -> Column:
+    """The matches of a pattern in order, as structs of value, start and end in characters, the end exclusive."""
+    t = text(c)
+    found = F.regexp_extract_all(t, F.lit(pattern), 0)
+    each = F.zip_with(F.slice(F.split(t, pattern, -1), F.lit(1), F.size(found)), found, lambda b, v: F.struct(F.length(b).alias("skip"), v.alias("value")))
+    none = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<value:string,start:int,end:int>>").alias("out"))
+
+    def step(a: Column, x: Column) -> Column:
+        start = a["at"] + x["skip"]
+        end = start + F.length(x["value"])
+        return F.struct(end.alias("at"), F.concat(a["out"], F.array(F.struct(x["value"].alias("value"), start.alias("start"), end.alias("end")))).alias("out"))
+
+    return F.aggregate(each, none, step, lambda a: a["out"])
+
+
+def around(c: Column | str, start: Column, end: Column, before: int, after: int) -> Column:
+    """A stretch of text with some characters more on both sides."""
+    low = F.greatest(start - before, F.lit(0))
+    return F.substring(text(c), low + 1, end + after - low)

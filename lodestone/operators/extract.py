@@ -2,24 +2,24 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lodestone.functions.text import rounded, text
+from lodestone.functions.text import around, places, rounded, stripped, text
 
-UNIT = r"µm|um|nm|mm|cm|km|kg|mg|mL|ml|kPa|MPa|Pa|bar|psi|°C|°F|kHz|MHz|Hz|kV|mA|kW|kN|Nm|ppm|dB|ohm|Ω|%|m|g|t|L|l|C|K|V|A|W|N"
-# Properties that a value can belong to.
+# Units, properties and qualifiers of a value.
+UNIT = r"µm|µL|um|nm|mm|cm|km|kg|mg|mL|ml|kPa|MPa|Pa|bar|psi|°C|°F|kHz|MHz|Hz|kV|mA|kW|kN|Nm|ppm|dB|ohm|Ω|%|m|g|t|L|l|C|K|V|A|W|N"
 PROPERTY = (
     "surface roughness|deposit thickness|deposit volume|tube length|flow rate|heater tube|length|width|height|diameter|thickness|radius|capacity|volume|weight|mass|pressure|temperature|"
     "voltage|current|power|frequency|hardness|strength|tensile|elongation|density|viscosity|tolerance|roughness|aeration|filtration|metallurgy|magnesium|silicon|grade|class|material|"
     "concentration|pH|resistance|load"
 )
 QUALIFIER = r"not\s+less\s+than|not\s+more\s+than|minimum|maximum|at\s+least|up\s+to|approx\.?|approximately|shall\s+be|shall\s+not\s+exceed|shall\s+exceed"
-VALUE = rf"(?i)((?:{QUALIFIER})?)\s*([0-9]+(?:\.[0-9]+)?(?:\s*[-–]\s*[0-9]+(?:\.[0-9]+)?)?)\s*(±\s*[0-9]+(?:\.[0-9]+)?)?\s*({UNIT})?"
+VALUE = rf"(?i)((?:{QUALIFIER})?)\s*([0-9]+(?:\.[0-9]+)?(?:\s*[-–]\s*[0-9]+(?:\.[0-9]+)?)?)\s*(±\s*[0-9]+(?:\.[0-9]+)?)?\s*({UNIT})?(?:\s*/\s*({UNIT}))?(?:\s*(per\s+\w+))?"
+# The condition and the material of a value.
+CONDITION = r"(?i)\bat\s+[^,.]{2,40}"
+MATERIAL = r"(?i)\b(Aluminium|Aluminum|6061-T6|stainless steel|SS\s*304|SS\s*316|steel|brass|copper|PVC|HDPE|rubber|elastomer|ceramic|glass|6061)\b"
 
 
 def clauses(pages: DataFrame) -> DataFrame:
@@ -29,33 +29,35 @@ def clauses(pages: DataFrame) -> DataFrame:
 
 
 def values(found: DataFrame) -> DataFrame:
-    """One row per value in a clause: qualifier, number, tolerance, unit, nominal and, of a range, maximum."""
-    part = lambda k: F.regexp_extract_all("clause", F.lit(VALUE), k)
-    z = F.arrays_zip(part(1).alias("qualifier"), part(2).alias("number"), part(3).alias("tolerance"), part(4).alias("unit"))
-    each = found.select("*", F.posexplode(z).alias("value_no", "v")).select("doc_id", "page", "clause_no", "clause", "value_no", "v.qualifier", "v.number", "v.tolerance", "v.unit")
-    each = each.where("length(number) BETWEEN 1 AND 20")
+    """One row per value in a clause: where it stands, raw, qualifier, number, tolerance, unit, per, nominal and, of a range, maximum, the clause's material and the condition near the value."""
+    part = lambda x, k: F.regexp_extract(x, VALUE, k)
+    each = F.filter(places("clause", VALUE), lambda x: F.length(part(x["value"], 2)) <= 20)
+    each = found.select("*", F.posexplode(each).alias("value_no", "v")).select("doc_id", "page", "clause_no", "clause", "value_no", "v.*")
+    named = {"qualifier": 1, "number": 2, "tolerance": 3, "unit": 4, "unit2": 5, "per": 6}
+    each = each.select("*", *[part(F.col("value"), k).alias(n) for n, k in named.items()])
+    each = each.withColumn("unit", F.when(F.col("unit") != "", F.col("unit")).otherwise(F.col("unit2"))).drop("unit2")
+    raw = F.concat_ws(" ", F.nullif("qualifier", F.lit("")), stripped("value"))
     ends = F.split("number", r"\s*[-–]\s*")
-    return each.withColumn("nominal", F.get(ends, 0).try_cast("double")).withColumn("maximum", F.get(ends, 1).try_cast("double"))
+    none = lambda c: F.nullif(stripped(c), F.lit(""))
+    return each.withColumns(
+        {
+            "raw": raw,
+            "nominal": F.get(ends, 0).try_cast("double"),
+            "maximum": F.get(ends, 1).try_cast("double"),
+            "condition": none(F.regexp_extract(around("clause", F.col("start"), F.col("end"), 80, 80), CONDITION, 0)),
+            "material": none(F.regexp_extract("clause", MATERIAL, 0)),
+        }
+    ).drop("value")
 
 
 def nearest_property(found: DataFrame) -> DataFrame:
-    """values() with `property`: the last one before the value, else the first within 60 characters after it, else the clause's first. Needs match offsets, hence Python over Arrow batches."""
-    import re
-
-    prop, value = re.compile(rf"\b({PROPERTY})\b", re.IGNORECASE), re.compile(VALUE.replace("(?i)", ""), re.IGNORECASE)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            out = []
-            for clause, k in zip(b["clause"], b["value_no"]):
-                m = next((m for i, m in enumerate(value.finditer(clause)) if i == k), None)
-                before = list(prop.finditer(clause[: m.start()])) if m else []
-                hit = before[-1] if before else (prop.search(clause[m.end() : m.end() + 60]) if m else None) or prop.search(clause)
-                out.append(hit[0].lower() if hit else "requirement")
-            yield b.assign(property=out)
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in found.schema.fields)
-    return found.mapInPandas(run, schema + ", property string")
+    """values() with `property`: the last one before the value, else the first within 60 characters after it, else the clause's first, else `requirement`."""
+    named = rf"(?i)\b({PROPERTY})\b"
+    before = F.regexp_extract_all(F.substring("clause", F.lit(1), F.col("start")), F.lit(named), 1)
+    after = F.regexp_extract(F.substring("clause", F.col("end") + 1, F.lit(60)), named, 1)
+    some = lambda c: F.nullif(c, F.lit(""))
+    found_ = F.coalesce(F.get(before, F.size(before) - 1), some(after), some(F.regexp_extract("clause", named, 1)), F.lit("requirement"))
+    return found.withColumn("property", F.lower(found_))
 
 
 def confidence(prop: Column, unit: Column, tolerance: Column, clause: Column) -> Column:
@@ -81,30 +83,40 @@ def unique_specs(specs: DataFrame) -> DataFrame:
 
 # The four kinds of reference, in the order in which a page is searched, with relationship and confidence.
 REFERENCES = (
-    ("IS", r"(?i)IS\s*([0-9]{2,6})\s*(?:\(?\s*Part\s*([0-9]+)[^)]*\)?)?\s*[:\-]?\s*([0-9]{4})?", None),
-    ("ISO", r"(?i)ISO\s*([0-9]+(?:[-:][0-9]+)*)", 0.75),
-    ("ASTM", r"(?i)ASTM\s*([A-Z]?\s*[0-9]+(?:[-.][0-9]+)*)", 0.6),
-    ("IEC", r"(?i)IEC\s*([0-9]+(?:[-:][0-9]+)*)", 0.6),
+    ("IS", r"(?i)IS\s*([0-9]{2,6})\s*(?:\(?\s*Part\s*([0-9]+)[^)]*\)?)?\s*(?:\(?\s*Sec\s*([0-9]+)[^)]*\)?)?\s*[:\-]?\s*([0-9]{4})?", None, None),
+    ("ISO", r"(?i)ISO\s*([0-9]+(?:[-:][0-9]+)*(?:\s*Part\s*[0-9]+)?)\s*[:\-]?\s*([0-9]{4})?", "normative_reference", 0.75),
+    ("ASTM", r"(?i)ASTM\s*([A-Z]?\s*[0-9]+(?:[-.][0-9]+)*)", "test_method_reference", 0.6),
+    ("IEC", r"(?i)IEC\s*([0-9]+(?:[-:][0-9]+)*)", "allied", 0.6),
 )
 
 
 def references(pages: DataFrame) -> DataFrame:
-    """(doc_id, page, kind, raw, target, confidence): a document's references, each once, on its first page."""
+    """(doc_id, page, kind, raw, target, relationship, confidence): a document's references, each once, on its first page.
+
+    On the first five pages of a document that speaks of normative references
+    on its first six, a reference is normative; else the 300 characters before it tell.
+    """
+    normative = pages.where((F.col("page") <= 6) & F.contains(F.lower(text("text")), F.lit("normative references"))).select("doc_id").distinct().withColumn("normative", F.lit(True))
     found = None
-    for order, (kind, pattern, sure) in enumerate(REFERENCES):
-        raw = F.posexplode(F.regexp_extract_all(text("text"), F.lit(pattern), 0)).alias("pos", "raw")
-        one = pages.select("doc_id", "page", raw).withColumn("raw", F.trim("raw"))
-        number, part, year = (F.regexp_extract("raw", pattern, k) for k in ((1, 2, 3) if kind == "IS" else (1, 0, 0)))
+    for order, (kind, pattern, relation, sure) in enumerate(REFERENCES):
+        # the bare word is quicker to look for than the pattern
+        one = pages.where(F.col("text").rlike(rf"(?i){kind}\s*[A-Z0-9]")).select("doc_id", "page", "text", F.posexplode(places("text", pattern)).alias("pos", "m")).withColumn("raw", stripped("m.value"))
         if kind == "IS":
-            target = F.concat(F.lit("IS "), number, F.when(part != "", F.concat(F.lit(" (Part "), part, F.lit(")"))).otherwise(""), F.when(year != "", F.concat(F.lit(":"), year)).otherwise(""))
-            one = one.where((year != "") | F.lower("raw").contains("part") | (number.cast("int") >= 100))
-            c = F.when(year != "", 0.85).otherwise(0.55)
+            group = lambda k, form: F.when(F.regexp_extract("raw", pattern, k) != "", F.format_string(form, F.regexp_extract("raw", pattern, k))).otherwise("")  # noqa: B023, E731
+            target = F.concat(F.lit("IS "), F.regexp_extract("raw", pattern, 1), group(2, " (Part %s)"), group(3, " (Sec %s)"), group(4, ":%s"))
+            year = F.col("raw").rlike("[0-9]{4}")
+            one = one.where(year | F.contains(F.lower("raw"), F.lit("part")) | (F.regexp_extract("raw", pattern, 1).cast("int") >= 100))
+            start = F.col("m.start")
+            context = F.substring("text", F.greatest(start - 300, F.lit(0)) + 1, F.least(start, F.lit(300)))
+            one = one.join(normative, "doc_id", "left")
+            hint = F.when(F.col("normative") & (F.col("page") <= 5), "normative references").otherwise(context)
+            more = (target, relationship(hint), F.when(year, 0.85).otherwise(0.55))
         else:
-            target, c = F.concat(F.lit(kind + " "), number), F.lit(sure)
             one = one.where(F.length("raw") >= 6) if kind in ("ASTM", "IEC") else one
-        one = one.select("doc_id", "page", F.lit(kind).alias("kind"), "raw", target.alias("target"), c.alias("confidence"), F.lit(order).alias("kind_no"), "pos")
+            more = (F.col("raw"), F.lit(relation), F.lit(sure))
+        one = one.select("doc_id", "page", F.lit(kind).alias("kind"), "raw", *[c.alias(n) for c, n in zip(more, ("target", "relationship", "confidence"))], F.lit(order).alias("kind_no"), "pos")
         found = one if found is None else found.unionByName(one)
-    return first_by(found, ["doc_id", F.regexp_replace(F.lower("raw"), r"\s", "")], ["page", "kind_no", "pos"]).drop("kind_no", "pos")
+    return first_by(found, ["doc_id", F.replace(F.lower("raw"), F.lit(" "), F.lit(""))], ["page", "kind_no", "pos"]).drop("kind_no", "pos")
 
 
 def relationship(context: Column) -> Column:
@@ -119,18 +131,27 @@ def relationship(context: Column) -> Column:
     )
 
 
+# Cues of compliance, what makes a certification required, and the cues of which a page must have one.
+ORDERS = r"(?i)\b(QCO|Quality\s+Control\s+Order)\b"
+CERTIFICATES = r"(?i)\b(certification|BIS\s+licen[sc]e|ISI\s+mark|Standard\s+Mark|Compulsory\s+Certification)\b"
+REQUIRED = r"(?i)(required|mandatory|shall|c\.?o\.?m\.?pulsory)"
+MARKS = r"(?id)\b(Marking|Labelling|Packaging|Sampling|Inspection)\b.{0,60}"
+MARKED = r"(?i)\b(Marking|Sampling|Inspection)\b"
+
+
 def compliance(pages: DataFrame) -> DataFrame:
-    """(doc_id, page, type, value, confidence): control orders, certification that a context demands, and marking and the like after page 3, once a page and type."""
-    around = lambda p, a, b: rf"(?is).{{0,{a}}}(?:{p}).{{0,{b}}}"
-    flat = lambda c: F.substring(F.regexp_replace(F.trim(c), "\n", " "), 1, 500)
-    hit = lambda p, a, b: pages.select("doc_id", "page", F.explode(F.regexp_extract_all(text("text"), F.lit(around(p, a, b)), 0)).alias("value")).withColumn("value", flat(F.col("value")))
-    qco = hit("QCO|Quality\\s+Control\\s+Order", 120, 120).select("*", F.lit("qco_reference").alias("type"), F.lit(0.7).alias("confidence"))
-    cert = hit("certification|BIS\\s+licen[sc]e|ISI\\s+mark|Standard\\s+Mark", 120, 120).where(F.col("value").rlike("(?i)required|mandatory|shall|compulsory"))
-    cert = cert.select("*", F.lit("certification_required").alias("type"), F.lit(0.65).alias("confidence"))
-    kinds = "Marking|Labelling|Packaging|Sampling|Inspection"
-    mark = hit(kinds, 80, 200).where("page > 3").withColumn("type", F.concat(F.lower(F.regexp_extract("value", f"(?i)({kinds})", 1)), F.lit("_requirements")))
-    mark = first_by(mark, ["doc_id", "page", "type"], ["value"]).withColumn("confidence", F.lit(0.6))
-    return qco.unionByName(cert).unionByName(mark)
+    """(doc_id, page, type, value, confidence): control orders, certification that a context demands, and after page 3 marking and the like, once a page and type. Places are found first, contexts are cut out around them."""
+
+    def hits(df: DataFrame, pattern: str, before: int, after: int) -> DataFrame:
+        each = df.where(F.col("text").rlike(pattern)).select("doc_id", "page", "text", F.posexplode(places("text", pattern)).alias("pos", "m"))
+        value = F.replace(stripped(around("text", F.col("m.start"), F.col("m.end"), before, after)), F.lit("\n"), F.lit(" "))
+        return each.select("doc_id", "page", "pos", F.regexp_extract("m.value", pattern, 1).alias("cue"), F.substring(value, 1, 500).alias("value"))
+
+    orders = hits(pages, ORDERS, 120, 120).withColumn("type", F.lit("qco_reference")).withColumn("confidence", F.lit(0.7))
+    certificates = hits(pages, CERTIFICATES, 120, 120).where(F.col("value").rlike(REQUIRED)).withColumn("type", F.lit("certification_required")).withColumn("confidence", F.lit(0.65))
+    marks = hits(pages.where((F.col("page") > 3) & F.col("text").rlike(MARKED)), MARKS, 80, 200).withColumn("type", F.concat(F.lower("cue"), F.lit("_requirements")))
+    marks = first_by(marks, ["doc_id", "page", "type"], ["pos"]).withColumn("confidence", F.lit(0.6))
+    return orders.unionByName(certificates).unionByName(marks, allowMissingColumns=True).select("doc_id", "page", "type", "value", "confidence")
 
 
 def compliance_or_default(standards: DataFrame, found: DataFrame) -> DataFrame:
@@ -163,8 +184,8 @@ def figure_caption(page: Column | str) -> Column:
 
 def duplicate_frequency(figures: DataFrame, pages: DataFrame) -> DataFrame:
     """Adds `frequency`: how often the picture occurs in its document, by pages of it."""
-    n = F.count("*").over(W.partitionBy("doc_id", "pix_hash"))
-    return figures.join(pages.select("doc_id", "n_pages"), "doc_id").withColumn("frequency", n / F.col("n_pages"))
+    n = figures.groupBy("doc_id", "pix_hash").agg(F.count("*").alias("n_same"))
+    return figures.join(n, ["doc_id", "pix_hash"]).join(pages.select("doc_id", "n_pages"), "doc_id").withColumn("frequency", F.col("n_same") / F.col("n_pages")).drop("n_same")
 
 
 def scored_figures(f: DataFrame) -> DataFrame:
@@ -179,10 +200,11 @@ def scored_figures(f: DataFrame) -> DataFrame:
     f = f.withColumn("raw", s)
     override = F.col("caption") & (area > 15000)
     rejected = ~override & ((F.col("raw") < 0.35) | (F.col("frequency") > 0.35) & band | (area < 2500) & ~F.col("caption"))
-    crowd = F.count("*").over(W.partitionBy("doc_id", "page")) > 8
+    f = f.join(f.groupBy("doc_id", "page").agg((F.count("*") > 8).alias("crowd")), ["doc_id", "page"])
+    crowd = F.col("crowd")
     rejected = rejected | crowd & ~F.col("caption")
     score = rounded(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("raw"))), 3)
-    f = f.withColumn("rejected", rejected).withColumn("score", F.when(crowd & ~F.col("caption"), F.least(score, F.lit(0.30))).otherwise(score)).drop("raw")
+    f = f.withColumn("rejected", rejected).withColumn("score", F.when(crowd & ~F.col("caption"), F.least(score, F.lit(0.30))).otherwise(score)).drop("raw", "crowd")
     return f.withColumn("confirmed", (F.col("score") >= 0.45) & (~F.col("rejected") | F.col("caption")))
 
 

@@ -34,27 +34,27 @@ def recency(year: Column) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.coalesce(year, F.lit(2000)) - 2000) / 26))
 
 
+def scope() -> Column:
+    """Of a group's chunks: 0.15 more than the best score of one in a scope section, 1 at most; 0 without one."""
+    best = F.max(F.when(F.contains(F.lower(text("section")), F.lit("scope")), F.col("score")))
+    return F.when(best.isNotNull(), F.least(F.lit(1.0), best + 0.15)).otherwise(0.0)
+
+
 def ranked(hits: DataFrame, standards: DataFrame, queries: DataFrame, c: config.Config = config.DEFAULT) -> DataFrame:
-    """Standards of each query by a weighted sum of their chunks' scores, title, scope, material and recency; standards that don't exist drop out."""
+    """Standards of each query by a weighted sum of their chunks' scores, title, scope, material and recency; standards that don't exist drop out. hits have fused scores of 0 to 1; the semantic, title and scope parts of a score stay beside it."""
     words = F.filter(F.array(*[F.lit(m.lower()) for m in config.MATERIALS.split("|")]), lambda m: F.contains(F.lower("query"), m))
     asked = queries.select("query_id", "query", words.alias("materials"))
     signals = owner(hits).join(asked, "query_id")
-    scope = F.max(F.when(F.contains(F.lower(text("section")), F.lit("scope")), F.col("score")))
     has = F.exists("materials", lambda m: F.contains(F.lower(text("text")), m))
     signals = signals.groupBy("query_id", "standard").agg(
-        F.coalesce(F.least(F.lit(1.0), scope + 0.15), F.lit(0.0)).alias("scope"),
+        scope().alias("scope"),
         F.when(F.max(F.size("materials")) > 0, F.least(F.lit(1.0), F.avg(F.when(has, 1.0).otherwise(0.0)) + 0.2)).otherwise(0.0).alias("material"),
     )
     known = standards.select(F.col("standard_id").alias("standard"), "title", "normalized_identifier", "edition_year")
     both = grouped(hits).join(signals, ["query_id", "standard"]).join(known, "standard").join(queries.select("query_id", "query"), "query_id")
-    score = (
-        c.rank_semantic * F.col("semantic")
-        + c.rank_title * title_overlap(F.col("query"), F.concat_ws(" ", "title", "normalized_identifier"))
-        + c.rank_scope * F.col("scope")
-        + c.rank_material * F.col("material")
-        + c.rank_recency * recency(F.col("edition_year"))
-    )
-    both = both.select("query_id", "standard", rounded(score, 4).alias("score"), "chunks")
+    both = both.withColumn("title", title_overlap(F.col("query"), F.concat_ws(" ", "title", "normalized_identifier"))).withColumn("recency", recency(F.col("edition_year")))
+    score = c.rank_semantic * F.col("semantic") + c.rank_title * F.col("title") + c.rank_scope * F.col("scope") + c.rank_material * F.col("material") + c.rank_recency * F.col("recency")
+    both = both.select("query_id", "standard", rounded(score, 4).alias("score"), "chunks", "semantic", "title", "scope")
     w = W.partitionBy("query_id").orderBy(F.col("score").desc(), "standard")
     return both.withColumn("rank", F.row_number().over(w))
 
@@ -68,6 +68,13 @@ def decided(ranking: DataFrame, queries: DataFrame, c: config.Config = config.DE
     return out.select("query_id", "top_score", F.when(none, "ABSTAIN").otherwise("RECOMMEND").alias("decision"), level.alias("confidence"))
 
 
+def explained(ranking: DataFrame, c: config.Config = config.DEFAULT) -> DataFrame:
+    """Adds `relevance` and `why`, the parts of the score in words, to ranked standards."""
+    part = lambda form, of: F.format_string(form, rounded(F.col(of), 2))
+    why = F.array(part("Semantic relevance: %.2f", "semantic"), part("Title match: %.2f", "title"), part("Scope coverage: %.2f", "scope"))
+    return ranking.withColumn("relevance", F.when(F.col("score") >= c.high, "HIGH").when(F.col("score") >= c.medium, "MEDIUM").otherwise("LOW")).withColumn("why", why)
+
+
 def confident(specs: DataFrame, least: float = config.DEFAULT.spec_confidence) -> DataFrame:
     """Specifications of enough confidence; all of a standard that has none."""
     some = F.max((F.col("confidence") >= least).cast("int")).over(W.partitionBy("standard_id"))
@@ -78,20 +85,26 @@ def first_of(df: DataFrame, by: str, order: list, n: int) -> DataFrame:
     return df.withColumn("n", F.row_number().over(W.partitionBy(by).orderBy(*order))).where(F.col("n") <= n).drop("n")
 
 
-def evidence(standards: DataFrame, specs: DataFrame, references: DataFrame, chunks: DataFrame) -> DataFrame:
-    """One row per standard with its first specifications, references and chunks; each child is cut and gathered before it is joined."""
-    s = first_of(confident(specs), "standard_id", ["page", "spec_id"], 12).groupBy("standard_id").agg(F.array_sort(F.collect_list("spec_id")).alias("specs"))
-    r = first_of(references, "standard_id", ["target"], 10).groupBy("standard_id").agg(F.array_sort(F.collect_list("target")).alias("refs"))
-    c = first_of(chunks, "standard_id", ["page", "chunk_id"], 3).groupBy("standard_id").agg(F.array_sort(F.collect_list("chunk_id")).alias("chunks"))
+def evidence(standards: DataFrame, specs: DataFrame, references: DataFrame, chunks: DataFrame, tables: DataFrame, figures: DataFrame, compliance: DataFrame) -> DataFrame:
+    """One row per standard with its first specifications, references, chunks, tables, confirmed figures and compliance marks; each child is cut and gathered before it is joined."""
+    children = (
+        (confident(specs), ["page", "spec_id"], "spec_id", 12, "specs"),
+        (references, ["target"], "target", 10, "refs"),
+        (chunks, ["page", "chunk_id"], "chunk_id", 3, "chunks"),
+        (tables, ["page", "table_id"], "table_id", 5, "tables"),
+        (figures.where("confirmed"), ["page", "figure_id"], "figure_id", 5, "figures"),
+        (compliance, ["page", "compliance_id"], "compliance_id", 5, "compliance"),
+    )
     out = standards.select("standard_id")
-    for child in (s, r, c):
+    for rows, order, name, n, alias in children:
+        child = first_of(rows, "standard_id", order, n).groupBy("standard_id").agg(F.array_sort(F.collect_list(name)).alias(alias))
         out = out.join(child, "standard_id", "left")
     return out
 
 
 def newer_editions(references: DataFrame, standards: DataFrame) -> DataFrame:
-    """References (ref_id, base, year) to an edition older than the newest of that base."""
-    latest = standards.groupBy("base").agg(F.max(F.struct("edition_year", "standard_id")).alias("latest"))
+    """References (ref_id, base, year) to an edition older than the newest of that base, of several the first by id."""
+    latest = standards.groupBy("base").agg(F.min(F.struct((-F.col("edition_year")).alias("age"), "edition_year", "standard_id")).alias("latest"))
     return references.join(latest, "base").where(F.col("year") < F.col("latest.edition_year")).select("ref_id", "base", "year", F.col("latest.edition_year").alias("latest_year"), F.col("latest.standard_id").alias("latest_id"))
 
 

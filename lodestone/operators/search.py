@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -15,32 +17,67 @@ def postings(chunks: DataFrame, key: str = "chunk_id", body: str = "text") -> Da
     return chunks.select(key, F.explode(tokens(body)).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
 
 
+def idf(df: DataFrame, n: DataFrame, c: config.Config = config.DEFAULT) -> DataFrame:
+    """(term, df, idf) from (term, df) and the one row n_chunks. Terms in more than half the chunks get epsilon times the mean idf instead of a negative one."""
+    df = df.crossJoin(F.broadcast(n)).withColumn("raw", F.log(F.col("n_chunks") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))  # one row
+    mean = df.agg(F.avg("raw").alias("mean_idf"))
+    return df.crossJoin(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, c.epsilon * F.col("mean_idf")).otherwise(F.col("raw")).alias("idf"))
+
+
 def term_stats(chunks: DataFrame, body: str = "text", c: config.Config = config.DEFAULT) -> DataFrame:
-    """(term, df, idf). Terms in more than half the chunks get epsilon times the mean idf instead of a negative one.
+    """(term, df, idf) of a corpus. Chunks are counted by term alone, so counting starts in each task and no (chunk, term) pair is shuffled."""
+    df = chunks.select(F.explode(F.array_distinct(tokens(body))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    return idf(df, chunks.agg(F.count("*").alias("n_chunks")), c)
 
-    Chunks are counted by term alone, so counting starts in each task and no (chunk, term) pair is shuffled.
-    """
+
+@dataclass(frozen=True)
+class Index:
+    """What BM25 needs of a corpus: postings (key, term, tf, length), terms (term, df, idf), corpus (n_chunks, average: one row)."""
+
+    postings: DataFrame
+    terms: DataFrame
+    corpus: DataFrame
+
+
+def indexed(chunks: DataFrame, key: str = "chunk_id", c: config.Config = config.DEFAULT) -> Index:
+    """A corpus's index as plans; `written` makes tables of them."""
+    each = chunks.select(key, tokens("text").alias("all")).select(key, F.size("all").alias("length"), F.explode("all").alias("term"))
+    postings = each.groupBy(key, "term", "length").agg(F.count("*").alias("tf"))
+    corpus = chunks.select(F.size(tokens("text")).alias("length")).agg(F.count("*").alias("n_chunks"), (F.sum("length") / F.count("*")).alias("average"))
+    return Index(postings, term_stats(chunks, c=c), corpus)
+
+
+def written(chunks: DataFrame, path: str, key: str = "chunk_id", c: config.Config = config.DEFAULT) -> Index:
+    """The index as tables below path: texts are tokenised once for the postings, the rest is counted from these and from lengths. Postings lie by term, so that a reader's files and row groups tell which terms they have."""
+    spark = chunks.sparkSession
+    each = chunks.select(key, tokens("text").alias("all"))
+    sized = each.select(key, F.size("all").alias("length"), F.explode_outer("all").alias("term")).groupBy(key, "term", "length").agg(F.count("*").alias("tf"))
+    sized.repartition("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/postings")
+    postings = spark.read.parquet(f"{path}/postings")
+    # a chunk without a token has one row without a term; a token's place is counted once in its chunk
+    whole = postings.agg(F.sum(F.when(F.col("term").isNotNull(), F.col("tf"))).alias("all"))
     n = chunks.agg(F.count("*").alias("n_chunks"))
-    df = chunks.select(F.explode(F.array_distinct(tokens(body))).alias("term")).groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(n))  # one row
-    df = df.withColumn("raw", F.log(F.col("n_chunks") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
-    mean = df.agg(F.avg("raw").alias("mean_idf"))
-    return df.crossJoin(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, c.epsilon * F.col("mean_idf")).otherwise(F.col("raw")).alias("idf"))
+    n.crossJoin(F.broadcast(whole)).select("n_chunks", (F.coalesce("all", F.lit(0)) / F.col("n_chunks")).alias("average")).write.mode("overwrite").parquet(f"{path}/corpus")
+    corpus = spark.read.parquet(f"{path}/corpus")
+    df = postings.where("term IS NOT NULL").groupBy("term").agg(F.count("*").alias("df"))
+    idf(df, corpus.select("n_chunks"), c).write.mode("overwrite").parquet(f"{path}/terms")
+    return opened(spark, path)
+
 
+def opened(spark: SparkSession, path: str) -> Index:
+    postings = spark.read.parquet(f"{path}/postings").where("term IS NOT NULL")
+    return Index(postings, spark.read.parquet(f"{path}/terms"), spark.read.parquet(f"{path}/corpus"))
 
-def bm25(queries: DataFrame, chunks: DataFrame, key: str = "chunk_id", c: config.Config = config.DEFAULT) -> DataFrame:
-    """(query_id, key, score) of every chunk with a term of the query; a repeated query term counts as often.
 
-    Only the queries' terms are counted within chunks; a chunk's length comes
-    from its own row. Scores are rounded to six places, so that they don't
-    depend on the order of sums.
+def bm25(queries: DataFrame, chunks: DataFrame | Index, key: str = "chunk_id", c: config.Config = config.DEFAULT) -> DataFrame:
+    """(query_id, key, score) of every chunk with a term of the query; a repeated query term counts as often. With an index each of its tables is read once, and of the postings only what the queries ask for is joined.
+
+    Scores are rounded to six places, so that they don't depend on the order of sums.
     """
+    index = chunks if isinstance(chunks, Index) else indexed(chunks, key, c)
     asked = queries.select("query_id", F.explode(tokens("query")).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
-    size = chunks.select(F.size(tokens("text")).alias("length"))
-    average = size.agg((F.sum("length") / F.count("*")).alias("average"))
-    each = chunks.select(key, tokens("text").alias("all")).select(key, F.size("all").alias("length"), F.explode("all").alias("term"))
-    wanted = each.join(asked.select("term").distinct(), "term", "left_semi").groupBy(key, "term", "length").agg(F.count("*").alias("tf"))
-    weighted = asked.join(term_stats(chunks, c=c), "term")
-    found = wanted.join(weighted, "term").crossJoin(F.broadcast(average))  # one row
+    weighted = asked.join(index.terms, "term")
+    found = index.postings.join(weighted, "term").crossJoin(F.broadcast(index.corpus))  # one row
     norm = 1 - c.b + c.b * F.col("length") / F.col("average")
     part = F.col("times") * F.col("idf") * F.col("tf") * (c.k1 + 1) / (F.col("tf") + c.k1 * norm)
     return found.groupBy("query_id", key).agg(rounded(F.sum(part), 6).alias("score"))
@@ -52,7 +89,7 @@ def top(scored: DataFrame, k: int, key: str = "chunk_id", by: str = "query_id",
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def lexical(queries: DataFrame, chunks: DataFrame, k: int = 20, key: str = "chunk_id") -> DataFrame:
+def lexical(queries: DataFrame, chunks: DataFrame | Index, k: int = 20, key: str = "chunk_id") -> DataFrame:
     """Best chunks by BM25, those with no positive score left out."""
     return top(bm25(queries, chunks, key).where("score > 0"), k, key)
 
@@ -67,21 +104,22 @@ def unit(v: Column) -> Column:
     return F.transform(v, lambda x: x.cast("double") / n)
 
 
-def semantic(queries: DataFrame, vectors: DataFrame, k: int = 20, key: str = "chunk_id", most: int = 10_000) -> DataFrame:
+def semantic(queries: DataFrame, vectors: DataFrame, k: int = 20, key: str = "chunk_id", most: int = 64 << 20) -> DataFrame:
     """Best vectors by inner product: every query row against every vector, nothing approximated.
 
-    The queries are a stated set. Up to `most` rows (a few MB) they go to every
-    task beside a scan of the vectors; a larger set is dealt out as well, by
-    hash blocks, each block against all vectors.
+    The queries are a stated set. They go to every task beside a scan of the
+    vectors, in blocks of about `most` bytes, counted beforehand: of a larger
+    set each block has a scan of its own, and no vector is ever shuffled.
     """
-    queries = queries.select("query_id", F.col("vector").alias("asked"))
-    if queries.limit(most + 1).count() <= most:
-        pairs = vectors.crossJoin(F.broadcast(queries))
-    else:
-        blocks = 64
-        q = queries.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
-        pairs = vectors.withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint")))).join(q, "block").drop("block")
-    return top(pairs.select("query_id", key, dot(F.col("vector"), F.col("asked")).alias("score")), k, key)
+    queries = queries.where("vector IS NOT NULL").select("query_id", F.col("vector").alias("asked"))
+    held = queries.agg(F.coalesce(F.sum(8 * F.size("asked") + 64), F.lit(0))).first()[0]
+    blocks = 1 + int(held) // most
+    found = None
+    for i in range(blocks):
+        own = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i)
+        one = vectors.crossJoin(F.broadcast(own)).select("query_id", key, dot(F.col("vector"), F.col("asked")).alias("score"))
+        found = one if found is None else found.unionByName(one)
+    return top(found, k, key)
 
 
 def min_max(scored: DataFrame, by: str = "query_id", score: str = "score") -> DataFrame:
@@ -123,6 +161,21 @@ def fused(sem: DataFrame, lex: DataFrame, key: str = "chunk_id", c: config.Confi
     return both.withColumn("rank", F.row_number().over(w))
 
 
+def bonuses(found: DataFrame, queries: DataFrame, chunks: DataFrame, key: str = "chunk_id") -> DataFrame:
+    """(query_id, key, metadata_bonus) of the found chunks of queries that name identifiers."""
+    ids = queries.select("query_id", query_ids("query").alias("ids")).where(F.size("ids") > 0)
+    pairs = found.select("query_id", key).distinct().join(ids, "query_id").join(chunks.select(key, "text", "standard_id"), key)
+    return pairs.select("query_id", key, bonus(F.col("ids"), F.col("text"), F.col("standard_id")).alias("metadata_bonus"))
+
+
+def hybrid(queries: DataFrame, chunks: DataFrame, vectors: DataFrame, index: Index | None = None, k: int = 20, key: str = "chunk_id", c: config.Config = config.DEFAULT) -> DataFrame:
+    """The best k of both searches merged, with the bonus for identifiers that a query names. queries has query_id, query and vector; either may be null."""
+    sem = semantic(queries, vectors, k, key)
+    lex = lexical(queries, index or chunks, k, key)
+    found = sem.select("query_id", key).unionByName(lex.select("query_id", key))
+    return fused(sem, lex, key, c, bonuses(found, queries, chunks, key))
+
+
 def by_ics(standards: DataFrame, prefix: str | None) -> DataFrame:
     return standards.where(F.col("ics_code").startswith(prefix)) if prefix else standards
 

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lodestone import config
-from lodestone.functions.text import text, token_estimate
+from lodestone.functions.text import normalised, stripped, text, token_estimate
 
 NUMBERED = r"(?i)^\s*([0-9]+(?:\.[0-9]+)*|[A-Z]\.[0-9]+|Annex\s+[A-Z])\s+(.+)$"
 ANNEX = r"(?i)^\s*Annex\s+([A-Z])(?:[^A-Za-z0-9_]|$)"
@@ -69,29 +69,47 @@ def paragraphs(body: Column | str) -> Column:
     return F.when((F.size(paras) <= 1) & (F.length(text(body)) > 800), sentences).otherwise(paras)
 
 
-def packed(parts: Column, most: int = config.DEFAULT.chunk_tokens) -> Column:
-    """Parts joined in order into texts of at most `most` estimated tokens, a longer part alone: one fold, no shuffle."""
-    start = F.struct(F.lit("").alias("buf"), F.lit(0).alias("tok"), F.array().cast("array<string>").alias("out"))
+def units(paras: Column, long: int = config.DEFAULT.long_paragraph) -> Column:
+    """Paragraphs (kind 0); one of more than `long` estimated tokens as a cut (kind 2) and its sentences (kind 1)."""
+    unit = lambda t, kind: F.struct(t.alias("text"), token_estimate(t).alias("tok"), F.lit(kind).alias("kind"))
+    sentences = lambda p: F.concat(F.array(unit(F.lit(""), 2)), F.transform(F.split(p, r"(?<=[.])\s+"), lambda x: unit(x, 1)))
+    return F.flatten(F.transform(paras, lambda p: F.when(token_estimate(p) > long, sentences(p)).otherwise(F.array(unit(p, 0)))))
 
-    def step(a: Column, p: Column) -> Column:
-        t = token_estimate(p)
-        full = (a["tok"] > 0) & (a["tok"] + t > most)
+
+def packs(paras: Column, most: int = config.DEFAULT.chunk_tokens, long: int = config.DEFAULT.long_paragraph) -> Column:
+    """Structs (text, tok, kind) of units joined in order up to `most` estimated tokens, a longer unit alone; kind is 0 for what a paragraph ended, 1 a sentence, 2 the end of the page.
+
+    A cut ends what has 40 characters or more; what is shorter goes on with the sentences. One fold, no shuffle.
+    """
+    start = F.struct(F.lit("").alias("buf"), F.lit(0).alias("tok"), F.array().cast("array<struct<text:string,tok:int,kind:int>>").alias("out"))
+    pack = lambda a, kind: F.concat(a["out"], F.array(F.struct(stripped(a["buf"]).alias("text"), a["tok"].alias("tok"), kind.alias("kind"))))
+
+    def step(a: Column, u: Column) -> Column:
+        cut = (u["kind"] == 2) & (F.length(stripped(a["buf"])) >= 40)
+        full = (u["kind"] != 2) & (a["tok"] + u["tok"] > most) & (stripped(a["buf"]) != "")
+        own = F.concat(u["text"], F.when(u["kind"] == 1, " ").otherwise("\n\n"))
         return F.struct(
-            F.when(full | (a["buf"] == ""), p).otherwise(F.concat(a["buf"], F.lit("\n\n"), p)).alias("buf"),
-            F.when(full, t).otherwise(a["tok"] + t).alias("tok"),
-            F.when(full, F.concat(a["out"], F.array(a["buf"]))).otherwise(a["out"]).alias("out"),
+            F.when(cut, "").when(full, own).when(u["kind"] == 2, a["buf"]).otherwise(F.concat(a["buf"], own)).alias("buf"),
+            F.when(cut, 0).when(full, u["tok"]).when(u["kind"] == 2, a["tok"]).otherwise(a["tok"] + u["tok"]).alias("tok"),
+            F.when(cut | full, pack(a, F.when(u["kind"] == 1, 1).otherwise(0))).otherwise(a["out"]).alias("out"),
         )
 
-    return F.aggregate(parts, start, step, lambda a: F.when(a["buf"] != "", F.concat(a["out"], F.array(a["buf"]))).otherwise(a["out"]))
+    return F.aggregate(units(paras, long), start, step, lambda a: F.when(stripped(a["buf"]) != "", pack(a, F.lit(2))).otherwise(a["out"]))
+
+
+def packed(paras: Column, most: int = config.DEFAULT.chunk_tokens, long: int = config.DEFAULT.long_paragraph) -> Column:
+    """The texts of packs()."""
+    return F.transform(packs(paras, most, long), lambda x: x["text"])
 
 
-def chunks(pages: DataFrame, most: int = config.DEFAULT.chunk_tokens) -> DataFrame:
-    """(doc_id, page, chunk_id, text, tokens, chunk_type). Numbers run through the document; what is too short or long is left out after numbering."""
-    each = pages.select("doc_id", "page", "section", F.posexplode(packed(paragraphs("text"), most)).alias("pos", "text"))
+def chunks(pages: DataFrame, most: int = config.DEFAULT.chunk_tokens, long: int = config.DEFAULT.long_paragraph) -> DataFrame:
+    """(doc_id, page, chunk_id, text, tokens, chunk_type) of pages with their section. Numbers run through the document; what is too short or long is left out after numbering, but for short ends of pages, which have no number."""
+    each = pages.select("doc_id", "page", "section", F.posexplode(packs(paragraphs("text"), most, long)).alias("pos", "c"))
+    each = each.withColumn("text", normalised("c.text")).where("c.kind <> 2 OR length(text) >= 40")
     seq = F.row_number().over(W.partitionBy("doc_id").orderBy("page", "pos"))
-    each = each.withColumn("seq", seq).withColumn("tokens", token_estimate("text"))
+    each = each.withColumn("seq", seq).withColumn("tokens", F.col("c.tok"))
     each = each.withColumn("chunk_id", F.format_string("%s_P%03d_C%03d", F.col("doc_id").cast("string"), F.col("page").cast("int"), "seq"))
-    kind = F.when(F.lower("section").rlike("requirement|apparatus|test|scope"), "requirements").otherwise("general")
+    kind = F.when((F.col("c.kind") != 1) & F.lower("section").rlike("requirement|apparatus|test|scope"), "requirements").otherwise("general")
     return each.where("length(text) BETWEEN 40 AND 6000 AND tokens >= 10").select("doc_id", "page", "chunk_id", "text", "tokens", kind.alias("chunk_type"))
 
 

@@ -208,7 +208,7 @@ def grf_03_all_relationships(s, d):
     return graph.all_relationships(t(s, d, "old_edges"))
 
 
-EGO = "SELECT * FROM (SELECT standard_id AS root, '{k}' AS kind, {n} AS node, row_number() OVER (PARTITION BY standard_id ORDER BY {n}) AS n FROM {f}) WHERE n <= {m} AND root IN (SELECT standard_id FROM standards WHERE edition_year = 2000)"
+EGO = "SELECT * FROM (SELECT standard_id AS root, '{k}' AS kind, {n} AS node, row_number() OVER (PARTITION BY standard_id ORDER BY {n}) AS n FROM {f}) WHERE n <= {m} AND root IN (SELECT standard_id FROM standards)"
 
 
 @query(f"""WITH a AS ({EGO.format(k='contains', n='section_id', f="(SELECT DISTINCT standard_id, 'P' || page AS section_id FROM specs)", m=15)}),
@@ -217,7 +217,7 @@ SELECT root, kind, node, true AS known FROM a UNION ALL SELECT root, kind, node,
 def grf_01_ego(s, d):
     st, sp = t(s, d, "standards"), t(s, d, "specs").select("standard_id", "spec_id", F.concat(F.lit("P"), "page").alias("section_id"))
     refs = t(s, d, "old_edges").withColumnRenamed("source", "standard_id")
-    return graph.ego_graphs(st.where("edition_year = 2000"), sp.select("standard_id", "section_id").distinct(), sp.select("standard_id", "spec_id").distinct(), refs, st.where("edition_year < 2010"))
+    return graph.ego_graphs(st, sp.select("standard_id", "section_id").distinct(), sp.select("standard_id", "spec_id").distinct(), refs, st.where("edition_year < 2010"))
 
 
 @query("""WITH m AS (SELECT DISTINCT concat('W', o.o_custkey) AS workspace_id, standard_id FROM tender_specs JOIN orders o ON tender_id = concat('T', o.o_orderkey)),

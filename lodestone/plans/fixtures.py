@@ -28,10 +28,11 @@ TABLES = {
   CASE WHEN o_custkey % 3 = 0 THEN 'Safety warning labels.' ELSE 'Goods as per drawing.' END) AS text FROM orders""",
     "edges": "SELECT concat('STD', l_partkey) AS source, concat('STD', l_suppkey) AS target, l_returnflag AS type, l_discount AS confidence FROM lineitem",
     "old_edges": "SELECT DISTINCT concat('STD', l_partkey) AS source, concat('STD', l_suppkey) AS target FROM lineitem WHERE l_returnflag = 'R'",
-    "chunks": """SELECT concat('D', source, '_P', doc_id) AS chunk_id, CASE WHEN doc_id % 9 = 0 THEN '' ELSE concat('STD', 1 + doc_id % 50) END AS standard_id,
-  CASE doc_id % 4 WHEN 0 THEN 'Scope' WHEN 1 THEN 'Test methods' ELSE 'General' END AS section, CAST(1 + doc_id % 10 AS INT) AS page, text, doc_id FROM documents""",
-    "queries": "SELECT doc_id AS query_id, concat(substring(text, 1, 60), CASE WHEN doc_id % 200 = 0 THEN ' brass' ELSE '' END) AS query FROM documents WHERE doc_id % 100 = 0",
-    "vectors": "SELECT vec_id AS chunk_id, embedding AS vector FROM embeddings",
+    "chunks": """SELECT concat('D', doc_id % 97, '_P', doc_id) AS chunk_id, CASE WHEN doc_id % 9 = 0 THEN '' ELSE concat('STD', 1 + doc_id % 50) END AS standard_id,
+  CASE doc_id % 4 WHEN 0 THEN 'Scope' WHEN 1 THEN 'Test methods' ELSE 'General' END AS section, CAST(1 + doc_id % 10 AS INT) AS page, text || CASE WHEN doc_id % 10 = 0 THEN ' Brass parts as per IS 10:2001' ELSE '' END AS text, doc_id FROM documents""",
+    "queries": """SELECT doc_id AS query_id, CASE WHEN doc_id % 1000 = 700 THEN 'zzqx 99999' ELSE text || CASE WHEN doc_id % 200 = 0 THEN ' brass' ELSE '' END
+  || CASE WHEN doc_id % 300 = 0 THEN ' IS 10:2001' ELSE '' END END AS query FROM documents WHERE doc_id % 100 = 0""",
+    "vectors": "SELECT concat('D', vec_id % 97, '_P', vec_id) AS chunk_id, embedding AS vector FROM embeddings",
     "vector_queries": "SELECT vec_id AS query_id, embedding AS vector FROM embeddings WHERE vec_id % 100 = 0",
     "files": "SELECT concat('IS_', doc_id, '_', 1990 + doc_id % 30, '.pdf') AS path, sha256(text) AS sha, source FROM documents",
     "page_rows": "SELECT source AS doc_id, CAST(1 + doc_id % 10 AS INT) AS page, text, CAST(doc_id % 3 AS INT) AS images, length(text) AS chars, doc_id AS row_id FROM documents",

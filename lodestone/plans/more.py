@@ -6,10 +6,10 @@ from pyspark.sql import functions as F
 
 from lodestone.engine import Engine
 from lodestone.functions import text as T
-from lodestone.operators import evaluation, extract, graph, ingest, ranking, search, sections, tender, views
+from lodestone.operators import extract, graph, ingest, ranking, sections, tender, views
 from lodestone.plans.analytics import REQ, REQ_, _reqs, _specs
 from lodestone.plans.fixtures import table as t
-from lodestone.plans.retrieval import BM25, FUSED, HITS, RANKED, RUNS, SEM, _hits, _runs
+from lodestone.plans.retrieval import BM25, FUSED, HITS, RANKED, RUNS, SCOPE, SEM, TOPICS, _asked, _engine, _hits, _topics
 from lodestone.plans.texts import FREQUENCY, HEADINGS, KNOWN, PAGES, SCORED, _figures, _pages
 
 QUERIES, SQL = {}, {}
@@ -129,8 +129,7 @@ def fig_07_numbering(s, d):
 
 @query(f"WITH {BM25} SELECT query_id, chunk_id, score, rank FROM lex WHERE rank <= 10")
 def ret_14_lexical(s, d):
-    e = Engine(t(s, d, "chunks"), t(s, d, "standards"))
-    return e.search(t(s, d, "queries"), "lexical", 10).withColumn("rank", F.col("rank").cast("bigint"))
+    return _engine(s, d).search(_asked(s, d), "lexical", 10).withColumn("rank", F.col("rank").cast("bigint"))
 
 
 @query(f"WITH {SEM} SELECT query_id, chunk_id, score, rank FROM sem WHERE rank <= 10")
@@ -141,23 +140,17 @@ def ret_14_semantic(s, d):
 
 @query(f"WITH {FUSED}, r AS (SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, sr NULLS LAST, lr NULLS LAST) AS rank FROM f) SELECT query_id, chunk_id, score, rank FROM r WHERE rank <= 10")
 def ret_14_hybrid(s, d):
-    # chunks are the documents and vectors the embeddings, by the same number
-    chunks = t(s, d, "chunks")
-    lexical = search.lexical(t(s, d, "queries"), chunks).withColumn("chunk_id", F.regexp_extract("chunk_id", "P([0-9]+)$", 1).cast("bigint"))
-    found = search.fused(search.semantic(t(s, d, "vector_queries"), t(s, d, "vectors")), lexical).where("rank <= 10")
-    return found.select("query_id", "chunk_id", "score", F.col("rank").cast("bigint").alias("rank"))
+    return _engine(s, d).search(_asked(s, d), "hybrid", 10).withColumn("rank", F.col("rank").cast("bigint"))
 
 
 @query(f"WITH {RANKED} SELECT q.query_id, r.standard, r.score, r.rank, CASE WHEN b.score IS NULL OR b.score < 0.25 THEN 'ABSTAIN' ELSE 'RECOMMEND' END AS decision FROM queries q LEFT JOIN rr r ON r.query_id = q.query_id LEFT JOIN rr b ON b.query_id = q.query_id AND b.rank = 1")
 def rnk_08_recommend(s, d):
-    e = Engine(t(s, d, "chunks"), t(s, d, "standards"))
-    return e.recommend(t(s, d, "queries")).select("query_id", "standard", "score", F.col("rank").cast("bigint").alias("rank"), "decision")
+    return _engine(s, d).recommend(_asked(s, d)).select("query_id", "standard", "score", F.col("rank").cast("bigint").alias("rank"), "decision")
 
 
-@query(f"WITH {HITS} SELECT query_id, standard, coalesce(least(1.0::DOUBLE, max(CASE WHEN section = 'Scope' THEN score END) + 0.15::DOUBLE), 0) AS scope FROM hits GROUP BY ALL")
+@query(f"WITH {HITS} SELECT query_id, standard, {SCOPE} AS scope FROM hits GROUP BY ALL")
 def rnk_04_scope(s, d):
-    scope = F.max(F.when(F.contains(F.lower("section"), F.lit("scope")), F.col("score")))
-    return ranking.owner(_hits(s, d)).groupBy("query_id", "standard").agg(F.coalesce(F.least(F.lit(1.0), scope + 0.15), F.lit(0.0)).alias("scope"))
+    return ranking.owner(_hits(s, d)).groupBy("query_id", "standard").agg(ranking.scope().alias("scope"))
 
 
 @query(f"WITH {REQ} SELECT tender_id, CASE WHEN length(material) < 8 AND length(text) > 20 THEN substring(text, 1, 500) ELSE coalesce(material, '') || repeat('x', 60) END AS query_text FROM rq WHERE material IS NOT NULL")
@@ -167,11 +160,9 @@ def rnk_15_understand(s, d):
     return ranking.understood(r).select("tender_id", "query_text")
 
 
-@query(f"WITH {RUNS}, tp AS (SELECT query_id, list_distinct(regexp_extract_all(lower(query), '[a-z0-9]+')) AS q FROM queries), x AS (SELECT r.model, r.query_id, CASE WHEN len(q) > 0 THEN len(list_intersect(q, list_distinct(regexp_extract_all(lower(d.text), '[a-z0-9]+')))) / len(q) ELSE 0 END AS share FROM runs r JOIN tp USING (query_id) JOIN documents d USING (doc_id) WHERE rank <= 5) SELECT model, query_id, floor(avg(share) * 10000.0::DOUBLE + 0.5::DOUBLE) / 10000.0::DOUBLE AS sem5 FROM x GROUP BY ALL")
+@query(f"WITH {RUNS}, {TOPICS} SELECT model, query_id, sem5 FROM se")
 def evl_05_topic_relevance(s, d):
-    runs, _ = _runs(s, d)
-    hits = runs.join(t(s, d, "documents").select("doc_id", "text"), "doc_id")
-    return evaluation.topic_relevance(hits, t(s, d, "queries").select("query_id", F.col("query").alias("topics")))
+    return _topics(s, d)
 
 
 @query("SELECT severity, parameter, count(*) AS n FROM (SELECT tender_id, unnest(['temperature', 'pressure', 'voltage', 'tolerance', 'surface_finish', 'coating', 'marking', 'delivery', 'warranty']) AS parameter, 'important' AS severity FROM tenders) GROUP BY ALL")

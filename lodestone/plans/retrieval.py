@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lodestone import config
+from lodestone.engine import Engine
 from lodestone.operators import evaluation, ranking, search
 from lodestone.plans.fixtures import table as t
+from lodestone.sources.files import work_folder
 
 QUERIES, SQL = {}, {}
 
@@ -32,21 +35,44 @@ DOT = "list_inner_product(list_transform({}, lambda x: x::DOUBLE), list_transfor
 SEM = f"sem AS (SELECT * FROM (SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM (SELECT q.query_id, v.chunk_id, {DOT.format('v.vector', 'q.vector')} AS score FROM vectors v, vector_queries q)) WHERE rank <= 20)"
 
 
+_BUILT: dict[tuple[str, str], search.Index] = {}
+
+
+def _index(s, d):
+    """The written index of the chunks, built by the first query of a session that needs it."""
+    at = (s.sparkContext.applicationId, d)
+    if at not in _BUILT:
+        _BUILT[at] = search.written(t(s, d, "chunks"), work_folder(s, "index"))
+    return _BUILT[at]
+
+
+def _engine(s, d):
+    return Engine(t(s, d, "chunks"), t(s, d, "standards"), t(s, d, "vectors"), _index(s, d))
+
+
+def _asked(s, d):
+    """Queries with their text, and their vector where there is one."""
+    return t(s, d, "queries").join(t(s, d, "vector_queries"), "query_id", "left")
+
+
+def _lexical(s, d):
+    return search.lexical(t(s, d, "queries"), _index(s, d))
+
+
 @query(f"WITH {POSTS} SELECT chunk_id, term, tf FROM po WHERE hash(term) IS NOT NULL")
 def ret_01_postings(s, d):
-    return search.postings(t(s, d, "chunks"))
+    return _index(s, d).postings.select("chunk_id", "term", "tf")
 
 
 @query(f"WITH {POSTS}, {IDF} SELECT term, df, floor(idf * 1000000.0::DOUBLE + 0.5::DOUBLE) / 1000000.0::DOUBLE AS idf FROM idf")
 def ret_02_idf(s, d):
-    c = t(s, d, "chunks")
-    x = search.term_stats(c)
+    x = _index(s, d).terms
     return x.select("term", "df", search.rounded(F.col("idf"), 6).alias("idf"))
 
 
 @query(f"WITH {BM25} SELECT query_id, chunk_id, score, rank FROM lex")
 def ret_03_bm25_topk(s, d):
-    return search.lexical(t(s, d, "queries"), t(s, d, "chunks")).withColumn("rank", F.col("rank").cast("bigint"))
+    return _lexical(s, d).withColumn("rank", F.col("rank").cast("bigint"))
 
 
 @query(f"WITH {SEM} SELECT query_id, chunk_id, score, rank FROM sem")
@@ -62,19 +88,21 @@ def ret_07_l2_normalise(s, d):
 
 @query(f"WITH {BM25} SELECT query_id, chunk_id, CASE WHEN max(score) OVER w - min(score) OVER w < 1e-6 THEN 0.5::DOUBLE ELSE (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) END AS norm FROM lex WINDOW w AS (PARTITION BY query_id)")
 def ret_08_minmax(s, d):
-    return search.min_max(search.lexical(t(s, d, "queries"), t(s, d, "chunks"))).select("query_id", "chunk_id", "norm")
+    return search.min_max(_lexical(s, d)).select("query_id", "chunk_id", "norm")
 
 
 NORM = "CASE WHEN max(score) OVER w - min(score) OVER w < 1e-6 THEN 0.5::DOUBLE ELSE (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) END"
-FUSED = f"""{BM25}, {SEM}, a AS (SELECT query_id, chunk_id, {NORM} AS sn, rank AS sr FROM sem WINDOW w AS (PARTITION BY query_id)),
-b AS (SELECT query_id, regexp_extract(chunk_id, 'P([0-9]+)$', 1)::BIGINT AS chunk_id, {NORM} AS ln, rank AS lr FROM lex WINDOW w AS (PARTITION BY query_id)),
-j AS (SELECT coalesce(a.query_id, b.query_id) AS query_id, coalesce(a.chunk_id, b.chunk_id) AS chunk_id, sn, ln, sr, lr, 0.5::DOUBLE * coalesce(sn, 0) + 0.3::DOUBLE * coalesce(ln, 0) AS base FROM a FULL JOIN b ON a.query_id = b.query_id AND a.chunk_id = b.chunk_id),
-f AS (SELECT query_id, chunk_id, floor((CASE WHEN sn IS NULL OR ln IS NULL THEN base * 0.85::DOUBLE ELSE base END) * 10000.0::DOUBLE + 0.5::DOUBLE) / 10000.0::DOUBLE AS score, concat_ws('+', CASE WHEN sn IS NOT NULL THEN 'semantic' END, CASE WHEN ln IS NOT NULL THEN 'lexical' END) AS sources, sr, lr FROM j)"""
+IDS = r"(?i)IS\s*[0-9]+(?:\s*\(?\s*Part\s*[0-9]+[^)]*\)?)?\s*[:-]?\s*[0-9]{4}"
+FUSED = f"""{BM25}, {SEM}, a AS (SELECT query_id, chunk_id, {NORM} AS sn, rank AS sr FROM sem WHERE query_id IN (SELECT query_id FROM queries) WINDOW w AS (PARTITION BY query_id)),
+b AS (SELECT query_id, chunk_id, {NORM} AS ln, rank AS lr FROM lex WINDOW w AS (PARTITION BY query_id)),
+j AS (SELECT coalesce(a.query_id, b.query_id) AS query_id, coalesce(a.chunk_id, b.chunk_id) AS chunk_id, sn, ln, sr, lr FROM a FULL JOIN b ON a.query_id = b.query_id AND a.chunk_id = b.chunk_id),
+jb AS (SELECT j.*, 0.5::DOUBLE * coalesce(sn, 0) + 0.3::DOUBLE * coalesce(ln, 0) + 0.2::DOUBLE * least(0.3::DOUBLE, 0.15::DOUBLE * len(list_filter(regexp_extract_all(q.query, '{IDS}'), lambda x: contains(lower(c.text || ' ' || c.standard_id), lower(x))))) AS base
+  FROM j JOIN queries q ON q.query_id = j.query_id LEFT JOIN chunks c ON c.chunk_id = j.chunk_id),
+f AS (SELECT query_id, chunk_id, floor((CASE WHEN sn IS NULL OR ln IS NULL THEN base * 0.85::DOUBLE ELSE base END) * 10000.0::DOUBLE + 0.5::DOUBLE) / 10000.0::DOUBLE AS score, concat_ws('+', CASE WHEN sn IS NOT NULL THEN 'semantic' END, CASE WHEN ln IS NOT NULL THEN 'lexical' END) AS sources, sr, lr FROM jb)"""
 
 
 def _fused(s, d):
-    lex = search.lexical(t(s, d, "queries"), t(s, d, "chunks")).withColumn("chunk_id", F.regexp_extract("chunk_id", "P([0-9]+)$", 1).cast("bigint"))
-    return search.fused(search.semantic(t(s, d, "vector_queries"), t(s, d, "vectors")), lex)
+    return search.hybrid(_asked(s, d), t(s, d, "chunks"), t(s, d, "vectors"), _index(s, d))
 
 
 @query(f"WITH {FUSED} SELECT query_id, chunk_id, score, sources, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, sr NULLS LAST, lr NULLS LAST) AS rank FROM f")
@@ -98,18 +126,18 @@ def ret_13_ics_filter(s, d):
     return search.by_ics(t(s, d, "standards"), "17.").select("standard_id")
 
 
-@query("SELECT chunk_id, 'mapping' AS missing_in FROM vectors WHERE chunk_id % 2 = 0 AND chunk_id NOT IN (SELECT doc_id FROM documents WHERE doc_id % 3 = 0) UNION ALL SELECT doc_id, 'vectors' FROM documents WHERE doc_id % 3 = 0 AND doc_id NOT IN (SELECT chunk_id FROM vectors WHERE chunk_id % 2 = 0)")
+@query("SELECT chunk_id, 'mapping' AS missing_in FROM vectors WHERE chunk_id NOT IN (SELECT chunk_id FROM chunks) UNION ALL SELECT chunk_id, 'vectors' FROM chunks WHERE chunk_id NOT IN (SELECT chunk_id FROM vectors)")
 def ret_16_index_gaps(s, d):
-    return search.index_gaps(t(s, d, "vectors").where("chunk_id % 2 = 0"), t(s, d, "documents").where("doc_id % 3 = 0").select(F.col("doc_id").alias("chunk_id")))
+    return search.index_gaps(t(s, d, "vectors"), t(s, d, "chunks"))
 
 
-HITS = f"{BM25}, hits AS (SELECT query_id, chunk_id, score, coalesce(nullif(standard_id, ''), CASE WHEN contains(chunk_id, '_P') THEN split_part(chunk_id, '_P', 1) END, 'unknown') AS standard, section, text FROM lex JOIN chunks USING (chunk_id))"
+HITS = f"{FUSED}, hits AS (SELECT query_id, chunk_id, score, coalesce(nullif(standard_id, ''), CASE WHEN contains(chunk_id, '_P') THEN split_part(chunk_id, '_P', 1) END, 'unknown') AS standard, section, text FROM f JOIN chunks USING (chunk_id))"
 GROUPED = "g AS (SELECT query_id, standard, 0.6::DOUBLE * max(score) + 0.4::DOUBLE * avg(score) FILTER (n <= 3) AS semantic, count(*) AS chunks FROM (SELECT *, row_number() OVER (PARTITION BY query_id, standard ORDER BY score DESC, chunk_id) AS n FROM hits) GROUP BY ALL)"
 
 
 def _hits(s, d):
-    c = t(s, d, "chunks")
-    return search.lexical(t(s, d, "queries"), c).join(c, "chunk_id")
+    """The fused lists with their chunks: scores of 0 to 1."""
+    return _engine(s, d).search(_asked(s, d), "hybrid", 40).join(t(s, d, "chunks"), "chunk_id")
 
 
 @query(f"WITH {HITS} SELECT query_id, chunk_id, standard FROM hits")
@@ -132,16 +160,29 @@ def rnk_06_recency(s, d):
     return t(s, d, "standards").select("standard_id", ranking.recency(F.col("edition_year")).alias("recency"))
 
 
-RANKED = f"""{HITS}, {GROUPED}, asked2 AS (SELECT query_id, query, query LIKE '%brass%' AS m FROM queries),
-sg AS (SELECT query_id, standard, coalesce(least(1.0::DOUBLE, max(CASE WHEN lower(section) LIKE '%scope%' THEN score END) + 0.15::DOUBLE), 0) AS sc, CASE WHEN max(m::INT) > 0 THEN least(1.0::DOUBLE, avg(CASE WHEN contains(lower(text), 'brass') THEN 1.0::DOUBLE ELSE 0 END) + 0.2::DOUBLE) ELSE 0 END AS ma FROM hits JOIN asked2 USING (query_id) GROUP BY ALL),
+MATERIALS = "[" + ", ".join(f"'{m.lower()}'" for m in config.MATERIALS.split("|")) + "]"
+SCOPE = "CASE WHEN max(CASE WHEN lower(section) LIKE '%scope%' THEN score END) IS NULL THEN 0 ELSE least(1.0::DOUBLE, max(CASE WHEN lower(section) LIKE '%scope%' THEN score END) + 0.15::DOUBLE) END"
+RANKED = f"""{HITS}, {GROUPED}, asked2 AS (SELECT query_id, list_filter({MATERIALS}, lambda x: contains(lower(query), x)) AS m FROM queries),
+sg AS (SELECT query_id, standard, {SCOPE} AS sc, CASE WHEN max(len(m)) > 0 THEN least(1.0::DOUBLE, avg(CASE WHEN len(list_filter(m, lambda x: contains(lower(text), x))) > 0 THEN 1.0::DOUBLE ELSE 0 END) + 0.2::DOUBLE) ELSE 0 END AS ma FROM hits JOIN asked2 USING (query_id) GROUP BY ALL),
 o AS (SELECT g.query_id, g.standard, g.semantic, g.chunks, sc, ma, s.edition_year, list_distinct(regexp_extract_all(lower(query), '[a-z0-9]+')) AS q, list_distinct(regexp_extract_all(lower(concat(title, ' ', normalized_identifier)), '[a-z0-9]+')) AS w FROM g JOIN sg USING (query_id, standard) JOIN standards s ON s.standard_id = g.standard JOIN queries USING (query_id)),
-rk AS (SELECT query_id, standard, chunks, floor((0.5::DOUBLE * semantic + 0.2::DOUBLE * (CASE WHEN len(q) > 0 THEN len(list_intersect(q, w)) / len(q) ELSE 0 END) + 0.15::DOUBLE * sc + 0.1::DOUBLE * ma + 0.05::DOUBLE * greatest(0, least(1, (edition_year - 2000) / 26))) * 10000.0::DOUBLE + 0.5::DOUBLE) / 10000.0::DOUBLE AS score FROM o),
+rk AS (SELECT query_id, standard, chunks, semantic, CASE WHEN len(q) > 0 THEN len(list_intersect(q, w)) / len(q) ELSE 0 END AS title, sc, floor((0.5::DOUBLE * semantic + 0.2::DOUBLE * (CASE WHEN len(q) > 0 THEN len(list_intersect(q, w)) / len(q) ELSE 0 END) + 0.15::DOUBLE * sc + 0.1::DOUBLE * ma + 0.05::DOUBLE * greatest(0, least(1, (edition_year - 2000) / 26))) * 10000.0::DOUBLE + 0.5::DOUBLE) / 10000.0::DOUBLE AS score FROM o),
 rr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, standard) AS rank FROM rk)"""
 
 
 @query(f"WITH {RANKED} SELECT query_id, standard, score, chunks, rank FROM rr")
 def rnk_07_rerank(s, d):
-    return ranking.ranked(_hits(s, d), t(s, d, "standards"), t(s, d, "queries")).withColumn("rank", F.col("rank").cast("bigint"))
+    r = ranking.ranked(_hits(s, d), t(s, d, "standards"), t(s, d, "queries"))
+    return r.select("query_id", "standard", "score", "chunks", F.col("rank").cast("bigint").alias("rank"))
+
+
+TWO = "printf('%.2f', floor({} * 100.0::DOUBLE + 0.5::DOUBLE) / 100.0::DOUBLE)"
+
+
+@query(f"""WITH {RANKED} SELECT query_id, standard, CASE WHEN score >= 0.65 THEN 'HIGH' WHEN score >= 0.4 THEN 'MEDIUM' ELSE 'LOW' END AS relevance,
+concat_ws('; ', 'Semantic relevance: ' || {TWO.format('semantic')}, 'Title match: ' || {TWO.format('title')}, 'Scope coverage: ' || {TWO.format('sc')}) AS why FROM rr""")
+def rnk_11_why(s, d):
+    r = ranking.explained(ranking.ranked(_hits(s, d), t(s, d, "standards"), t(s, d, "queries")))
+    return r.select("query_id", "standard", "relevance", F.array_join("why", "; ").alias("why"))
 
 
 @query(f"WITH {HITS}, {GROUPED} SELECT query_id, standard FROM g WHERE standard IN (SELECT standard_id FROM standards)")
@@ -159,12 +200,18 @@ def rnk_10_abstain(s, d):
 @query("""WITH c AS (SELECT * FROM (SELECT *, max((confidence >= 0.6)::INT) OVER (PARTITION BY standard_id) AS has_some FROM specs) WHERE confidence >= 0.6 OR has_some = 0),
 a AS (SELECT standard_id, string_agg(spec_id, ',' ORDER BY spec_id) AS specs FROM (SELECT DISTINCT standard_id, spec_id, n FROM (SELECT standard_id, spec_id, row_number() OVER (PARTITION BY standard_id ORDER BY page, spec_id) AS n FROM c) WHERE n <= 12) GROUP BY 1),
 b AS (SELECT standard_id, string_agg(target, ',' ORDER BY target) AS refs FROM (SELECT source AS standard_id, target, row_number() OVER (PARTITION BY source ORDER BY target) AS n FROM edges) WHERE n <= 10 GROUP BY 1),
-e AS (SELECT standard_id, string_agg(chunk_id, ',' ORDER BY chunk_id) AS chunks FROM (SELECT standard_id, chunk_id, row_number() OVER (PARTITION BY standard_id ORDER BY page, chunk_id) AS n FROM chunks) WHERE n <= 3 GROUP BY 1)
-SELECT standard_id, specs, refs, chunks FROM standards LEFT JOIN a USING (standard_id) LEFT JOIN b USING (standard_id) LEFT JOIN e USING (standard_id)""")
+e AS (SELECT standard_id, string_agg(chunk_id, ',' ORDER BY chunk_id) AS chunks FROM (SELECT standard_id, chunk_id, row_number() OVER (PARTITION BY standard_id ORDER BY page, chunk_id) AS n FROM chunks) WHERE n <= 3 GROUP BY 1),
+g AS (SELECT standard_id, string_agg(spec_id, ',' ORDER BY spec_id) AS tables FROM (SELECT *, row_number() OVER (PARTITION BY standard_id ORDER BY page, spec_id) AS n FROM specs WHERE property = 'Capacity') WHERE n <= 5 GROUP BY 1),
+h AS (SELECT standard_id, string_agg(figure_id, ',' ORDER BY figure_id) AS figures FROM (SELECT *, row_number() OVER (PARTITION BY standard_id ORDER BY page, figure_id) AS n FROM figures WHERE caption) WHERE n <= 5 GROUP BY 1),
+k AS (SELECT standard_id, string_agg(spec_id, ',' ORDER BY spec_id) AS compliance FROM (SELECT *, row_number() OVER (PARTITION BY standard_id ORDER BY page, spec_id) AS n FROM specs WHERE property = 'Material test' AND page > 3) WHERE n <= 5 GROUP BY 1)
+SELECT standard_id, specs, refs, chunks, tables, figures, compliance FROM standards LEFT JOIN a USING (standard_id) LEFT JOIN b USING (standard_id) LEFT JOIN e USING (standard_id) LEFT JOIN g USING (standard_id) LEFT JOIN h USING (standard_id) LEFT JOIN k USING (standard_id)""")
 def rnk_12_evidence(s, d):
     e = t(s, d, "edges").select(F.col("source").alias("standard_id"), "target", F.lit(1).alias("page"))
-    x = ranking.evidence(t(s, d, "standards"), t(s, d, "specs"), e, t(s, d, "chunks"))
-    return x.select("standard_id", *[F.array_join(c, ",").alias(c) for c in ("specs", "refs", "chunks")])
+    sp = t(s, d, "specs")
+    tables = sp.where("property = 'Capacity'").withColumnRenamed("spec_id", "table_id")
+    marks = sp.where("property = 'Material test' AND page > 3").withColumnRenamed("spec_id", "compliance_id")
+    x = ranking.evidence(t(s, d, "standards"), sp, e, t(s, d, "chunks"), tables, t(s, d, "figures").withColumn("confirmed", F.col("caption")), marks)
+    return x.select("standard_id", *[F.array_join(c, ",").alias(c) for c in ("specs", "refs", "chunks", "tables", "figures", "compliance")])
 
 
 @query("SELECT spec_id, standard_id, page FROM (SELECT *, max((confidence >= 0.6)::INT) OVER (PARTITION BY standard_id) AS has_some FROM specs) WHERE confidence >= 0.6 OR has_some = 0")
@@ -172,13 +219,13 @@ def rnk_13_confident(s, d):
     return ranking.confident(t(s, d, "specs")).select("spec_id", "standard_id", "page")
 
 
-@query("SELECT r.standard_id AS ref_id, r.base, r.edition_year AS year, l.y AS latest_year, l.sid AS latest_id FROM standards r JOIN (SELECT base, max(edition_year) AS y, max(standard_id) FILTER (k = 1) AS sid FROM (SELECT *, row_number() OVER (PARTITION BY base ORDER BY edition_year DESC, standard_id DESC) AS k FROM standards) GROUP BY base) l USING (base) WHERE r.edition_year < l.y")
+@query("SELECT r.standard_id AS ref_id, r.base, r.edition_year AS year, l.y AS latest_year, l.sid AS latest_id FROM standards r JOIN (SELECT base, max(edition_year) AS y, max(standard_id) FILTER (k = 1) AS sid FROM (SELECT *, row_number() OVER (PARTITION BY base ORDER BY edition_year DESC, standard_id) AS k FROM standards) GROUP BY base) l USING (base) WHERE r.edition_year < l.y")
 def rnk_14_version(s, d):
     x = t(s, d, "standards")
     return ranking.newer_editions(x.select(F.col("standard_id").alias("ref_id"), "base", F.col("edition_year").alias("year")), x)
 
 
-RUNS = f"{SEM}, runs AS (SELECT 'exact' AS model, query_id, chunk_id AS doc_id, rank FROM sem UNION ALL SELECT 'odd', query_id, chunk_id, (rank + 1) // 2 FROM sem WHERE rank % 2 = 1), rel AS (SELECT q.query_id, e.vec_id AS doc_id FROM vector_queries q JOIN embeddings a ON a.vec_id = q.query_id JOIN embeddings e ON e.label = a.label AND e.vec_id % 10 = 0)"
+RUNS = f"{SEM}, runs AS (SELECT 'exact' AS model, query_id, regexp_extract(chunk_id, 'P([0-9]+)$', 1)::BIGINT AS doc_id, rank FROM sem UNION ALL SELECT 'odd', query_id, regexp_extract(chunk_id, 'P([0-9]+)$', 1)::BIGINT, (rank + 1) // 2 FROM sem WHERE rank % 2 = 1), rel AS (SELECT q.query_id, e.vec_id AS doc_id FROM vector_queries q JOIN embeddings a ON a.vec_id = q.query_id JOIN embeddings e ON e.label = a.label  )"
 PERQ = f"""{RUNS}, jj AS (SELECT r.*, (l.doc_id IS NOT NULL)::INT AS hit FROM runs r LEFT JOIN rel l USING (query_id, doc_id)), nr AS (SELECT query_id, count(*) AS n FROM rel GROUP BY 1),
 mq AS (SELECT model, query_id, coalesce(n, 0) AS n_relevant, h5 / 5 AS p5, CASE WHEN n > 0 THEN floor(h5 / n * 10000.0::DOUBLE + 0.5::DOUBLE) / 10000.0::DOUBLE ELSE 0 END AS r5, CASE WHEN n > 0 THEN floor(h10 / n * 10000.0::DOUBLE + 0.5::DOUBLE) / 10000.0::DOUBLE ELSE 0 END AS r10,
   floor(coalesce(1 / f, 0) * 10000.0::DOUBLE + 0.5::DOUBLE) / 10000.0::DOUBLE AS mrr, CASE WHEN h5 > 0 THEN 1.0::DOUBLE ELSE 0 END AS exact5, fp / 5 AS fp5
@@ -188,10 +235,10 @@ MACRO = PERQ + ", mm AS (SELECT model, " + ", ".join(f"floor(avg({m}{'' if m ==
 
 def _runs(s, d):
     sem = search.semantic(t(s, d, "vector_queries"), t(s, d, "vectors"))
-    one = sem.select(F.lit("exact").alias("model"), "query_id", F.col("chunk_id").alias("doc_id"), "rank")
+    one = sem.select(F.lit("exact").alias("model"), "query_id", F.regexp_extract("chunk_id", "P([0-9]+)$", 1).cast("bigint").alias("doc_id"), "rank")
     runs = one.unionByName(one.where("rank % 2 = 1").withColumn("model", F.lit("odd")).withColumn("rank", F.floor((F.col("rank") + 1) / 2).cast("int")))
     e = t(s, d, "embeddings").select("vec_id", "label")
-    rel = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "label").join(e.where("vec_id % 10 = 0"), "label").select("query_id", F.col("vec_id").alias("doc_id"))
+    rel = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "label").join(e, "label").select("query_id", F.col("vec_id").alias("doc_id"))
     return runs, rel
 
 
@@ -213,10 +260,24 @@ def evl_06_macro(s, d):
     return evaluation.macro(evaluation.per_query(evaluation.judged(runs, rel), rel))
 
 
-@query(f"WITH {MACRO}, sc AS (SELECT model, floor((0.25::DOUBLE * r5 + 0.15::DOUBLE * r10 + 0.20::DOUBLE * p5 + 0.20::DOUBLE * mrr + 0.10::DOUBLE * exact5 - 0.03::DOUBLE * fp5) * 1000000.0::DOUBLE + 0.5::DOUBLE) / 1000000.0::DOUBLE AS score FROM mm) SELECT model, score, row_number() OVER (ORDER BY score DESC, model) = 1 AS winner FROM sc")
+TOPICS = """tp AS (SELECT query_id, list_distinct(regexp_extract_all(lower(query), '[a-z0-9]+')) AS q FROM queries),
+x AS (SELECT r.model, r.query_id, CASE WHEN len(q) > 0 THEN len(list_intersect(q, list_distinct(regexp_extract_all(lower(d.text), '[a-z0-9]+')))) / len(q) ELSE 0 END AS share FROM runs r JOIN tp USING (query_id) JOIN documents d USING (doc_id) WHERE rank <= 5),
+se AS (SELECT model, query_id, floor(avg(share) * 10000.0::DOUBLE + 0.5::DOUBLE) / 10000.0::DOUBLE AS sem5 FROM x GROUP BY ALL)"""
+
+
+def _topics(s, d):
+    runs, _ = _runs(s, d)
+    hits = runs.join(t(s, d, "documents").select("doc_id", "text"), "doc_id")
+    return evaluation.topic_relevance(hits, t(s, d, "queries").select("query_id", F.col("query").alias("topics")))
+
+
+@query(f"""WITH {MACRO}, {TOPICS}, ms AS (SELECT model, floor(avg(coalesce(sem5, 0)) FILTER (n_relevant > 0) * 10000.0::DOUBLE + 0.5::DOUBLE) / 10000.0::DOUBLE AS sem5 FROM mq LEFT JOIN se USING (model, query_id) GROUP BY model),
+sc AS (SELECT model, floor((0.25::DOUBLE * r5 + 0.15::DOUBLE * r10 + 0.20::DOUBLE * p5 + 0.20::DOUBLE * mrr + 0.10::DOUBLE * exact5 - 0.03::DOUBLE * fp5 + 0.07::DOUBLE * sem5) * 1000000.0::DOUBLE + 0.5::DOUBLE) / 1000000.0::DOUBLE AS score FROM mm JOIN ms USING (model))
+SELECT model, score, row_number() OVER (ORDER BY score DESC, model) = 1 AS winner FROM sc""")
 def evl_07_winner(s, d):
     runs, rel = _runs(s, d)
-    return evaluation.winner(evaluation.macro(evaluation.per_query(evaluation.judged(runs, rel), rel)))
+    q = evaluation.per_query(evaluation.judged(runs, rel), rel).join(_topics(s, d), ["model", "query_id"], "left")
+    return evaluation.winner(evaluation.macro(q.withColumn("sem5", F.coalesce("sem5", F.lit(0.0)))))
 
 
 @query(f"WITH {MACRO}, u AS (UNPIVOT mm ON {', '.join(evaluation.METRICS)} INTO NAME metric VALUE value) SELECT metric, max(value) FILTER (model = 'exact') AS exact, max(value) FILTER (model = 'odd') AS odd FROM u GROUP BY metric")

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,6 +43,16 @@ def canonical(standards: DataFrame, sections: DataFrame, chunks: DataFrame, spec
     return out
 
 
+def work_folder(spark: SparkSession, name: str) -> str:
+    """A new folder for tables between steps, in the one that spark.checkpoint.dir names; a temporary one only where all runs in this process."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+        base = "file://" + tempfile.mkdtemp(prefix="spark-lodestone-")
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def write_json(nested: DataFrame, path: str) -> None:
     nested.write.mode("overwrite").json(path)
 
