@@ -51,6 +51,8 @@ OTHERS = frozenset("ad ads advert adverts advertisement advertising sponsor spon
 # SOFT_MARK: furniture by its class or a form, which an enclosed main part ends; ASIDE_MARK: furniture with all it encloses; OTHERS_MARK: only <main> ends it
 ASIDE_MARK, MAIN_MARK, SOFT_MARK, OTHERS_MARK = "-", "+", "~", "="
 FURNITURE = (ASIDE_MARK, SOFT_MARK, OTHERS_MARK)
+SHAPES = 64
+"""About so many shapes or wrappers are aligned one after the other."""
 COMMON = 0.8
 """A template's text is on this share of a host's different pages at least: nearly all."""
 
@@ -389,12 +391,16 @@ def _wrap(key: tuple, shapes: pa.Table) -> pa.Table:
     return pa.table({"host": pa.array([key[0].as_py()], pa.string()), "n": pa.array([sum(r[0] for r in rows)], pa.int64()), "shape": pa.array([json.dumps(nodes)], pa.string())})
 
 
-def wrappers(parsed: DataFrame, salts: int = 16) -> DataFrame:
-    """One row per host: host, n pages, shape. Distinct shapes are counted first, aligned in salted groups, then the groups' wrappers with one another: no page is left out and no group gathers pages."""
-    shape = "host string, n bigint, shape string"
-    distinct = parsed.groupBy("host", "shape").agg(F.count("*").alias("n")).withColumn("salt", F.pmod(F.xxhash64("shape"), F.lit(salts)))
-    part = distinct.groupBy("host", "salt").applyInArrow(_wrap, shape)
-    return part.groupBy("host").applyInArrow(_wrap, shape)
+def wrappers(parsed: DataFrame, most: int = SHAPES) -> DataFrame:
+    """One row per host: host, n pages, shape. Distinct shapes are counted first, aligned in groups of about `most`, and then the groups' wrappers with one another, until a host has one: no page is left out, no group gathers pages, and no task aligns more than a group at a time."""
+    shapes, turn = staged(parsed.groupBy("host", "shape").agg(F.count("*").alias("n")), "shapes"), 0
+    while True:
+        groups = shapes.groupBy("host").agg(F.ceil(F.count("*") / most).alias("groups"))
+        again = groups.agg(F.max("groups")).first()[0] or 1
+        dealt = shapes.join(groups, "host").withColumn("group", F.pmod(F.xxhash64(F.lit(turn), "shape"), "groups"))
+        shapes, turn = staged(dealt.groupBy("host", "group").applyInArrow(_wrap, "host string, n bigint, shape string"), "shapes"), turn + 1
+        if again == 1:
+            return shapes
 
 
 def _seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -438,7 +444,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     ident = pages.schema[id_col].dataType.simpleString()
     df = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
     parsed = staged(df.mapInArrow(_parse, PARSED.format(id=ident)), "pages")
-    wrapper = staged(wrappers(parsed.select("host", "shape")).select("host", F.col("shape").alias("wrapper")), "wrappers")
+    wrapper = wrappers(parsed.select("host", "shape")).select("host", F.col("shape").alias("wrapper"))
     # a slot with one text on nearly all pages, on a host whose pages differ, is part of the template
     hashed = parsed.select("host", F.xxhash64(F.array_join("texts", "\n")).alias("page"), "stream", "labels", F.transform("texts", lambda t: F.xxhash64(t)).alias("hashes"))
     one = hashed.join(wrapper, "host").mapInArrow(_seen, "host string, page bigint, place bigint, t bigint")
