@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -25,9 +26,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor sees, as spark.checkpoint.dir names it; a temporary one only where it is unset."""
+    """The folder every executor sees, as spark.checkpoint.dir names it. Where it is unset, a temporary one if all runs in this process; elsewhere an error, as other machines would not see it."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         found = "file://" + tempfile.mkdtemp(prefix="spark-lodestone-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
