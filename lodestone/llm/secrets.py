@@ -32,8 +32,8 @@ TOKEN = re.compile(r"[A-Za-z0-9+/_-]{20,}")
 TOKEN_BITS = 3.2
 """A generic token needs a digit, letters of both cases, and this entropy a character."""
 HINTS = ("passw", "secret", "token", "apikey", "api_key")
-OWNERS = 4
-"""A value held by so many distinct owners or more is a copied example."""
+SHARE, FEWEST, MOST = 0.1, 2, 20
+"""A value is a copied example if this share of all owners holds it: FEWEST at least, and MOST are enough."""
 
 
 def entropy(value: str) -> float:
@@ -90,35 +90,41 @@ def scanned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rep
     return staged(df.mapInArrow(_scan_batches, SCANNED.format(id=kind)), "secrets")
 
 
-def ownership(found: DataFrame, owners: int = OWNERS) -> DataFrame:
-    """One row per distinct value hash: n_docs, n_repositories, n_owners, verdict `example` or `live`.
+def ownership(found: DataFrame, owners: int | None = None) -> DataFrame:
+    """One row per distinct value hash: n_docs, n_repositories, n_owners, verdict `example` or `live`. Without a number of owners a tenth of all are needed (SHARE, FEWEST, MOST).
 
     Rows of a value are first summed by (value, repository, owner), so a value
     in a third of all documents is a few rows by the time it is counted. A null
     repository or owner counts as one.
     """
+    named = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit(""))
     one = found.select("repository", "owner", F.explode(F.array_distinct(F.transform("spans", lambda s: s["hash"]))).alias("hash"))
     held = one.groupBy("hash", "repository", "owner").agg(F.count("*").alias("n"))
-    by = lambda c: F.count_distinct(F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit("")))
-    return held.groupBy("hash").agg(F.sum("n").alias("n_docs"), by("repository").alias("n_repositories"), by("owner").alias("n_owners")).withColumn(
-        "verdict", F.when(F.col("n_owners") >= owners, "example").otherwise("live")
-    )
+    by = lambda c: F.count_distinct(named(c))
+    counts = held.groupBy("hash").agg(F.sum("n").alias("n_docs"), by("repository").alias("n_repositories"), by("owner").alias("n_owners"))
+    if owners is None:
+        everyone = found.agg(F.greatest(F.lit(FEWEST), F.least(F.lit(MOST), F.ceil(SHARE * F.count_distinct(named("owner"))))).alias("needed"))
+        counts = counts.crossJoin(F.broadcast(everyone))  # one row
+    else:
+        counts = counts.withColumn("needed", F.lit(owners))
+    return counts.withColumn("verdict", F.when(F.col("n_owners") >= F.col("needed"), "example").otherwise("live")).drop("needed")
 
 
-def secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repository_col: str = "source", owner_col: str | None = None, owners: int = OWNERS) -> DataFrame:
-    """One row per document row: doc_id, text_md5 (null without spans), spans as an array with start, end, kind, hash and verdict.
+def secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repository_col: str = "source", owner_col: str | None = None, owners: int | None = None) -> DataFrame:
+    """One row per document row: doc_id, text_md5 (null without spans), spans as an array with start, end, kind, hash, n_owners, n_repositories and verdict.
 
     Null texts hold no spans; repeated rows give repeated rows; equal doc_ids
     with different texts stay apart; other columns are ignored.
     """
     found = scanned(docs, id_col, text_col, repository_col, owner_col)
-    # nearly every value is one document's own and known to be live: only examples come back
-    examples = ownership(found, owners).where("verdict = 'example'").select("hash")
+    # nearly every value is one document's own: only what several documents hold comes back
+    shared = ownership(found, owners).where("n_docs > 1 OR verdict = 'example'").select("hash", F.struct("hash", "n_owners", "n_repositories", "verdict").alias("known"))
     held = found.select("doc_id", "text_md5", F.explode(F.array_distinct(F.transform("spans", lambda s: s["hash"]))).alias("hash")).distinct()
-    marks = held.join(examples, "hash", "left_semi").groupBy(F.col("doc_id").alias("of"), F.col("text_md5").alias("md5")).agg(F.collect_list("hash").alias("examples"))
+    marks = held.join(shared, "hash").groupBy(F.col("doc_id").alias("of"), F.col("text_md5").alias("md5")).agg(F.collect_list("known").alias("known"))
     out = found.join(marks, F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("text_md5") == F.col("md5")), "left")
-    known = F.coalesce("examples", F.array().cast("array<string>"))
-    spans = F.transform("spans", lambda s: s.withField("verdict", F.when(F.array_contains(known, s["hash"]), "example").otherwise("live")))
+    alone = F.struct(F.lit("").alias("hash"), F.lit(1).cast("bigint").alias("n_owners"), F.lit(1).cast("bigint").alias("n_repositories"), F.lit("live").alias("verdict"))
+    of = lambda s: F.coalesce(F.get(F.filter("known", lambda k: k["hash"] == s["hash"]), 0), alone)
+    spans = F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"), s["hash"].alias("hash"), *[of(s)[c].alias(c) for c in ("n_owners", "n_repositories", "verdict")]))
     return out.select("doc_id", "text_md5", F.filter(spans, lambda s: (s["kind"] != "token") | (s["verdict"] == "live")).alias("spans"))
 
 
@@ -149,4 +155,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         joined(F.col("spans")).alias("spans"),
         F.size(F.filter("spans", lambda s: s["verdict"] == "live")).cast("long").alias("n_live"),
         F.size(F.filter("spans", lambda s: s["verdict"] == "example")).cast("long").alias("n_example"),
+        # of the values in the document, the most owners and repositories that hold one
+        F.coalesce(F.array_max(F.transform("spans", lambda s: s["n_owners"])), F.lit(0)).cast("long").alias("most_owners"),
+        F.coalesce(F.array_max(F.transform("spans", lambda s: s["n_repositories"])), F.lit(0)).cast("long").alias("most_repositories"),
     )
