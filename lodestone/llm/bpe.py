@@ -71,7 +71,7 @@ def _ends(w: Words, text: str) -> dict:
     return {"whole": False, "head": head, "head_ids": packed(w.encode_unsplit(head)), "ids": ids.astype("<u4").tobytes(), "tail": tail, "tail_ids": packed(w.encode_unsplit(tail))}
 
 
-LEAVES = "doc_id {id}, h bigint, n bigint, i bigint, whole boolean, head string, head_ids binary, ids binary, tail string, tail_ids binary"
+LEAVES = "doc_id {id}, h bigint, n bigint, i bigint, copies bigint, whole boolean, head string, head_ids binary, ids binary, tail string, tail_ids binary"
 
 
 def _leaves(path: str):
@@ -82,7 +82,7 @@ def _leaves(path: str):
                 one = b.slice(k, 1)
                 row = _ends(w, one.column("text")[0].as_py())
                 kinds = {"whole": pa.bool_(), "head": pa.string(), "head_ids": pa.binary(), "ids": pa.binary(), "tail": pa.string(), "tail_ids": pa.binary()}
-                yield pa.RecordBatch.from_arrays([*[one.column(c) for c in ("doc_id", "h", "n", "i")], *[pa.array([row[c]], t) for c, t in kinds.items()]], names=["doc_id", "h", "n", "i", *kinds])
+                yield pa.RecordBatch.from_arrays([*[one.column(c) for c in ("doc_id", "h", "n", "i", "copies")], *[pa.array([row[c]], t) for c, t in kinds.items()]], names=["doc_id", "h", "n", "i", "copies", *kinds])
 
     return run
 
@@ -114,17 +114,13 @@ def assemble(w: Words, leaves: list[dict]) -> np.ndarray:
 
 def _joined(path: str):
     def run(key: tuple, rows: pa.Table) -> pa.Table:
-        """The leaves of one text; of a row that is there k times, each leaf is there k times."""
+        """The leaves of one text."""
         w = words(path)
         rows = rows.sort_by("i")
-        i = np.asarray(rows.column("i"))
-        firsts = np.unique(i, return_index=True)[1]
-        copies = rows.num_rows // len(firsts)
-        ids = assemble(w, rows.take(pa.array(firsts)).select(["whole", "head", "head_ids", "ids", "tail", "tail_ids"]).to_pylist())
+        ids = assemble(w, rows.select(["whole", "head", "head_ids", "ids", "tail", "tail_ids"]).to_pylist())
         decoded = " ".join([w.names[k] for k in ids.tolist()])
         doc_id = rows.column("doc_id").combine_chunks().slice(0, 1)
-        one = pa.Table.from_arrays([doc_id, pa.array([len(ids)], pa.int64()), pa.array([hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest()]), pa.array([hashlib.sha256(decoded.encode()).hexdigest()])], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-        return pa.concat_tables([one] * copies)
+        return pa.Table.from_arrays([doc_id, pa.array([len(ids)], pa.int64()), pa.array([hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest()]), pa.array([hashlib.sha256(decoded.encode()).hexdigest()]), rows.column("copies").slice(0, 1)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "copies"])
 
     return run
 
@@ -142,10 +138,12 @@ def encoded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pat
     long = F.coalesce(F.length("text") > leaf, F.lit(False))
     short = df.where(~long).mapInArrow(_short(path), OUT.format(id=kind))
     cut = df.where(long).select("doc_id", F.xxhash64("text").alias("h"), F.length("text").cast("bigint").alias("n"), F.posexplode(F.regexp_extract_all("text", F.lit(f"(?s).{{1,{leaf}}}"), 0)).alias("i", "text"))
-    cut = cut.withColumn("i", F.col("i").cast("bigint"))
-    parts = cut.repartition("h", "n", "i").mapInArrow(_leaves(path), LEAVES.format(id=kind))
-    joined = parts.groupBy("doc_id", "h", "n").applyInArrow(_joined(path), OUT.format(id=kind))
-    return short.unionByName(joined)
+    # a leaf of a repeated row is encoded once, and its row given out again at the end
+    cut = cut.groupBy("doc_id", "h", "n", F.col("i").cast("bigint").alias("i")).agg(F.count("*").alias("copies"), F.first("text").alias("text"))
+    parts = cut.mapInArrow(_leaves(path), LEAVES.format(id=kind))
+    joined = parts.groupBy("doc_id", "h", "n").applyInArrow(_joined(path), OUT.format(id=kind) + ", copies bigint")
+    again = joined.select("*", F.explode(F.sequence(F.lit(1).cast("bigint"), "copies")).alias("copy")).drop("copies", "copy")
+    return short.unionByName(again)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
