@@ -295,17 +295,20 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
     # a run's smallest doc_id is that of its passages; all texts of a hot passage have the same few
     firsts = matched.where(F.col("kind") == PART).select("parts", "passage").distinct().join(passages, "passage").groupBy("parts").agg(F.min("first_doc").alias("first_doc"))
     firsts = staged(firsts, "suffix-firsts")
-    span = ("cls", "a", "b", "first_doc")
-    runs = matched.where(F.col("kind") == RUN).select(*span)
-    runs = runs.unionByName(matched.where(F.col("kind") == BOUND_RUN).drop("first_doc").join(firsts, "parts").select(*span))
-    runs = runs.unionByName(matched.where(F.col("kind") == OPEN).drop("first_doc").join(passages, "passage").select(*span))
-    runs = runs.unionByName(anchored.where("key IS NULL").select("cls", F.lit(0).alias("a"), F.col("start").alias("b"), F.col("low").alias("first_doc")))
+    runs = matched.where(F.col("kind").isin(RUN, BOUND_RUN)).select("cls", "a", "b", "first_doc", "parts")
+    runs = runs.unionByName(matched.where(F.col("kind") == OPEN).drop("first_doc").join(passages, "passage").select("cls", "a", "b", "first_doc", "parts"))
+    runs = runs.unionByName(anchored.where("key IS NULL").select("cls", F.lit(0).alias("a"), F.col("start").alias("b"), F.col("low").alias("first_doc"), F.lit(None).cast("bigint").alias("parts")))
     by = W.partitionBy("cls").orderBy("a")
     reached = F.max("b").over(by.rowsBetween(W.unboundedPreceding, -1))
     runs = runs.withColumn("new", F.coalesce((F.col("a") > reached + least).cast("int"), F.lit(1)))
     runs = runs.withColumn("span", F.sum("new").over(by.rowsBetween(W.unboundedPreceding, 0)))
-    spans = runs.groupBy("cls", "span").agg(F.min("a").alias("start_word"), (F.max("b") + least).alias("end_word"), F.min("first_doc").alias("first_doc")).drop("span")
-    spans = staged(spans, "suffix-spans")  # so that the rows of a text with many copies can be split in the join
+    spans = runs.groupBy("cls", "span").agg(F.min("a").alias("start_word"), (F.max("b") + least).alias("end_word"), F.min("first_doc").alias("first_doc"), F.array_sort(F.collect_set("parts")).alias("parts")).drop("span")
+    spans = staged(spans.withColumn("all", F.when(F.size("parts") > 0, F.xxhash64("parts"))), "suffix-spans")
+    # texts with the same passages have the same parts, so that these are few
+    lists = spans.where("all IS NOT NULL").select("all", "parts").distinct().select("all", F.explode("parts").alias("parts"))
+    lists = staged(lists.join(firsts, "parts").groupBy("all").agg(F.min("first_doc").alias("least")), "suffix-lists")
+    spans = spans.join(lists, "all", "left").select("cls", "start_word", "end_word", F.least("first_doc", "least").alias("first_doc"))
+    spans = staged(spans, "suffix-repeats")  # so that the rows of a text with many copies can be split in the join
     return df.select("doc_id", "cls").join(spans, "cls").select("doc_id", "start_word", "end_word", (F.col("end_word") - F.col("start_word")).alias("n_words"), "first_doc")
 
 
