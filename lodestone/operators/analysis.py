@@ -54,6 +54,19 @@ def value_conflicts(reqs: DataFrame, specs: DataFrame) -> DataFrame:
     return once.select("tender_id", "parameter", "standard_id", "nominal", F.when(F.col("off") > 30, "high").otherwise("medium").alias("severity"))
 
 
+def matrix_conflicts(compared: DataFrame) -> DataFrame:
+    """Mismatches of comparison() as conflicts, all high."""
+    wrong = compared.where(F.col("status").isin("MISMATCH", "CONFLICT"))
+    return wrong.select("tender_id", F.lit("value_mismatch").alias("type"), F.col("requirement").alias("parameter"), F.col("tender").alias("tender_value"), F.col("standard").alias("standard_value"), F.lit("high").alias("severity"))
+
+
+def first_standards(specs: DataFrame, most: int) -> DataFrame:
+    """The specifications of a tender's first `most` standards, in the order in which specifications name them."""
+    order = specs.groupBy("tender_id", "standard_id").agg(F.min("spec_ord").alias("at"))
+    order = order.withColumn("place", F.row_number().over(W.partitionBy("tender_id").orderBy("at", "standard_id"))).where(F.col("place") <= most)
+    return specs.join(order.select("tender_id", "standard_id"), ["tender_id", "standard_id"])
+
+
 def material_conflicts(reqs: DataFrame, specs: DataFrame) -> DataFrame:
     m, s = squeezed("t_material"), squeezed("material")
     known = F.lit(False)

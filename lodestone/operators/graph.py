@@ -79,3 +79,22 @@ def workspaces(ws: DataFrame, items: DataFrame) -> DataFrame:
     """Workspaces with their items in sort order."""
     i = items.groupBy("workspace_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("sort_order", "item_id"))), lambda x: x["item_id"].cast("string")), ",").alias("items"), F.count("*").alias("n_items"))
     return ws.join(i, "workspace_id", "left").select("*").withColumn("n_items", F.coalesce("n_items", F.lit(0)))
+
+
+def created(requests: DataFrame) -> DataFrame:
+    """New workspaces from requests (request_id, name, description, created_at): the id comes from the request's, so that a request that is made again gives the same one; a missing name is made from the id."""
+    id_ = F.concat(F.lit("WS_"), F.substring(F.sha2(F.col("request_id").cast("string"), 256), 1, 12))
+    new = requests.withColumn("workspace_id", id_)
+    name = F.coalesce(F.nullif("name", F.lit("")), F.concat(F.lit("Procurement "), F.substring("workspace_id", 1, 8)))
+    return new.select("workspace_id", name.alias("name"), "description", F.lit("active").alias("status"), "created_at")
+
+
+def listed(ws: DataFrame) -> DataFrame:
+    """Workspaces, the newest first."""
+    return ws.orderBy(F.col("created_at").desc(), "workspace_id")
+
+
+def updated(ws: DataFrame, changes: DataFrame, columns: tuple[str, ...] = ("name", "description", "status")) -> DataFrame:
+    """Workspaces with the columns that a change names; null leaves a column as it is, and changes of unknown workspaces do nothing."""
+    new = changes.select("workspace_id", *[F.col(c).alias(f"new_{c}") for c in columns])
+    return ws.join(new, "workspace_id", "left").select("workspace_id", *[F.coalesce(f"new_{c}", c).alias(c) for c in columns])

@@ -38,15 +38,35 @@ def document_gate(gated: DataFrame) -> DataFrame:
     return d.select("doc_id", "ocr_pages", ((F.col("ocr_pages") > 0.3 * F.col("pages")) | (F.col("chars") < 500)).alias("ocr_required"))
 
 
+def first_n(files: DataFrame, n: int, order: str = "path") -> DataFrame:
+    return files.orderBy(order).limit(n)
+
+
+def outcomes(docs: DataFrame, failures: DataFrame) -> DataFrame:
+    """(doc_id, status, warnings) of documents whose stages may have failed: failures has (doc_id, stage, message). A failure of the whole is FAILED, one of the sections or too little text PARTIAL, any other only a warning; a document without failures is a SUCCESS."""
+    by = failures.groupBy("doc_id").agg(
+        F.bool_or(F.col("stage") == "document").alias("fatal"),
+        F.bool_or(F.col("stage").isin("section", "low_text")).alias("part"),
+        F.array_join(F.array_sort(F.collect_list(F.concat_ws("_failed:", "stage", "message"))), "; ").alias("warnings"),
+    )
+    out = docs.select("doc_id").join(by, "doc_id", "left")
+    return out.select("doc_id", F.when(F.col("fatal"), "FAILED").when(F.col("part"), "PARTIAL").otherwise("SUCCESS").alias("status"), "warnings")
+
+
 def unseen(files: DataFrame, stored: DataFrame, key: str = "sha") -> DataFrame:
     return files.join(stored.select(key), key, "left_anti")
 
 
 def duplicates(files: DataFrame, key: str = "sha", order: str = "path") -> DataFrame:
-    """Adds `copy`: 0 for the first file of a content, then 1, 2, ..."""
+    """Adds `copy`: 0 for the first file of a content, then 1, 2, ...; where only the first matters, firsts() needs no window."""
     return files.withColumn("copy", F.row_number().over(W.partitionBy(key).orderBy(order)) - 1)
 
 
+def firsts(files: DataFrame, key: str = "sha", order: str = "path") -> DataFrame:
+    """(key, order, n): the first file of each content and how many have it, by partial minima: a content in a third of all files is no burden."""
+    return files.groupBy(key).agg(F.min(order).alias(order), F.count("*").alias("n"))
+
+
 def surplus(files: DataFrame, key: str = "sha") -> DataFrame:
     """One row: files, distinct contents and surplus copies. Counts are partial sums, so a content in a third of all files is no burden."""
     n = files.groupBy(key).agg(F.count("*").alias("n"))

@@ -8,19 +8,21 @@ from pyspark.sql import functions as F
 
 from lodestone import config
 from lodestone.functions.identifiers import base, year
-from lodestone.functions.text import first_number, text, unit_inside
+from lodestone.functions.text import around, first_number, places, stripped, text, unit_inside
+
+from lodestone.operators.analysis import first_standards
 
 WORD = "(?:^|[^A-Za-z0-9_])"
 
 
 def first(c: Column | str, words: str) -> Column:
-    return F.nullif(F.lower(F.regexp_extract(text(c), f"(?i){WORD}({words})(?=[^A-Za-z0-9_]|$)", 1)), F.lit(""))
+    return F.nullif(F.regexp_extract(F.lower(text(c)), f"{WORD}({words.lower()})(?=[^a-z0-9_]|$)", 1), F.lit(""))
 
 
 def cues(c: Column | str, words: str, most: int = 8) -> Column:
     """Distinct words found, in order of their first place."""
-    found = F.regexp_extract_all(text(c), F.lit(f"(?i){WORD}({words})(?=[^A-Za-z0-9_]|$)"), 1)
-    return F.slice(F.array_distinct(F.transform(found, lambda x: F.lower(x))), 1, most)
+    found = F.regexp_extract_all(F.lower(text(c)), F.lit(f"{WORD}({words.lower()})(?=[^a-z0-9_]|$)"), 1)
+    return F.slice(F.array_distinct(found), 1, most)
 
 
 def hits(c: Column | str, pattern: str) -> Column:
@@ -86,6 +88,25 @@ def gaps(reqs: DataFrame) -> DataFrame:
     return reqs.select("tender_id", F.explode(F.array_compact(F.array(*rows))).alias("g")).select("tender_id", "g.parameter", "g.severity")
 
 
+def provenance(pages: DataFrame, pattern: str) -> DataFrame:
+    """(doc_id, page, hit_no, value, source_text): every match with its page and 120 characters on both sides, 400 at most, on one line."""
+    each = pages.where(F.col("text").rlike(pattern)).select("doc_id", "page", "text", F.posexplode(places("text", pattern)).alias("hit_no", "m"))
+    window = F.replace(stripped(around("text", F.col("m.start"), F.col("m.end"), 120, 120)), F.lit("\n"), F.lit(" "))
+    return each.select("doc_id", "page", "hit_no", stripped("m.value").alias("value"), F.substring(window, 1, 400).alias("source_text"))
+
+
+def gap_evidence(found: DataFrame, specs: DataFrame, standards: int = 3) -> DataFrame:
+    """gaps() with `evidence`: the first specification of the tender's first standards whose property holds the parameter or is held by it; null without one. specs has (tender_id, spec_ord, standard_id, property, value, unit)."""
+    near = first_standards(specs, standards)
+    prop = F.lower(text("property"))
+    told = F.concat_ws("", F.lit("IS "), "standard_id", F.lit(" — "), "property", F.lit(": "), "value", F.lit(" "), "unit")
+    # once a property: its first specification says the same for every parameter
+    near = near.groupBy("tender_id", prop.alias("prop")).agg(F.min(F.struct("spec_ord", told.alias("told"))).alias("e"))
+    hits = found.join(near, "tender_id").where(F.contains("prop", F.col("parameter")) | F.contains(F.col("parameter"), F.col("prop")))
+    best = hits.groupBy("tender_id", "parameter", "severity").agg(F.min("e")["told"].alias("evidence"))
+    return found.join(best, ["tender_id", "parameter", "severity"], "left")
+
+
 # Vague wording and how grave it is.
 VAGUE = (
     ("approximately|approx|about|around|roughly", "approximate", "warning"),
@@ -141,6 +162,14 @@ def traceable(reqs: DataFrame) -> DataFrame:
     return reqs.select("tender_id", F.posexplode(F.concat(*parts)).alias("ord", "p")).select("tender_id", "ord", "p.name", "p.value")
 
 
+def overridden(matches: DataFrame, compared: DataFrame) -> DataFrame:
+    """best_match() with the status that the comparison of the same parameter gives, where it has one."""
+    c = compared.select("tender_id", F.lower("requirement").alias("key"), F.col("status").alias("told"))
+    out = matches.withColumn("key", F.lower("name")).join(c, ["tender_id", "key"], "left").drop("key")
+    told = F.when(F.col("told") == "MATCH", "supported").when(F.col("told") == "MISMATCH", "conflict").when(F.col("told") == "TENDER_NOT_SPECIFIED", "review_required")
+    return out.withColumn("status", F.coalesce(told, "status")).drop("told")
+
+
 def best_match(params: DataFrame, specs: DataFrame) -> DataFrame:
     """The best clause of a tender's recommended standards for each parameter, and how well it supports it.
 
@@ -150,7 +179,8 @@ def best_match(params: DataFrame, specs: DataFrame) -> DataFrame:
     """
     # what a row says is worked out before the rows are paired
     own = params.withColumn("p_name", F.lower("name")).withColumn("p_value", F.lower("value")).withColumn("p_number", first_number(F.lower("value")))
-    theirs = specs.select("tender_id", "spec_ord", "spec_id", F.lower(text("property")).alias("s_property"), F.lower(text("value")).alias("s_value"), first_number(F.lower(text("value"))).alias("s_number"))
+    theirs = specs.groupBy("tender_id", F.lower(text("property")).alias("s_property"), F.lower(text("value")).alias("s_value")).agg(F.min(F.struct("spec_ord", "spec_id")).alias("s"))
+    theirs = theirs.select("tender_id", "s.*", "s_property", "s_value", first_number(F.col("s_value")).alias("s_number"))
     both = own.join(theirs, "tender_id", "left")
     name, value, prop, other, a, b = (F.col(c) for c in ("p_name", "p_value", "s_property", "s_value", "p_number", "s_number"))
     score = F.when(F.contains(prop, name), 3).otherwise(0)

@@ -22,6 +22,18 @@ def spec_page(specs: DataFrame, category: str, needle: str, order: str, page: in
     return found.orderBy(F.lower(F.col(order).cast("string")), "spec_id").offset(page * size).limit(size)
 
 
+def requirements_with(reqs: DataFrame, needle: str) -> DataFrame:
+    """Requirements with the needle in one of five fields."""
+    return search_any(reqs, needle, ["product", "material", "application", "capacity", "full_text"])
+
+
+def evidence_cards(specs: DataFrame, needle: str = "") -> DataFrame:
+    """(spec_id, section, page, card) of specifications as short texts, those with the needle in text, section or page."""
+    card = F.concat_ws(" ", F.concat("property", F.lit(":")), "value", F.nullif("unit", F.lit("")))
+    rows = specs.select("spec_id", F.col("property").alias("section"), "page", card.alias("card"))
+    return search_any(rows, needle, ["card", "section", "page"]) if needle else rows
+
+
 def tests_only(specs: DataFrame) -> DataFrame:
     return search_any(specs, "test", ["property", "condition"])
 

@@ -367,4 +367,4 @@ def inc_03_status_counts(s, d):
 
 @query("SELECT path FROM files ORDER BY path LIMIT 50")
 def inc_04_first_n(s, d):
-    return t(s, d, "files").select("path").orderBy("path").limit(50)
+    return ingest.first_n(t(s, d, "files").select("path"), 50)
