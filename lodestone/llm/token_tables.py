@@ -197,7 +197,7 @@ def _write(folder: str, path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard = TaskContext.get().partitionId()
         system, base = fs.FileSystem.from_uri(folder)
-        final, draft = f"shard-{shard:06d}.sst", f".shard-{shard:06d}-{uuid.uuid4().hex}"
+        name = f"shard-{shard:06d}-{uuid.uuid4().hex}.sst"  # an attempt's own; the manifest names those of the attempts that count
         w = out = None
         first = last = b""
         for b in batches:
@@ -206,7 +206,7 @@ def _write(folder: str, path: str, end_id: int):
                     encoder = words(path)
                     width = 2 if len(encoder.names) <= 1 << 16 else 4
                     system.create_dir(base, recursive=True)
-                    out = system.open_output_stream(f"{base}/{draft}")
+                    out = system.open_output_stream(f"{base}/{name}")
                     w = Writer(out, width)
                     first = key_of(part.column("doc_id")[0].as_py())
                 ids, offsets, _ = encoder.encode(part.column("text"))
@@ -219,9 +219,8 @@ def _write(folder: str, path: str, end_id: int):
         w.close()
         out.close()
         pa.default_memory_pool().release_unused()  # many short tasks may leave idle workers behind; they should be small
-        system.move(f"{base}/{draft}", f"{base}/{final}")  # a task that runs again puts the same file in place
         yield pa.RecordBatch.from_pydict(
-            {"shard": pa.array([shard], pa.int32()), "path": [f"{folder}/{final}"], "n_docs": [w.entries], "n_ids": [w.ids], "first_key": pa.array([first], pa.binary()), "last_key": pa.array([last], pa.binary())}
+            {"shard": pa.array([shard], pa.int32()), "path": [f"{folder}/{name}"], "n_docs": [w.entries], "n_ids": [w.ids], "first_key": pa.array([first], pa.binary()), "last_key": pa.array([last], pa.binary())}
         )
 
     return run
@@ -233,6 +232,8 @@ def write(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str =
     Integer identifiers, nulls first; repeated identifiers and rows all stay,
     ordered by a hash of their texts. A null text is its end id alone. An empty
     table writes no shard. The folder is any URI that Arrow opens everywhere.
+    Nothing is renamed: a task that runs again or twice writes a file of its
+    own, and only files that the manifest names are part of the table.
     """
     path = path or tokenizer_path()
     df = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).repartitionByRange(F.col("doc_id").asc_nulls_first())

@@ -286,6 +286,14 @@ def test_token_tables_odd(spark, odd, empty):
     assert token_tables.read(token_tables.write(empty, new_folder(spark, "test"))).count() == 0
 
 
+def test_token_tables_attempts_keep_apart(spark, docs, odd):
+    folder = new_folder(spark, "test")
+    first, second = token_tables.write(docs, folder), token_tables.write(odd, folder)
+    assert not {r.path for r in first.collect()} & {r.path for r in second.collect()}
+    assert token_tables.read(first).count() == docs.count()
+    assert token_tables.read(second).count() == odd.count()
+
+
 # -- suffixes
 
 
