@@ -189,22 +189,28 @@ def duplicate_frequency(figures: DataFrame, pages: DataFrame) -> DataFrame:
 
 
 def scored_figures(f: DataFrame) -> DataFrame:
-    """Adds score, rejected and confirmed from frequency, place on the page (y0, y1 as shares), width, height, caption and section."""
+    """Adds score, rejected and confirmed from frequency, place on the page (y0, y1 as shares), width, height, caption and section.
+
+    A slice of a scan is nearly as wide as its page (page_width and page_height, where f has them, else an A4 page in points) and low.
+    """
+    page = lambda name, usual: F.coalesce(F.col(name), F.lit(usual)) if name in f.columns else F.lit(usual)
     area, aspect = F.col("width") * F.col("height"), F.col("width") / F.col("height")
     band = (F.col("y1") < 0.12) | (F.col("y0") > 0.90)
     when = lambda c, v: F.when(c, v).otherwise(0.0)
     s = F.lit(0.5) + when(F.col("frequency") > 0.35, -0.4) + when(band, -0.25) + when(band & (F.col("frequency") > 0.2), -0.2)
     s = s + when(area < 2500, -0.3) + when(area > 80000, 0.15)
     s = s + F.when((aspect > 15), -0.40).when(aspect > 10, -0.30).when(aspect > 8, -0.15).otherwise(0.0)
+    strip = (F.col("width") > 0.85 * page("page_width", 595.0)) & (F.col("height") < 0.15 * page("page_height", 842.0)) & (F.col("height") < 150)
+    s = s + when(strip, -0.35)
     s = s + when((F.col("width") < 100) & (F.col("height") < 100) & ~F.col("caption"), -0.25) + F.when(F.col("caption"), 0.35).otherwise(-0.05) + when(F.col("in_section"), 0.10)
-    f = f.withColumn("raw", s)
+    f = f.withColumn("raw", s).withColumn("strip", strip)
     override = F.col("caption") & (area > 15000)
     rejected = ~override & ((F.col("raw") < 0.35) | (F.col("frequency") > 0.35) & band | (area < 2500) & ~F.col("caption"))
     f = f.join(f.groupBy("doc_id", "page").agg((F.count("*") > 8).alias("crowd")), ["doc_id", "page"])
     crowd = F.col("crowd")
-    rejected = rejected | crowd & ~F.col("caption")
+    rejected = rejected | (crowd | F.col("strip")) & ~F.col("caption")
     score = rounded(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("raw"))), 3)
-    f = f.withColumn("rejected", rejected).withColumn("score", F.when(crowd & ~F.col("caption"), F.least(score, F.lit(0.30))).otherwise(score)).drop("raw", "crowd")
+    f = f.withColumn("rejected", rejected).withColumn("score", F.when(crowd & ~F.col("caption"), F.least(score, F.lit(0.30))).otherwise(score)).drop("raw", "crowd", "strip")
     return f.withColumn("confirmed", (F.col("score") >= 0.45) & (~F.col("rejected") | F.col("caption")))
 
 

@@ -53,6 +53,13 @@ def outcomes(docs: DataFrame, failures: DataFrame) -> DataFrame:
     return out.select("doc_id", F.when(F.col("fatal"), "FAILED").when(F.col("part"), "PARTIAL").otherwise("SUCCESS").alias("status"), "warnings")
 
 
+def manifest(docs: DataFrame, children: dict[str, DataFrame], key: str = "standard_id") -> DataFrame:
+    """The documents with a count a kind of children: a row a document, also without any. Children are counted before they are joined."""
+    for name, child in children.items():
+        docs = docs.join(child.groupBy(key).agg(F.count("*").alias(name)), key, "left").withColumn(name, F.coalesce(name, F.lit(0)))
+    return docs
+
+
 def unseen(files: DataFrame, stored: DataFrame, key: str = "sha") -> DataFrame:
     return files.join(stored.select(key), key, "left_anti")
 

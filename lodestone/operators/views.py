@@ -50,6 +50,11 @@ def tender_status(status: Column, tender: Column) -> Column:
     return F.when(F.lower(F.trim(text(tender))).isin("", "not specified"), "TENDER_NOT_SPECIFIED").otherwise(status)
 
 
+def split_counts(df: DataFrame, by: str, column: str, values: list[str]) -> DataFrame:
+    """A row a key of how many of its rows have each of the values, a column a value; other values count nowhere."""
+    return df.groupBy(by).agg(*[F.count_if(F.col(column).eqNullSafe(F.lit(v))).alias(v) for v in values])
+
+
 def toggled(events: DataFrame, by: list[str], order: str) -> DataFrame:
     """Keys that an odd number of toggles left on."""
     return events.groupBy(*by).agg(F.count("*").alias("n"), F.max(order).alias("last")).where("n % 2 = 1")

@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from lodestone import config
 from lodestone.operators import analysis, extract, graph, ingest, search, sections, standards, tender, views
-from lodestone.plans.analytics import FIRST, MATCH, REQ, SP, STATUS, _reqs, _specs
+from lodestone.plans.analytics import FIRST, GAPS, MATCH, REQ, SP, STATUS, _reqs, _specs
 from lodestone.plans.fixtures import table as t
+from lodestone.plans.texts import FREQUENCY, SCORED
 
 QUERIES, SQL = {}, {}
 
@@ -234,3 +235,35 @@ def ui_02_requirements(s, d):
 @query("SELECT spec_id, section, page, card FROM (SELECT spec_id, property AS section, page, property || ': ' || value || ' ' || unit AS card FROM specs) WHERE contains(lower(card), '7') OR contains(lower(section), '7') OR contains(page::VARCHAR, '7')")
 def ui_03_evidence_cards(s, d):
     return views.evidence_cards(t(s, d, "specs"), "7")
+
+
+# pictures wide enough for slices of a scan
+WIDE = SCORED.replace(FREQUENCY, FREQUENCY.replace("SELECT *,", "SELECT * REPLACE (width * 1.5::DOUBLE AS width),"))
+
+
+@query(f"WITH {WIDE} SELECT figure_id, standard_id, strip, rejected, score FROM e")
+def fig_06_slices(s, d):
+    f = t(s, d, "figures").withColumn("width", F.col("width") * 1.5)
+    f = extract.duplicate_frequency(f, f.select("doc_id").distinct().withColumn("n_pages", F.lit(700.0).cast("double")))
+    strip = (F.col("width") > 0.85 * 595) & (F.col("height") < 0.15 * 842)
+    return extract.scored_figures(f).select("figure_id", "standard_id", strip.alias("strip"), "rejected", "score")
+
+
+@query(f"WITH {MATCH}, own AS (SELECT tender_id, score >= 2 AS ok FROM bm) SELECT tender_id, count(*) FILTER (ok) AS supported, count(*) FILTER (NOT ok) AS requires_input FROM own GROUP BY 1")
+def ui_08_spec_split(s, d):
+    p, sp = tender.traceable(_reqs(s, d)), _specs(s, d)
+    x = analysis.specification(p, tender.best_match(p, sp), sp).where("status <> 'additional'")
+    return views.split_counts(x, "tender_id", "status", ["supported", "requires_input"])
+
+
+@query(f"WITH {REQ}, {GAPS} SELECT tender_id, count(*) FILTER (x LIKE '%|critical') AS critical, count(*) FILTER (x LIKE '%|important') AS important, 0::BIGINT AS info FROM g WHERE x IS NOT NULL GROUP BY 1")
+def ui_08_gaps_by_tender(s, d):
+    return views.split_counts(tender.gaps(_reqs(s, d)), "tender_id", "severity", ["critical", "important", "info"])
+
+
+@query("""SELECT s.standard_id, title, edition_year, coalesce(a.n, 0) AS specifications, coalesce(b.n, 0) AS figures, coalesce(c.n, 0) AS chunks FROM standards s
+LEFT JOIN (SELECT standard_id, count(*) AS n FROM specs GROUP BY 1) a USING (standard_id) LEFT JOIN (SELECT standard_id, count(*) AS n FROM figures GROUP BY 1) b USING (standard_id)
+LEFT JOIN (SELECT standard_id, count(*) AS n FROM chunks GROUP BY 1) c USING (standard_id)""")
+def src_15_manifest(s, d):
+    docs = t(s, d, "standards").select("standard_id", "title", "edition_year")
+    return ingest.manifest(docs, {"specifications": t(s, d, "specs"), "figures": t(s, d, "figures"), "chunks": t(s, d, "chunks")})

@@ -332,10 +332,10 @@ def fig_03_dup_freq(s, d):
     return _figures(s, d).select("figure_id", "standard_id", "frequency")
 
 
-SCORED = FREQUENCY + """, a AS (SELECT *, (y1 < 0.12 OR y0 > 0.90) AS band, width * height AS area, width / height AS aspect, count(*) OVER (PARTITION BY doc_id, page) > 8 AS crowd FROM f),
+SCORED = FREQUENCY + """, a AS (SELECT *, (y1 < 0.12 OR y0 > 0.90) AS band, width * height AS area, width / height AS aspect, count(*) OVER (PARTITION BY doc_id, page) > 8 AS crowd, (width > 0.85::DOUBLE * 595 AND height < 0.15::DOUBLE * 842 AND height < 150) AS strip FROM f),
 b AS (SELECT *, 0.5::DOUBLE + (CASE WHEN frequency > 0.35 THEN -0.4::DOUBLE ELSE 0 END) + (CASE WHEN band THEN -0.25::DOUBLE ELSE 0 END) + (CASE WHEN band AND frequency > 0.2 THEN -0.2::DOUBLE ELSE 0 END) + (CASE WHEN area < 2500 THEN -0.3::DOUBLE ELSE 0 END) + (CASE WHEN area > 80000 THEN 0.15::DOUBLE ELSE 0 END)
- + (CASE WHEN aspect > 15 THEN -0.4::DOUBLE WHEN aspect > 10 THEN -0.3::DOUBLE WHEN aspect > 8 THEN -0.15::DOUBLE ELSE 0 END) + (CASE WHEN width < 100 AND height < 100 AND NOT caption THEN -0.25::DOUBLE ELSE 0 END) + (CASE WHEN caption THEN 0.35::DOUBLE ELSE -0.05::DOUBLE END) + (CASE WHEN in_section THEN 0.1::DOUBLE ELSE 0 END) AS raw FROM a),
-c AS (SELECT *, (NOT (caption AND area > 15000) AND (raw < 0.35 OR (frequency > 0.35 AND band) OR (area < 2500 AND NOT caption))) OR (crowd AND NOT caption) AS rejected, floor(greatest(0, least(1, raw)) * 1000.0::DOUBLE + 0.5::DOUBLE) / 1000.0::DOUBLE AS s FROM b),
+ + (CASE WHEN aspect > 15 THEN -0.4::DOUBLE WHEN aspect > 10 THEN -0.3::DOUBLE WHEN aspect > 8 THEN -0.15::DOUBLE ELSE 0 END) + (CASE WHEN strip THEN -0.35::DOUBLE ELSE 0 END) + (CASE WHEN width < 100 AND height < 100 AND NOT caption THEN -0.25::DOUBLE ELSE 0 END) + (CASE WHEN caption THEN 0.35::DOUBLE ELSE -0.05::DOUBLE END) + (CASE WHEN in_section THEN 0.1::DOUBLE ELSE 0 END) AS raw FROM a),
+c AS (SELECT *, (NOT (caption AND area > 15000) AND (raw < 0.35 OR (frequency > 0.35 AND band) OR (area < 2500 AND NOT caption))) OR ((crowd OR strip) AND NOT caption) AS rejected, floor(greatest(0, least(1, raw)) * 1000.0::DOUBLE + 0.5::DOUBLE) / 1000.0::DOUBLE AS s FROM b),
 e AS (SELECT *, CASE WHEN crowd AND NOT caption THEN least(s, 0.3::DOUBLE) ELSE s END AS score FROM c)"""
 
 

@@ -12,17 +12,20 @@ from lodestone.operators.ingest import content_hash, unseen
 
 
 def ingest(spark: SparkSession, source: str, schema: str, stored: str, checkpoint: str, sink: Callable[[DataFrame], None]) -> StreamingQuery:
-    """Every batch of new files: rows whose text isn't stored yet, once each, go to the sink and their hashes to `stored`.
+    """Every batch of new files: rows whose text isn't stored yet, once each, are stored, the table a partition a batch, and go to the sink from there.
 
-    A batch that runs again after a failure finds its hashes stored and adds nothing.
+    The stored table is the manifest: all columns, `sha` and `batch`. A batch that
+    runs again after a failure replaces its own partition and is compared with the
+    other ones only, so that it stores and hands on the rows of its first run; a
+    sink that replaces what it has of a `batch` has every text once.
     """
 
     def batch(df: DataFrame, n: int) -> None:
         new = df.withColumn("sha", content_hash("text")).dropDuplicates(["sha"])
-        known = spark.read.schema("sha string").parquet(stored) if _exists(spark, stored) else spark.createDataFrame([], "sha string")
-        fresh = unseen(new, known)
-        sink(fresh)
-        fresh.select("sha").write.mode("append").parquet(stored)
+        known = spark.read.schema("sha string, batch bigint").parquet(stored).where(F.col("batch") != n) if _exists(spark, stored) else spark.createDataFrame([], "sha string")
+        part = f"{stored.rstrip('/')}/batch={n}"
+        unseen(new, known).write.mode("overwrite").parquet(part)
+        sink(spark.read.schema(new.schema).parquet(part).withColumn("batch", F.lit(n).cast("bigint")))
 
     stream = spark.readStream.schema(schema).parquet(source)
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
