@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import staged, table
+from ._common import slices, staged, table
 from ._graph import components
 
 DISTANCE = 4
@@ -36,27 +36,34 @@ BLOCKS = 7
 SEED = 42
 
 
-def fingerprint(text: bytes) -> int:
-    """Unsigned 64-bit SimHash of the text's word shingles; words are split at ASCII white space and A-Z lower-cased."""
+def hashes(text: bytes, shingle: int = SHINGLE) -> tuple[bytes, np.ndarray]:
+    """The text's words, joined by spaces, and the XXH64 of their shingles; words are split at ASCII white space and A-Z lower-cased. Fewer words than a shingle has are one shingle."""
     import xxhash
 
     words = text.lower().split()  # on bytes: A-Z only, and space and \x09-\x0D only
-    if not words:
-        return 0
     buf, of = b" ".join(words), xxhash.xxh64_intdigest
-    if len(words) <= SHINGLE:
-        hashes = [of(buf, SEED)]
+    if len(words) <= shingle:
+        found = [of(buf, SEED)] if words else []
     else:
         size = np.fromiter(map(len, words), np.int64, len(words))
         end = np.cumsum(size + 1) - 1
-        hashes = [of(buf[a:b], SEED) for a, b in zip((end - size)[: 1 - SHINGLE].tolist(), end[SHINGLE - 1 :].tolist())]
-    h = np.array(hashes, np.uint64)
+        found = [of(buf[a:b], SEED) for a, b in zip((end - size)[: 1 - shingle].tolist(), end[shingle - 1 :].tolist())]
+    return buf, np.array(found, np.uint64)
+
+
+def majority(h: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes."""
     ones = np.zeros(64, np.int64)
     for at in range(0, len(h), 1 << 16):
         ones += np.unpackbits(h[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int((np.left_shift(np.uint64(1), np.arange(64, dtype=np.uint64))[2 * ones > len(h)]).sum(dtype=np.uint64)) if len(h) else 0
 
 
+def fingerprint(text: bytes) -> int:
+    """Unsigned 64-bit SimHash of the text's word shingles."""
+    return majority(hashes(text)[1])
+
+
 def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         of = [fingerprint(x or b"") for x in b.column("text").cast(pa.binary()).to_pylist()]
@@ -122,6 +129,141 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return fps.join(of, "fp").select("doc_id", "fp", "component_id")
 
 
+# -- texts of a similarity, by several fingerprints
+
+WORDS = 5
+SIMILARITY = 0.8
+FINGERPRINTS = 3
+FAR = 36
+"""Of the 192 bits of three fingerprints; texts of a similarity of 0.8 differ in about 25, with a deviation of 5."""
+
+
+def again(h: np.ndarray, turn: int) -> np.ndarray:
+    """Other hashes of what h are hashes of; for turn 0 h itself."""
+    if turn:
+        h = h ^ np.uint64(0x9E3779B97F4A7C15 * turn % 2**64)
+        for shift, by in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            h = (h ^ (h >> np.uint64(shift))) * np.uint64(by)
+        h = h ^ (h >> np.uint64(31))
+    return h
+
+
+def wide_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = WORDS, fingerprints: int = FINGERPRINTS) -> DataFrame:
+    """doc_id, node (a hash of the text's words in order), size (its different shingles) and f0, f1, ...: SimHashes of its set of shingles by different hashes."""
+    kind = docs.schema[id_col].dataType.simpleString()
+    names = [f"f{i}" for i in range(fingerprints)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        for b in batches:
+            rows = []
+            for x in b.column("text").cast(pa.binary()).to_pylist():
+                buf, h = hashes(x or b"", shingle)
+                h = np.unique(h)
+                rows.append((xxhash.xxh64_intdigest(buf, SEED), len(h), *(majority(again(h, i)) for i in range(fingerprints))))
+            of = np.array(rows, np.uint64).reshape(-1, 2 + fingerprints).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(of[:, i]) for i in range(2 + fingerprints))], names=["doc_id", "node", "size", *names])
+
+    schema = ", ".join([f"doc_id {kind}", "node bigint", "size bigint", *(f"{x} bigint" for x in names)])
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
+
+
+def _shingle_sets(texts: DataFrame, shingle: int) -> DataFrame:
+    """(node, set) of a column of texts; set has the text's different shingles, as hashes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        for batch in batches:
+            for b in slices(batch, "text"):
+                of = [hashes(x or b"", shingle) for x in b.column("text").cast(pa.binary()).to_pylist()]
+                nodes = np.array([xxhash.xxh64_intdigest(buf, SEED) for buf, _ in of], np.uint64).view(np.int64)
+                sets = pa.array([np.unique(h).view(np.int64) for _, h in of], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([pa.array(nodes), sets], names=["node", "set"])
+
+    return texts.mapInArrow(run, "node bigint, set array<bigint>").groupBy("node").agg(F.any_value("set").alias("set"))
+
+
+def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = WORDS, similarity: float = SIMILARITY, fingerprints: int = FINGERPRINTS, far: int = FAR, distance: int = DISTANCE, blocks: int = BLOCKS) -> DataFrame:
+    """One row per document row: doc_id, node (a hash of its words), component_id, the smallest doc_id of the documents reachable by links.
+
+    Texts link if the Jaccard similarity of their sets of word shingles is
+    `similarity` or more, as counted on the sets themselves. Candidates share a
+    pigeonhole key of one of several fingerprints and differ in at most `far`
+    bits of all. A fingerprint's keys meet each pair within `distance` bits and
+    many beyond, so the more fingerprints the fewer pairs are missed; the README
+    has the share. Equal word sequences are one node. Pairs are verified
+
+    1. of each node the closest of its keys' centres,
+    2. of two components that share a key the closest pair,
+    3. of components that are still apart all pairs,
+
+    so that dense groups are joined before they would be paired out.
+
+    Null, empty and blank texts are one node, linked with no other; texts of
+    fewer words than a shingle link with equal ones only. Repeated rows and equal
+    doc_ids stay as they are. A null doc_id is never a component's smallest
+    unless all are null. An empty table gives no rows.
+    """
+    names = [f"f{i}" for i in range(fingerprints)]
+    fps = staged(wide_fingerprints(docs, id_col, text_col, shingle, fingerprints), "similar")
+    nodes = staged(fps.groupBy("node").agg(F.min("doc_id").alias("low"), *(F.any_value(x).alias(x) for x in ("size", *names))), "similar-nodes")
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        """Of staged pairs (a, b, ...) those whose texts are similar."""
+        asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "low"), "node")
+        # one document of a node will do; others of its doc_id do no harm
+        sets = staged(_shingle_sets(texts.join(asked.select("low").distinct(), F.col("doc_id").eqNullSafe(F.col("low")), "left_semi").select("text"), shingle), "similar-sets")
+        both = pairs.join(sets.toDF("a", "set_a"), "a").join(sets.toDF("b", "set_b"), "b").withColumn("common", F.size(F.array_intersect("set_a", "set_b")))
+        return both.where(F.col("common") / (F.size("set_a") + F.size("set_b") - F.col("common")) >= similarity).drop("set_a", "set_b", "common")
+
+    def marked(end: str) -> DataFrame:
+        return nodes.select(F.col("node").alias(end), F.struct("size", *names).alias(f"of_{end}"))
+
+    apart = sum((F.bit_count(F.col(f"of_a.{x}").bitwiseXOR(F.col(f"of_b.{x}"))) for x in names), F.lit(0))
+    close = (apart <= far) & (F.least("of_a.size", "of_b.size") >= similarity * F.greatest("of_a.size", "of_b.size"))
+
+    turns = nodes.where("size > 0").select("node", F.explode(F.array(*[F.struct(F.lit(i).alias("turn"), F.col(x).alias("fp")) for i, x in enumerate(names)])).alias("x"))
+    each = turns.select("node", "x.turn", F.explode(keys(F.col("x.fp"), blocks, distance)).alias("key"))
+    keyed = each.select(F.xxhash64("turn", "key.k", "key.bits").alias("key"), "node")
+    # the greatest node, so that keys of one dense group mostly have the same centre
+    centre = keyed.groupBy("key").agg(F.max("node").alias("centre"), F.count("*").alias("members")).where("members > 1")
+    shared = staged(keyed.join(centre.select("key", "centre"), "key"), "similar-keys")
+
+    met = shared.where("node <> centre").select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct().join(marked("a"), "a").join(marked("b"), "b")
+    closest = met.where(close).groupBy("a").agg(F.min_by("b", F.struct(apart, "b")).alias("b"))
+    root = staged(components(verified(staged(closest, "similar-closest")), "a", "b"), "similar-first")
+
+    rooted = shared.select("key", "node").join(root, "node", "left").select("key", F.col("node"), F.coalesce("root", "node").alias("root"))
+    rooted = staged(rooted, "similar-rooted")
+    largest = rooted.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("root", "n").alias("largest"), F.count("*").alias("roots")).where("roots > 1")
+    mixed = rooted.join(largest.select("key", "largest"), "key").select("key", "largest", "root", F.col("node").alias("a"))
+    mixed = staged(mixed.join(marked("a"), "a"), "similar-mixed")
+
+    def across(mixed: DataFrame) -> DataFrame:
+        """Close pairs of different components: the ends, a key's largest component on one side only."""
+        outside = mixed.where("first <> largest").select("key", F.col("a").alias("b"), F.col("of_a").alias("of_b"), F.col("root").alias("root_b"))
+        return mixed.join(outside, "key").where((F.col("root") != F.col("root_b")) & close)
+
+    ends = F.struct(F.least("root", "root_b").alias("u"), F.greatest("root", "root_b").alias("v"))
+    pairs = across(mixed.withColumn("first", F.col("root"))).groupBy(ends.alias("ends")).agg(F.min_by(F.struct("a", "b"), F.struct(apart, "a", "b")).alias("pair"))
+    second = staged(components(verified(staged(pairs.select("ends.u", "ends.v", "pair.a", "pair.b"), "similar-second")), "u", "v"), "similar-joined")
+
+    rest = mixed.withColumnRenamed("root", "first").join(second.toDF("first", "root"), "first", "left").withColumn("root", F.coalesce("root", "first"))
+    pairs = across(rest).groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.any_value(ends).alias("ends"))
+    third = staged(components(verified(staged(pairs.select("ends.u", "ends.v", "a", "b"), "similar-third")), "u", "v"), "similar-rest")
+
+    final = nodes.select("node", "low").join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    for more in (second, third):
+        final = final.join(more.toDF("root", "next"), "root", "left").select("node", "low", F.coalesce("next", "root").alias("root"))
+    final = staged(final, "similar-roots")
+    least = final.groupBy("root").agg(F.min("low").alias("component_id"))
+    of = staged(final.select("node", "root").join(least, "root").select("node", "component_id"), "similar-components")
+    return fps.join(of, "node").select("doc_id", "node", "component_id")
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = near_duplicates(table(spark, sf_dir, "documents"))
     return rows.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -25,7 +25,7 @@ def test_stages_on_odd_rows(spark, odd, data):
 def test_run(spark, data):
     docs = spark.read.parquet(f"{data}/documents.parquet")
     kept = c.near_duplicates(spark, docs, data)
-    groups = {r.component_id for r in c.simhash.near_duplicates(docs).collect()}
+    groups = {r.component_id for r in c.simhash.similar(docs).collect()}
     assert {r.doc_id for r in kept.select("doc_id").collect()} == groups
     clean = c.secret_scan(spark, docs, data).where("text RLIKE '[0-9a-f]{16}'")
     assert clean.count() == 0

@@ -1,5 +1,6 @@
 import hashlib
 import random
+import re
 import zlib
 from collections import defaultdict
 
@@ -216,6 +217,52 @@ def test_simhash_odd(odd, empty):
     assert simhash.near_duplicates(empty).count() == 0
 
 
+def test_similar_texts(spark):
+    rng = random.Random(11)
+    vocab = ["".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(400)]
+    texts = []
+
+    def changed(words, times):
+        words = list(words)
+        for _ in range(times):
+            words[rng.randrange(len(words))] = rng.choice(vocab)
+        return words
+
+    for _ in range(60):  # pairs of all similarities, chains, and a dense group
+        base = rng.choices(vocab, k=rng.choice([40, 150, 400]))
+        texts += [base, changed(base, rng.randint(1, len(base) // 18))]
+    dense = rng.choices(vocab, k=200)
+    texts += [changed(dense, rng.randint(0, 4)) for _ in range(150)]
+    for _ in range(12):
+        texts.append(changed(texts[-1], 5))
+    texts = [" ".join(t) for t in texts] + [None, "", " \n", "four words are here", "Four  words are here", "four words are there", " ".join(dense).upper()]
+    sets = []
+    for t in texts:
+        w = re.findall(r"[^\x20\x09-\x0D]+", (t or "").lower())
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    near = [(i, j) for i in range(len(sets)) for j in range(i) if sets[i] | sets[j] and len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.8]
+    blank = [i for i, x in enumerate(sets) if not x]
+    want = brute_components(near + [(blank[0], b) for b in blank[1:]], range(len(texts)))
+    df = spark.createDataFrame([(i, t, 1, 1) for i, t in enumerate(texts)], "doc_id bigint, text string, node int, key int")
+    got = {r.doc_id: r.component_id for r in simhash.similar(df).collect()}
+    assert set(got) == set(want)
+    # nothing is linked that isn't by brute force; few links are missed, none of 0.95 or more
+    assert all(want[i] == want[c] for i, c in got.items())
+    assert all(got[i] == got[j] for i, j in near if len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.95)
+    assert sum(got[i] == got[j] for i, j in near) >= 0.9 * len(near)
+    # with keys of one block hardly a pair is without a shared one, so that the rounds have to find every link
+    every = {r.doc_id: r.component_id for r in simhash.similar(df, distance=6, blocks=7, fingerprints=4, far=256).collect()}
+    assert every == want
+
+
+def test_similar_odd(odd, empty):
+    got = defaultdict(set)
+    for r in simhash.similar(odd).collect():
+        got[r.doc_id].add(r.component_id)
+    assert got[0] == got[1] == got[2] == got[None] == {0} and got[4] == {4} and got[5] == {5} and got[6] == {6}
+    assert simhash.similar(empty).count() == 0
+
+
 # -- BPE
 
 
