@@ -27,12 +27,12 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one row of each group: that with the smallest doc_id, of several texts of that doc_id the one with the smallest hash; of repeated rows, one. A null doc_id is kept where all of the group are null."""
+    """Keeps one row of each group of texts linked by a similarity of 0.8 or more of their sets of five-word shingles (`simhash.similar`): that with the smallest doc_id, of several texts of that doc_id the one with the smallest hash; of repeated rows, one. A null doc_id is kept where all of the group are null."""
     ready(spark)
     docs = docs.select(*COLUMNS)
     # a row is known by its doc_id and its text, as a doc_id may be null or name several texts
     key = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("hash"))
-    groups = simhash.near_duplicates(docs.select(key.alias("doc_id"), "text")).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    groups = simhash.similar(docs.select(key.alias("doc_id"), "text")).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     kept = groups.groupBy("component_id").agg(F.count("*").alias("n")).select(F.col("component_id.id").alias("id"), F.col("component_id.hash").alias("hash"), "n")
     rows = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("id")) & (F.xxhash64("text") == F.col("hash")))
     # rows of one doc_id and text differ in source or lang at most; the first stays
