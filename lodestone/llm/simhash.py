@@ -75,6 +75,13 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_batches, f"doc_id {kind}, fp bigint")
 
 
+def cut(blocks: int) -> list[int]:
+    """Masks of the blocks, as signed longs."""
+    cuts = [round(i * 64 / blocks) for i in range(blocks + 1)]
+    masks = [((1 << (b - a)) - 1) << a for a, b in zip(cuts, cuts[1:])]
+    return [m - (1 << 64) if m >> 63 else m for m in masks]
+
+
 def keys(fp: Column, blocks: int = BLOCKS, distance: int = DISTANCE) -> Column:
     """An array with a key for each choice of blocks - distance blocks: its number and the bits of those blocks."""
     cuts = [round(i * 64 / blocks) for i in range(blocks + 1)]
@@ -227,7 +234,11 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shi
 
     turns = nodes.where("size > 0").select("node", F.explode(F.array(*[F.struct(F.lit(i).alias("turn"), F.col(x).alias("fp")) for i, x in enumerate(names)])).alias("x"))
     each = turns.select("node", "x.turn", F.explode(keys(F.col("x.fp"), blocks, distance)).alias("key"))
-    keyed = each.select(F.xxhash64("turn", "key.k", "key.bits").alias("key"), "node")
+    # the key's last bits say its turn and the blocks it is made of
+    chosen = F.array(*[F.lit(sum(1 << i for i in x)).cast("long") for x in combinations(range(blocks), blocks - distance)])
+    named = F.shiftleft(F.col("turn").cast("long"), blocks).bitwiseOR(F.element_at(chosen, F.col("key.k").cast("int") + 1))
+    low = (fingerprints << blocks).bit_length()
+    keyed = each.select(F.shiftleft(F.xxhash64("key.k", "turn", "key.bits"), low).bitwiseOR(named).alias("key"), "node")
     # the greatest node, so that keys of one dense group mostly have the same centre
     centre = keyed.groupBy("key").agg(F.max("node").alias("centre"), F.count("*").alias("members")).where("members > 1")
     shared = staged(keyed.join(centre.select("key", "centre"), "key"), "similar-keys")
@@ -242,10 +253,24 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shi
     mixed = rooted.join(largest.select("key", "largest"), "key").select("key", "largest", "root", F.col("node").alias("a"))
     mixed = staged(mixed.join(marked("a"), "a"), "similar-mixed")
 
+    # a pair is met at the first of its keys alone: no earlier turn has enough equal blocks, and no equal block comes before the key's last one but the key's own
+    equal = [sum((F.when(F.col(f"of_a.{x}").bitwiseXOR(F.col(f"of_b.{x}")).bitwiseAND(F.lit(m).cast("long")) == 0, 1 << i).otherwise(0) for i, m in enumerate(cut(blocks))), F.lit(0)).cast("long") for x in names]
+    own, turn = F.col("key").bitwiseAND(F.lit((1 << blocks) - 1)), F.shiftright(F.col("key"), blocks).bitwiseAND(F.lit((1 << (low - blocks)) - 1))
+    upto = own
+    for by in (1, 2, 4, 8, 16):
+        upto = upto.bitwiseOR(F.shiftright(upto, by))
+    meets = F.lit(False)
+    for i, at in enumerate(equal):
+        before = [F.bit_count(x) < blocks - distance for x in equal[:i]]
+        here = (turn == i) & (at.bitwiseAND(upto) == own)
+        for x in before:
+            here = here & x
+        meets = meets | here
+
     def across(mixed: DataFrame) -> DataFrame:
-        """Close pairs of different components: the ends, a key's largest component on one side only."""
+        """Close pairs of different components, each once: a key's largest component is on one side only."""
         outside = mixed.where("first <> largest").select("key", F.col("a").alias("b"), F.col("of_a").alias("of_b"), F.col("root").alias("root_b"))
-        return mixed.join(outside, "key").where((F.col("root") != F.col("root_b")) & close)
+        return mixed.join(outside, "key").where((F.col("root") != F.col("root_b")) & ((F.col("first") == F.col("largest")) | (F.col("a") < F.col("b"))) & close & meets)
 
     ends = F.struct(F.least("root", "root_b").alias("u"), F.greatest("root", "root_b").alias("v"))
     pairs = across(mixed.withColumn("first", F.col("root"))).groupBy(ends.alias("ends")).agg(F.min_by(F.struct("a", "b"), F.struct(apart, "a", "b")).alias("pair"))
