@@ -1,6 +1,6 @@
 """The queries of this subpackage by name, and the SQL of those that SQL can express."""
 
-from . import bpe, decontamination, hard_negatives, html_text, langid, mixing, quality_rules, secrets, simhash, suffixes, token_tables, vectors
+from . import bpe, decontamination, hard_negatives, html_text, langid, mixing, quality_rules, secrets, simhash, suffixes, token_alignment, token_tables, vectors
 
 QUERIES = {
     "op1_mixing": mixing.query,
@@ -14,6 +14,7 @@ QUERIES = {
     "op9_simhash": simhash.query,
     "op10_html_text": html_text.query,
     "op11_hard_negatives": hard_negatives.query,
+    "op12_token_alignment": token_alignment.query,
     "op13_decontamination": decontamination.query,
 }
 SQL = {
