@@ -25,6 +25,7 @@ import re
 import uuid
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -39,8 +40,8 @@ BYTE_BPE = "byte_bpe_50k.json"
 PIECE_BPE = "piece_bpe_32k.model"
 BLOCK = 1 << 24
 """Bytes of text of a block; a longer text is a block of its own."""
-REMEMBERED = 150_000
-"""Units a worker remembers before it starts afresh; a bound on memory only."""
+REMEMBERED = 100_000
+"""A worker that knows more units after a block goes on with the commonest of it, of those that were in it more than once; a bound on memory only."""
 SPACE = "\\t-\\r\\x1c- \\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}"
 UNEVEN = f"^[{SPACE}]|[{SPACE}][ \\n]"
 """Texts with white space in a row, or at their start, are split by BREAK."""
@@ -56,6 +57,11 @@ def _offsets(counts: np.ndarray) -> np.ndarray:
     return np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)
 
 
+def _sums(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    total = np.concatenate([[0], np.cumsum(values, dtype=np.int64)])
+    return total[offsets[1:]] - total[offsets[:-1]]
+
+
 def coalesced(starts_a: np.ndarray, ends_a: np.ndarray, starts_b: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(group of each A interval, group of each B interval), from 0 in turn; intervals that overlap, at once or by others, share a group."""
     start, end = np.concatenate([starts_a, starts_b]), np.concatenate([ends_a, ends_b])
@@ -76,8 +82,47 @@ def overlaps(starts_a: np.ndarray, ends_a: np.ndarray, starts_b: np.ndarray, end
     return a, np.arange(len(a)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)
 
 
+class Known:
+    """What is known of units, by number: tokens of A and of B, groups and links (all 0 where bytes differ), groups as text, id pairs of the links."""
+
+    def __init__(self):
+        self.at: dict[str, int] = {}
+        self.numbers = np.zeros((0, 4), np.int64)
+        self.right = np.zeros(0, bool)
+        self.text: list[bytes] = []
+        self.pairs = np.zeros(0, np.int64)
+        self.bounds = np.zeros(1, np.int64)
+
+    def add(self, units: list[str], numbers: np.ndarray, right: np.ndarray, text: list[bytes], pairs: np.ndarray) -> None:
+        self.at.update(zip(units, range(len(self.at), len(self.at) + len(units))))
+        self.numbers = np.concatenate([self.numbers, numbers])
+        self.right = np.concatenate([self.right, right])
+        self.text += text
+        self.pairs = np.concatenate([self.pairs, pairs])
+        self.bounds = _offsets(self.numbers[:, 3])
+
+    def kept(self, units: np.ndarray) -> Known:
+        """Only the units of these numbers."""
+        names = list(self.at)
+        out = Known()
+        take, _ = _taken(self.bounds, units)
+        out.add([names[i] for i in units.tolist()], self.numbers[units], self.right[units], [self.text[i] for i in units.tolist()], self.pairs[take])
+        return out
+
+
+def _taken(bounds: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(places of the rows' entries, number of entries of each row)."""
+    n = bounds[rows + 1] - bounds[rows]
+    return np.arange(int(n.sum())) + np.repeat(bounds[rows] - (np.cumsum(n) - n), n), n
+
+
+def _flat(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    n = np.fromiter(map(len, lists), np.int64, len(lists))
+    return np.fromiter(chain.from_iterable(lists), np.int64, int(n.sum())), n
+
+
 class Pair:
-    """Both tokenizers, and what is known of units: (tokens of A, of B, groups, links, groups as text, id pairs of the links), None where bytes differ."""
+    """Both tokenizers and what is known of units."""
 
     def __init__(self, a_path: str, b_path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -97,11 +142,12 @@ class Pair:
         self.a_size, self.b_size = (np.array([len(x) for x in t], np.int64) for t in (self.a_bytes, self.b_bytes))
         whole = [x for i, x in enumerate(pieces) if not self.b.is_byte(i)]
         self.splits = not any("\n" in x or re.search("[^▁]▁", x) for x in whole) and [self.b_bytes[i] for i in self.b.encode("\n")] == [b" ", b"\n"]
-        self.known: dict[str, tuple | None] = {}
+        self.known = Known()
 
     def units(self, texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
         """(distinct units, units of all texts in turn by index, offsets of each text). A unit has its leading space; null and empty texts have none."""
-        texts = texts.cast(pa.large_string())
+        # copied, as kernels on lists misread a slice's offset
+        texts = pa.concat_arrays([texts.cast(pa.large_string()), pa.array([], pa.large_string())])
         some = pc.fill_null(pc.greater(pc.binary_length(texts), 0), False)
         even = pc.and_(some, pc.invert(pc.fill_null(pc.match_substring_regex(texts, UNEVEN), False))) if self.splits else pc.and_(some, False)
         words = pc.split_pattern(pc.replace_substring(pc.if_else(even, texts, pa.scalar(None, pa.large_string())), "\n", " \n"), " ")
@@ -126,16 +172,38 @@ class Pair:
             return a, self.b.encode([x[1:] for x in units], num_threads=1)
         return a, [x[2:] for x in self.b.encode(["\n" + x for x in units], num_threads=1)]
 
-    def learn(self, units: list[str]) -> None:
+    def each(self, units: list[str]) -> tuple[np.ndarray, ...]:
+        """(ids of A, tokens a unit, ids of B, tokens a unit, which units both spell byte for byte); the others have no tokens."""
         a, b = self.encoded(units)
-        join_a, join_b = self.a_bytes.__getitem__, self.b_bytes.__getitem__
-        right = [b"".join(map(join_a, x)) == raw and b"".join(map(join_b, y)) == raw for x, y, raw in zip(a, b, (u.encode() for u in units))]
-        self.known.update((u, None) for u, r in zip(units, right) if not r)
-        units, a, b = ([x for x, r in zip(xs, right) if r] for xs in (units, a, b))
-        if not units:
+        right = [b"".join(map(self.a_bytes.__getitem__, x)) == u == b"".join(map(self.b_bytes.__getitem__, y)) for x, y, u in zip(a, b, (u.encode() for u in units))]
+        a, b = ([x if r else [] for x, r in zip(xs, right)] for xs in (a, b))
+        return *_flat(a), *_flat(b), np.array(right, bool)
+
+    def joined(self, units: list[str]) -> tuple[np.ndarray, ...]:
+        """each() of units that don't end with white space: many are encoded as one text, which splits where they meet, and told apart by bytes. Where bytes differ, halves are tried until few are left."""
+        if len(units) <= 64:
+            return self.each(units)
+        raw = [u.encode() for u in units]
+        ends, whole = np.cumsum(np.fromiter(map(len, raw), np.int64, len(raw))), b"".join(raw)
+        texts = lambda n: ["".join(units[i : i + n]) for i in range(0, len(units), n)]
+        ids_a = _flat([x.ids for x in self.a.encode_batch_fast(texts(200), add_special_tokens=False)])[0]
+        ids_b = _flat([x[2:] for x in self.b.encode(["\n" + x for x in texts(10)], num_threads=1)])[0]
+        found = []
+        for ids, table, sizes in ((ids_a, self.a_bytes, self.a_size), (ids_b, self.b_bytes, self.b_size)):
+            stops = np.cumsum(sizes[ids])
+            last = np.searchsorted(stops, ends)
+            if len(stops) == 0 or last[-1] >= len(stops) or (stops[last] != ends).any() or b"".join(map(table.__getitem__, ids.tolist())) != whole:
+                half = len(units) // 2
+                return tuple(np.concatenate(x) for x in zip(self.joined(units[:half]), self.joined(units[half:])))
+            found += [ids, np.diff(last, prepend=-1)]
+        return *found, np.ones(len(units), bool)
+
+    def learn(self, units: list[str]) -> None:
+        ids_a, na, ids_b, nb, right = self.joined(units) if self.splits and not units[0][-1].isspace() else self.each(units)
+        numbers = np.zeros((len(units), 4), np.int64)
+        if not len(ids_a):
+            self.known.add(units, numbers, right, [b""] * len(units), np.zeros(0, np.int64))
             return
-        na, nb = (np.fromiter(map(len, x), np.int64, len(x)) for x in (a, b))
-        ids_a, ids_b = (np.fromiter((i for x in xs for i in x), np.int64, int(n.sum())) for xs, n in ((a, na), (b, nb)))
         ends_a, ends_b = np.cumsum(self.a_size[ids_a]), np.cumsum(self.b_size[ids_b])
         starts_a, starts_b = ends_a - self.a_size[ids_a], ends_b - self.b_size[ids_b]
         group_a, group_b = coalesced(starts_a, ends_a, starts_b, ends_b)
@@ -143,23 +211,26 @@ class Pair:
         link_a, link_b = overlaps(starts_a, ends_a, starts_b, ends_b)
         groups = int(group_a[-1]) + 1
         # both tokenizers end with each unit, so a group is of one unit
-        per_unit = np.bincount(unit_a[np.unique(group_a, return_index=True)[1]], minlength=len(units))
+        per_unit = np.bincount(unit_a[np.flatnonzero(np.diff(group_a, prepend=-1))], minlength=len(units))
         text = [pc.binary_join(_lists(_offsets(np.bincount(g, minlength=groups)), pa.array(ids).cast(pa.large_string())), COMMA) for ids, g in ((ids_a, group_a), (ids_b, group_b))]
         text = pc.binary_join(_lists(_offsets(per_unit), pc.binary_join_element_wise(*text, BAR)), SEMICOLON).cast(pa.large_binary()).to_pylist()
-        pairs = ids_a[link_a] << 32 | ids_b[link_b]
-        links = np.bincount(unit_a[link_a], minlength=len(units))
-        at = _offsets(links).tolist()
-        raw = pairs.tobytes()
-        for i, (u, x, y, g, n) in enumerate(zip(units, na.tolist(), nb.tolist(), per_unit.tolist(), links.tolist())):
-            self.known[u] = (x, y, g, n, text[i], raw[8 * at[i] : 8 * at[i + 1]])
-
-    def of(self, units: list[str]) -> list[tuple | None]:
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        fresh = [u for u in units if u not in self.known]
-        for at in range(0, len(fresh), 20_000):
-            self.learn(fresh[at : at + 20_000])
-        return [self.known[u] for u in units]
+        numbers[:] = np.stack([na, nb, per_unit, np.bincount(unit_a[link_a], minlength=len(units))], axis=1)
+        self.known.add(units, numbers, right, text, ids_a[link_a] << 32 | ids_b[link_b])
+
+    def numbered(self, units: list[str]) -> np.ndarray:
+        """The units' numbers in `known`; new ones are learned."""
+        at = self.known.at
+        fresh = [u for u in units if u not in at]
+        for part in ([u for u in fresh if not u[-1].isspace()], [u for u in fresh if u[-1].isspace()]):
+            for i in range(0, len(part), 50_000):
+                self.learn(part[i : i + 50_000])
+        return np.fromiter(map(at.__getitem__, units), np.int64, len(units))
+
+    def forget(self, units: np.ndarray, often: np.ndarray) -> None:
+        """After a block of these units, `often` times each."""
+        if len(self.known.at) > REMEMBERED:
+            order = np.argsort(-often, kind="stable")[:REMEMBERED]
+            self.known = self.known.kept(units[order[often[order] > 1]])
 
 
 @lru_cache(maxsize=2)
@@ -168,11 +239,6 @@ def pair(a_path: str, b_path: str) -> Pair:
     return Pair(a_path, b_path)
 
 
-def _sums(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    total = np.concatenate([[0], np.cumsum(values, dtype=np.int64)])
-    return total[offsets[1:]] - total[offsets[:-1]]
-
-
 DOC = "doc_id {ident}, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, groups_sha256 string"
 BLOCKS = "block string, docs array<struct<{doc}>>, words binary, offsets binary, links binary, bounds binary, pairs array<bigint>, counts array<int>"
 
@@ -180,20 +246,18 @@ BLOCKS = "block string, docs array<struct<{doc}>>, words binary, offsets binary,
 def _block(of: Pair, doc_id: pa.Array, texts: pa.Array) -> pa.RecordBatch:
     """The documents as one row: what is told of each, its units by index, the units' links by index of the pair, and the block's pairs in order with the numbers of its documents that have them."""
     names, index, offsets = of.units(texts)
-    seen = of.of(names)
-    wrong = np.array([x is None for x in seen], bool)
-    blank = (0, 0, 0, 0, b"", b"")
-    seen = [x or blank for x in seen]
+    units, known = of.numbered(names), of.known
+    wrong = ~known.right[units]
     if wrong.any():
         bad = _sums(wrong[index], offsets) > 0
         counts = np.diff(offsets)
         index, offsets = index[np.repeat(~bad, counts)], _offsets(np.where(bad, 0, counts))
-    numbers = np.array([x[:4] for x in seen], np.int64).reshape(-1, 4)
+    numbers = known.numbers[units]
     bounds = _offsets(numbers[:, 3])
-    pairs, links = np.unique(np.frombuffer(b"".join([x[5] for x in seen]), np.int64), return_inverse=True)
+    pairs, links = np.unique(known.pairs[_taken(known.bounds, units)[0]], return_inverse=True)
     links = links.astype(np.int32)
-    counts, slot = np.zeros(len(pairs), np.int32), np.zeros(len(pairs), np.int32)
-    text = [x[4] for x in seen]
+    counts, slot, place = (np.zeros(n, np.int32) for n in (len(pairs), len(pairs), len(names)))
+    text = [known.text[i] for i in units.tolist()]
     digests = []
     for i, j in zip(offsets.tolist(), offsets[1:].tolist()):
         if i == j:
@@ -201,11 +265,15 @@ def _block(of: Pair, doc_id: pa.Array, texts: pa.Array) -> pa.RecordBatch:
             continue
         words = index[i:j]
         digests.append(hashlib.sha256(b";".join([text[k] for k in words.tolist()])).hexdigest())
-        words = np.unique(words)
-        n = bounds[words + 1] - bounds[words]
-        p = links[np.arange(int(n.sum())) + np.repeat(bounds[words] - (np.cumsum(n) - n), n)]
-        slot[p] = np.arange(len(p), dtype=np.int32)
-        counts[p[slot[p] == np.arange(len(p))]] += 1
+        # each once: of the places that name the same entry only the last written is found again
+        turn = np.arange(j - i, dtype=np.int32)
+        place[words] = turn
+        words = words[place[words] == turn]
+        p = links[_taken(bounds, words)[0]]
+        turn = np.arange(len(p), dtype=np.int32)
+        slot[p] = turn
+        counts[p[slot[p] == turn]] += 1
+    of.forget(units, np.bincount(index, minlength=len(names)))
     of_doc = [_sums(numbers[index, k], offsets) for k in range(4)]
     used = counts > 0
     # pairs of units that only documents of unequal bytes have are left out
@@ -281,12 +349,13 @@ def _groups(a_path: str, b_path: str):
         for batch in batches:
             for b in slices(batch, "text", 1 << 20):
                 names, index, offsets = of.units(b.column("text"))
-                seen = of.of(names)
+                units, known = of.numbered(names), of.known
                 found = []
                 for i, j in zip(offsets.tolist(), offsets[1:].tolist()):
-                    parts = [seen[k] for k in index[i:j].tolist()]
-                    text = ";".join(x[4].decode() for x in parts) if parts and None not in parts else ""
+                    own = units[index[i:j]]
+                    text = b";".join([known.text[k] for k in own.tolist()]).decode() if known.right[own].all() else ""
                     found.append([dict(zip(("a_ids", "b_ids"), ([int(x) for x in side.split(",")] for side in g.split("|")))) for g in text.split(";") if g])
+                of.forget(units, np.bincount(index, minlength=len(names)))
                 kind = pa.list_(pa.struct([("a_ids", pa.list_(pa.int32())), ("b_ids", pa.list_(pa.int32()))]))
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(found, kind)], names=["doc_id", "groups"])
 
