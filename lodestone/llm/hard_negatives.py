@@ -197,7 +197,7 @@ def _merge(most: int):
     return run
 
 
-def _heaps(blocks: DataFrame, chunks: DataFrame, on: list[str], pick, most: int, total: int, name: str) -> DataFrame:
+def _heaps(blocks: DataFrame, chunks: DataFrame, on: list[str], pick, most: int, total: int, fan: int, name: str) -> DataFrame:
     """Heaps of all tiles of blocks and chunks that agree in `on`, merged to one an anchor and slot."""
     pairs = blocks.select(*on, F.col("name").alias("block")).join(chunks.select(*on, "part", F.col("name").alias("chunk")), on).select("block", "chunk", "part")
     pairs = staged(pairs, f"{name}-pairs")
@@ -207,14 +207,15 @@ def _heaps(blocks: DataFrame, chunks: DataFrame, on: list[str], pick, most: int,
     heaps = staged(left.unionByName(right).groupBy("block", "chunk").applyInArrow(_tiles(pick, most), HEAP), name)
     parts = total
     while parts > 1:
-        parts = -(-parts // FAN)
-        heaps = heaps.withColumn("part", F.floor(F.col("part") / FAN)).groupBy("block", "part").applyInArrow(_merge(most), HEAP)
+        parts = -(-parts // fan)
+        heaps = heaps.withColumn("part", F.floor(F.col("part") / fan)).groupBy("block", "part").applyInArrow(_merge(most), HEAP)
         heaps = staged(heaps, f"{name}-merged")
     return heaps
 
 
 def mine(
-    vectors: DataFrame, anchor: Column, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", positives: int = POSITIVES, negatives: int = NEGATIVES, least_share: int = LEAST_SHARE
+    vectors: DataFrame, anchor: Column, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", positives: int = POSITIVES, negatives: int = NEGATIVES, least_share: int = LEAST_SHARE,
+    chunk_bytes: int = CHUNK_BYTES, block: int = BLOCK, fan: int = FAN,
 ) -> DataFrame:
     """anchor_id, positive_id, rank, negative_id, positive_score, negative_score: of each anchor and each of its positives the best rows of other labels whose score is in the positive's window, from `least_share` per cent of its score to that score.
 
@@ -232,11 +233,11 @@ def mine(
     rows = staged(df.mapInArrow(_quantised, "uid bigint, vec_id bigint, label bigint, anchor boolean, dim int, q binary").where("q IS NOT NULL"), "mining")
 
     # homes: a label of a chunk's size or more, or a pool of smaller ones
-    each = F.greatest(F.lit(64), F.least(F.lit(8192), F.floor(F.lit(CHUNK_BYTES) / (8 * F.greatest("dim", F.lit(1)))))).cast("bigint")
+    each = F.greatest(F.lit(64), F.least(F.lit(8192), F.floor(F.lit(chunk_bytes) / (8 * F.greatest("dim", F.lit(1)))))).cast("bigint")
     labels = staged(rows.groupBy("dim", "label").agg(F.count("*").alias("n"), F.count_if("anchor").alias("anchors")).withColumn("each", each), "mining-labels")
     pools = labels.where("n < each").groupBy("dim").agg(F.ceil(F.sum("n") / F.max("each")).alias("pools"))
     homes = labels.join(pools, "dim", "left").withColumn("home", F.when(F.col("n") < F.col("each"), F.concat(F.lit("pool "), F.pmod(F.xxhash64("label"), "pools"))).otherwise(F.concat(F.lit("label "), "label")))
-    sizes = homes.groupBy("dim", "home").agg(F.ceil(F.sum("n") / F.max("each")).alias("chunks"), F.ceil(F.sum("anchors") / BLOCK).alias("blocks"))
+    sizes = homes.groupBy("dim", "home").agg(F.ceil(F.sum("n") / F.max("each")).alias("chunks"), F.ceil(F.sum("anchors") / block).alias("blocks"))
     homes = staged(homes.join(sizes, ["dim", "home"]).select("dim", "label", "home", "chunks", "blocks"), "mining-homes")
     dealt = rows.join(homes, ["dim", "label"])
     piece = lambda n: F.pmod(F.xxhash64("uid"), F.greatest(F.col(n), F.lit(1)))
@@ -247,16 +248,16 @@ def mine(
     chunks = chunks.withColumn("part", F.pmod(F.xxhash64("name"), F.lit(max(total, 1))))
 
     blocks = staged(named(dealt.where("anchor"), "home", piece("blocks")).groupBy("name").applyInArrow(_pack, PACK).withColumn("home", F.split("name", "/")[1]), "mining-blocks")
-    best = _heaps(blocks, chunks, ["dim", "home"], lambda a, b, rows, score: _best(a, b, rows, score, positives), positives, total, "mining-positives")
+    best = _heaps(blocks, chunks, ["dim", "home"], lambda a, b, rows, score: _best(a, b, rows, score, positives), positives, total, fan, "mining-positives")
     best = best.groupBy("anchor").agg(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("order"), "none", "id"))).alias("best"))
     best = staged(best.withColumnRenamed("anchor", "uid"), "mining-best")
 
     blank = F.array_repeat(F.lit(np.iinfo(np.int64).min), positives)
     scores = F.slice(F.concat(F.transform("best", lambda x: -x["order"]), blank), 1, positives)
     asked = rows.where("anchor").join(best.select("uid", scores.alias("positives")), "uid")
-    number = rows.where("anchor").groupBy("dim").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    number = rows.where("anchor").groupBy("dim").agg(F.ceil(F.count("*") / block).alias("blocks"))
     blocks = staged(named(asked.join(number, "dim"), piece("blocks")).groupBy("name").applyInArrow(_pack, PACK), "mining-asked")
-    found = _heaps(blocks, chunks.drop("home"), ["dim"], lambda a, b, rows, score: _inside(a, b, rows, score, negatives, positives, least_share), negatives, total, "mining-negatives")
+    found = _heaps(blocks, chunks.drop("home"), ["dim"], lambda a, b, rows, score: _inside(a, b, rows, score, negatives, positives, least_share), negatives, total, fan, "mining-negatives")
 
     of = rows.where("anchor").select("uid", F.col("vec_id").alias("anchor_id")).join(best, "uid").select("uid", "anchor_id", F.posexplode("best").alias("slot", "p"))
     of = of.select(F.col("uid").alias("anchor"), "slot", "anchor_id", F.when(~F.col("p.none"), F.col("p.id")).alias("positive_id"), (-F.col("p.order")).alias("positive_score"))
