@@ -38,7 +38,7 @@ from ._tokenizer import BYTES, PRINTED, tokenizer_path
 
 BYTE_BPE = "byte_bpe_50k.json"
 PIECE_BPE = "piece_bpe_32k.model"
-BLOCK = 1 << 24
+BLOCK = 1 << 23
 """Bytes of text of a block; a longer text is a block of its own."""
 REMEMBERED = 100_000
 """A worker that knows more units after a block goes on with the commonest of it, of those that were in it more than once; a bound on memory only."""
