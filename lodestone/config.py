@@ -23,18 +23,24 @@ HEADINGS = [
     "manufacture", "workmanship", "supply",
 ]
 # What a tender is searched for.
-DIMENSION = r"(?i)([0-9]+(?:\.[0-9]+)?)\s*(mm|cm|m|inch|in|kg|g|L|mL|°C|bar|kPa|MPa|V|A|kW|Hz)(?:[^A-Za-z0-9_]|$)"
-CAPACITY = r"(?i)([0-9]+(?:\.[0-9]+)?)\s*(L|litre|liter|mL|KL|kL|capacity|tonne|tons?)(?:[^A-Za-z0-9_]|$)"
-MATERIALS = "stainless steel|SS 304|SS 316|mild steel|carbon steel|aluminium|aluminum|brass|copper|PVC|uPVC|HDPE|rubber|concrete|cement|bitumen|polyethylene"
-APPLICATIONS = "drinking water|municipal|potable|aviation|gas turbine|fuel|petroleum|construction|electrical|installation|storage tank|pressure vessel"
-PRODUCTS = "water storage tank|water tank|pressure tunnel|gas turbine fuel|thermal oxidation stability|heater tube|cement|concrete|steel|pipe|valve|pump|cable|transformer|explosive atmosphere|electrical installation|yoga|terminology"
+DIMENSION = r"(?i)(\d+(?:\.\d+)?)\s*(mm|cm|m|inch|in|kg|g|L|mL|°C|bar|kPa|MPa|V|A|kW|Hz)\b"
+CAPACITY = r"(?i)(\d+(?:\.\d+)?)\s*(L|litre|liter|mL|KL|kL|capacity|tonne|tons?)\b"
+MATERIAL = r"(?i)\b(stainless steel|SS\s*304|SS\s*316|mild steel|carbon steel|aluminium|aluminum|brass|copper|PVC|uPVC|HDPE|rubber|concrete|cement|bitumen|polyethylene)\b"
+APPLICATION = r"(?i)\b(drinking water|municipal|potable|aviation|gas turbine|fuel|petroleum|construction|electrical|installation|storage tank|pressure vessel)\b"
+PRODUCT = (
+    r"(?i)(water\s*(?:storage\s*)?tank)|(pressure\s*tunnel)|(gas\s*turbine\s*fuel)|(thermal\s*oxidation\s*stability)|(heater\s*tube)"
+    r"|(cement|concrete|steel|pipe|valve|pump|cable|transformer|explosive\s*atmosphere|electrical\s*installation)|(yoga|terminology)"
+)
 TENDER_REFERENCE = r"(?i)IS\s*[0-9]+(?:\s*\(?\s*Part\s*[0-9]+[^)]*\)?)?\s*[:-]?\s*[0-9]{4}"
+HITS = {"product": PRODUCT, "material": MATERIAL, "application": APPLICATION, "capacity": CAPACITY, "dimension": DIMENSION, "reference": TENDER_REFERENCE}
 QUERY_REFERENCE = TENDER_REFERENCE
 TEST_WORDS = "test|testing|inspection|sampling|calibration|deposit rating|JFTOT"
 SAFETY_WORDS = "safety|hazard|warning|explosive|protection"
 STOPWORDS = "the and for with from that this shall will are has have been were which using test standard".split()
 CRITICAL = ["capacity", "material", "application", "testing", "dimensions", "safety", "certification"]
 IMPORTANT = ["temperature", "pressure", "voltage", "tolerance", "surface_finish", "coating", "marking", "delivery", "warranty"]
+# Materials that a search may name.
+RANK_MATERIAL = r"(?i)\b(steel|stainless|aluminium|aluminum|brass|copper|pvc|hdpe|rubber|concrete|cement|bitumen|petroleum|gas|turbine|fuel)\b"
 CONFLICT_MATERIALS = ["steel", "aluminium", "copper", "brass", "poly"]
 
 

@@ -16,13 +16,24 @@ def owner(hits: DataFrame) -> DataFrame:
     return hits.withColumn("standard", F.coalesce(F.nullif("standard_id", F.lit("")), before, F.lit("unknown")))
 
 
-def grouped(hits: DataFrame, score: str = "score") -> DataFrame:
-    """(query_id, standard, semantic, chunks): 0.6 of the best score and 0.4 of the mean of the best three."""
-    w = W.partitionBy("query_id", "standard").orderBy(F.col(score).desc(), "chunk_id")
-    n = owner(hits).withColumn("n", F.row_number().over(w))
-    return n.groupBy("query_id", "standard").agg(
-        (0.6 * F.max(score) + 0.4 * F.avg(F.when(F.col("n") <= 3, F.col(score)))).alias("semantic"), F.count("*").alias("chunks")
-    )
+def grouped(hits: DataFrame, score: str = "score", most: int = 3) -> DataFrame:
+    """(query_id, standard, semantic, chunks, best_chunk_score, evidence_chunks): 0.6 of the best score and 0.4 of the mean of the best three, which are the evidence.
+
+    Counts are partial sums and the best three are ranked within each task
+    before the shuffle, so a hot standard sends three rows from each.
+    """
+    n = owner(hits).withColumn("at", F.struct((-F.col(score)).alias("order"), "chunk_id"))
+    sizes = n.groupBy("query_id", "standard").agg(F.count("*").alias("chunks"), F.max(score).alias("best_chunk_score"))
+    best = top_of(n, ["query_id", "standard"], "at", most).groupBy("query_id", "standard").agg(F.sort_array(F.collect_list("at")).alias("top"))
+    scores = F.transform("top", lambda x: -x["order"])
+    mean = F.aggregate(scores, F.lit(0.0), lambda a, x: a + x) / F.size("top")
+    out = sizes.join(best, ["query_id", "standard"]).withColumn("semantic", 0.6 * F.col("best_chunk_score") + 0.4 * mean)
+    return out.select("query_id", "standard", "semantic", "chunks", "best_chunk_score", F.transform("top", lambda x: x["chunk_id"]).alias("evidence_chunks"))
+
+
+def top_of(df: DataFrame, by: list[str], order: str, most: int) -> DataFrame:
+    """The first `most` rows of each group; ranked within tasks before the shuffle, so a hot group sends no more than that from each."""
+    return df.withColumn("n", F.row_number().over(W.partitionBy(*by).orderBy(order))).where(F.col("n") <= most).drop("n")
 
 
 def title_overlap(query: Column, title: Column) -> Column:
@@ -41,20 +52,19 @@ def scope() -> Column:
 
 
 def ranked(hits: DataFrame, standards: DataFrame, queries: DataFrame, c: config.Config = config.DEFAULT) -> DataFrame:
-    """Standards of each query by a weighted sum of their chunks' scores, title, scope, material and recency; standards that don't exist drop out. hits have fused scores of 0 to 1; the semantic, title and scope parts of a score stay beside it."""
-    words = F.filter(F.array(*[F.lit(m.lower()) for m in config.MATERIALS.split("|")]), lambda m: F.contains(F.lower("query"), m))
+    """Standards of each query by a weighted sum of their chunks' scores, title, scope, material and recency; standards that don't exist drop out. hits have fused scores of 0 to 1; the five parts of a score, the best chunk's score and the best three chunks stay beside it."""
+    words = F.array_distinct(F.transform(F.regexp_extract_all(text("query"), F.lit(config.RANK_MATERIAL), 1), lambda x: F.lower(x)))
     asked = queries.select("query_id", "query", words.alias("materials"))
-    signals = owner(hits).join(asked, "query_id")
-    has = F.exists("materials", lambda m: F.contains(F.lower(text("text")), m))
+    where = F.lower(F.concat_ws(" ", text("text"), text("section")))
+    signals = owner(hits).join(asked, "query_id").withColumn("has", F.exists("materials", lambda m: F.contains(where, m)))
     signals = signals.groupBy("query_id", "standard").agg(
-        scope().alias("scope"),
-        F.when(F.max(F.size("materials")) > 0, F.least(F.lit(1.0), F.avg(F.when(has, 1.0).otherwise(0.0)) + 0.2)).otherwise(0.0).alias("material"),
+        scope().alias("scope"), F.when(F.max(F.size("materials")) > 0, F.least(F.lit(1.0), F.avg(F.when(F.col("has"), 1.0).otherwise(0.0)) + 0.2)).otherwise(0.0).alias("material")
     )
     known = standards.select(F.col("standard_id").alias("standard"), "title", "normalized_identifier", "edition_year")
     both = grouped(hits).join(signals, ["query_id", "standard"]).join(known, "standard").join(queries.select("query_id", "query"), "query_id")
     both = both.withColumn("title", title_overlap(F.col("query"), F.concat_ws(" ", "title", "normalized_identifier"))).withColumn("recency", recency(F.col("edition_year")))
     score = c.rank_semantic * F.col("semantic") + c.rank_title * F.col("title") + c.rank_scope * F.col("scope") + c.rank_material * F.col("material") + c.rank_recency * F.col("recency")
-    both = both.select("query_id", "standard", rounded(score, 4).alias("score"), "chunks", "semantic", "title", "scope")
+    both = both.select("query_id", "standard", rounded(score, 4).alias("score"), "chunks", "semantic", "title", "scope", "material", "recency", "best_chunk_score", "evidence_chunks")
     w = W.partitionBy("query_id").orderBy(F.col("score").desc(), "standard")
     return both.withColumn("rank", F.row_number().over(w))
 

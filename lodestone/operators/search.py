@@ -10,77 +10,129 @@ from pyspark.sql import functions as F
 
 from lodestone import config
 from lodestone.functions.text import rounded, text, tokens
+from lodestone.sources.files import work_folder
+
+
+FIELDS = ("standard_id", "section")
+"""What is searched beside a chunk's text, where the chunks have it."""
+SEGMENT = 512
+"""A block of postings has about so many of one term and one level of impact."""
+LEVELS = 8
+"""Levels of impact from one whole number to the next."""
+LEADS = 32
+"""Terms of a query whose best blocks give its threshold."""
+SHARE = 0.2
+"""Terms that aren't asked for may reach so much of the threshold together: more leaves fewer postings to join, less leaves fewer chunks to score in full."""
+NEAR = 2e-6
+"""Scores are rounded to six places; what may reach the threshold within that is scored in full."""
+
+
+def searched(chunks: DataFrame, body: str = "text") -> Column:
+    return tokens(F.concat_ws(" ", text(body), *(text(c) for c in FIELDS if c in chunks.columns)))
 
 
 def postings(chunks: DataFrame, key: str = "chunk_id", body: str = "text") -> DataFrame:
     """(key, term, tf)."""
-    return chunks.select(key, F.explode(tokens(body)).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
+    return chunks.select(key, F.explode(searched(chunks, body)).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
 
 
 def idf(df: DataFrame, n: DataFrame, c: config.Config = config.DEFAULT) -> DataFrame:
-    """(term, df, idf) from (term, df) and the one row n_chunks. Terms in more than half the chunks get epsilon times the mean idf instead of a negative one."""
-    df = df.crossJoin(F.broadcast(n)).withColumn("raw", F.log(F.col("n_chunks") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))  # one row
+    """Adds idf to rows of terms with df, given the one row n_chunks. Terms in more than half the chunks get epsilon times the mean idf instead of a negative one."""
+    kept = df.columns
+    df = df.crossJoin(F.broadcast(n.select("n_chunks"))).withColumn("raw", F.log(F.col("n_chunks") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))  # one row
     mean = df.agg(F.avg("raw").alias("mean_idf"))
-    return df.crossJoin(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, c.epsilon * F.col("mean_idf")).otherwise(F.col("raw")).alias("idf"))
+    return df.crossJoin(F.broadcast(mean)).select(*kept, F.when(F.col("raw") < 0, c.epsilon * F.col("mean_idf")).otherwise(F.col("raw")).alias("idf"))
 
 
 def term_stats(chunks: DataFrame, body: str = "text", c: config.Config = config.DEFAULT) -> DataFrame:
     """(term, df, idf) of a corpus. Chunks are counted by term alone, so counting starts in each task and no (chunk, term) pair is shuffled."""
-    df = chunks.select(F.explode(F.array_distinct(tokens(body))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    df = chunks.select(F.explode(F.array_distinct(searched(chunks, body))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
     return idf(df, chunks.agg(F.count("*").alias("n_chunks")), c)
 
 
+def impact(c: config.Config = config.DEFAULT) -> Column:
+    """A posting's part of a score, without the query's weight of the term."""
+    norm = 1 - c.b + c.b * F.col("length") / F.col("average")
+    return F.col("tf") * (c.k1 + 1) / (F.col("tf") + c.k1 * norm)
+
+
 @dataclass(frozen=True)
 class Index:
-    """What BM25 needs of a corpus: postings (key, term, tf, length), terms (term, df, idf), corpus (n_chunks, average: one row)."""
+    """What BM25 needs of a corpus: postings (key, term, tf, length), terms (term, df, idf), corpus (n_chunks, average: one row). A written one has also the best impact and the leading block of each term, forward (key, length, terms) and blocks (term, level, salt, top, n, entries)."""
 
     postings: DataFrame
     terms: DataFrame
     corpus: DataFrame
+    forward: DataFrame | None = None
+    blocks: DataFrame | None = None
 
 
 def indexed(chunks: DataFrame, key: str = "chunk_id", c: config.Config = config.DEFAULT) -> Index:
     """A corpus's index as plans; `written` makes tables of them."""
-    each = chunks.select(key, tokens("text").alias("all")).select(key, F.size("all").alias("length"), F.explode("all").alias("term"))
+    all_terms = searched(chunks)
+    each = chunks.select(key, all_terms.alias("all")).select(key, F.size("all").alias("length"), F.explode("all").alias("term"))
     postings = each.groupBy(key, "term", "length").agg(F.count("*").alias("tf"))
-    corpus = chunks.select(F.size(tokens("text")).alias("length")).agg(F.count("*").alias("n_chunks"), (F.sum("length") / F.count("*")).alias("average"))
+    corpus = chunks.select(F.size(all_terms).alias("length")).agg(F.count("*").alias("n_chunks"), (F.sum("length") / F.count("*")).alias("average"))
     return Index(postings, term_stats(chunks, c=c), corpus)
 
 
 def written(chunks: DataFrame, path: str, key: str = "chunk_id", c: config.Config = config.DEFAULT) -> Index:
-    """The index as tables below path: texts are tokenised once for the postings, the rest is counted from these and from lengths. Postings lie by term, so that a reader's files and row groups tell which terms they have."""
+    """The index as tables below path; texts are tokenised once.
+
+    forward has a row a chunk with its terms. blocks has the postings of a term
+    by level of impact, in pieces of about SEGMENT, each with the highest
+    impact in it: a hot term is many blocks, no block grows with the corpus.
+    """
     spark = chunks.sparkSession
-    each = chunks.select(key, tokens("text").alias("all"))
-    sized = each.select(key, F.size("all").alias("length"), F.explode_outer("all").alias("term")).groupBy(key, "term", "length").agg(F.count("*").alias("tf"))
-    sized.repartition("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/postings")
-    postings = spark.read.parquet(f"{path}/postings")
-    # a chunk without a token has one row without a term; a token's place is counted once in its chunk
-    whole = postings.agg(F.sum(F.when(F.col("term").isNotNull(), F.col("tf"))).alias("all"))
-    n = chunks.agg(F.count("*").alias("n_chunks"))
-    n.crossJoin(F.broadcast(whole)).select("n_chunks", (F.coalesce("all", F.lit(0)) / F.col("n_chunks")).alias("average")).write.mode("overwrite").parquet(f"{path}/corpus")
+    each = chunks.select(key, searched(chunks).alias("all")).select(key, F.size("all").alias("length"), F.explode_outer("all").alias("term"))
+    # a chunk without a token keeps its row, with no terms
+    sized = each.groupBy(key, "length", "term").agg(F.count("*").alias("tf"))
+    of_chunk = F.collect_list(F.when(F.col("term").isNotNull(), F.struct("term", "tf")))
+    sized.groupBy(key, "length").agg(of_chunk.alias("terms")).write.mode("overwrite").parquet(f"{path}/forward")
+    forward = spark.read.parquet(f"{path}/forward")
+    total = forward.agg(F.sum("length").alias("all"))
+    chunks.agg(F.count("*").alias("n_chunks")).crossJoin(F.broadcast(total)).select("n_chunks", (F.coalesce("all", F.lit(0)) / F.col("n_chunks")).alias("average")).write.mode("overwrite").parquet(f"{path}/corpus")
     corpus = spark.read.parquet(f"{path}/corpus")
-    df = postings.where("term IS NOT NULL").groupBy("term").agg(F.count("*").alias("df"))
-    idf(df, corpus.select("n_chunks"), c).write.mode("overwrite").parquet(f"{path}/terms")
-    return opened(spark, path)
-
-
-def opened(spark: SparkSession, path: str) -> Index:
-    postings = spark.read.parquet(f"{path}/postings").where("term IS NOT NULL")
-    return Index(postings, spark.read.parquet(f"{path}/terms"), spark.read.parquet(f"{path}/corpus"))
+    posts = forward.crossJoin(F.broadcast(corpus.select("average"))).select(key, "length", "average", F.explode("terms").alias("t")).select(key, "t.term", "t.tf", "length", "average")  # one row
+    df = posts.groupBy("term").agg(F.count("*").alias("df"))
+    posts = posts.select(key, "term", impact(c).alias("u")).join(df, "term")
+    level, salt = F.floor(F.col("u") * LEVELS).cast("int"), F.pmod(F.xxhash64(key), F.ceil(F.col("df") / SEGMENT)).cast("int")
+    cut = posts.groupBy("term", level.alias("level"), salt.alias("salt")).agg(F.max("u").alias("top"), F.count("*").alias("n"), F.collect_list(F.struct(key, "u")).alias("entries"))
+    cut.repartition("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/blocks")
+    blocks = spark.read.parquet(f"{path}/blocks")
+    lead = F.max(F.struct("top", "level", "salt"))
+    terms = blocks.groupBy("term").agg(F.sum("n").alias("df"), lead.alias("lead")).select("term", "df", F.col("lead.top").alias("best"), F.col("lead.level").alias("level"), F.col("lead.salt").alias("salt"))
+    idf(terms, corpus, c).write.mode("overwrite").parquet(f"{path}/terms")
+    return opened(spark, path, key)
+
+
+def opened(spark: SparkSession, path: str, key: str = "chunk_id") -> Index:
+    forward = spark.read.parquet(f"{path}/forward")
+    postings = forward.select(key, "length", F.explode("terms").alias("t")).select(key, "t.term", "t.tf", "length")
+    return Index(postings, spark.read.parquet(f"{path}/terms"), spark.read.parquet(f"{path}/corpus"), forward, spark.read.parquet(f"{path}/blocks"))
+
+
+def weighted(queries: DataFrame, index: Index) -> DataFrame:
+    """(query_id, term, weight) and what the index tells of the term; a repeated query term counts as often."""
+    asked = queries.select("query_id", F.explode(tokens("query")).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
+    return asked.join(index.terms, "term").withColumn("weight", F.col("times") * F.col("idf")).drop("times")
 
 
 def bm25(queries: DataFrame, chunks: DataFrame | Index, key: str = "chunk_id", c: config.Config = config.DEFAULT) -> DataFrame:
-    """(query_id, key, score) of every chunk with a term of the query; a repeated query term counts as often. With an index each of its tables is read once, and of the postings only what the queries ask for is joined.
+    """(query_id, key, score) of every chunk with a term of the query; `lexical` has the best of them for less.
 
     Scores are rounded to six places, so that they don't depend on the order of sums.
     """
     index = chunks if isinstance(chunks, Index) else indexed(chunks, key, c)
-    asked = queries.select("query_id", F.explode(tokens("query")).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
-    weighted = asked.join(index.terms, "term")
-    found = index.postings.join(weighted, "term").crossJoin(F.broadcast(index.corpus))  # one row
-    norm = 1 - c.b + c.b * F.col("length") / F.col("average")
-    part = F.col("times") * F.col("idf") * F.col("tf") * (c.k1 + 1) / (F.col("tf") + c.k1 * norm)
-    return found.groupBy("query_id", key).agg(rounded(F.sum(part), 6).alias("score"))
+    found = index.postings.join(weighted(queries, index).select("query_id", "term", "weight"), "term").crossJoin(F.broadcast(index.corpus))  # one row
+    return found.groupBy("query_id", key).agg(rounded(F.sum(F.col("weight") * impact(c)), 6).alias("score"))
+
+
+def scored(pairs: DataFrame, asked: DataFrame, index: Index, key: str = "chunk_id", c: config.Config = config.DEFAULT) -> DataFrame:
+    """(query_id, key, score) of given pairs in full, from the chunks' own rows."""
+    rows = pairs.select("query_id", key).join(index.forward, key).select("query_id", key, "length", F.explode("terms").alias("t")).select("query_id", key, "length", "t.term", "t.tf")
+    found = rows.join(asked.select("query_id", "term", "weight"), ["query_id", "term"]).crossJoin(F.broadcast(index.corpus))  # one row
+    return found.groupBy("query_id", key).agg(rounded(F.sum(F.col("weight") * impact(c)), 6).alias("score"))
 
 
 def top(scored: DataFrame, k: int, key: str = "chunk_id", by: str = "query_id", score: str = "score") -> DataFrame:
@@ -89,9 +141,56 @@ def top(scored: DataFrame, k: int, key: str = "chunk_id", by: str = "query_id",
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def lexical(queries: DataFrame, chunks: DataFrame | Index, k: int = 20, key: str = "chunk_id") -> DataFrame:
-    """Best chunks by BM25, those with no positive score left out."""
-    return top(bm25(queries, chunks, key).where("score > 0"), k, key)
+def candidates(queries: DataFrame, index: Index, k: int = 20, key: str = "chunk_id", c: config.Config = config.DEFAULT) -> tuple[DataFrame, DataFrame]:
+    """((query_id, term, weight ..) of the queries, (query_id, key, partial) of all chunks that may be among a query's best k).
+
+    The leading blocks of a query's weightiest terms show some chunks, and the
+    k-th best of these in full is the threshold. Terms that together can't
+    reach a part of it, those with the most postings for their weight first,
+    find no chunk; nor do blocks whose highest impact, with all other terms at
+    their best, stays below. The best of the chunks that the rest finds raise
+    the threshold, and chunks are left out where their sum and the best of the
+    terms not asked can't reach it.
+    """
+    spark, path = queries.sparkSession, work_folder(queries.sparkSession, "lexical")
+    best = F.greatest(F.col("weight") * F.col("best"), F.lit(0.0))
+    weighted(queries, index).withColumn("most", best).write.parquet(f"{path}/asked")
+    asked = spark.read.parquet(f"{path}/asked")
+
+    def known_least(pairs: DataFrame, name: str) -> DataFrame:
+        """The k-th best of these pairs in full, a row a query that has so many."""
+        full = top(scored(pairs, asked, index, key, c), k, key).where((F.col("rank") == k) & (F.col("score") > 0))
+        full.select("query_id", (F.col("score") - NEAR).alias("least")).write.parquet(f"{path}/{name}")
+        return spark.read.parquet(f"{path}/{name}")
+
+    lead = asked.withColumn("n", F.row_number().over(W.partitionBy("query_id").orderBy(F.col("most").desc(), "term"))).where(F.col("n") <= LEADS)
+    seen = lead.join(index.blocks, ["term", "level", "salt"]).select("query_id", "weight", F.explode("entries").alias("e"))
+    seen = seen.groupBy("query_id", F.col(f"e.{key}").alias(key)).agg(F.sum(F.col("weight") * F.col("e.u")).alias("score"))
+    least = known_least(top(seen, 2 * k, key), "first")
+
+    own = W.partitionBy("query_id")
+    known = asked.join(least, "query_id", "left").withColumn("least", F.coalesce("least", F.lit(0.0)))
+    below = F.sum("most").over(own.orderBy((F.col("most") / F.col("df")), "term").rowsBetween(W.unboundedPreceding, 0))
+    known = known.withColumn("all", F.sum("most").over(own)).withColumn("below", below)
+    small = F.col("below") < SHARE * F.col("least")
+    kept = known.withColumn("rest", F.coalesce(F.max(F.when(small, F.col("below"))).over(own), F.lit(0.0))).where(~small)
+    kept = kept.select("query_id", "term", "weight", "least", "rest", (F.col("all") - F.col("most")).alias("others"))
+    hits = kept.join(index.blocks.select("term", "top", "entries"), "term").where(F.greatest(F.col("weight") * F.col("top"), F.lit(0.0)) + F.col("others") >= F.col("least"))
+    hits = hits.select("query_id", "weight", "least", "rest", F.explode("entries").alias("e"))
+    sums = hits.groupBy("query_id", F.col(f"e.{key}").alias(key)).agg(F.sum(F.col("weight") * F.col("e.u")).alias("partial"), F.any_value("least").alias("low"), F.any_value("rest").alias("rest"))
+    sums.where(F.col("partial") + F.col("rest") >= F.col("low")).select("query_id", key, "partial", "rest").write.parquet(f"{path}/sums")
+    sums = spark.read.parquet(f"{path}/sums")
+    least = known_least(top(sums, 2 * k, key, score="partial"), "second")
+    near = sums.join(least, "query_id", "left").where(F.col("partial") + F.col("rest") >= F.coalesce("least", F.lit(0.0)))
+    return asked, near.select("query_id", key, "partial")
+
+
+def lexical(queries: DataFrame, chunks: DataFrame | Index, k: int = 20, key: str = "chunk_id", c: config.Config = config.DEFAULT) -> DataFrame:
+    """Best chunks by BM25, those with no positive score left out. With a written index only chunks that may be among the best are scored."""
+    if not isinstance(chunks, Index) or chunks.blocks is None:
+        return top(bm25(queries, chunks, key, c).where("score > 0"), k, key)
+    asked, found = candidates(queries, chunks, k, key, c)
+    return top(scored(found, asked, chunks, key, c).where("score > 0"), k, key)
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -139,20 +238,21 @@ def query_ids(query: Column | str) -> Column:
     return F.regexp_extract_all(text(query), F.lit(config.QUERY_REFERENCE), 0)
 
 
-def fused(sem: DataFrame, lex: DataFrame, key: str = "chunk_id", c: config.Config = config.DEFAULT, extra: DataFrame | None = None) -> DataFrame:
-    """Full outer merge of two ranked lists; `extra` has (query_id, key, metadata_bonus) where there is one.
+def merged(sem: DataFrame, lex: DataFrame, key: str = "chunk_id") -> DataFrame:
+    """Full outer merge of two ranked lists: (query_id, key, s, semantic_rank, l, lexical_rank), scores normalised within each list."""
+    a = min_max(sem).select("query_id", key, F.col("norm").alias("s"), F.col("rank").alias("semantic_rank"))
+    b = min_max(lex).select("query_id", key, F.col("norm").alias("l"), F.col("rank").alias("lexical_rank"))
+    return a.join(b, ["query_id", key], "full_outer")
+
+
+def fused(both: DataFrame, key: str = "chunk_id", c: config.Config = config.DEFAULT) -> DataFrame:
+    """merged() lists with their score and rank; a column metadata_bonus counts where there is one.
 
     A chunk in one list only loses part of its score. Ordered by score, then by
     place in the semantic list, then in the lexical one.
     """
-    a = min_max(sem).select("query_id", key, F.col("norm").alias("s"), F.col("rank").alias("semantic_rank"))
-    b = min_max(lex).select("query_id", key, F.col("norm").alias("l"), F.col("rank").alias("lexical_rank"))
-    both = a.join(b, ["query_id", key], "full_outer")
-    if extra is not None:
-        both = both.join(extra, ["query_id", key], "left")
-    else:
-        both = both.withColumn("metadata_bonus", F.lit(0.0))
-    base = c.semantic_weight * F.coalesce("s", F.lit(0.0)) + c.lexical_weight * F.coalesce("l", F.lit(0.0)) + c.metadata_weight * F.coalesce("metadata_bonus", F.lit(0.0))
+    extra = F.coalesce("metadata_bonus", F.lit(0.0)) if "metadata_bonus" in both.columns else F.lit(0.0)
+    base = c.semantic_weight * F.coalesce("s", F.lit(0.0)) + c.lexical_weight * F.coalesce("l", F.lit(0.0)) + c.metadata_weight * extra
     one = F.col("s").isNull() | F.col("l").isNull()
     score = rounded(F.when(one, base * c.single_source).otherwise(base), 4)
     sources = F.concat_ws("+", F.when(F.col("s").isNotNull(), F.lit("semantic")), F.when(F.col("l").isNotNull(), F.lit("lexical")))
@@ -164,16 +264,16 @@ def fused(sem: DataFrame, lex: DataFrame, key: str = "chunk_id", c: config.Confi
 def bonuses(found: DataFrame, queries: DataFrame, chunks: DataFrame, key: str = "chunk_id") -> DataFrame:
     """(query_id, key, metadata_bonus) of the found chunks of queries that name identifiers."""
     ids = queries.select("query_id", query_ids("query").alias("ids")).where(F.size("ids") > 0)
-    pairs = found.select("query_id", key).distinct().join(ids, "query_id").join(chunks.select(key, "text", "standard_id"), key)
+    pairs = found.select("query_id", key).join(ids, "query_id").join(chunks.select(key, "text", "standard_id"), key)
     return pairs.select("query_id", key, bonus(F.col("ids"), F.col("text"), F.col("standard_id")).alias("metadata_bonus"))
 
 
 def hybrid(queries: DataFrame, chunks: DataFrame, vectors: DataFrame, index: Index | None = None, k: int = 20, key: str = "chunk_id", c: config.Config = config.DEFAULT) -> DataFrame:
-    """The best k of both searches merged, with the bonus for identifiers that a query names. queries has query_id, query and vector; either may be null."""
-    sem = semantic(queries, vectors, k, key)
-    lex = lexical(queries, index or chunks, k, key)
-    found = sem.select("query_id", key).unionByName(lex.select("query_id", key))
-    return fused(sem, lex, key, c, bonuses(found, queries, chunks, key))
+    """The best k of both searches merged, with the bonus for identifiers that a query names. queries has query_id, query and vector; either may be null. The merged lists, twice k rows a query at most, are written, as the bonus reads them too."""
+    spark, path = queries.sparkSession, work_folder(queries.sparkSession, "merged")
+    merged(semantic(queries, vectors, k, key), lexical(queries, index or chunks, k, key, c), key).write.parquet(path)
+    both = spark.read.parquet(path)
+    return fused(both.join(bonuses(both, queries, chunks, key), ["query_id", key], "left"), key, c)
 
 
 def by_ics(standards: DataFrame, prefix: str | None) -> DataFrame:

@@ -15,8 +15,9 @@ from lodestone.operators.analysis import first_standards
 WORD = "(?:^|[^A-Za-z0-9_])"
 
 
-def first(c: Column | str, words: str) -> Column:
-    return F.nullif(F.regexp_extract(F.lower(text(c)), f"{WORD}({words.lower()})(?=[^a-z0-9_]|$)", 1), F.lit(""))
+def first(c: Column | str, pattern: str) -> Column:
+    """The first match as it stands in the text, null if none."""
+    return F.nullif(stripped(F.regexp_extract(text(c), pattern, 0)), F.lit(""))
 
 
 def cues(c: Column | str, words: str, most: int = 8) -> Column:
@@ -25,29 +26,63 @@ def cues(c: Column | str, words: str, most: int = 8) -> Column:
     return F.slice(F.array_distinct(found), 1, most)
 
 
-def hits(c: Column | str, pattern: str) -> Column:
-    """`number unit` of each match."""
-    n, u = (F.regexp_extract_all(text(c), F.lit(pattern), k) for k in (1, 2))
-    return F.zip_with(n, u, lambda a, b: F.concat(a, F.lit(" "), b))
+def every(c: Column | str, pattern: str) -> Column:
+    return F.transform(F.regexp_extract_all(text(c), F.lit(pattern), 0), lambda x: stripped(x))
 
 
 def requirements(tenders: DataFrame) -> DataFrame:
-    """tender_id, full_text and what the text asks for: product, material, application, capacity, dimensions, testing, safety, refs."""
+    """tender_id, full_text and what the text asks for: product, material, application, capacity, dimensions, testing, safety, refs. Values keep the text's case; page_requirements() tells where they stand."""
     t = tenders.select("tender_id", text("text").alias("full_text"))
     return t.select(
         "tender_id",
         "full_text",
-        first("full_text", config.PRODUCTS).alias("product"),
-        first("full_text", config.MATERIALS).alias("material"),
-        first("full_text", config.APPLICATIONS).alias("application"),
-        F.get(hits("full_text", config.CAPACITY), 0).alias("capacity"),
-        F.slice(hits("full_text", config.DIMENSION), 1, 8).alias("dimensions"),
+        first("full_text", config.PRODUCT).alias("product"),
+        first("full_text", config.MATERIAL).alias("material"),
+        first("full_text", config.APPLICATION).alias("application"),
+        first("full_text", config.CAPACITY).alias("capacity"),
+        F.slice(every("full_text", config.DIMENSION), 1, 8).alias("dimensions"),
         cues("full_text", config.TEST_WORDS).alias("testing"),
         cues("full_text", config.SAFETY_WORDS).alias("safety"),
-        F.array_distinct(F.transform(F.regexp_extract_all("full_text", F.lit(config.TENDER_REFERENCE), 0), lambda x: F.trim(x))).alias("refs"),
+        F.array_distinct(every("full_text", config.TENDER_REFERENCE)).alias("refs"),
     )
 
 
+def page_hits(pages: DataFrame, kinds: dict[str, str] = config.HITS) -> DataFrame:
+    """(tender_id, page, kind, hit_no, start, value, source_text): every match of every kind of pattern from one pass over the pages, with 120 characters on both sides, 400 at most, on one line. Kinds may overlap; hit_no counts a page's hits of a kind from 0."""
+
+    def found(kind: str, pattern: str) -> Column:
+        window = lambda m: F.replace(stripped(around("text", m["start"], m["end"], 120, 120)), F.lit("\n"), F.lit(" "))
+        row = lambda m, i: F.struct(
+            F.lit(kind).alias("kind"), i.alias("hit_no"), m["start"].alias("start"), stripped(m["value"]).alias("value"), F.substring(window(m), 1, 400).alias("source_text")
+        )
+        return F.transform(places("text", pattern), row)
+
+    own = pages.select("tender_id", "page", text("text").alias("text"))
+    return own.select("tender_id", "page", F.explode(F.concat(*(found(k, p) for k, p in kinds.items()))).alias("h")).select("tender_id", "page", "h.*")
+
+
+def page_requirements(pages: DataFrame, most: int = 3, dimensions: int = 8) -> DataFrame:
+    """One row a tender: product, material, application and capacity, each the first hit over its pages, with up to three places of evidence (value, page, source_text); up to eight dimensions and all different references as such places. A tender without hits has nulls and empty lists."""
+    hits = page_hits(pages)
+    # of a page no more hits can matter than of the tender, and a repeated reference matters once
+    limit = F.when(F.col("kind") == "dimension", dimensions).when(F.col("kind") != "reference", most)
+    place = F.struct("page", "hit_no", "value", "source_text")
+    once = hits.where(limit.isNull() | (F.col("hit_no") < limit)).groupBy("tender_id", "kind", F.when(F.col("kind") == "reference", F.col("value")).otherwise(F.concat_ws("/", "page", "hit_no")).alias("of")).agg(F.min(place).alias("p"))
+
+    def listed(kind: str, n: int | None) -> Column:
+        all_of = F.transform(F.sort_array(F.collect_list(F.when(F.col("kind") == kind, F.col("p")))), lambda p: F.struct(p["value"].alias("value"), p["page"].alias("page"), p["source_text"].alias("source_text")))
+        return F.slice(all_of, 1, n) if n else all_of
+
+    single = ("product", "material", "application", "capacity")
+    lists = [listed(k, most).alias(f"{k}_evidence") for k in single] + [listed("dimension", dimensions).alias("dimensions"), listed("reference", None).alias("references")]
+    gathered = once.groupBy("tender_id").agg(*lists)
+    out = pages.select("tender_id").distinct().join(gathered, "tender_id", "left")
+    kind = "array<struct<value:string,page:int,source_text:string>>"
+    names = [f"{k}_evidence" for k in single] + ["dimensions", "references"]
+    out = out.select("tender_id", *(F.coalesce(F.col(c), F.array().cast(kind)).alias(c) for c in names))
+    return out.select("tender_id", *(F.get(f"{k}_evidence", 0)["value"].alias(k) for k in single), *names)
+
+
 def keywords(tenders: DataFrame, most: int = 12) -> DataFrame:
     """(tender_id, word, n, rank): the commonest words of three letters or more, ties by first place."""
     each = tenders.select("tender_id", F.posexplode(F.regexp_extract_all(F.lower(text("text")), F.lit("[a-z]{3,}"), 0)).alias("pos", "word"))
@@ -154,12 +189,14 @@ def scores(reqs: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def traceable(reqs: DataFrame) -> DataFrame:
-    """(tender_id, ord, name, value): the parameters that can be traced to a clause."""
-    one = lambda c, n: F.when(text(c) != "", F.array(F.struct(F.lit(n).alias("name"), F.col(c).alias("value")))).otherwise(F.array())
-    each = lambda c, n, k: F.transform(F.slice(c, 1, k), lambda x: F.struct(F.lit(n).alias("name"), x.alias("value")))
-    parts = [one("product", "product"), one("material", "material"), one("application", "application"), one("capacity", "capacity"), each("dimensions", "dimension", 5), each("testing", "testing", 3), each("safety", "safety", 3)]
-    parts = [p.cast("array<struct<name:string,value:string>>") for p in parts]
-    return reqs.select("tender_id", F.posexplode(F.concat(*parts)).alias("ord", "p")).select("tender_id", "ord", "p.name", "p.value")
+    """(tender_id, ord, name, value, label): the parameters that can be traced to a clause; label is what they are called in full."""
+    one = lambda c: F.when(text(c) != "", F.array(F.struct(F.lit(c).alias("name"), F.col(c).alias("value"), F.lit(c.title()).alias("label")))).otherwise(F.array())
+    each = lambda c, n, k, label: F.transform(F.slice(c, 1, k), lambda x, i: F.struct(F.lit(n).alias("name"), x.alias("value"), label(x, i).alias("label")))
+    numbered = lambda x, i: F.concat(F.lit("Dimension "), i + 1)
+    named = lambda n: lambda x, i: F.concat(F.lit(f"{n}: "), x)
+    parts = [*map(one, ("product", "material", "application", "capacity")), each("dimensions", "dimension", 5, numbered), each("testing", "testing", 3, named("Testing")), each("safety", "safety", 3, named("Safety"))]
+    parts = [p.cast("array<struct<name:string,value:string,label:string>>") for p in parts]
+    return reqs.select("tender_id", F.posexplode(F.concat(*parts)).alias("ord", "p")).select("tender_id", "ord", "p.*")
 
 
 def overridden(matches: DataFrame, compared: DataFrame) -> DataFrame:
@@ -170,25 +207,32 @@ def overridden(matches: DataFrame, compared: DataFrame) -> DataFrame:
     return out.withColumn("status", F.coalesce(told, "status")).drop("told")
 
 
-def best_match(params: DataFrame, specs: DataFrame) -> DataFrame:
-    """The best clause of a tender's recommended standards for each parameter, and how well it supports it.
+def best_match(params: DataFrame, specs: DataFrame, most: int = 200) -> DataFrame:
+    """The best clause of a tender's recommended standards for each parameter: how well it supports it, where it stands and what it says.
 
-    specs has (tender_id, spec_ord, spec_id, property, value). 3 for a word of
-    the name in the property, 5 for a value inside the other, 4 for numbers
-    within 15 %. The first of the best wins; none above 0 is not_found.
+    specs has (tender_id, spec_ord, spec_id, property, value), and where there
+    are any standard_id, section, page, unit and evidence. 3 for a word of the
+    parameter's label in the property, 5 for a value inside the other, 4 for
+    numbers within 15 %. The first of the best wins; none above 0 is not_found.
+    The evidence is the standard's own, cut at 200 characters, else the
+    specification in words.
     """
     # what a row says is worked out before the rows are paired
-    own = params.withColumn("p_name", F.lower("name")).withColumn("p_value", F.lower("value")).withColumn("p_number", first_number(F.lower("value")))
-    theirs = specs.groupBy("tender_id", F.lower(text("property")).alias("s_property"), F.lower(text("value")).alias("s_value")).agg(F.min(F.struct("spec_ord", "spec_id")).alias("s"))
-    theirs = theirs.select("tender_id", "s.*", "s_property", "s_value", first_number(F.col("s_value")).alias("s_number"))
+    own = params.withColumn("p_words", F.split(F.lower("label"), " ")).withColumn("p_value", F.lower("value")).withColumn("p_number", first_number(F.lower("value")))
+    there = lambda c, kind="string": F.col(c) if c in specs.columns else F.lit(None).cast(kind)
+    told = F.concat(text("property"), F.lit(": "), text("value"), F.lit(" "), text(there("unit")))
+    said = F.coalesce(F.nullif(F.substring(text(there("evidence")), 1, most), F.lit("")), told)
+    s = F.struct("spec_ord", "spec_id", there("standard_id").alias("standard_id"), there("section").alias("clause"), there("page", "int").alias("evidence_page"), said.alias("evidence_text"))
+    theirs = specs.groupBy("tender_id", F.lower(text("property")).alias("s_property"), F.lower(text("value")).alias("s_value")).agg(F.min(s).alias("s"))
+    theirs = theirs.withColumn("s_number", first_number(F.col("s_value")))
     both = own.join(theirs, "tender_id", "left")
-    name, value, prop, other, a, b = (F.col(c) for c in ("p_name", "p_value", "s_property", "s_value", "p_number", "s_number"))
-    score = F.when(F.contains(prop, name), 3).otherwise(0)
+    words, value, prop, other, a, b = (F.col(c) for c in ("p_words", "p_value", "s_property", "s_value", "p_number", "s_number"))
+    score = F.when(F.exists(words, lambda w: F.contains(prop, w)), 3).otherwise(0)
     score = score + F.when((value != "") & (other != "") & (F.contains(other, value) | F.contains(value, other)), 5).otherwise(0)
     score = score + F.when(F.abs(a - b) / F.greatest(F.abs(b), F.lit(1.0)) < 0.15, 4).otherwise(0)
-    best = both.withColumn("score", F.when(F.col("spec_id").isNotNull(), score).otherwise(0)).groupBy("tender_id", "ord", "name", "value").agg(
-        F.max(F.struct("score", (-F.col("spec_ord")).alias("k"), "spec_id")).alias("m")
-    )
-    s = F.col("m.score")
-    status = F.when(s >= 5, "supported").when(s >= 2, "partially_supported").when(s > 0, "unverified").otherwise("not_found")
-    return best.select("tender_id", "ord", "name", "value", s.cast("int").alias("score"), F.when(s > 0, F.col("m.spec_id")).alias("spec_id"), status.alias("status"))
+    found = F.struct("score", (-F.col("s.spec_ord")).alias("k"), "s")
+    best = both.withColumn("score", F.when(F.col("s").isNotNull(), score).otherwise(0)).groupBy("tender_id", "ord", "name", "value").agg(F.max(found).alias("m"))
+    n = F.col("m.score")
+    status = F.when(n >= 5, "supported").when(n >= 2, "partially_supported").when(n > 0, "unverified").otherwise("not_found")
+    rest = [F.when(n > 0, F.col(f"m.s.{c}")).alias(c) for c in ("spec_id", "standard_id", "clause", "evidence_page", "evidence_text")]
+    return best.select("tender_id", "ord", "name", "value", n.cast("int").alias("score"), *rest, status.alias("status"))

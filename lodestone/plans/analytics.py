@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lodestone import config
 from lodestone.operators import analysis, dq, graph, tender, views
 from lodestone.plans.fixtures import table as t
 
@@ -22,7 +23,7 @@ def query(sql: str):
 # what the tender texts say, read off the fixture's own rules
 REQ = """rq AS (SELECT tender_id, text,
  CASE WHEN text LIKE '%water storage tank%' THEN 'water storage tank' WHEN text LIKE '%pump%' THEN 'pump' WHEN text LIKE '%mild steel%' THEN 'steel' END AS product,
- CASE WHEN text LIKE '%mild steel%' THEN 'mild steel' WHEN text LIKE '%brass%' THEN 'brass' WHEN text LIKE '%HDPE%' THEN 'hdpe' WHEN text LIKE '%copper%' THEN 'copper' END AS material,
+ CASE WHEN text LIKE '%mild steel%' THEN 'mild steel' WHEN text LIKE '%brass%' THEN 'brass' WHEN text LIKE '%HDPE%' THEN 'HDPE' WHEN text LIKE '%copper%' THEN 'copper' END AS material,
  CASE WHEN text LIKE '%storage tank%' AND text NOT LIKE '%drinking water%' THEN 'storage tank' WHEN text LIKE '%storage tank%' THEN 'storage tank' WHEN text LIKE '%drinking water%' THEN 'drinking water' END AS application,
  regexp_extract(text, 'capacity ([0-9]+) L', 1) || ' L' AS capacity, [regexp_extract(text, 'capacity ([0-9]+) L', 1) || ' L', regexp_extract(text, 'length ([0-9]+) mm', 1) || ' mm'] AS dimensions,
  CASE WHEN text LIKE '%Testing and inspection%' THEN ['testing', 'inspection'] WHEN text LIKE '%Test may%' THEN ['test'] ELSE [] END AS testing,
@@ -38,6 +39,33 @@ def tnd_02_requirements(s, d):
     return _reqs(s, d).select("tender_id", "product", "material", "application", "capacity")
 
 
+# each page's matches of each pattern, with their places told from what lies between them
+_EACH = "SELECT tender_id, page, '{k}' AS kind, text, regexp_extract_all(text, '{p}') AS v, string_split_regex(text, '{p}') AS gaps FROM tender_pages"
+PAGE_HITS = "ph0 AS (" + " UNION ALL ".join(_EACH.format(k=k, p=p) for k, p in config.HITS.items()) + """),
+ph1 AS (SELECT tender_id, page, kind, text, v, gaps, unnest(generate_series(1, len(v))) AS k FROM ph0 WHERE len(v) > 0),
+ph2 AS (SELECT tender_id, page, kind, k - 1 AS hit_no, text, v[k] AS value, (list_sum(list_transform(gaps[1:k], lambda x: length(x))) + coalesce(list_sum(list_transform(v[1:k - 1], lambda x: length(x))), 0))::INT AS start FROM ph1),
+ph AS (SELECT tender_id, page, kind, hit_no::INT AS hit_no, start, regexp_replace(value, '^\\s+|\\s+$', '', 'g') AS value, substring(replace(regexp_replace(substring(text, greatest(start - 120, 0) + 1, start + length(value) + 120 - greatest(start - 120, 0)), '^\\s+|\\s+$', '', 'g'), chr(10), ' '), 1, 400) AS source_text FROM ph2)"""
+
+
+@query(f"WITH {PAGE_HITS} SELECT tender_id, page, kind, hit_no, start, value, source_text FROM ph")
+def tnd_02_page_hits(s, d):
+    return tender.page_hits(t(s, d, "tender_pages"))
+
+
+_SINGLE = ("product", "material", "application", "capacity")
+_TOLD = "string_agg(page || ' ' || value || ': ' || source_text, ' | ' ORDER BY page, hit_no) FILTER (kind = '{k}' AND n <= {n})"
+
+
+@query(f"""WITH {PAGE_HITS}, rf AS (SELECT *, row_number() OVER (PARTITION BY tender_id, kind, CASE WHEN kind = 'reference' THEN value ELSE page || '/' || hit_no END ORDER BY page, hit_no) AS again FROM ph),
+nn AS (SELECT *, row_number() OVER (PARTITION BY tender_id, kind ORDER BY page, hit_no) AS n FROM rf WHERE again = 1)
+SELECT tender_id, {', '.join(f"any_value(value) FILTER (kind = '{k}' AND n = 1) AS {k}, coalesce({_TOLD.format(k=k, n=3)}, '') AS {k}_evidence" for k in _SINGLE)},
+coalesce({_TOLD.format(k='dimension', n=8)}, '') AS dimensions, coalesce({_TOLD.format(k='reference', n=1000000)}, '') AS refs FROM (SELECT DISTINCT tender_id FROM tender_pages) LEFT JOIN nn USING (tender_id) GROUP BY tender_id""")
+def tnd_02_page_requirements(s, d):
+    told = lambda c: F.array_join(F.transform(c, lambda e: F.concat(e["page"].cast("string"), F.lit(" "), e["value"], F.lit(": "), e["source_text"])), " | ")
+    r = tender.page_requirements(t(s, d, "tender_pages"))
+    return r.select("tender_id", *_SINGLE, *(told(f"{k}_evidence").alias(f"{k}_evidence") for k in _SINGLE), told("dimensions").alias("dimensions"), told("references").alias("refs"))
+
+
 @query(f"WITH {REQ} SELECT tender_id, array_to_string(dimensions, ';') AS dimensions FROM rq")
 def tnd_03_dimensions(s, d):
     return _reqs(s, d).select("tender_id", F.array_join("dimensions", ";").alias("dimensions"))
@@ -108,15 +136,16 @@ def qlt_07_score(s, d):
     return tender.scores(r, tender.issues(r))
 
 
-SP = "sp AS (SELECT DISTINCT ON (tender_id, spec_ord) * FROM tender_specs ORDER BY tender_id, spec_ord, spec_id, standard_id, value, material, property, unit, tolerance)"
-PARAMS = """pr AS (SELECT tender_id, unnest(list_concat(CASE WHEN product IS NULL THEN [] ELSE ['product|' || product] END, CASE WHEN material IS NULL THEN [] ELSE ['material|' || material] END, CASE WHEN application IS NULL THEN [] ELSE ['application|' || application] END,
- ['capacity|' || capacity, 'dimension|' || dimensions[1], 'dimension|' || dimensions[2]], list_transform(testing, lambda x: 'testing|' || x), list_transform(safety, lambda x: 'safety|' || x))) AS x,
- generate_subscripts(list_concat(CASE WHEN product IS NULL THEN [] ELSE ['product|' || product] END, CASE WHEN material IS NULL THEN [] ELSE ['material|' || material] END, CASE WHEN application IS NULL THEN [] ELSE ['application|' || application] END,
- ['capacity|' || capacity, 'dimension|' || dimensions[1], 'dimension|' || dimensions[2]], list_transform(testing, lambda x: 'testing|' || x), list_transform(safety, lambda x: 'safety|' || x)), 1) - 1 AS ord FROM rq),
-pp AS (SELECT tender_id, ord, split_part(x, '|', 1) AS name, split_part(x, '|', 2) AS value FROM pr)"""
-MATCH = f"""{REQ}, {SP}, {PARAMS}, mt AS (SELECT tender_id, ord, name, pp.value, spec_ord, spec_id, CASE WHEN spec_id IS NULL THEN 0 ELSE (CASE WHEN contains(lower(property), name) THEN 3 ELSE 0 END) + (CASE WHEN contains(lower(sp.value), pp.value) OR contains(pp.value, lower(sp.value)) THEN 5 ELSE 0 END)
+SP = "sp AS (SELECT DISTINCT ON (tender_id, spec_ord) *, CASE property WHEN 'Length' THEN 'Dimensions' ELSE 'Requirements' END AS section FROM tender_specs ORDER BY tender_id, spec_ord, spec_id, standard_id, value, material, property, unit, tolerance)"
+TRACED = """list_concat(CASE WHEN product IS NULL THEN [] ELSE ['product|' || product || '|Product'] END, CASE WHEN material IS NULL THEN [] ELSE ['material|' || material || '|Material'] END, CASE WHEN application IS NULL THEN [] ELSE ['application|' || application || '|Application'] END,
+ ['capacity|' || capacity || '|Capacity', 'dimension|' || dimensions[1] || '|Dimension 1', 'dimension|' || dimensions[2] || '|Dimension 2'], list_transform(testing, lambda x: 'testing|' || x || '|Testing: ' || x), list_transform(safety, lambda x: 'safety|' || x || '|Safety: ' || x))"""
+PARAMS = f"""pr AS (SELECT tender_id, unnest({TRACED}) AS x, generate_subscripts({TRACED}, 1) - 1 AS ord FROM rq),
+pp AS (SELECT tender_id, ord, split_part(x, '|', 1) AS name, split_part(x, '|', 2) AS value, split_part(x, '|', 3) AS label FROM pr)"""
+MATCH = f"""{REQ}, {SP}, {PARAMS}, mt AS (SELECT tender_id, ord, name, pp.value, spec_ord, spec_id, standard_id, section, page, property || ': ' || sp.value || ' ' || unit AS told, CASE WHEN spec_id IS NULL THEN 0 ELSE (CASE WHEN len(list_filter(string_split(lower(label), ' '), lambda w: contains(lower(property), w))) > 0 THEN 3 ELSE 0 END)
+ + (CASE WHEN contains(lower(sp.value), lower(pp.value)) OR contains(lower(pp.value), lower(sp.value)) THEN 5 ELSE 0 END)
  + (CASE WHEN abs(try_cast(split_part(pp.value, ' ', 1) AS DOUBLE) - sp.value::DOUBLE) / greatest(abs(sp.value::DOUBLE), 1) < 0.15::DOUBLE THEN 4 ELSE 0 END) END AS score FROM pp LEFT JOIN sp USING (tender_id)),
-bm AS (SELECT tender_id, ord, name, value, score, CASE WHEN score > 0 THEN spec_id END AS spec_id, CASE WHEN score >= 5 THEN 'supported' WHEN score >= 2 THEN 'partially_supported' WHEN score > 0 THEN 'unverified' ELSE 'not_found' END AS status
+bm AS (SELECT tender_id, ord, name, value, score, CASE WHEN score > 0 THEN spec_id END AS spec_id, CASE WHEN score > 0 THEN standard_id END AS standard_id, CASE WHEN score > 0 THEN section END AS clause, CASE WHEN score > 0 THEN page END AS evidence_page, CASE WHEN score > 0 THEN told END AS evidence_text,
+ CASE WHEN score >= 5 THEN 'supported' WHEN score >= 2 THEN 'partially_supported' WHEN score > 0 THEN 'unverified' ELSE 'not_found' END AS status
  FROM (SELECT *, row_number() OVER (PARTITION BY tender_id, ord ORDER BY score DESC, spec_ord) AS n FROM mt) WHERE n = 1)"""
 
 
@@ -124,15 +153,15 @@ def _specs(s, d):
     """A tender's specifications, one a place."""
     x = t(s, d, "tender_specs")
     first = F.min(F.struct("spec_id", "standard_id", "value", "material", "property", "unit", "tolerance", "nominal", "confidence", "page"))
-    return x.groupBy("tender_id", "spec_ord").agg(first.alias("x")).select("tender_id", "spec_ord", "x.*")
+    return x.groupBy("tender_id", "spec_ord").agg(first.alias("x")).select("tender_id", "spec_ord", "x.*", F.when(F.col("x.property") == "Length", "Dimensions").otherwise("Requirements").alias("section"))
 
 
-@query(f"WITH {REQ}, {PARAMS} SELECT tender_id, ord, name, value FROM pp")
+@query(f"WITH {REQ}, {PARAMS} SELECT tender_id, ord, name, value, label FROM pp")
 def trc_01_params(s, d):
     return tender.traceable(_reqs(s, d)).withColumn("ord", F.col("ord").cast("bigint"))
 
 
-@query(f"WITH {MATCH} SELECT tender_id, ord, name, value, score, spec_id, status FROM bm")
+@query(f"WITH {MATCH} SELECT tender_id, ord, name, value, score, spec_id, standard_id, clause, evidence_page, evidence_text, status FROM bm")
 def trc_02_best_match(s, d):
     x = tender.best_match(tender.traceable(_reqs(s, d)), _specs(s, d))
     return x.withColumn("ord", F.col("ord").cast("bigint"))

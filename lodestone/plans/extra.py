@@ -111,7 +111,7 @@ NEAR = "trim(substring(text, greatest({s} - 120, 0) + 1, {s} + length(v) + 120 -
 SELECT tender_id AS doc_id, 1 AS page, hit_no, v AS value, substring({NEAR.format(s='s')}, 1, 400) AS source_text FROM h""")
 def tnd_01_provenance(s, d):
     p = t(s, d, "tenders").select(F.col("tender_id").alias("doc_id"), F.lit(1).alias("page"), "text")
-    return tender.provenance(p, config.DIMENSION.replace("(?:[^A-Za-z0-9_]|$)", r"\b"))
+    return tender.provenance(p, config.DIMENSION)
 
 
 THREE = "t3 AS (SELECT * FROM sp JOIN (SELECT tender_id, standard_id FROM (SELECT tender_id, standard_id, row_number() OVER (PARTITION BY tender_id ORDER BY min(spec_ord), standard_id) AS place FROM sp GROUP BY tender_id, standard_id) WHERE place <= 3) USING (tender_id, standard_id))"

@@ -26,6 +26,12 @@ TABLES = {
   ' mm, as per IS ', o_custkey % 2000 + 100, ':', 1990 + o_orderkey % 33, '. ',
   CASE o_orderkey % 4 WHEN 0 THEN 'Testing and inspection shall be of good quality. ' WHEN 1 THEN 'Test may be about suitable, about enough. ' ELSE '' END,
   CASE WHEN o_custkey % 3 = 0 THEN 'Safety warning labels.' ELSE 'Goods as per drawing.' END) AS text FROM orders""",
+    "tender_pages": """SELECT concat('T', o_orderkey) AS tender_id, 1 AS page, concat('Supply of ',
+  CASE o_orderkey % 5 WHEN 0 THEN 'centrifugal pumps' WHEN 1 THEN concat('Water  storage', chr(10), 'tank') WHEN 2 THEN 'Gas Turbine fuel' WHEN 3 THEN 'pipes, valves and cement' ELSE 'goods' END,
+  ', body SS', CASE o_custkey % 3 WHEN 0 THEN '304' WHEN 1 THEN concat('  316', chr(10)) ELSE ' wood' END, ', capacity ', o_custkey % 90 + 10, CASE o_custkey % 4 WHEN 0 THEN 'L' ELSE ' litre' END,
+  ' at ', o_orderkey % 50 + 1, 'mm to ', o_orderkey % 7, '.5 bar.') AS text FROM orders
+  UNION ALL SELECT concat('T', o_orderkey) AS tender_id, 2 AS page, concat(chr(10), 'Storage tank for aviation', repeat(' and others', CAST(o_orderkey % 30 AS INT)), '; brass, Copper and PVC; ', o_custkey % 9, ' kg by 2 tons',
+  repeat('; 4 cm wide', CAST(o_custkey % 10 AS INT)), '; as per IS ', o_custkey % 2000 + 100, ' (Part 2) : 2015, IS 10:2001 and IS 10:2001 ') AS text FROM orders WHERE o_orderkey % 3 <> 0""",
     "edges": "SELECT concat('STD', l_partkey) AS source, concat('STD', l_suppkey) AS target, l_returnflag AS type, l_discount AS confidence FROM lineitem",
     "old_edges": "SELECT DISTINCT concat('STD', l_partkey) AS source, concat('STD', l_suppkey) AS target FROM lineitem WHERE l_returnflag = 'R'",
     "chunks": """SELECT concat('D', doc_id % 97, '_P', doc_id) AS chunk_id, CASE WHEN doc_id % 9 = 0 THEN '' ELSE concat('STD', 1 + doc_id % 50) END AS standard_id,
@@ -53,7 +59,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
         return read(name)
     sql = TABLES[name].replace("sha256(text)", "sha2(text, 256)")
     source = re.search(r"FROM (\w+)", sql)[1]
-    return spark.sql(re.sub(rf"FROM {source}", "FROM {base}", sql), base=read(source))
+    return spark.sql(re.sub(rf"FROM {source}\b", "FROM {base}", sql), base=read(source))
 
 
 def with_tables(sql: str) -> str:

@@ -23,7 +23,7 @@ def query(sql: str):
 
 
 TOKENS = "regexp_extract_all(lower({}), '[a-z0-9]+(?:[_./-][a-z0-9]+)*')"
-POSTS = f"po AS (SELECT chunk_id, term, count(*) AS tf FROM (SELECT chunk_id, unnest({TOKENS.format('text')}) AS term FROM chunks) GROUP BY ALL)"
+POSTS = f"po AS (SELECT chunk_id, term, count(*) AS tf FROM (SELECT chunk_id, unnest({TOKENS.format("concat_ws(' ', coalesce(text, ''), coalesce(standard_id, ''), coalesce(section, ''))")}) AS term FROM chunks) GROUP BY ALL)"
 IDF = """st AS (SELECT term, df, ln((SELECT count(*) FROM chunks) - df + 0.5::DOUBLE) - ln(df + 0.5::DOUBLE) AS raw FROM (SELECT term, count(*) AS df FROM po GROUP BY term)),
 idf AS (SELECT term, df, CASE WHEN raw < 0 THEN 0.25::DOUBLE * (SELECT avg(raw) FROM st) ELSE raw END AS idf FROM st)"""
 BM25 = f"""{POSTS}, {IDF}, le AS (SELECT chunk_id, sum(tf) AS length FROM po GROUP BY chunk_id), av AS (SELECT (SELECT sum(tf) FROM po) / (SELECT count(*) FROM chunks) AS average),
@@ -35,12 +35,14 @@ DOT = "list_inner_product(list_transform({}, lambda x: x::DOUBLE), list_transfor
 SEM = f"sem AS (SELECT * FROM (SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM (SELECT q.query_id, v.chunk_id, {DOT.format('v.vector', 'q.vector')} AS score FROM vectors v, vector_queries q)) WHERE rank <= 20)"
 
 
-_BUILT: dict[tuple[str, str], search.Index] = {}
+_BUILT: dict[tuple, search.Index] = {}
 
 
 def _index(s, d):
-    """The written index of the chunks, built by the first query of a session that needs it."""
-    at = (s.sparkContext.applicationId, d)
+    """The written index of the chunks, built by the first query of a session that needs it, and again where their files have changed."""
+    files = s.read.parquet(f"{d}/documents.parquet").select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct()
+    seen = files.agg(F.count("*"), F.sum(F.xxhash64(*files.columns).cast("decimal(38,0)"))).first()
+    at = (s.sparkContext.applicationId, d, *seen)
     if at not in _BUILT:
         _BUILT[at] = search.written(t(s, d, "chunks"), work_folder(s, "index"))
     return _BUILT[at]
@@ -132,7 +134,7 @@ def ret_16_index_gaps(s, d):
 
 
 HITS = f"{FUSED}, hits AS (SELECT query_id, chunk_id, score, coalesce(nullif(standard_id, ''), CASE WHEN contains(chunk_id, '_P') THEN split_part(chunk_id, '_P', 1) END, 'unknown') AS standard, section, text FROM f JOIN chunks USING (chunk_id))"
-GROUPED = "g AS (SELECT query_id, standard, 0.6::DOUBLE * max(score) + 0.4::DOUBLE * avg(score) FILTER (n <= 3) AS semantic, count(*) AS chunks FROM (SELECT *, row_number() OVER (PARTITION BY query_id, standard ORDER BY score DESC, chunk_id) AS n FROM hits) GROUP BY ALL)"
+GROUPED = "g AS (SELECT query_id, standard, 0.6::DOUBLE * max(score) + 0.4::DOUBLE * avg(score) FILTER (n <= 3) AS semantic, count(*) AS chunks, max(score) AS best_chunk_score, string_agg(chunk_id, ',' ORDER BY n) FILTER (n <= 3) AS evidence_chunks FROM (SELECT *, row_number() OVER (PARTITION BY query_id, standard ORDER BY score DESC, chunk_id) AS n FROM hits) GROUP BY ALL)"
 
 
 def _hits(s, d):
@@ -160,19 +162,24 @@ def rnk_06_recency(s, d):
     return t(s, d, "standards").select("standard_id", ranking.recency(F.col("edition_year")).alias("recency"))
 
 
-MATERIALS = "[" + ", ".join(f"'{m.lower()}'" for m in config.MATERIALS.split("|")) + "]"
+NAMED = f"list_distinct(list_transform(regexp_extract_all(query, '{config.RANK_MATERIAL}', 1), lambda x: lower(x)))"
 SCOPE = "CASE WHEN max(CASE WHEN lower(section) LIKE '%scope%' THEN score END) IS NULL THEN 0 ELSE least(1.0::DOUBLE, max(CASE WHEN lower(section) LIKE '%scope%' THEN score END) + 0.15::DOUBLE) END"
-RANKED = f"""{HITS}, {GROUPED}, asked2 AS (SELECT query_id, list_filter({MATERIALS}, lambda x: contains(lower(query), x)) AS m FROM queries),
-sg AS (SELECT query_id, standard, {SCOPE} AS sc, CASE WHEN max(len(m)) > 0 THEN least(1.0::DOUBLE, avg(CASE WHEN len(list_filter(m, lambda x: contains(lower(text), x))) > 0 THEN 1.0::DOUBLE ELSE 0 END) + 0.2::DOUBLE) ELSE 0 END AS ma FROM hits JOIN asked2 USING (query_id) GROUP BY ALL),
-o AS (SELECT g.query_id, g.standard, g.semantic, g.chunks, sc, ma, s.edition_year, list_distinct(regexp_extract_all(lower(query), '[a-z0-9]+')) AS q, list_distinct(regexp_extract_all(lower(concat(title, ' ', normalized_identifier)), '[a-z0-9]+')) AS w FROM g JOIN sg USING (query_id, standard) JOIN standards s ON s.standard_id = g.standard JOIN queries USING (query_id)),
-rk AS (SELECT query_id, standard, chunks, semantic, CASE WHEN len(q) > 0 THEN len(list_intersect(q, w)) / len(q) ELSE 0 END AS title, sc, floor((0.5::DOUBLE * semantic + 0.2::DOUBLE * (CASE WHEN len(q) > 0 THEN len(list_intersect(q, w)) / len(q) ELSE 0 END) + 0.15::DOUBLE * sc + 0.1::DOUBLE * ma + 0.05::DOUBLE * greatest(0, least(1, (edition_year - 2000) / 26))) * 10000.0::DOUBLE + 0.5::DOUBLE) / 10000.0::DOUBLE AS score FROM o),
+RANKED = f"""{HITS}, {GROUPED}, asked2 AS (SELECT query_id, {NAMED} AS m FROM queries),
+sg AS (SELECT query_id, standard, {SCOPE} AS sc, CASE WHEN max(len(m)) > 0 THEN least(1.0::DOUBLE, avg(CASE WHEN len(list_filter(m, lambda x: contains(lower(concat_ws(' ', text, section)), x))) > 0 THEN 1.0::DOUBLE ELSE 0 END) + 0.2::DOUBLE) ELSE 0 END AS ma FROM hits JOIN asked2 USING (query_id) GROUP BY ALL),
+o AS (SELECT g.query_id, g.standard, g.semantic, g.chunks, g.best_chunk_score, g.evidence_chunks, sc, ma, s.edition_year, list_distinct(regexp_extract_all(lower(query), '[a-z0-9]+')) AS q, list_distinct(regexp_extract_all(lower(concat(title, ' ', normalized_identifier)), '[a-z0-9]+')) AS w FROM g JOIN sg USING (query_id, standard) JOIN standards s ON s.standard_id = g.standard JOIN queries USING (query_id)),
+rk AS (SELECT query_id, standard, chunks, best_chunk_score, evidence_chunks, ma, greatest(0.0::DOUBLE, least(1.0::DOUBLE, (edition_year - 2000) / 26)) AS recency, semantic, CASE WHEN len(q) > 0 THEN len(list_intersect(q, w)) / len(q) ELSE 0 END AS title, sc, floor((0.5::DOUBLE * semantic + 0.2::DOUBLE * (CASE WHEN len(q) > 0 THEN len(list_intersect(q, w)) / len(q) ELSE 0 END) + 0.15::DOUBLE * sc + 0.1::DOUBLE * ma + 0.05::DOUBLE * greatest(0, least(1, (edition_year - 2000) / 26))) * 10000.0::DOUBLE + 0.5::DOUBLE) / 10000.0::DOUBLE AS score FROM o),
 rr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, standard) AS rank FROM rk)"""
 
 
-@query(f"WITH {RANKED} SELECT query_id, standard, score, chunks, rank FROM rr")
+FOUR = "floor({} * 10000.0::DOUBLE + 0.5::DOUBLE) / 10000.0::DOUBLE"
+PARTS = ("semantic", "title", "scope", "material", "recency")
+
+
+@query(f"WITH {RANKED} SELECT query_id, standard, score, chunks, rank, best_chunk_score, evidence_chunks, {', '.join(FOUR.format(c) + ' AS ' + n for c, n in zip(('semantic', 'title', 'sc', 'ma', 'recency'), PARTS))} FROM rr")
 def rnk_07_rerank(s, d):
     r = ranking.ranked(_hits(s, d), t(s, d, "standards"), t(s, d, "queries"))
-    return r.select("query_id", "standard", "score", "chunks", F.col("rank").cast("bigint").alias("rank"))
+    parts = [search.rounded(F.col(c), 4).alias(c) for c in PARTS]
+    return r.select("query_id", "standard", "score", "chunks", F.col("rank").cast("bigint").alias("rank"), "best_chunk_score", F.array_join("evidence_chunks", ",").alias("evidence_chunks"), *parts)
 
 
 TWO = "printf('%.2f', floor({} * 100.0::DOUBLE + 0.5::DOUBLE) / 100.0::DOUBLE)"

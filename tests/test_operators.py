@@ -54,6 +54,39 @@ def test_bm25_by_hand(spark):
     assert got[3, "a"] == pytest.approx(0.25 * sum(raw) / 4 * 2.5 / (1 + 1.5 * (0.25 + 0.75 * 2 / 2)), abs=1e-6)
 
 
+def test_fields_are_searched(spark):
+    chunks = spark.createDataFrame([("a", "steel pipe", "IS_10", "Scope"), ("b", None, "IS_1448_2", None), ("c", "pump", None, "General")], "chunk_id string, text string, standard_id string, section string")
+    got = {(r.chunk_id, r.term) for r in search.postings(chunks).collect()}
+    assert got == {("a", "steel"), ("a", "pipe"), ("a", "is_10"), ("a", "scope"), ("b", "is_1448_2"), ("c", "pump"), ("c", "general")}
+    q = spark.createDataFrame([(1, "is_1448_2")], "query_id int, query string")
+    assert [r.chunk_id for r in search.lexical(q, chunks).collect()] == ["b"]
+
+
+def test_pruned_search_is_exact(spark, tmp_path):
+    import random
+
+    from pyspark.sql import functions as F
+
+    rnd = random.Random(3)
+    names = [f"w{int(rnd.paretovariate(0.6)) % 900}" for _ in range(40_000)]
+    rows = [(f"c{i:04}", " ".join(rnd.choice(names) for _ in range(rnd.choice([0, 3, 20, 60]))), f"STD{i % 9}", "Scope") for i in range(1500)]
+    rows += [("same1", rows[5][1], "STD5", "Scope"), ("same2", rows[5][1], "STD5", "Scope"), ("none", None, None, None)]
+    chunks = spark.createDataFrame(rows, "chunk_id string, text string, standard_id string, section string")
+    asked = [(i, rows[i * 7][1]) for i in range(60)] + [(100, "w1 w1 w1 w2"), (101, "nothing here"), (102, ""), (103, None), (104, "scope"), (105, "std5 w333")]
+    q = spark.createDataFrame(asked, "query_id int, query string")
+    index = search.written(chunks, str(tmp_path / "index"))
+    for k in (1, 5, 20):
+        whole = search.top(search.bm25(q, index).where("score > 0"), k)
+        got = search.lexical(q, index, k)
+        row = lambda df: sorted((r.query_id, r["rank"], r.chunk_id, r.score) for r in df.collect())
+        assert row(got) == row(whole) == row(search.lexical(q, chunks, k))
+    # of queries with a rare term most chunks that share a common one are never scored
+    common = spark.createDataFrame([(i, f"w{500 + i} w{700 + i} scope std5 w1") for i in range(40)], "query_id int, query string")
+    pairs, every = search.candidates(common, index, 5)[1].count(), search.bm25(common, index).count()
+    assert pairs < every / 4
+    assert index.blocks.agg(F.max("n")).first()[0] <= 2 * search.SEGMENT
+
+
 def test_min_max_of_equal_scores(spark):
     df = spark.createDataFrame([(1, "a", 2.0), (1, "b", 2.0)], "query_id int, chunk_id string, score double")
     assert {r.norm for r in search.min_max(df).collect()} == {0.5}
@@ -63,7 +96,7 @@ def test_fusion_of_one_sided_hits(spark):
     s = "query_id int, chunk_id string, score double, rank int"
     sem = spark.createDataFrame([(1, "a", 0.9, 1), (1, "b", 0.1, 2)], s)
     lex = spark.createDataFrame([(1, "b", 5.0, 1), (1, "c", 1.0, 2)], s)
-    got = {r.chunk_id: (r.score, r.sources) for r in search.fused(sem, lex).collect()}
+    got = {r.chunk_id: (r.score, r.sources) for r in search.fused(search.merged(sem, lex)).collect()}
     assert got == {"a": (0.425, "semantic"), "b": (0.3, "semantic+lexical"), "c": (0.0, "lexical")}
 
 
@@ -127,3 +160,39 @@ def test_tender_edges(spark):
 def test_config():
     c = config.DEFAULT
     assert c.semantic_weight + c.lexical_weight + c.metadata_weight == pytest.approx(1)
+
+
+def test_tender_values_keep_their_form(spark):
+    from lodestone.operators import tender
+
+    texts = ["two centrifugal pumps", "SS304 body", "Water  storage\ntank", "SS  316 plate", "nothing of the kind", None, "500L and 500 L, Brass; 20 °C"]
+    x = spark.createDataFrame(list(enumerate(texts)), "tender_id int, text string")
+    got = {r.tender_id: r for r in tender.requirements(x).collect()}
+    assert [got[i].product for i in range(7)] == ["pump", None, "Water  storage\ntank", None, None, None, None]
+    assert [got[i].material for i in range(7)] == [None, "SS304", None, "SS  316", None, None, "Brass"]
+    assert got[6].capacity == "500L" and got[6].dimensions == ["500L", "500 L", "20 °C"]
+
+
+def test_evidence_over_pages(spark):
+    from lodestone.operators import tender
+
+    pages = [("a", 2, "a pump, then pipe, valve and cable"), ("a", 1, "x" * 200 + " steel\nplate as per IS 10:2001 and IS 10:2001"), ("b", 1, None), ("c", 1, "5 mm " * 9 + "IS 10:2001")]
+    x = spark.createDataFrame(pages, "tender_id string, page int, text string")
+    got = {r.tender_id: r for r in tender.page_requirements(x).collect()}
+    a = got["a"]
+    assert a.product == "steel" and [(e.page, e.value) for e in a.product_evidence] == [(1, "steel"), (2, "pump"), (2, "pipe")]
+    assert a.product_evidence[0].source_text == "x" * 119 + " steel plate as per IS 10:2001 and IS 10:2001"
+    assert [(e.page, e.value) for e in a.references] == [(1, "IS 10:2001")] and a.material is None
+    assert got["b"].product is None and got["b"].dimensions == [] and len(got["c"].dimensions) == 8
+
+
+def test_trace_evidence(spark):
+    from lodestone.operators import tender
+
+    reqs = tender.requirements(spark.createDataFrame([(1, "steel pipe, 5 mm, inspection and testing")], "tender_id int, text string"))
+    specs = [(1, 0, "s0", "Diameter", "90", "STD1", "Dimensions", 3, "mm", None), (1, 1, "s1", "Wall", "5.2", "STD1", "Dimensions", 4, "mm", "y" * 300), (1, 2, "s2", "Inspection", "", "STD2", None, None, None, "")]
+    s = spark.createDataFrame(specs, "tender_id int, spec_ord int, spec_id string, property string, value string, standard_id string, section string, page int, unit string, evidence string")
+    got = {r.value: r for r in tender.best_match(tender.traceable(reqs), s).collect()}
+    assert (got["5 mm"].spec_id, got["5 mm"].clause, got["5 mm"].evidence_page, got["5 mm"].evidence_text, got["5 mm"].status) == ("s1", "Dimensions", 4, "y" * 200, "partially_supported")
+    assert (got["inspection"].spec_id, got["inspection"].evidence_text, got["inspection"].score) == ("s2", "Inspection:  ", 3)
+    assert got["steel"].status == "not_found" and got["steel"].evidence_text is None
