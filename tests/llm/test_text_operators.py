@@ -246,10 +246,9 @@ def test_similar_texts(spark):
     df = spark.createDataFrame([(i, t, 1, 1) for i, t in enumerate(texts)], "doc_id bigint, text string, node int, key int")
     got = {r.doc_id: r.component_id for r in simhash.similar(df).collect()}
     assert set(got) == set(want)
-    # nothing is linked that isn't by brute force; few links are missed, none of 0.95 or more
+    # nothing is linked that isn't by brute force; of links down to 0.8 next to none is missed
     assert all(want[i] == want[c] for i, c in got.items())
-    assert all(got[i] == got[j] for i, j in near if len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.95)
-    assert sum(got[i] == got[j] for i, j in near) >= 0.9 * len(near)
+    assert sum(got[i] == got[j] for i, j in near) >= 0.99 * len(near)
     # with keys of one block hardly a pair is without a shared one, so that the rounds have to find every link
     every = {r.doc_id: r.component_id for r in simhash.similar(df, distance=6, blocks=7, fingerprints=4, far=256).collect()}
     assert every == want
