@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lodestone import config
+from lodestone.functions.identifiers import year
 from lodestone.functions.text import first_number, number_and_unit, squeezed, text
 
 
@@ -81,6 +82,17 @@ def version_conflicts(refs: DataFrame, standards: DataFrame) -> DataFrame:
     return refs.join(standards, "tender_id").where(F.col("edition_year") > F.col("year") + 5).select("tender_id", "ref_id", "standard_id", "year", "edition_year")
 
 
+def conflicts(reqs: DataFrame, specs: DataFrame, recommended: DataFrame, standards: DataFrame, most: int = 5) -> DataFrame:
+    """(tender_id, type, parameter, standard_id, severity) of a tender's first standards: values, materials, and references to editions long replaced; each type, parameter and standard once."""
+    near = first_standards(specs, most)
+    values = value_conflicts(reqs, near).select("tender_id", F.lit("value_mismatch").alias("type"), "parameter", "standard_id", "severity")
+    materials = material_conflicts(reqs, near).select("tender_id", F.lit("material_conflict").alias("type"), F.lit("material").alias("parameter"), "standard_id", F.lit("medium").alias("severity"))
+    cited = reqs.select("tender_id", F.explode("refs").alias("ref_id")).withColumn("year", F.coalesce(year("ref_id"), F.regexp_extract("ref_id", "([0-9]{4})$", 1).try_cast("int")))
+    editions = recommended.where(F.col("rank") <= most).select("tender_id", "standard_id").join(standards.select("standard_id", "edition_year"), "standard_id")
+    versions = version_conflicts(cited, editions).select("tender_id", F.lit("version_conflict").alias("type"), F.col("ref_id").alias("parameter"), "standard_id", F.lit("medium").alias("severity"))
+    return values.unionByName(materials).unionByName(versions).dropDuplicates(["tender_id", "type", "parameter", "standard_id"])
+
+
 def compatible(a: Column, b: Column) -> Column:
     """struct(compatible, difference): numbers within 10 % and units equal; else the texts are equal."""
     (x, u), (y, v) = number_and_unit(a), number_and_unit(b)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lodestone.functions.text import text
 from lodestone.operators.ranking import first_of
 
 
@@ -71,6 +72,15 @@ def replaced(old: DataFrame, new: DataFrame, by: str = "workspace_id") -> DataFr
     return old.join(new.select(by).distinct(), by, "left_anti").unionByName(new)
 
 
+def requirement_rows(reqs: DataFrame, most: int = 5) -> DataFrame:
+    """(tender_id, category, parameter, value, is_specified) of requirements as a workspace keeps them: a row a value, of lists the first `most`."""
+    one = lambda c: F.when(text(c) != "", F.array(F.struct(F.lit(c).alias("category"), F.col(c).alias("value")))).otherwise(F.array())
+    many = lambda c: F.transform(F.slice(c, 1, most), lambda x: F.struct(F.lit(c).alias("category"), x.alias("value")))
+    parts = [p.cast("array<struct<category:string,value:string>>") for p in (*map(one, ("product", "material", "application", "capacity")), *map(many, ("testing", "safety")))]
+    rows = reqs.select("tender_id", F.explode(F.concat(*parts)).alias("r"))
+    return rows.select("tender_id", "r.category", F.col("r.category").alias("parameter"), "r.value", F.lit(1).alias("is_specified"))
+
+
 def deleted(rows: DataFrame, gone: DataFrame, by: str = "workspace_id") -> DataFrame:
     return rows.join(gone.select(by), by, "left_anti")
 

@@ -238,6 +238,11 @@ def query_ids(query: Column | str) -> Column:
     return F.regexp_extract_all(text(query), F.lit(config.QUERY_REFERENCE), 0)
 
 
+def none(queries: DataFrame, key: str = "chunk_id") -> DataFrame:
+    """The ranked list of a search that isn't made."""
+    return queries.where("false").select("query_id", F.lit(None).cast("string").alias(key), F.lit(0.0).alias("score"), F.lit(0).alias("rank"))
+
+
 def merged(sem: DataFrame, lex: DataFrame, key: str = "chunk_id") -> DataFrame:
     """Full outer merge of two ranked lists: (query_id, key, s, semantic_rank, l, lexical_rank), scores normalised within each list."""
     a = min_max(sem).select("query_id", key, F.col("norm").alias("s"), F.col("rank").alias("semantic_rank"))

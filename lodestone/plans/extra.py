@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lodestone import config
-from lodestone.operators import analysis, extract, graph, ingest, search, sections, standards, tender, views
+from lodestone.operators import analysis, extract, graph, ingest, isolation, search, sections, standards, tender, views
 from lodestone.plans.analytics import FIRST, GAPS, MATCH, REQ, SP, STATUS, _reqs, _specs
 from lodestone.plans.fixtures import table as t
 from lodestone.plans.texts import FREQUENCY, SCORED
@@ -208,6 +208,25 @@ def inc_05_outcomes(s, d):
     return ingest.outcomes(x, failures)
 
 
+FAULTS = """fd AS (SELECT doc_id, text, CASE WHEN doc_id % 7 = 0 THEN 'document_failed:JSONDecodeError' WHEN doc_id % 11 = 0 THEN 'document_failed:ValueError' END AS fatal,
+ CASE WHEN doc_id % 3 = 0 THEN 'section_failed:JSONDecodeError' END AS section, CASE WHEN doc_id % 5 = 0 THEN 'table_failed:JSONDecodeError' END AS tab FROM documents)"""
+
+
+@query(f"""WITH {FAULTS} SELECT doc_id, CASE WHEN fatal IS NOT NULL THEN 'FAILED' WHEN section IS NOT NULL THEN 'PARTIAL' ELSE 'SUCCESS' END AS status, CASE WHEN fatal IS NOT NULL THEN fatal ELSE nullif(concat_ws('; ', section, tab), '') END AS warnings FROM fd""")
+def inc_05_isolated(s, d):
+    return isolation.read_documents(t(s, d, "raw_documents"))["outcomes"]
+
+
+@query(f"""WITH {FAULTS} SELECT doc_id, 'page' AS part, 1 AS page, sha256(replace(replace(text, chr(92), ''), '"', '')) AS sha FROM fd WHERE fatal IS NULL UNION ALL SELECT doc_id, 'page', 2, NULL FROM fd WHERE fatal IS NULL
+UNION ALL SELECT doc_id, 'section', 1, sha256('1 Scope') FROM fd WHERE fatal IS NULL AND section IS NULL UNION ALL SELECT doc_id, 'table', 1, sha256('1 2 3') FROM fd WHERE fatal IS NULL""")
+def inc_05_what_remains(s, d):
+    x = isolation.read_documents(t(s, d, "raw_documents"))
+    pages = x["pages"].select("doc_id", F.lit("page").alias("part"), "page", F.sha2("text", 256).alias("sha"))
+    parts = x["sections"].select("doc_id", F.lit("section").alias("part"), "page", F.sha2(F.concat_ws(" ", "level", "title"), 256).alias("sha"))
+    cells = x["tables"].select("doc_id", F.lit("table").alias("part"), "page", F.sha2(F.array_join(F.flatten("cells"), " "), 256).alias("sha"))
+    return pages.unionByName(parts).unionByName(cells)
+
+
 @query("SELECT sha, min(path) AS path, count(*) AS n FROM files GROUP BY sha")
 def inc_02_firsts(s, d):
     return ingest.firsts(t(s, d, "files"))

@@ -26,6 +26,13 @@ TABLES = {
   ' mm, as per IS ', o_custkey % 2000 + 100, ':', 1990 + o_orderkey % 33, '. ',
   CASE o_orderkey % 4 WHEN 0 THEN 'Testing and inspection shall be of good quality. ' WHEN 1 THEN 'Test may be about suitable, about enough. ' ELSE '' END,
   CASE WHEN o_custkey % 3 = 0 THEN 'Safety warning labels.' ELSE 'Goods as per drawing.' END) AS text FROM orders""",
+    "calls": """SELECT concat('T', c_custkey) AS tender_id, CASE WHEN c_custkey % 50 = 0 THEN ' ' ELSE concat('Supply of ',
+  CASE c_custkey % 3 WHEN 0 THEN 'water storage tank' WHEN 1 THEN 'pump' ELSE 'goods' END, ' in ',
+  CASE c_nationkey % 5 WHEN 0 THEN 'mild steel' WHEN 1 THEN 'brass' WHEN 2 THEN 'HDPE' WHEN 3 THEN 'copper' ELSE 'wood' END,
+  CASE WHEN c_custkey % 2 = 0 THEN ' for drinking water' ELSE '' END, ', capacity ', c_custkey % 90 + 10, ' L, length ', c_custkey % 50 + 1,
+  ' mm, as per IS ', c_custkey % 2000 + 1, ':', 1990 + c_custkey % 33, '. ',
+  CASE c_custkey % 4 WHEN 0 THEN 'Testing and inspection shall be of good quality. ' WHEN 1 THEN 'Test may be about suitable, about enough. ' ELSE '' END,
+  CASE WHEN c_custkey % 3 = 0 THEN 'Safety warning labels.' ELSE 'Goods as per drawing.' END) END AS text FROM customer""",
     "tender_pages": """SELECT concat('T', o_orderkey) AS tender_id, 1 AS page, concat('Supply of ',
   CASE o_orderkey % 5 WHEN 0 THEN 'centrifugal pumps' WHEN 1 THEN concat('Water  storage', chr(10), 'tank') WHEN 2 THEN 'Gas Turbine fuel' WHEN 3 THEN 'pipes, valves and cement' ELSE 'goods' END,
   ', body SS', CASE o_custkey % 3 WHEN 0 THEN '304' WHEN 1 THEN concat('  316', chr(10)) ELSE ' wood' END, ', capacity ', o_custkey % 90 + 10, CASE o_custkey % 4 WHEN 0 THEN 'L' ELSE ' litre' END,
@@ -41,6 +48,9 @@ TABLES = {
     "vectors": "SELECT concat('D', vec_id % 97, '_P', vec_id) AS chunk_id, embedding AS vector FROM embeddings",
     "vector_queries": "SELECT vec_id AS query_id, embedding AS vector FROM embeddings WHERE vec_id % 100 = 0",
     "files": "SELECT concat('IS_', doc_id, '_', 1990 + doc_id % 30, '.pdf') AS path, sha256(text) AS sha, source FROM documents",
+    "raw_documents": """SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN '{"pages": [' WHEN doc_id % 11 = 0 THEN '{"pages": [{"page": "x", "text": "a"}]}'
+  ELSE concat('{"pages": [{"page": 1, "text": "', replace(replace(text, chr(92), ''), '"', ''), '", "outline": "', CASE WHEN doc_id % 3 = 0 THEN 'broken' ELSE concat('[[1, ', chr(92), '"Scope', chr(92), '"]]') END,
+  '", "tables": ["[[1, 2], [3, null]]"', CASE WHEN doc_id % 5 = 0 THEN ', "[[1"' ELSE '' END, ']}, {"page": 2, "text": null}]}') END AS payload FROM documents""",
     "page_rows": "SELECT source AS doc_id, CAST(1 + doc_id % 10 AS INT) AS page, text, CAST(doc_id % 3 AS INT) AS images, length(text) AS chars, doc_id AS row_id FROM documents",
     "figures": """SELECT concat('STD', l_partkey % 20) AS doc_id, concat('STD', l_partkey) AS standard_id, concat('F', l_orderkey, '_', l_linenumber) AS figure_id, l_linenumber AS page,
   concat('h', l_suppkey % 40) AS pix_hash, l_quantity * 10 AS width, 20 + l_discount * 3000 AS height, l_tax AS y0, l_tax + 0.1 AS y1,
@@ -59,7 +69,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
         return read(name)
     sql = TABLES[name].replace("sha256(text)", "sha2(text, 256)")
     source = re.search(r"FROM (\w+)", sql)[1]
-    return spark.sql(re.sub(rf"FROM {source}\b", "FROM {base}", sql), base=read(source))
+    return spark.sql(re.sub(rf"FROM {source}\b", "FROM {base}", sql.replace("{", "{{").replace("}", "}}")), base=read(source))
 
 
 def with_tables(sql: str) -> str:
