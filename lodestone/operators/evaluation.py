@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import rounded, word_set
@@ -27,6 +27,7 @@ def per_query(hits: DataFrame, relevant: DataFrame) -> DataFrame:
         "query_id",
         "n_relevant",
         (F.col("h5") / 5).alias("p5"),
+        (F.col("h10") / 10).alias("p10"),
         recall("h5").alias("r5"),
         recall("h10").alias("r10"),
         rounded(F.coalesce(1 / F.col("first"), F.lit(0.0)), 4).alias("mrr"),
@@ -35,13 +36,14 @@ def per_query(hits: DataFrame, relevant: DataFrame) -> DataFrame:
     )
 
 
-METRICS = ("p5", "r5", "r10", "mrr", "exact5", "fp5")
+METRICS = ("r5", "r10", "p5", "p10", "mrr", "exact5", "sem5", "fp5")
+"""In the order of the comparison; all but the last are better when higher."""
 
 
 def macro(q: DataFrame) -> DataFrame:
     """Means by model: over queries with relevant documents, false positives over all. Topic relevance (sem5) is averaged where it is there."""
     mean = lambda m: F.avg(F.col(m) if m == "fp5" else F.when(F.col("n_relevant") > 0, F.col(m)))
-    return q.groupBy("model").agg(*[rounded(mean(m), 4).alias(m) for m in (*METRICS, "sem5") if m in q.columns])
+    return q.groupBy("model").agg(*[rounded(mean(m), 4).alias(m) for m in METRICS if m in q.columns])
 
 
 def topic_relevance(hits: DataFrame, topics: DataFrame, body: str = "text") -> DataFrame:
@@ -52,18 +54,26 @@ def topic_relevance(hits: DataFrame, topics: DataFrame, body: str = "text") -> D
     return j.groupBy("model", "query_id").agg(rounded(F.avg(share), 4).alias("sem5"))
 
 
-def winner(m: DataFrame) -> DataFrame:
-    """Models of macro() with sem5, with their composite score, the best marked; of equals the first by name."""
+def place(models: list[str]) -> Column:
+    """A model's place in the list; one that isn't listed comes last."""
+    of = F.array_position(F.array(*map(F.lit, models)), F.col("model"))
+    return F.when(of > 0, of).otherwise(len(models) + 1)
+
+
+def winner(m: DataFrame, models: list[str]) -> DataFrame:
+    """Models of macro() with sem5, with their composite score, the best marked; of equals the first of the list."""
     s = 0.25 * F.col("r5") + 0.15 * F.col("r10") + 0.20 * F.col("p5") + 0.20 * F.col("mrr") + 0.10 * F.col("exact5") - 0.03 * F.col("fp5") + 0.07 * F.col("sem5")
     s = m.select("model", rounded(s, 6).alias("score"))
-    best = s.agg(F.max(F.struct("score")).alias("b"), F.min_by("model", F.struct((-F.col("score")), "model")).alias("best"))
-    return s.crossJoin(F.broadcast(best)).select("model", "score", (F.col("model") == F.col("best")).alias("winner"))
+    best = s.agg(F.min_by("model", F.struct((-F.col("score")), place(models), "model")).alias("best"))
+    return s.crossJoin(F.broadcast(best)).select("model", "score", (F.col("model") == F.col("best")).alias("winner"))  # one row
 
 
 def compared(m: DataFrame, models: list[str]) -> DataFrame:
-    """Metrics down, models across."""
-    long = m.unpivot("model", list(METRICS), "metric", "value")
-    return long.groupBy("metric").pivot("model", models).agg(F.first("value"))
+    """Metrics down, models across, and `best`: the model with the highest value, of false positives with the lowest, of equals the first of the list."""
+    long = m.unpivot("model", [c for c in METRICS if c in m.columns], "metric", "value")
+    better = F.when(F.col("metric") == "fp5", F.col("value")).otherwise(-F.col("value"))
+    best = long.groupBy("metric").agg(F.min_by("model", F.struct(better.alias("v"), place(models).alias("p"))).alias("best"))
+    return long.groupBy("metric").pivot("model", models).agg(F.first("value")).join(best, "metric")
 
 
 def hit_rate(runs: DataFrame, expected: DataFrame) -> DataFrame:
@@ -73,6 +83,13 @@ def hit_rate(runs: DataFrame, expected: DataFrame) -> DataFrame:
     return j.groupBy("query_id").agg(F.max(F.when(has & (F.col("rank") == 1), 1).otherwise(0)).alias("hit1"), F.max(F.when(has & (F.col("rank") <= 5), 1).otherwise(0)).alias("hit5"))
 
 
+def hit_summary(rates: DataFrame, least: float = 0.6) -> DataFrame:
+    """One row: queries, hits at 1 and 5, their shares, and PASS where the share at 5 reaches `least`, else WARN; no queries are a WARN."""
+    n = rates.agg(F.count("*").alias("queries"), F.coalesce(F.sum("hit1"), F.lit(0)).alias("hits1"), F.coalesce(F.sum("hit5"), F.lit(0)).alias("hits5"))
+    share = lambda c: rounded(F.when(F.col("queries") > 0, F.col(c) / F.col("queries")).otherwise(0.0), 4)
+    return n.select("queries", "hits1", "hits5", share("hits1").alias("share1"), share("hits5").alias("share5"), F.when((F.col("queries") > 0) & (F.col("hits5") >= least * F.col("queries")), "PASS").otherwise("WARN").alias("status"))
+
+
 def invented(runs: DataFrame, corpus: DataFrame, key: str = "doc_id") -> DataFrame:
     """Results that the corpus doesn't have; there should be none."""
     return runs.join(corpus.select(key), key, "left_anti")

@@ -174,18 +174,38 @@ def table_caption(page: Column | str) -> Column:
 
 
 def table_id(page: Column, index: Column, box: Column) -> Column:
-    return F.concat(F.lit("T"), page, F.lit("_"), index, F.lit("_"), F.substring(F.md5(box), 1, 6))
+    """index counts from 0."""
+    return F.concat(F.format_string("T%03d_%02d_", page.cast("int"), (index + 1).cast("int")), F.substring(F.md5(box), 1, 6))
+
+
+def table_text(rows: Column, most: int = 8) -> Column:
+    """The first rows of cells, a line each; cells are trimmed and on one line, missing ones empty."""
+    cell = lambda c: F.replace(stripped(c), F.lit("\n"), F.lit(" "))
+    return F.array_join(F.transform(F.slice(rows, 1, most), lambda r: F.array_join(F.transform(r, cell), " | ")), "\n")
+
+
+# How captions begin.
+FIGURE = r"(?i)(Figure|Fig\.)\s+([A-Z]?[0-9]+(?:\.[0-9]+)*)"
+FIGURE_LINE = r"(?im)^\s*(Figure|Fig\.)\s+[0-9A-Z.]+.*"
 
 
 def figure_caption(page: Column | str) -> Column:
-    line = F.regexp_extract(text(page), r"(?im)^\s*(?:Figure|Fig\.?)\s*([0-9]+)[^\n]*", 0)
-    return F.nullif(F.trim(line), F.lit(""))
+    """struct(number, caption): of the first line that begins with a figure's number, the rest is the caption, or the line where there is no rest; else, of a figure named anywhere, some text around it on one line. Null if there is none."""
+    t = text(page)
+    line, named = stripped(F.regexp_extract(t, FIGURE_LINE, 0)), F.get(places(t, FIGURE), 0)
+    number = F.regexp_extract(line, FIGURE, 0)
+    rest = F.regexp_replace(F.substring(line, F.instr(line, number) + F.length(number), 1 << 30), "^[ —–\\-:\t]+|[ —–\\-:\t]+$", "")
+    second = F.coalesce(F.get(F.split(line, r"\s+"), 1), F.lit(""))
+    own = F.struct(F.when(number != "", number).otherwise(second).alias("number"), F.substring(F.when((number != "") & (rest != ""), rest).otherwise(line), 1, 300).alias("caption"))
+    near = F.replace(stripped(around(t, named["start"], named["start"], 60, 120)), F.lit("\n"), F.lit(" "))
+    return F.when(line != "", own).when(named.isNotNull(), F.struct(named["value"].alias("number"), F.substring(near, 1, 300).alias("caption")))
 
 
 def duplicate_frequency(figures: DataFrame, pages: DataFrame) -> DataFrame:
-    """Adds `frequency`: how often the picture occurs in its document, by pages of it."""
-    n = figures.groupBy("doc_id", "pix_hash").agg(F.count("*").alias("n_same"))
-    return figures.join(n, ["doc_id", "pix_hash"]).join(pages.select("doc_id", "n_pages"), "doc_id").withColumn("frequency", F.col("n_same") / F.col("n_pages")).drop("n_same")
+    """Adds `frequency`: how often the picture occurs in its document, by pages of it. A picture is known by its hash, one without a hash by its width and height."""
+    f = figures.withColumn("same", F.coalesce(F.nullif("pix_hash", F.lit("")), F.concat_ws("x", F.col("width").cast("string"), F.col("height").cast("string"))))
+    n = f.groupBy("doc_id", "same").agg(F.count("*").alias("n_same"))
+    return f.join(n, ["doc_id", "same"]).join(pages.select("doc_id", "n_pages"), "doc_id").withColumn("frequency", F.col("n_same") / F.greatest("n_pages", F.lit(1))).drop("n_same", "same")
 
 
 def scored_figures(f: DataFrame) -> DataFrame:

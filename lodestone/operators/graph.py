@@ -44,6 +44,9 @@ def workspace_graph(traces: DataFrame, items: DataFrame, edges: DataFrame, most:
 
 
 def all_relationships(edges: DataFrame, most: int = 200) -> DataFrame:
+    """The first relationships by source and target; a target that the corpus doesn't have goes by its identifier (`target_identifier`, where edges have one)."""
+    if "target_identifier" in edges.columns:
+        edges = edges.withColumn("target", F.coalesce(F.nullif("target", F.lit("")), F.col("target_identifier"))).drop("target_identifier")
     return edges.orderBy("source", "target").limit(most)
 
 

@@ -25,6 +25,17 @@ def cells(headers: Column | str, rows: Column | str, most: int = 20) -> tuple[Co
     return F.when(good, h).otherwise(F.array().cast("array<string>")), F.when(good, F.slice(r, 1, most)).otherwise(F.array().cast("array<array<string>>"))
 
 
+def figure_rows(figures: DataFrame) -> DataFrame:
+    """(standard_id, figures) with number, caption, page and whether each is confirmed, by page and id; a list a standard."""
+    row = F.struct("page", "figure_id", "figure_number", "caption", F.coalesce("confirmed", F.lit(False)).alias("confirmed"))
+    return figures.groupBy("standard_id").agg(F.sort_array(F.collect_list(row)).alias("figures"))
+
+
+def reference_rows(references: DataFrame, most: int = 300) -> DataFrame:
+    """References as a standard's readers see them: target, type, page, confidence and the first characters of the raw text, none where it is missing."""
+    return references.select("standard_id", "reference_id", "target", F.col("target").alias("ref_standard"), "type", "page", "confidence", F.substring(text("raw_text"), 1, most).alias("raw"))
+
+
 def counts(tables: dict[str, DataFrame]) -> DataFrame:
     """(name, n): the rows of each table."""
     out = None

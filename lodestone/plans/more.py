@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lodestone.engine import Engine
 from lodestone.functions import text as T
-from lodestone.operators import extract, graph, ingest, ranking, sections, tender, views
+from lodestone.operators import extract, graph, ingest, ranking, sections, standards, tender, views
 from lodestone.plans.analytics import REQ, REQ_, _reqs, _specs
 from lodestone.plans.fixtures import table as t
 from lodestone.plans.retrieval import BM25, FUSED, HITS, RANKED, RUNS, SCOPE, SEM, TOPICS, _asked, _engine, _hits, _topics
@@ -109,10 +109,40 @@ def tbx_03_caption(s, d):
     return t(s, d, "standards").select("standard_id", extract.table_caption(page).alias("caption"))
 
 
-@query("SELECT standard_id, 'Figure ' || edition_year || ' shows ' || base AS caption FROM standards")
+@query("""SELECT standard_id, CASE edition_year % 4 WHEN 0 THEN 'Figure ' || edition_year WHEN 1 THEN 'Fig. A1.2' WHEN 2 THEN 'figure 7' END AS number,
+CASE edition_year % 4 WHEN 0 THEN 'shows ' || base WHEN 1 THEN 'Fig. A1.2 :' WHEN 2 THEN 'as in figure 7 of ' || base END AS caption FROM standards""")
 def fig_02_caption(s, d):
-    page = F.concat(F.lit("as in Figure 1 before\n  Figure "), "edition_year", F.lit(" shows "), "base", F.lit("\nFig. 9 later"))
-    return t(s, d, "standards").select("standard_id", extract.figure_caption(page).alias("caption"))
+    year = F.col("edition_year") % 4
+    page = F.when(year == 0, F.concat(F.lit("as in Figure 1 before\n  Figure "), "edition_year", F.lit(" — shows "), "base", F.lit("\nFig. 9 later")))
+    page = page.when(year == 1, F.lit("no\nFig. A1.2 :")).when(year == 2, F.concat(F.lit("as in figure 7 of "), "base"))
+    c = extract.figure_caption(page)
+    return t(s, d, "standards").select("standard_id", c["number"].alias("number"), c["caption"].alias("caption"))
+
+
+@query("SELECT figure_id, standard_id, count(*) OVER (PARTITION BY doc_id, CASE WHEN caption THEN pix_hash ELSE width || 'x' || height END) / 700.0::DOUBLE AS frequency FROM figures")
+def fig_03_by_size(s, d):
+    f = t(s, d, "figures").withColumn("pix_hash", F.when(F.col("caption"), F.col("pix_hash")))
+    n = f.select("doc_id").distinct().withColumn("n_pages", F.lit(700.0))
+    return extract.duplicate_frequency(f, n).select("figure_id", "standard_id", "frequency")
+
+
+@query("SELECT source, CASE WHEN target LIKE '%7' THEN 'IS ' || source ELSE target END AS target FROM old_edges ORDER BY source, target LIMIT 200")
+def grf_03_unknown_targets(s, d):
+    e = t(s, d, "old_edges").select("source", F.when(~F.col("target").endswith("7"), F.col("target")).alias("target"), F.concat(F.lit("IS "), "source").alias("target_identifier"))
+    return graph.all_relationships(e)
+
+
+@query("SELECT standard_id, count(*) AS n, count(*) FILTER (caption) AS confirmed, string_agg(figure_id, ',' ORDER BY page, figure_id) AS figures FROM figures GROUP BY standard_id")
+def std_02_figures(s, d):
+    f = t(s, d, "figures").withColumn("confirmed", F.col("caption")).withColumn("caption", F.lit(None).cast("string")).withColumn("figure_number", F.lit(None).cast("string"))
+    x = standards.figure_rows(f)
+    return x.select("standard_id", F.size("figures").cast("bigint").alias("n"), F.size(F.filter("figures", lambda r: r["confirmed"])).cast("bigint").alias("confirmed"), F.array_join(F.transform("figures", lambda r: r["figure_id"]), ",").alias("figures"))
+
+
+@query("SELECT source_id AS standard_id, reference_id, target, target AS ref_standard, type, page, confidence, substring(coalesce(raw, ''), 1, 300) AS raw FROM (SELECT 'D' || doc_id AS source_id, doc_id AS reference_id, source AS target, lang AS type, 1 AS page, 0.85::DOUBLE AS confidence, CASE WHEN doc_id % 9 > 0 THEN text END AS raw FROM documents)")
+def std_02_references(s, d):
+    x = t(s, d, "documents").select(F.concat(F.lit("D"), "doc_id").alias("standard_id"), F.col("doc_id").alias("reference_id"), F.col("source").alias("target"), F.col("lang").alias("type"), F.lit(1).alias("page"), F.lit(0.85).alias("confidence"), F.when(F.col("doc_id") % 9 > 0, F.col("text")).alias("raw_text"))
+    return standards.reference_rows(x)
 
 
 @query(f"WITH {SCORED}, c2 AS (SELECT *, score >= 0.45 AND (NOT rejected OR caption) AS confirmed FROM e) SELECT rejected, confirmed, count(*) AS n FROM c2 GROUP BY ALL")

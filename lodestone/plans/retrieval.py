@@ -234,10 +234,10 @@ def rnk_14_version(s, d):
 
 RUNS = f"{SEM}, runs AS (SELECT 'exact' AS model, query_id, regexp_extract(chunk_id, 'P([0-9]+)$', 1)::BIGINT AS doc_id, rank FROM sem UNION ALL SELECT 'odd', query_id, regexp_extract(chunk_id, 'P([0-9]+)$', 1)::BIGINT, (rank + 1) // 2 FROM sem WHERE rank % 2 = 1), rel AS (SELECT q.query_id, e.vec_id AS doc_id FROM vector_queries q JOIN embeddings a ON a.vec_id = q.query_id JOIN embeddings e ON e.label = a.label  )"
 PERQ = f"""{RUNS}, jj AS (SELECT r.*, (l.doc_id IS NOT NULL)::INT AS hit FROM runs r LEFT JOIN rel l USING (query_id, doc_id)), nr AS (SELECT query_id, count(*) AS n FROM rel GROUP BY 1),
-mq AS (SELECT model, query_id, coalesce(n, 0) AS n_relevant, h5 / 5 AS p5, CASE WHEN n > 0 THEN floor(h5 / n * 10000.0::DOUBLE + 0.5::DOUBLE) / 10000.0::DOUBLE ELSE 0 END AS r5, CASE WHEN n > 0 THEN floor(h10 / n * 10000.0::DOUBLE + 0.5::DOUBLE) / 10000.0::DOUBLE ELSE 0 END AS r10,
+mq AS (SELECT model, query_id, coalesce(n, 0) AS n_relevant, h5 / 5 AS p5, h10 / 10 AS p10, CASE WHEN n > 0 THEN floor(h5 / n * 10000.0::DOUBLE + 0.5::DOUBLE) / 10000.0::DOUBLE ELSE 0 END AS r5, CASE WHEN n > 0 THEN floor(h10 / n * 10000.0::DOUBLE + 0.5::DOUBLE) / 10000.0::DOUBLE ELSE 0 END AS r10,
   floor(coalesce(1 / f, 0) * 10000.0::DOUBLE + 0.5::DOUBLE) / 10000.0::DOUBLE AS mrr, CASE WHEN h5 > 0 THEN 1.0::DOUBLE ELSE 0 END AS exact5, fp / 5 AS fp5
   FROM (SELECT model, query_id, sum(CASE WHEN rank <= 5 THEN hit ELSE 0 END) AS h5, sum(CASE WHEN rank <= 10 THEN hit ELSE 0 END) AS h10, min(CASE WHEN hit = 1 THEN rank END) AS f, count(*) FILTER (rank <= 5 AND hit = 0) AS fp FROM jj GROUP BY ALL) LEFT JOIN nr USING (query_id))"""
-MACRO = PERQ + ", mm AS (SELECT model, " + ", ".join(f"floor(avg({m}{'' if m == 'fp5' else ') FILTER (n_relevant > 0'}) * 10000.0::DOUBLE + 0.5::DOUBLE) / 10000.0::DOUBLE AS {m}" for m in evaluation.METRICS) + " FROM mq GROUP BY model)"
+MACRO = PERQ + ", mm AS (SELECT model, " + ", ".join(f"floor(avg({m}{'' if m == 'fp5' else ') FILTER (n_relevant > 0'}) * 10000.0::DOUBLE + 0.5::DOUBLE) / 10000.0::DOUBLE AS {m}" for m in evaluation.METRICS if m != "sem5") + " FROM mq GROUP BY model)"
 
 
 def _runs(s, d):
@@ -255,7 +255,7 @@ def evl_01_relevance(s, d):
     return evaluation.judged(runs, rel).select("model", "query_id", "doc_id", "hit")
 
 
-@query(f"WITH {PERQ} SELECT model, query_id, n_relevant, p5, r5, r10, mrr, exact5, fp5 FROM mq")
+@query(f"WITH {PERQ} SELECT model, query_id, n_relevant, p5, p10, r5, r10, mrr, exact5, fp5 FROM mq")
 def evl_02_precision_recall(s, d):
     runs, rel = _runs(s, d)
     return evaluation.per_query(evaluation.judged(runs, rel), rel)
@@ -278,19 +278,38 @@ def _topics(s, d):
     return evaluation.topic_relevance(hits, t(s, d, "queries").select("query_id", F.col("query").alias("topics")))
 
 
-@query(f"""WITH {MACRO}, {TOPICS}, ms AS (SELECT model, floor(avg(coalesce(sem5, 0)) FILTER (n_relevant > 0) * 10000.0::DOUBLE + 0.5::DOUBLE) / 10000.0::DOUBLE AS sem5 FROM mq LEFT JOIN se USING (model, query_id) GROUP BY model),
-sc AS (SELECT model, floor((0.25::DOUBLE * r5 + 0.15::DOUBLE * r10 + 0.20::DOUBLE * p5 + 0.20::DOUBLE * mrr + 0.10::DOUBLE * exact5 - 0.03::DOUBLE * fp5 + 0.07::DOUBLE * sem5) * 1000000.0::DOUBLE + 0.5::DOUBLE) / 1000000.0::DOUBLE AS score FROM mm JOIN ms USING (model))
-SELECT model, score, row_number() OVER (ORDER BY score DESC, model) = 1 AS winner FROM sc""")
-def evl_07_winner(s, d):
+MEANS = f"{MACRO}, {TOPICS}, ms AS (SELECT model, floor(avg(coalesce(sem5, 0)) FILTER (n_relevant > 0) * 10000.0::DOUBLE + 0.5::DOUBLE) / 10000.0::DOUBLE AS sem5 FROM mq LEFT JOIN se USING (model, query_id) GROUP BY model), m8 AS (SELECT * FROM mm JOIN ms USING (model))"
+MODELS = ["odd", "exact"]
+
+
+def _means(s, d):
     runs, rel = _runs(s, d)
     q = evaluation.per_query(evaluation.judged(runs, rel), rel).join(_topics(s, d), ["model", "query_id"], "left")
-    return evaluation.winner(evaluation.macro(q.withColumn("sem5", F.coalesce("sem5", F.lit(0.0)))))
+    return evaluation.macro(q.withColumn("sem5", F.coalesce("sem5", F.lit(0.0))))
 
 
-@query(f"WITH {MACRO}, u AS (UNPIVOT mm ON {', '.join(evaluation.METRICS)} INTO NAME metric VALUE value) SELECT metric, max(value) FILTER (model = 'exact') AS exact, max(value) FILTER (model = 'odd') AS odd FROM u GROUP BY metric")
+@query(f"""WITH {MEANS}, sc AS (SELECT model, floor((0.25::DOUBLE * r5 + 0.15::DOUBLE * r10 + 0.20::DOUBLE * p5 + 0.20::DOUBLE * mrr + 0.10::DOUBLE * exact5 - 0.03::DOUBLE * fp5 + 0.07::DOUBLE * sem5) * 1000000.0::DOUBLE + 0.5::DOUBLE) / 1000000.0::DOUBLE AS score FROM m8)
+SELECT model, score, row_number() OVER (ORDER BY score DESC, model DESC) = 1 AS winner FROM sc""")
+def evl_07_winner(s, d):
+    return evaluation.winner(_means(s, d), MODELS)
+
+
+@query(f"""WITH {MEANS}, u AS (UNPIVOT m8 ON {', '.join(evaluation.METRICS)} INTO NAME metric VALUE value)
+SELECT metric, max(value) FILTER (model = 'exact') AS exact, max(value) FILTER (model = 'odd') AS odd, arg_min(model, (CASE WHEN metric = 'fp5' THEN value ELSE -value END) + CASE model WHEN 'odd' THEN 0 ELSE 1e-9 END) AS best FROM u GROUP BY metric""")
 def evl_08_pivot(s, d):
-    runs, rel = _runs(s, d)
-    return evaluation.compared(evaluation.macro(evaluation.per_query(evaluation.judged(runs, rel), rel)), ["exact", "odd"])
+    return evaluation.compared(_means(s, d), MODELS)
+
+
+HIT = "SELECT query_id, max(CASE WHEN contains(doc_id::VARCHAR, (query_id // 100)::VARCHAR) AND rank = 1 THEN 1 ELSE 0 END) AS hit1, max(CASE WHEN contains(doc_id::VARCHAR, (query_id // 100)::VARCHAR) AND rank <= 5 THEN 1 ELSE 0 END) AS hit5 FROM runs WHERE model = 'exact' GROUP BY query_id"
+
+
+def _share(c: str) -> str:
+    return f"floor({c} / count(*) * 10000.0::DOUBLE + 0.5::DOUBLE) / 10000.0::DOUBLE"
+
+
+@query(f"WITH {RUNS}, hr AS ({HIT}) SELECT count(*) AS queries, sum(hit1)::BIGINT AS hits1, sum(hit5)::BIGINT AS hits5, {_share('sum(hit1)')} AS share1, {_share('sum(hit5)')} AS share5, CASE WHEN sum(hit5) >= 0.6 * count(*) THEN 'PASS' ELSE 'WARN' END AS status FROM hr")
+def evl_09_summary(s, d):
+    return evaluation.hit_summary(evl_09_hit_rate(s, d))
 
 
 @query(f"WITH {RUNS} SELECT query_id, max(CASE WHEN contains(doc_id::VARCHAR, (query_id // 100)::VARCHAR) AND rank = 1 THEN 1 ELSE 0 END) AS hit1, max(CASE WHEN contains(doc_id::VARCHAR, (query_id // 100)::VARCHAR) AND rank <= 5 THEN 1 ELSE 0 END) AS hit5 FROM runs WHERE model = 'exact' GROUP BY query_id")

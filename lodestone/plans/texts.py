@@ -314,9 +314,11 @@ def tbx_02_validate(s, d):
     return rows.where("has = 1").select(F.concat(F.lit("T"), "l_orderkey").alias("tender_id"), extract.table_status(F.col("rows"))["status"].alias("status"))
 
 
-@query("SELECT spec_id, concat('T', page, '_', 1, '_', substring(md5(spec_id), 1, 6)) AS table_id FROM specs")
+@query("SELECT spec_id, printf('T%03d_%02d_', page, page + 1) || substring(md5(spec_id), 1, 6) AS table_id, trim(value) || ' | ' || unit || CASE WHEN page > 1 THEN chr(10) || ' | a b' ELSE '' END || repeat(chr(10) || 'x', (least(page, 8) - 2)::INT) AS raw_text FROM specs")
 def tbx_04_table_id(s, d):
-    return t(s, d, "specs").select("spec_id", extract.table_id(F.col("page").cast("string"), F.lit("1"), F.col("spec_id")).alias("table_id"))
+    x = t(s, d, "specs")
+    rows = F.concat(F.array(F.array(F.concat(F.lit(" "), "value", F.lit("\n")), "unit"), F.array(F.lit(None).cast("string"), F.lit("a\nb"))), F.array_repeat(F.array(F.lit("x")), F.col("page").cast("int")))
+    return x.select("spec_id", extract.table_id(F.col("page"), F.col("page"), F.col("spec_id")).alias("table_id"), extract.table_text(F.slice(rows, F.lit(1), F.col("page").cast("int"))).alias("raw_text"))
 
 
 FREQUENCY = "f AS (SELECT *, count(*) OVER (PARTITION BY doc_id, pix_hash) / 700.0 AS frequency FROM figures)"
