@@ -25,7 +25,8 @@ CHUNK_BYTES = 1 << 22
 """A chunk holds so many bytes of doubles, 64 to 8192 vectors: what a tile needs in memory, whatever the label's size."""
 STRIP = 512
 DENSE = 0.02
-"""Strips with a larger share of candidates are computed again whole instead of pair by pair."""
+"""Strips with a larger share of candidates are computed again whole; pairs within NEAR of the threshold then once more pair by pair, so that every decision rests on the same sum."""
+NEAR = 1e-9
 
 
 def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -106,6 +107,12 @@ class Forest:
         self.root = to[self.root]
 
 
+def _cosines(va: np.ndarray, na: np.ndarray, vb: np.ndarray, nb: np.ndarray, r: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Of pairs of rows, a bounded number at a time."""
+    parts = [np.einsum("ij,ij->i", va[r[k : k + 65536]], vb[c[k : k + 65536]]) for k in range(0, len(r), 65536)]
+    return np.concatenate(parts) / (na[r] * nb[c]) if parts else np.zeros(0)
+
+
 def tile(a: dict, b: dict, same: bool, dim: int, threshold: float) -> tuple[np.ndarray, np.ndarray]:
     """(linked copies of each row of a and then b, root row of each). same: a is b, and a row is not compared with itself."""
     def of(x: dict) -> tuple:
@@ -129,8 +136,10 @@ def tile(a: dict, b: dict, same: bool, dim: int, threshold: float) -> tuple[np.n
             continue
         if len(r) > DENSE * may.size:
             cos = (va[rows] @ vb.T / (na[rows, None] * nb))[r, c]
+            again = np.abs(cos - threshold) < NEAR
+            cos[again] = _cosines(va, na, vb, nb, at + r[again], c[again])
         else:
-            cos = np.concatenate([np.einsum("ij,ij->i", va[at + r[k : k + 65536]], vb[c[k : k + 65536]]) for k in range(0, len(r), 65536)]) / (na[at + r] * nb[c])
+            cos = _cosines(va, na, vb, nb, at + r, c)
         r, c = r[cos >= threshold] + at, c[cos >= threshold]
         links[: max(n, 1)] += np.bincount(r, weights=cb[c], minlength=n).astype(np.int64)[: max(n, 1)]
         links[shift:] += np.bincount(c, weights=ca[r], minlength=m).astype(np.int64)
@@ -163,7 +172,9 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     Rows link when their labels are equal and their cosine reaches the
     threshold. A null label, a null, empty or zero vector, one with a null or
     non-finite component, and vectors of different lengths link with nothing.
-    Repeated rows are separate vectors and link with each other.
+    Repeated rows are separate vectors and link with each other. An empty table
+    gives no rows. A vector may have any length that fits a task; a chunk holds
+    64 at least.
     """
     label = vectors.schema[label_col].dataType.simpleString()
     ident = vectors.schema[id_col].dataType.simpleString()
