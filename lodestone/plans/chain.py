@@ -12,6 +12,7 @@ from lodestone.plans.analytics import GAPS, MATCH, PARAMS, REQ, SP, WORDS, _reqs
 from lodestone.plans.fixtures import table as t
 from lodestone.plans.retrieval import RANKED, SEM, _index
 from lodestone.sources.files import work_folder
+from lodestone.sources.store import Store
 
 QUERIES, SQL = {}, {}
 _RUN: dict[tuple, object] = {}
@@ -91,3 +92,32 @@ def anl_01_status(s, d):
 @query(f"WITH {REQ}, {PARAMS} SELECT tender_id, name AS category, value FROM pp WHERE name <> 'dimension'")
 def wsp_02_requirement_rows(s, d):
     return graph.requirement_rows(_reqs(s, d)).select("tender_id", "category", "value")
+
+
+def _stored(s, d):
+    """Workspaces of all customers with their requirements and traces; then a save for a third of them, and a deletion."""
+    store = Store(s, work_folder(s, "store"))
+    ws = t(s, d, "customer").select(F.concat(F.lit("W"), "c_custkey").alias("workspace_id"), F.col("c_custkey").alias("created_at"))
+    o = t(s, d, "orders").select(F.concat(F.lit("W"), "o_custkey").alias("workspace_id"), F.col("o_orderkey").alias("id"), "o_custkey")
+    store.save({"workspaces": ws, "requirements": o.drop("o_custkey"), "traces": o.select("workspace_id", (F.col("id") * 2).alias("id"))})
+    again = o.where("o_custkey % 3 = 0 AND id % 2 = 0").drop("o_custkey")
+    store.replace({"requirements": again, "traces": again.withColumn("id", -F.col("id"))})
+    store.delete(ws.where("created_at % 10 = 0"))
+    return store
+
+
+KEPT = """w AS (SELECT concat('W', c_custkey) AS workspace_id, c_custkey AS created_at FROM customer WHERE c_custkey % 10 <> 0),
+o AS (SELECT concat('W', o_custkey) AS workspace_id, o_orderkey AS id, o_custkey % 3 = 0 AND o_custkey IN (SELECT o_custkey FROM orders WHERE o_orderkey % 2 = 0) AS again FROM orders WHERE o_custkey % 10 <> 0),
+r AS (SELECT workspace_id, id, 'requirement' AS kind FROM o WHERE NOT again OR id % 2 = 0 UNION ALL SELECT workspace_id, CASE WHEN again THEN -id ELSE id * 2 END, 'trace' FROM o WHERE NOT again OR id % 2 = 0)"""
+
+
+@query(f"WITH {KEPT} SELECT workspace_id, id, kind FROM r")
+def src_10_replaced_together(s, d):
+    store = _stored(s, d)
+    one = lambda name, kind: store.read(name).select("workspace_id", "id", F.lit(kind).alias("kind"))
+    return one("requirements", "requirement").unionByName(one("traces", "trace"))
+
+
+@query(f"WITH {KEPT} SELECT workspace_id, created_at FROM w ORDER BY created_at DESC, workspace_id")
+def wsp_01_listed(s, d):
+    return graph.listed(_stored(s, d).read("workspaces"))

@@ -64,3 +64,24 @@ def test_broken_documents_stay_alone(spark):
     assert got[2][1] == "document_failed:JSONDecodeError" and got[3][1] == "document_failed:TypeError" and got[7][1] == "table_failed:JSONDecodeError; table_failed:TypeError"
     assert sorted(r.doc_id for r in x["pages"].collect()) == [1, 6, 7, 9] and sorted(r.doc_id for r in x["tables"].collect()) == [1, 7, 9]
     assert x["failures"].count() == 7 and x["sections"].count() == 2
+
+
+def test_a_failed_save_changes_nothing(spark, tmp_path):
+    from lodestone.sources.store import Store
+
+    store = Store(spark, str(tmp_path / "store"))
+    assert store.version() == 0 and store.names() == []
+    rows = lambda *ids: spark.createDataFrame([(w, i) for w, i in ids], "workspace_id string, id int")
+    told = lambda name: sorted((r.workspace_id, r.id) for r in store.read(name).collect())
+    assert store.save({"a": rows(("x", 1), ("y", 2)), "b": rows(("x", 3))}) == 1
+    held = store.read("a")
+    bad = rows(("x", 9)).withColumn("id", F.raise_error(F.lit("midway")).cast("int"))
+    with pytest.raises(Exception, match="midway"):
+        store.replace({"a": rows(("x", 8)), "b": bad})
+    assert store.version() == 1 and told("a") == [("x", 1), ("y", 2)] and told("b") == [("x", 3)]
+    assert store.replace({"a": rows(("x", 7), ("x", 6)), "b": rows(("z", 5))}) == 2
+    assert told("a") == [("x", 6), ("x", 7), ("y", 2)] and told("b") == [("x", 3), ("z", 5)]
+    assert sorted(r.id for r in held.collect()) == [1, 2]
+    store.save({"c": spark.createDataFrame([(1,)], "other int")})
+    assert store.delete(rows(("x", 0), ("x", 0))) == 4
+    assert told("a") == [("y", 2)] and told("b") == [("z", 5)] and store.read("c").count() == 1
