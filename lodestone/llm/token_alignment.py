@@ -38,9 +38,9 @@ from ._tokenizer import BYTES, PRINTED, tokenizer_path
 
 BYTE_BPE = "byte_bpe_50k.json"
 PIECE_BPE = "piece_bpe_32k.model"
-BLOCK = 1 << 23
+BLOCK = 1 << 22
 """Bytes of text of a block; a longer text is a block of its own."""
-REMEMBERED = 100_000
+REMEMBERED = 60_000
 """A worker that knows more units after a block goes on with the commonest of it, of those that were in it more than once; a bound on memory only."""
 SPACE = "\\t-\\r\\x1c- \\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}"
 UNEVEN = f"^[{SPACE}]|[{SPACE}][ \\n]"
@@ -222,8 +222,8 @@ class Pair:
         at = self.known.at
         fresh = [u for u in units if u not in at]
         for part in ([u for u in fresh if not u[-1].isspace()], [u for u in fresh if u[-1].isspace()]):
-            for i in range(0, len(part), 50_000):
-                self.learn(part[i : i + 50_000])
+            for i in range(0, len(part), 20_000):
+                self.learn(part[i : i + 20_000])
         return np.fromiter(map(at.__getitem__, units), np.int64, len(units))
 
     def forget(self, units: np.ndarray, often: np.ndarray) -> None:
@@ -293,6 +293,7 @@ def _blocks(a_path: str, b_path: str):
         for batch in batches:
             for b in slices(batch, "text", BLOCK):
                 yield _block(of, b.column("doc_id"), b.column("text"))
+                pa.default_memory_pool().release_unused()
 
     return run
 
