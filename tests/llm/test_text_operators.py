@@ -250,7 +250,7 @@ def test_similar_texts(spark):
     assert all(want[i] == want[c] for i, c in got.items())
     assert sum(got[i] == got[j] for i, j in near) >= 0.99 * len(near)
     # with keys of one block hardly a pair is without a shared one, so that the rounds have to find every link
-    every = {r.doc_id: r.component_id for r in simhash.similar(df, distance=6, blocks=7, fingerprints=4, far=256).collect()}
+    every = {r.doc_id: r.component_id for r in simhash.similar(df, distance=6, blocks=7, fingerprints=4, far=256, least_apart=240).collect()}
     assert every == want
 
 
