@@ -73,8 +73,9 @@ def capped(specs: DataFrame, most: int = 30) -> DataFrame:
 
 
 def first_by(df: DataFrame, keys: list, order: list) -> DataFrame:
-    """One row a key, the first in order."""
-    return df.withColumn("first_n", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).where("first_n = 1").drop("first_n")
+    """One row a key, the first in order, by partial minima: a key with many rows is no burden."""
+    by = [(F.col(k) if isinstance(k, str) else k).alias(f"key_{i}") for i, k in enumerate(keys)]
+    return df.groupBy(*by).agg(F.min_by(F.struct(*df.columns), F.struct(*order)).alias("first")).select("first.*")
 
 
 def unique_specs(specs: DataFrame) -> DataFrame:
@@ -97,26 +98,28 @@ def references(pages: DataFrame) -> DataFrame:
     on its first six, a reference is normative; else the 300 characters before it tell.
     """
     normative = pages.where((F.col("page") <= 6) & F.contains(F.lower(text("text")), F.lit("normative references"))).select("doc_id").distinct().withColumn("normative", F.lit(True))
-    found = None
-    for order, (kind, pattern, relation, sure) in enumerate(REFERENCES):
+    kind_of = "array<struct<kind:string,kind_no:int,pos:int,raw:string,context:string>>"
+
+    def found(order: int, kind: str, pattern: str) -> Column:
+        before = lambda m: F.substring("text", F.greatest(m["start"] - 300, F.lit(0)) + 1, F.least(m["start"], F.lit(300))) if kind == "IS" else F.lit(None).cast("string")
+        each = F.transform(places("text", pattern), lambda m, i: F.struct(F.lit(kind).alias("kind"), F.lit(order).alias("kind_no"), i.alias("pos"), stripped(m["value"]).alias("raw"), before(m).alias("context")))
         # the bare word is quicker to look for than the pattern
-        one = pages.where(F.col("text").rlike(rf"(?i){kind}\s*[A-Z0-9]")).select("doc_id", "page", "text", F.posexplode(places("text", pattern)).alias("pos", "m")).withColumn("raw", stripped("m.value"))
-        if kind == "IS":
-            group = lambda k, form: F.when(F.regexp_extract("raw", pattern, k) != "", F.format_string(form, F.regexp_extract("raw", pattern, k))).otherwise("")  # noqa: B023, E731
-            target = F.concat(F.lit("IS "), F.regexp_extract("raw", pattern, 1), group(2, " (Part %s)"), group(3, " (Sec %s)"), group(4, ":%s"))
-            year = F.col("raw").rlike("[0-9]{4}")
-            one = one.where(year | F.contains(F.lower("raw"), F.lit("part")) | (F.regexp_extract("raw", pattern, 1).cast("int") >= 100))
-            start = F.col("m.start")
-            context = F.substring("text", F.greatest(start - 300, F.lit(0)) + 1, F.least(start, F.lit(300)))
-            one = one.join(normative, "doc_id", "left")
-            hint = F.when(F.col("normative") & (F.col("page") <= 5), "normative references").otherwise(context)
-            more = (target, relationship(hint), F.when(year, 0.85).otherwise(0.55))
-        else:
-            one = one.where(F.length("raw") >= 6) if kind in ("ASTM", "IEC") else one
-            more = (F.col("raw"), F.lit(relation), F.lit(sure))
-        one = one.select("doc_id", "page", F.lit(kind).alias("kind"), "raw", *[c.alias(n) for c, n in zip(more, ("target", "relationship", "confidence"))], F.lit(order).alias("kind_no"), "pos")
-        found = one if found is None else found.unionByName(one)
-    return first_by(found, ["doc_id", F.replace(F.lower("raw"), F.lit(" "), F.lit(""))], ["page", "kind_no", "pos"]).drop("kind_no", "pos")
+        return F.when(F.col("text").rlike(rf"(?i){kind}\s*[A-Z0-9]"), each.cast(kind_of)).otherwise(F.array().cast(kind_of))
+
+    # all kinds from one pass over the pages
+    rows = pages.select("doc_id", "page", F.explode(F.concat(*(found(i, kind, pattern) for i, (kind, pattern, _, _) in enumerate(REFERENCES)))).alias("r")).select("doc_id", "page", "r.*")
+    rows = rows.join(normative, "doc_id", "left")
+    own = REFERENCES[0][1]
+    is_own, year, number = F.col("kind") == REFERENCES[0][0], F.col("raw").rlike("[0-9]{4}"), F.regexp_extract("raw", own, 1)
+    group = lambda k, form: F.when(F.regexp_extract("raw", own, k) != "", F.format_string(form, F.regexp_extract("raw", own, k))).otherwise("")
+    good = F.when(is_own, year | F.contains(F.lower("raw"), F.lit("part")) | (number.try_cast("int") >= 100)).when(F.col("kind").isin("ASTM", "IEC"), F.length("raw") >= 6).otherwise(True)
+    target = F.when(is_own, F.concat(F.lit("IS "), number, group(2, " (Part %s)"), group(3, " (Sec %s)"), group(4, ":%s"))).otherwise(F.col("raw"))
+    hint = F.when(F.col("normative") & (F.col("page") <= 5), "normative references").otherwise(F.col("context"))
+    relation, sure = F.when(is_own, relationship(hint)), F.when(is_own, F.when(year, 0.85).otherwise(0.55))
+    for kind, _, usual, confidence in REFERENCES[1:]:
+        relation, sure = relation.when(F.col("kind") == kind, usual), sure.when(F.col("kind") == kind, confidence)
+    rows = rows.where(good).select("doc_id", "page", "kind", "raw", target.alias("target"), relation.alias("relationship"), sure.alias("confidence"), "kind_no", "pos")
+    return first_by(rows, ["doc_id", F.replace(F.lower("raw"), F.lit(" "), F.lit(""))], ["page", "kind_no", "pos"]).drop("kind_no", "pos")
 
 
 def relationship(context: Column) -> Column:

@@ -12,8 +12,8 @@ from lodestone.operators.ranking import first_of
 
 def new_edges(references: DataFrame, edges: DataFrame) -> DataFrame:
     """(source, target, type, confidence) of references that are no edge yet; of several the surest, then the smallest type."""
-    w = W.partitionBy("source", "target").orderBy(F.col("confidence").desc(), "type")
-    once = references.withColumn("n", F.row_number().over(w)).where("n = 1").drop("n")
+    order = F.struct(F.col("confidence").isNull(), -F.col("confidence"), "type")
+    once = references.groupBy("source", "target").agg(F.min_by(F.struct("type", "confidence"), order).alias("x")).select("source", "target", "x.*")
     return once.join(edges.select("source", "target"), ["source", "target"], "left_anti").select("source", "target", "type", "confidence")
 
 
@@ -52,8 +52,7 @@ def all_relationships(edges: DataFrame, most: int = 200) -> DataFrame:
 
 def unique_nodes(nodes: DataFrame) -> DataFrame:
     """Nodes once each, the first by order."""
-    w = W.partitionBy("node").orderBy("ord")
-    return nodes.withColumn("n", F.row_number().over(w)).where("n = 1").drop("n")
+    return nodes.groupBy(F.col("node").alias("key")).agg(F.min_by(F.struct(*nodes.columns), F.struct("ord")).alias("x")).select("x.*")
 
 
 def upserted(old: DataFrame, new: DataFrame, key: str, keep_old_if_empty: list[str]) -> DataFrame:
@@ -66,8 +65,7 @@ def upserted(old: DataFrame, new: DataFrame, key: str, keep_old_if_empty: list[s
 
 def last_writes(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
     """Each key's last row by order."""
-    w = W.partitionBy(*keys).orderBy(F.col(order).desc())
-    return rows.withColumn("n", F.row_number().over(w)).where("n = 1").drop("n")
+    return rows.groupBy(*[F.col(k).alias(f"key_{k}") for k in keys]).agg(F.max_by(F.struct(*rows.columns), F.struct(order)).alias("x")).select("x.*")
 
 
 def replaced(old: DataFrame, new: DataFrame, by: str = "workspace_id") -> DataFrame:
