@@ -213,3 +213,20 @@ def test_wrappers_cover_all_pages(spark, data):
     parsed = df.mapInArrow(html_text._parse, html_text.PARSED.format(id="bigint"))
     w = html_text.wrappers(parsed.select("host", "shape")).collect()
     assert sum(r.n for r in w) == df.count() and all(json.loads(r["shape"]) for r in w)
+
+
+def test_one_sum_decides(monkeypatch):
+    """Pairs right at the threshold link alike whether a strip is computed whole or pair by pair."""
+    rng = np.random.default_rng(8)
+    raw = np.round(rng.normal(0, 1, (1, 48)) + rng.normal(0, 0.15, (60, 48)), 2)
+    q, scale, error = vectors.quantised(raw)
+    chunk = {"raw": raw.tobytes(), "q": q.tobytes(), "scale": scale.tobytes(), "error": error.tobytes(), "counts": np.ones(60, np.int64).tobytes()}
+    v, norm = vectors._scaled(raw)
+    r, c = np.triu_indices(60, 1)
+    cosines = vectors._cosines(v, norm, v, norm, r, c)
+    for threshold in np.sort(cosines)[::97]:
+        found = []
+        for dense in (0.0, 1.0):
+            monkeypatch.setattr(vectors, "DENSE", dense)
+            found.append(vectors.tile(chunk, chunk, True, 48, float(threshold))[0].tolist())
+        assert found[0] == found[1] and sum(found[0]) == 2 * int((cosines >= threshold).sum())
