@@ -11,6 +11,7 @@ from lodestone.functions.text import normalised, stripped, text, token_estimate
 
 NUMBERED = r"(?i)^\s*([0-9]+(?:\.[0-9]+)*|[A-Z]\.[0-9]+|Annex\s+[A-Z])\s+(.+)$"
 ANNEX = r"(?i)^\s*Annex\s+([A-Z])(?:[^A-Za-z0-9_]|$)"
+KINDS = ("numbered", "known", "annex")
 KNOWN = r"(?i)^\s*(?:[0-9]+(?:\.[0-9]+)*\s+)?(" + "|".join(config.HEADINGS) + r")\s*$"
 
 
@@ -20,11 +21,12 @@ def lines(pages: DataFrame) -> DataFrame:
     return each.withColumn("line", F.trim("line")).where("line <> '' AND length(line) <= 120")
 
 
-def headings(each: DataFrame, known: str = KNOWN) -> DataFrame:
-    """Lines that are headings, with number and title: numbered ones of at most 8 words without a full stop, known names, annexes."""
+def headings(each: DataFrame, known: str = KNOWN, kinds: tuple[str, ...] = KINDS) -> DataFrame:
+    """Lines that are headings of the asked kinds, with number and title: numbered ones of at most 8 words without a full stop, known names, annexes."""
     number, title = F.regexp_extract("line", NUMBERED, 1), F.trim(F.regexp_extract("line", NUMBERED, 2))
     numbered = (number != "") & (F.size(F.split(title, r"\s+")) <= 8) & ~title.endswith(".")
-    kind = F.when(numbered, "numbered").when(F.col("line").rlike(known), "known").when(F.col("line").rlike(ANNEX), "annex")
+    rules = {"numbered": numbered, "known": F.col("line").rlike(known), "annex": F.col("line").rlike(ANNEX)}
+    kind = F.coalesce(*(F.when(rules[k], k) for k in KINDS if k in kinds))
     out = each.withColumn("kind", kind).where("kind IS NOT NULL")
     return out.withColumn("number", F.when(F.col("kind") == "numbered", number).when(F.col("kind") == "annex", F.get(F.split("line", r"\s+"), 1))).withColumn(
         "title", F.when(F.col("kind") == "numbered", title).otherwise(F.col("line"))
