@@ -71,14 +71,16 @@ def paragraphs(body: Column | str) -> Column:
     return F.when((F.size(paras) <= 1) & (F.length(text(body)) > 800), sentences).otherwise(paras)
 
 
-def units(paras: Column, long: int = config.DEFAULT.long_paragraph) -> Column:
-    """Paragraphs (kind 0); one of more than `long` estimated tokens as a cut (kind 2) and its sentences (kind 1)."""
+def units(paras: Column, long: int | None = config.DEFAULT.long_paragraph) -> Column:
+    """Paragraphs (kind 0); one of more than `long` estimated tokens as a cut (kind 2) and its sentences (kind 1). Without `long` all stay whole."""
     unit = lambda t, kind: F.struct(t.alias("text"), token_estimate(t).alias("tok"), F.lit(kind).alias("kind"))
+    if long is None:
+        return F.transform(paras, lambda p: unit(p, 0))
     sentences = lambda p: F.concat(F.array(unit(F.lit(""), 2)), F.transform(F.split(p, r"(?<=[.])\s+"), lambda x: unit(x, 1)))
     return F.flatten(F.transform(paras, lambda p: F.when(token_estimate(p) > long, sentences(p)).otherwise(F.array(unit(p, 0)))))
 
 
-def packs(paras: Column, most: int = config.DEFAULT.chunk_tokens, long: int = config.DEFAULT.long_paragraph) -> Column:
+def packs(paras: Column, most: int = config.DEFAULT.chunk_tokens, long: int | None = config.DEFAULT.long_paragraph) -> Column:
     """Structs (text, tok, kind) of units joined in order up to `most` estimated tokens, a longer unit alone; kind is 0 for what a paragraph ended, 1 a sentence, 2 the end of the page.
 
     A cut ends what has 40 characters or more; what is shorter goes on with the sentences. One fold, no shuffle.
@@ -99,7 +101,7 @@ def packs(paras: Column, most: int = config.DEFAULT.chunk_tokens, long: int = co
     return F.aggregate(units(paras, long), start, step, lambda a: F.when(stripped(a["buf"]) != "", pack(a, F.lit(2))).otherwise(a["out"]))
 
 
-def packed(paras: Column, most: int = config.DEFAULT.chunk_tokens, long: int = config.DEFAULT.long_paragraph) -> Column:
+def packed(paras: Column, most: int = config.DEFAULT.chunk_tokens, long: int | None = config.DEFAULT.long_paragraph) -> Column:
     """The texts of packs()."""
     return F.transform(packs(paras, most, long), lambda x: x["text"])
 

@@ -25,3 +25,9 @@ DOCUMENTS = "doc_id bigint, text string, lang string, source string, n_chars big
 def test_numbered_lines_and_annexes_are_no_known_headings(spark, tmp_path, name):
     texts = ["Title one.\n4325 Betz das mit Enheit\nTitle one.\ntext", "Annex B\n1.2 Scope of it\nno heading", "Other.\r\n12 Words", "Annex C here."]
     same(spark, tmp_path, name, documents=([(i, x, "en", "s", len(x)) for i, x in enumerate(texts)], DOCUMENTS))
+
+
+def test_long_lines_are_packed_whole(spark, tmp_path):
+    long = "Ein Satz von Worten. " * 200
+    texts = [long, f"short\n{long}\nend", "a\n\nb " * 90]
+    same(spark, tmp_path, "chk_02_pack", documents=([(i, x, "en", "s", len(x)) for i, x in enumerate(texts)], DOCUMENTS))
