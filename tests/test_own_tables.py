@@ -4,6 +4,7 @@ import duckdb
 import pytest
 from conftest import duck_rows, rows
 
+from lodestone.operators import evaluation, search
 from lodestone.plans import registry
 
 
@@ -31,3 +32,55 @@ def test_long_lines_are_packed_whole(spark, tmp_path):
     long = "Ein Satz von Worten. " * 200
     texts = [long, f"short\n{long}\nend", "a\n\nb " * 90]
     same(spark, tmp_path, "chk_02_pack", documents=([(i, x, "en", "s", len(x)) for i, x in enumerate(texts)], DOCUMENTS))
+
+
+def test_tiled_search_is_exact_and_shuffles_no_pairs(spark, tmp_path):
+    import random
+
+    rnd = random.Random(5)
+    names = [f"w{int(rnd.paretovariate(0.6)) % 900}" for _ in range(40_000)]
+    made = [(f"c{i:04}", " ".join(rnd.choice(names) for _ in range(rnd.choice([0, 3, 20, 60]))), f"STD{i % 9}", "Scope") for i in range(1500)]
+    made += [(f"same{i}", made[5][1], "STD5", "Scope") for i in range(40)] + [("none", None, None, None)]
+    chunks = spark.createDataFrame(made, "chunk_id string, text string, standard_id string, section string").repartition(3)
+    asked = [(i, made[i * 7][1]) for i in range(60)] + [(90, made[5][1]), (91, made[5][1]), (100, "w1 w1 w1 w2"), (101, "nothing here"), (102, ""), (103, None), (104, "scope"), (105, "std5 w333")]
+    q = spark.createDataFrame(asked, "query_id int, query string")
+    index = search.written(chunks, str(tmp_path / "index"), pruned=False)
+    assert index.blocks is None
+    told = lambda df: sorted((r.query_id, r["rank"], r.chunk_id, r.score) for r in df.collect())
+    for k, most in ((1, 1 << 30), (20, 1 << 30), (5, 20_000)):
+        got = search.tiled(q, index, k, most=most)
+        assert told(got) == told(search.top(search.bm25(q, index).where("score > 0"), k))
+    assert told(search.lexical(q, index)) == told(search.lexical(q, chunks))
+    plan = search.lexical(q, index)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "Generate explode" not in plan
+
+
+def test_vectors_in_tiles_are_summed_in_order(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    rnd = random.Random(6)
+    v = [(f"v{i:03}", [rnd.choice([-1.0, 0.1, 0.3, 7.7]) * rnd.random() for _ in range(8)]) for i in range(700)]
+    v += [(f"same{i}", v[3][1]) for i in range(30)] + [("null", None), ("hole", [None] + [1.0] * 7), ("nan", [float("nan")] * 8), ("inf", [float("inf")] + [1.0] * 7), ("short", [1.0] * 3)]
+    vectors = spark.createDataFrame(v, "chunk_id string, vector array<float>").repartition(3)
+    asked = [(i, v[i][1]) for i in range(9)] + [(20, None), (21, [1.0] * 3), (22, [float("nan")] * 8), (23, [0.0] * 8)]
+    q = spark.createDataFrame(asked, "query_id int, vector array<float>")
+    pairs = vectors.crossJoin(q.where("vector IS NOT NULL").select("query_id", F.col("vector").alias("asked")))
+    whole = search.top(pairs.select("query_id", "chunk_id", search.dot(F.col("vector"), F.col("asked")).alias("score")), 20)
+    told = lambda df: sorted((r.query_id, r["rank"], r.chunk_id, repr(r.score)) for r in df.collect())
+    assert told(search.semantic(q, vectors)) == told(search.semantic(q, vectors, most=700)) == told(whole)
+    assert search.semantic(q.where("false"), vectors).count() == 0
+
+
+def test_relevance_by_class_lists_no_pairs(spark):
+    labels = [(i, None if i % 11 == 0 else i % 4) for i in range(60)]
+    e = spark.createDataFrame(labels, "doc_id bigint, label int")
+    asked = e.where("doc_id % 10 = 0").withColumnRenamed("doc_id", "query_id")
+    runs = spark.createDataFrame([("m", q, d, r) for q in range(0, 60, 10) for r, d in enumerate(range(q // 3, q // 3 + 12), 1)] + [("m", 10, 999, 13)], "model string, query_id bigint, doc_id bigint, rank int")
+    pairs = asked.join(e, "label").select("query_id", "doc_id")
+    old = evaluation.judged(runs, pairs)
+    new = evaluation.judged_by_class(runs, asked, e)
+    told = lambda df: sorted(map(str, df.collect()))
+    assert told(new.select(*old.columns)) == told(old)
+    assert told(evaluation.per_query(new, evaluation.relevant_by_class(asked, e))) == told(evaluation.per_query(old, pairs))
