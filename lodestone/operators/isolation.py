@@ -15,6 +15,8 @@ from lodestone.sources.files import work_folder
 PAGES = "array<struct<page:int,text:string,outline:string,tables:array<string>>>"
 OUTLINE = "array<struct<level:int,title:string>>"
 CELLS = "array<array<string>>"
+ROWS = 256
+"""Rows whose results a task holds at once."""
 
 
 def isolated(rows: DataFrame, column: str, work: Callable[[Any], Any], kind: str, out: str = "out") -> DataFrame:
@@ -27,17 +29,17 @@ def isolated(rows: DataFrame, column: str, work: Callable[[Any], Any], kind: str
         from pyspark.sql.pandas.types import to_arrow_type
 
         target = to_arrow_type(kind)
-        for b in batches:
-            values, errors = [], []
-            for x in b.column(column):
-                try:
-                    values.append(pa.array([work(x.as_py())], target))
-                    errors.append(None)
-                except Exception as e:  # a row's failure is its own
-                    values.append(pa.nulls(1, target))
-                    errors.append(type(e).__name__)
-            made = pa.concat_arrays(values) if values else pa.nulls(0, target)
-            yield pa.RecordBatch.from_arrays([*b.columns, made, pa.array(errors, pa.string())], names=[*b.schema.names, out, "error"])
+        for batch in batches:
+            for at in range(0, batch.num_rows, ROWS):
+                b, values, errors = batch.slice(at, ROWS), [], []
+                for x in b.column(column):
+                    try:
+                        values.append(pa.array([work(x.as_py())], target))
+                        errors.append(None)
+                    except Exception as e:  # a row's failure is its own
+                        values.append(pa.nulls(1, target))
+                        errors.append(type(e).__name__)
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.concat_arrays(values), pa.array(errors, pa.string())], names=[*b.schema.names, out, "error"])
 
     return rows.mapInArrow(run, schema)
 
