@@ -31,21 +31,22 @@ def clauses(pages: DataFrame) -> DataFrame:
 def values(found: DataFrame) -> DataFrame:
     """One row per value in a clause: where it stands, raw, qualifier, number, tolerance, unit, per, nominal and, of a range, maximum, the clause's material and the condition near the value."""
     part = lambda x, k: F.regexp_extract(x, VALUE, k)
-    each = F.filter(places("clause", VALUE), lambda x: F.length(part(x["value"], 2)) <= 20)
-    each = found.select("*", F.posexplode(each).alias("value_no", "v")).select("doc_id", "page", "clause_no", "clause", "value_no", "v.*")
+    # a number is no longer than what it stands in
+    each = F.filter(places("clause", VALUE), lambda x: F.when(F.length(x["value"]) <= 20, True).otherwise(F.length(part(x["value"], 2)) <= 20))
+    none = lambda c: F.nullif(stripped(c), F.lit(""))
+    found = found.withColumn("material", none(F.regexp_extract("clause", MATERIAL, 0)))
+    each = found.select("*", F.posexplode(each).alias("value_no", "v")).select("doc_id", "page", "clause_no", "clause", "material", "value_no", "v.*")
     named = {"qualifier": 1, "number": 2, "tolerance": 3, "unit": 4, "unit2": 5, "per": 6}
     each = each.select("*", *[part(F.col("value"), k).alias(n) for n, k in named.items()])
     each = each.withColumn("unit", F.when(F.col("unit") != "", F.col("unit")).otherwise(F.col("unit2"))).drop("unit2")
     raw = F.concat_ws(" ", F.nullif("qualifier", F.lit("")), stripped("value"))
     ends = F.split("number", r"\s*[-–]\s*")
-    none = lambda c: F.nullif(stripped(c), F.lit(""))
     return each.withColumns(
         {
             "raw": raw,
             "nominal": F.get(ends, 0).try_cast("double"),
             "maximum": F.get(ends, 1).try_cast("double"),
             "condition": none(F.regexp_extract(around("clause", F.col("start"), F.col("end"), 80, 80), CONDITION, 0)),
-            "material": none(F.regexp_extract("clause", MATERIAL, 0)),
         }
     ).drop("value")
 
