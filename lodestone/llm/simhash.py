@@ -145,6 +145,8 @@ FAR = 44
 """Of the 192 bits of three fingerprints; texts of a similarity of 0.8 differ in about 29, with a deviation of 5."""
 LEAST, APART = 240, 63
 """Least hashes of a set, and of how many two sets may differ, by four bits each: sets of a similarity of 0.8 differ in 45, with a deviation of 6, those of 0.7 in 68."""
+TILE = 32
+"""Nodes of a key that are met together, about so many."""
 BANDS, ROWS = 20, 6
 """Texts of a similarity s share a band of ROWS least hashes with a chance of 1 - (1 - s^ROWS)^BANDS: 0.998 for 0.8, 0.02 for 0.3."""
 
@@ -236,10 +238,13 @@ def similar(
     Equal word sequences are one node. Pairs are verified
 
     1. of each node the closest of its keys' centres,
-    2. of two components that share a key the closest pair,
+    2. of each node and each tile of a key the closest of another component,
     3. of components that are still apart all pairs,
 
-    so that dense groups are joined before they would be paired out.
+    so that dense groups are joined before they would be paired out. A key's
+    nodes lie in tiles of about TILE; a row is a node with the tile it meets,
+    and in round 3 with the sets of those in it that are close. Every close
+    pair is still verified, but none is a row of a join or a shuffle.
 
     Null, empty and blank texts are one node, linked with no other; texts of
     fewer words than a shingle link with equal ones only. Repeated rows and equal
@@ -251,23 +256,30 @@ def similar(
     nodes = staged(fps.groupBy("node").agg(F.min("doc_id").alias("low"), *(F.any_value(x).alias(x) for x in ("size", *names, "bands", "least"))), "similar-nodes")
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
 
+    def sets_of(asked: DataFrame) -> DataFrame:
+        """(node, set) of the asked nodes, staged."""
+        asked = asked.distinct().join(nodes.select("node", "low"), "node")
+        # one document of a node will do; others of its doc_id do no harm
+        return staged(_shingle_sets(texts.join(asked.select("low").distinct(), F.col("doc_id").eqNullSafe(F.col("low")), "left_semi").select("text"), shingle), "similar-sets")
+
     def verified(pairs: DataFrame) -> DataFrame:
         """Of staged pairs (a, b, ...) those whose texts are similar."""
-        asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "low"), "node")
-        # one document of a node will do; others of its doc_id do no harm
-        sets = staged(_shingle_sets(texts.join(asked.select("low").distinct(), F.col("doc_id").eqNullSafe(F.col("low")), "left_semi").select("text"), shingle), "similar-sets")
+        sets = sets_of(pairs.select(F.explode(F.array("a", "b")).alias("node")))
         both = pairs.join(sets.toDF("a", "set_a"), "a").join(sets.toDF("b", "set_b"), "b").withColumn("common", F.size(F.array_intersect("set_a", "set_b")))
         return both.where(F.col("common") / (F.size("set_a") + F.size("set_b") - F.col("common")) >= similarity).drop("set_a", "set_b", "common")
 
     def marked(end: str, *more: str) -> DataFrame:
         return nodes.select(F.col("node").alias(end), F.struct("size", "least", *names, *more).alias(f"of_{end}"))
 
-    apart = sum((F.bit_count(F.col(f"of_a.{x}").bitwiseXOR(F.col(f"of_b.{x}"))) for x in names), F.lit(0))
     # a four-bit place differs where any of its bits does
     spread = lambda x: x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseOR(F.shiftrightunsigned(x, 2)).bitwiseOR(F.shiftrightunsigned(x, 3)).bitwiseAND(F.lit(0x1111111111111111))
-    words = [F.bit_count(spread(F.get("of_a.least", i).bitwiseXOR(F.get("of_b.least", i)))) for i in range(-(-LEAST // 16))]
-    unlike = sum(words[1:], words[0])
-    close = (apart <= far) & (unlike <= least_apart) & (F.least("of_a.size", "of_b.size") >= similarity * F.greatest("of_a.size", "of_b.size"))
+
+    def apart(a: Column, b: Column) -> Column:
+        return sum((F.bit_count(a[x].bitwiseXOR(b[x])) for x in names), F.lit(0))
+
+    def close(a: Column, b: Column) -> Column:
+        words = [F.bit_count(spread(F.get(a["least"], i).bitwiseXOR(F.get(b["least"], i)))) for i in range(-(-LEAST // 16))]
+        return (apart(a, b) <= far) & (sum(words[1:], words[0]) <= least_apart) & (F.least(a["size"], b["size"]) >= similarity * F.greatest(a["size"], b["size"]))
 
     # a key's last bits say whether it is a band, or the blocks it is made of
     low = blocks + 1
@@ -282,36 +294,55 @@ def similar(
     shared = staged(keyed.join(centre.select("key", "centre"), "key"), "similar-keys")
 
     met = shared.where("node <> centre").select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct().join(marked("a"), "a").join(marked("b"), "b")
-    closest = met.where(close).groupBy("a").agg(F.min_by("b", F.struct(apart, "b")).alias("b"))
+    ends = F.col("of_a"), F.col("of_b")
+    closest = met.where(close(*ends)).groupBy("a").agg(F.min_by("b", F.struct(apart(*ends), "b")).alias("b"))
     root = staged(components(verified(staged(closest, "similar-closest")), "a", "b"), "similar-first")
 
     rooted = shared.select("key", "node").join(root, "node", "left").select("key", F.col("node"), F.coalesce("root", "node").alias("root"))
     rooted = staged(rooted, "similar-rooted")
-    largest = rooted.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("root", "n").alias("largest"), F.count("*").alias("roots")).where("roots > 1")
-    mixed = rooted.join(largest.select("key", "largest"), "key").select("key", "largest", "root", F.col("node").alias("a"))
+    largest = rooted.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("root", "n").alias("largest"), F.count("*").alias("roots"), F.sum("n").alias("members")).where("roots > 1")
+    tile = F.pmod(F.xxhash64("node"), F.ceil(F.col("members") / TILE)).cast("int").alias("tile")
+    mixed = rooted.join(largest.select("key", "largest", "members"), "key").select("key", tile, "largest", "root", F.col("node").alias("a"))
     mixed = staged(mixed.join(marked("a", "bands"), "a"), "similar-mixed")
 
-    # a pair is met at the first of its keys alone: at blocks, where no equal block comes before the key's last one but the key's own, and else at the first band of both
-    equal = sum((F.when(F.col("of_a.f0").bitwiseXOR(F.col("of_b.f0")).bitwiseAND(F.lit(m).cast("long")) == 0, 1 << i).otherwise(0) for i, m in enumerate(cut(blocks))), F.lit(0)).cast("long")
     own = F.col("key").bitwiseAND(F.lit((1 << blocks) - 1))
     upto = own
     for by in (1, 2, 4, 8, 16):
         upto = upto.bitwiseOR(F.shiftright(upto, by))
-    at_band = (F.bit_count(equal) < blocks - distance) & (F.get(F.array_intersect("of_a.bands", "of_b.bands"), 0) == F.col("key"))
-    meets = F.when(F.col("key").bitwiseAND(band) == 0, equal.bitwiseAND(upto) == own).otherwise(at_band)
+
+    def meets(a: Column, b: Column) -> Column:
+        """A pair is met at the first of its keys alone: at blocks, where no equal block comes before the key's last one but the key's own, and else at the first band of both."""
+        equal = sum((F.when(a["f0"].bitwiseXOR(b["f0"]).bitwiseAND(F.lit(m).cast("long")) == 0, 1 << i).otherwise(0) for i, m in enumerate(cut(blocks))), F.lit(0)).cast("long")
+        at_band = (F.bit_count(equal) < blocks - distance) & (F.get(F.array_intersect(a["bands"], b["bands"]), 0) == F.col("key"))
+        return F.when(F.col("key").bitwiseAND(band) == 0, equal.bitwiseAND(upto) == own).otherwise(at_band)
 
     def across(mixed: DataFrame) -> DataFrame:
-        """Close pairs of different components, each once: a key's largest component is on one side only."""
+        """(key, tile, b, of_b, root_b, others): nodes outside of their key's largest component with the close ones of other components in a tile, each pair once."""
+        tiles = mixed.groupBy("key", "tile").agg(F.collect_list(F.struct("a", "root", (F.col("first") == F.col("largest")).alias("inner"), "of_a")).alias("all"))
         outside = mixed.where("first <> largest").select("key", F.col("a").alias("b"), F.col("of_a").alias("of_b"), F.col("root").alias("root_b"))
-        return mixed.join(outside, "key").where((F.col("root") != F.col("root_b")) & ((F.col("first") == F.col("largest")) | (F.col("a") < F.col("b"))) & close & meets)
+        wanted = lambda x: (x["root"] != F.col("root_b")) & (x["inner"] | (x["a"] < F.col("b"))) & close(x["of_a"], F.col("of_b")) & meets(x["of_a"], F.col("of_b"))
+        return tiles.join(outside, "key").where(F.exists("all", wanted)).select("key", "tile", "b", "of_b", "root_b", F.filter("all", wanted).alias("others"))
 
     ends = F.struct(F.least("root", "root_b").alias("u"), F.greatest("root", "root_b").alias("v"))
-    pairs = across(mixed.withColumn("first", F.col("root"))).groupBy(ends.alias("ends")).agg(F.min_by(F.struct("a", "b"), F.struct(apart, "a", "b")).alias("pair"))
+    nearest = F.array_min(F.transform("others", lambda x: F.struct(apart(x["of_a"], F.col("of_b")).alias("apart"), x["a"].alias("a"), x["root"].alias("root"))))
+    pairs = across(mixed.withColumn("first", F.col("root"))).select("b", "root_b", nearest.alias("x")).select("b", "root_b", "x.*")
+    pairs = pairs.groupBy(ends.alias("ends")).agg(F.min_by(F.struct("a", "b"), F.struct("apart", "a", "b")).alias("pair"))
     second = staged(components(verified(staged(pairs.select("ends.u", "ends.v", "pair.a", "pair.b"), "similar-second")), "u", "v"), "similar-joined")
 
     rest = mixed.withColumnRenamed("root", "first").join(second.toDF("first", "root"), "first", "left").withColumn("root", F.coalesce("root", "first"))
-    pairs = across(rest).groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.any_value(ends).alias("ends"))
-    third = staged(components(verified(staged(pairs.select("ends.u", "ends.v", "a", "b"), "similar-third")), "u", "v"), "similar-rest")
+    met = staged(across(rest).select("key", "tile", "b", "root_b", F.transform("others", lambda x: F.struct(x["a"].alias("a"), x["root"].alias("root"))).alias("others")), "similar-third")
+    asked = staged(met.groupBy("key", "tile").agg(F.array_distinct(F.flatten(F.collect_list("others.a"))).alias("all")).select("key", "tile", F.explode("all").alias("node")), "similar-asked")
+    sets = sets_of(asked.select("node").union(met.select("b")))
+    of_tile = asked.join(sets, "node").groupBy("key", "tile").agg(F.map_from_entries(F.collect_list(F.struct("node", "set"))).alias("sets"))
+
+    def counted(x: Column) -> Column:
+        of_a = F.element_at("sets", x["a"])
+        return F.struct(x["root"].alias("root"), F.size(of_a).alias("n"), F.size(F.array_intersect(of_a, F.col("set_b"))).alias("common"))
+
+    both = met.join(sets.toDF("b", "set_b"), "b").join(of_tile, ["key", "tile"]).select("root_b", F.size("set_b").alias("n_b"), F.transform("others", counted).alias("others"))
+    linked = F.filter("others", lambda x: x["common"] / (x["n"] + F.col("n_b") - x["common"]) >= similarity)
+    third = both.select("root_b", F.explode(F.array_distinct(F.transform(linked, lambda x: x["root"]))).alias("root"))
+    third = staged(components(third, "root", "root_b"), "similar-rest")
 
     final = nodes.select("node", "low").join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
     for more in (second, third):

@@ -254,6 +254,37 @@ def test_similar_texts(spark):
     assert every == want
 
 
+def test_similar_pairs_of_a_family_are_no_rows(spark, monkeypatch):
+    rng = random.Random(5)
+    base, texts = [f"w{i}" for i in range(600)], []
+    for i in range(120):  # close, but most of them below 0.8 of one another
+        words_ = list(base)
+        for at in rng.sample(range(600), 8):
+            words_[at] = f"x{i}_{at}"
+        texts.append(" ".join(words_))
+    sets = [set(simhash.hashes(t.encode(), simhash.WORDS)[1].tolist()) for t in texts]
+    pairs = [(i, j) for i in range(120) for j in range(i) if len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.8]
+    root = list(range(120))
+    for i, j in pairs * 8:
+        root[i] = root[j] = min(root[i], root[j])
+    while any(root[root[i]] != root[i] for i in range(120)):
+        root = [root[x] for x in root]
+    rows, staged = {}, simhash.staged
+
+    def counted(df, name):
+        out = staged(df, name)
+        rows[name] = out.count()
+        return out
+
+    monkeypatch.setattr(simhash, "staged", counted)
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id bigint, text string").repartition(4)
+    got = {r.doc_id: r.component_id for r in simhash.similar(df).collect()}
+    for i, j in pairs:
+        assert got[i] == got[j]
+    assert len(set(got.values())) == len(set(root))
+    assert rows["similar-second"] + rows["similar-third"] < 120 * 119 // 2 // 2
+
+
 def test_similar_odd(odd, empty):
     got = defaultdict(set)
     for r in simhash.similar(odd).collect():
