@@ -270,3 +270,14 @@ def test_a_clause_is_searched_for_its_material_once(spark):
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Generate posexplode") < plan.index("Aluminium")  # below it in the plan
     assert [(r["nominal"], r["material"], r["value_no"]) for r in out.collect()] == [(5.0, "brass", 0), (20.0, "brass", 1)]
+
+
+def test_ranking_sends_no_chunk_text(spark):
+    hits = spark.createDataFrame([(1, "D_P1", 0.9), (1, "D_P2", 0.8), (2, "D_P1", 0.7)], "query_id bigint, chunk_id string, score double")
+    chunks = spark.createDataFrame([("D_P1", "S1", "Scope", "Stainless Steels of BRASS"), ("D_P2", "S1", None, "pipes"), ("D_P3", "S1", "Brass", None)], "chunk_id string, standard_id string, section string, text string")
+    standards = spark.createDataFrame([("S1", "Brass pipes", "IS 1:2000", 2001)], "standard_id string, title string, normalized_identifier string, edition_year int")
+    queries = spark.createDataFrame([(1, "Brass rods"), (2, "rods")], "query_id bigint, query string")
+    assert {r.chunk_id: r.named for r in ranking.named(chunks).collect()} == {"D_P1": ["steel", "stainless", "brass"], "D_P2": [], "D_P3": ["brass"]}
+    whole, short = ranking.ranked(hits.join(chunks, "chunk_id"), standards, queries), ranking.ranked(hits.join(ranking.named(chunks), "chunk_id"), standards, queries)
+    assert sorted(whole.collect()) == sorted(short.collect())
+    assert {r.query_id: r.material for r in short.collect()} == {1: 0.7, 2: 0.0}
