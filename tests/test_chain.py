@@ -85,3 +85,30 @@ def test_a_failed_save_changes_nothing(spark, tmp_path):
     store.save({"c": spark.createDataFrame([(1,)], "other int")})
     assert store.delete(rows(("x", 0), ("x", 0))) == 4
     assert told("a") == [("y", 2)] and told("b") == [("z", 5)] and store.read("c").count() == 1
+
+
+def test_queries_of_one_wording_are_ranked_once(spark, data, monkeypatch):
+    e = Engine(t(spark, data, "chunks"), t(spark, data, "standards"))
+    brass, steel = "brass parts as per IS 10:2001", "steel tank"
+    asked = lambda *rows: spark.createDataFrame(list(rows), "query_id string, query string")
+    alone = {q: [(x["standard_id"], x["rank"], x["score"], x["evidence_chunks"]) for x in e.recommended(asked(("q", q))).orderBy("rank").collect()] for q in (brass, steel)}
+    seen, lexical = [], search.lexical
+    monkeypatch.setattr(search, "lexical", lambda q, *a, **k: (seen.append(q.count()), lexical(q, *a, **k))[1])
+    got = e.recommended(asked(("a", brass), ("b", brass), ("c", steel), ("d", brass), ("e", None), ("f", None))).orderBy("tender_id", "rank").collect()
+    assert seen == [3] and alone[brass]
+    for name, q in (("a", brass), ("b", brass), ("c", steel), ("d", brass), ("e", None)):
+        assert [(x["standard_id"], x["rank"], x["score"], x["evidence_chunks"]) for x in got if x.tender_id == name] == alone.get(q, [])
+
+
+def test_pairs_of_parameters_and_clauses_are_not_sorted(spark):
+    from lodestone.operators import tender
+
+    params = spark.createDataFrame([("T", 0, "material", "brass", "Material"), ("T", 1, "capacity", "20 L", "Capacity"), ("T", 2, "safety", "hazard", "Safety: hazard"), ("U", 0, "product", "pump", "Product")], "tender_id string, ord int, name string, value string, label string")
+    # two clauses with one place, two that say the same, one without a place
+    rows = [("T", 5, "S5", "Capacity", "20", "b"), ("T", 3, "S3", "Capacity", "20", "a"), ("T", 3, "S2", "Capacity", "21", "c"), ("T", None, "S0", "Capacity", "20 l", "d"), ("T", 4, "S4", "Material", "brass", "e")]
+    specs = spark.createDataFrame(rows, "tender_id string, spec_ord int, spec_id string, property string, value string, evidence string")
+    best = tender.best_match(params, specs)
+    got = {(x.tender_id, x.name): (x.score, x.spec_id, x.evidence_text, x.status) for x in best.collect()}
+    assert got == {("T", "material"): (8, "S4", "e", "supported"), ("T", "capacity"): (12, "S3", "a", "supported"), ("T", "safety"): (0, None, None, "not_found"), ("U", "product"): (0, None, None, "not_found")}
+    plan = best._jdf.queryExecution().sparkPlan().toString()
+    assert any("HashAggregate(" in x and "SortAggregate" not in x and "score" in x for x in plan.split("\n"))
