@@ -96,6 +96,11 @@ def hamming(a: str, b: str) -> Column:
     return F.bit_count(F.col(a).bitwiseXOR(F.col(b)))
 
 
+def met(a: DataFrame, b: DataFrame, on: list[str] | str, how: str = "inner") -> DataFrame:
+    """A join by sorting. Spark takes exploded keys to be as small as their fingerprints, and a file's rows to be as small as the file, and would send either to every task by way of the driver."""
+    return a.join(b.hint("merge"), on, how)
+
+
 def links(distinct: DataFrame, distance: int = DISTANCE, blocks: int = BLOCKS) -> DataFrame:
     """(fp, root) for every fingerprint linked with another one, from distinct (fp, n): root is the smallest fingerprint of its component."""
 
@@ -104,18 +109,18 @@ def links(distinct: DataFrame, distance: int = DISTANCE, blocks: int = BLOCKS) -
 
     # any centre gives true links; the commonest settles most
     centre = keyed(distinct).groupBy("k", "bits").agg(F.max_by("fp", "n").alias("centre"), F.count("*").alias("members")).where("members > 1")
-    shared = staged(keyed(distinct.select("fp")).join(centre.select("k", "bits", "centre"), ["k", "bits"]).select("k", "bits", "fp", "centre"), "simhash-keys")
+    shared = staged(met(keyed(distinct.select("fp")), centre.select("k", "bits", "centre"), ["k", "bits"]).select("k", "bits", "fp", "centre"), "simhash-keys")
     root = components(shared.where((F.col("fp") != F.col("centre")) & (hamming("fp", "centre") <= distance)).select("fp", "centre"), "fp", "centre")
-    rooted = shared.select("k", "bits", "fp").join(root.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    rooted = met(shared.select("k", "bits", "fp"), root.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     rooted = staged(rooted, "simhash-rooted")
     # a key's largest component is never compared with itself, only what is outside of it with all
     largest = rooted.groupBy("k", "bits", "root").agg(F.count("*").alias("n")).groupBy("k", "bits").agg(F.max_by("root", "n").alias("largest"), F.count("*").alias("roots")).where("roots > 1")
-    mixed = staged(rooted.join(largest.select("k", "bits", "largest"), ["k", "bits"]), "simhash-mixed")
+    mixed = staged(met(rooted, largest.select("k", "bits", "largest"), ["k", "bits"]), "simhash-mixed")
     outside = mixed.where("root <> largest").select("k", "bits", F.col("fp").alias("fp2"), F.col("root").alias("root2"))
-    rest = mixed.join(outside, ["k", "bits"]).where((F.col("root") != F.col("root2")) & (hamming("fp", "fp2") <= distance))
+    rest = met(mixed, outside, ["k", "bits"]).where((F.col("root") != F.col("root2")) & (hamming("fp", "fp2") <= distance))
     # of the second round's links only what they join matters: components of the first round
     joined = components(rest.select("root", "root2"), "root", "root2").withColumnRenamed("root", "final")
-    root = root.join(joined.withColumnRenamed("node", "root"), "root", "full_outer").select(F.coalesce("node", "root").alias("fp"), F.coalesce("final", "root").alias("root"))
+    root = met(root, joined.withColumnRenamed("node", "root"), "root", "full_outer").select(F.coalesce("node", "root").alias("fp"), F.coalesce("final", "root").alias("root"))
     return root
 
 
@@ -129,11 +134,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     fps = staged(fingerprints(docs, id_col, text_col), "simhash")
     distinct = staged(fps.groupBy("fp").agg(F.count("*").alias("n"), F.min("doc_id").alias("low")), "simhash-distinct")
     # written, so that a large component's rows can be split in the join
-    linked = staged(distinct.select("fp", "low").join(links(distinct.select("fp", "n"), distance, blocks), "fp"), "simhash-roots")
+    linked = staged(met(distinct.select("fp", "low"), links(distinct.select("fp", "n"), distance, blocks), "fp"), "simhash-roots")
     least = linked.groupBy("root").agg(F.min("low").alias("least"))
-    least = staged(linked.select("fp", "root").join(least, "root").select("fp", "least"), "simhash-least")
-    of = staged(distinct.select("fp", "low").join(least, "fp", "left").select("fp", F.coalesce("least", "low").alias("component_id")), "simhash-components")
-    return fps.join(of, "fp").select("doc_id", "fp", "component_id")
+    least = staged(met(linked.select("fp", "root"), least, "root").select("fp", "least"), "simhash-least")
+    of = staged(met(distinct.select("fp", "low"), least, "fp", "left").select("fp", F.coalesce("least", "low").alias("component_id")), "simhash-components")
+    return met(fps, of, "fp").select("doc_id", "fp", "component_id")
 
 
 # -- texts of a similarity, by fingerprints and bands

@@ -217,6 +217,14 @@ def test_simhash_odd(odd, empty):
     assert simhash.near_duplicates(empty).count() == 0
 
 
+def test_exploded_keys_are_not_broadcast(docs, monkeypatch):
+    plans, staged = [], simhash.staged
+    plan = lambda df: df._jdf.queryExecution().sparkPlan().toString()
+    monkeypatch.setattr(simhash, "staged", lambda df, name: (plans.append(plan(df)), staged(df, name))[1])
+    plans.append(plan(simhash.near_duplicates(docs)))
+    assert sum("SortMergeJoin" in x for x in plans) >= 6 and not any("Broadcast" in x for x in plans)
+
+
 def test_similar_texts(spark):
     rng = random.Random(11)
     vocab = ["".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(400)]
