@@ -112,3 +112,18 @@ def test_pairs_of_parameters_and_clauses_are_not_sorted(spark):
     assert got == {("T", "material"): (8, "S4", "e", "supported"), ("T", "capacity"): (12, "S3", "a", "supported"), ("T", "safety"): (0, None, None, "not_found"), ("U", "product"): (0, None, None, "not_found")}
     plan = best._jdf.queryExecution().sparkPlan().toString()
     assert any("HashAggregate(" in x and "SortAggregate" not in x and "score" in x for x in plan.split("\n"))
+
+
+def test_rows_of_tenders_are_not_broadcast(spark, data, calls):
+    from lodestone.operators import analysis, ranking, tender
+
+    reqs, known = tender.requirements(calls), t(spark, data, "standards")
+    specs = spark.createDataFrame([("T1", 1, "STD1", "S1", "Capacity", "20", 20.0, "L", "brass")], "tender_id string, spec_ord int, standard_id string, spec_id string, property string, value string, nominal double, unit string, material string")
+    recs = spark.createDataFrame([("T1", "STD1", 1)], "tender_id string, standard_id string, rank int")
+    params = tender.traceable(reqs)
+    matches = tender.best_match(params, specs)
+    built = (tender.query_text(reqs, tender.keywords(calls)), tender.gap_evidence(tender.gaps(reqs), specs), analysis.conflicts(reqs, specs, recs, known), tender.scores(reqs, tender.issues(reqs)), matches)
+    built += (analysis.specification(params, matches, specs), ranking.newer_editions(tender.reference_rows(reqs), known))
+    for df in built:
+        plan = df._jdf.queryExecution().sparkPlan().toString()
+        assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
