@@ -40,10 +40,10 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/lodestone/{name}-{uuid.uuid4().hex}"
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write df once to the shared folder and read it back: lineage ends there and no later step computes it again."""
+def staged(df: DataFrame, name: str, **options: str) -> DataFrame:
+    """Write df once to the shared folder and read it back: lineage ends there and no later step computes it again. options are the writer's."""
     path = new_folder(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

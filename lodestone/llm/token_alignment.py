@@ -314,7 +314,9 @@ def blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", a_pa
     doc = DOC.format(ident=docs.schema[id_col].dataType.simpleString())
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = BLOCKS.format(doc=re.sub(r"(\w+) (\S+?)(,|$)", r"\1: \2\3", doc))
-    return staged(rows.mapInArrow(_blocks(a_path or tokenizer_path(BYTE_BPE), b_path or tokenizer_path(PIECE_BPE)), kind), "alignment-blocks")
+    made = rows.mapInArrow(_blocks(a_path or tokenizer_path(BYTE_BPE), b_path or tokenizer_path(PIECE_BPE)), kind)
+    # a row has some megabytes, and a row group is read as a whole
+    return staged(made, "alignment-blocks", **{"parquet.block.row.count.limit": "1"})
 
 
 def pair_counts(written: DataFrame) -> DataFrame:

@@ -120,3 +120,13 @@ def test_coalescing_of_any_intervals():
     assert a.tolist() == [0, 0, 2] and b.tolist() == [0, 1, 3]
     x, y = t.overlaps(np.array([0, 3, 5]), np.array([3, 5, 9]), np.array([0, 4]), np.array([4, 9]))
     assert list(zip(x.tolist(), y.tolist())) == [(0, 0), (1, 0), (1, 1), (2, 1)]
+
+
+def test_a_block_is_a_row_group(spark):
+    import pyarrow.parquet as pq
+
+    # texts longer than a block, from one task
+    rows = [(i, f"{i} some words. " * (t.BLOCK // 10)) for i in range(3)]
+    written = t.blocks(spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1))
+    files = [pq.ParquetFile(f.removeprefix("file://")).metadata for f in written.inputFiles()]
+    assert sum(f.num_rows for f in files) == 3 and all(f.num_row_groups == f.num_rows for f in files)
