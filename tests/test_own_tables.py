@@ -1,11 +1,14 @@
 """Queries against their SQL over small tables with what the given ones lack."""
 
+import math
+
 import duckdb
+import numpy as np
 import pytest
 from conftest import duck_rows, rows
 from pyspark.sql import functions as F
 
-from lodestone.operators import evaluation, search
+from lodestone.operators import evaluation, search, tiles
 from lodestone.plans import registry
 
 
@@ -99,3 +102,34 @@ def test_bonuses_send_on_what_follows_an_identifier_alone(spark):
     whole = found.join(queries, "query_id").join(chunks, "chunk_id").select("query_id", "chunk_id", search.bonus(search.query_ids("query"), F.col("text"), F.col("standard_id")).alias("b"))
     assert got == {(r.query_id, r.chunk_id): r.b for r in whole.collect() if r.b} and got[1, "a"] == got[2, "b"] == 0.3 and got[2, "c"] == 0.15
     assert search.bonuses(found, queries, chunks.where("chunk_id = 'd'")).count() == 0
+
+
+@pytest.mark.parametrize("of", [tiles.Terms, tiles.Vectors])
+def test_a_worker_goes_on_with_what_its_first_task_has_found(tmp_path, of):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    rng = np.random.default_rng(4)
+    words = [[f"{'ab'[i % 2]}{w}" for w in rng.zipf(1.3, 60) % 50] for i in range(400)]
+    counts = [{w: x.count(w) for w in set(x)} for x in words]
+    if of is tiles.Terms:
+        asked = [[{"term": w, "weight": float(n) * (1 + len(w)), "df": 20} for w, n in c.items()] for c in counts[:40]]
+        queries = pa.table({"query_id": pa.array(range(40)), "asked": pa.array(asked)})
+        rows = pa.RecordBatch.from_pydict({"chunk_id": [f"C{i}" for i in range(400)], "length": pa.array([60] * 400, pa.int32()), "terms": [[{"term": w, "tf": n} for w, n in c.items()] for c in counts]})
+        settings = (5, 400, 60.0, 1.5, 0.75)
+        score = lambda q, r: math.floor(sum(a["weight"] * 2.5 * counts[r][a["term"]] / (counts[r][a["term"]] + 1.5) for a in asked[q] if a["term"] in counts[r]) * 1e6 + 0.5) / 1e6
+    else:
+        v = rng.integers(-9, 9, (400, 6)).astype(float)
+        queries = pa.table({"query_id": pa.array(range(40)), "vector": pa.array(list(v[:40]))})
+        rows = pa.RecordBatch.from_pydict({"chunk_id": [f"C{i}" for i in range(400)], "vector": pa.array(list(v))})
+        settings = (5,)
+        score = lambda q, r: float(v[q] @ v[r])
+    pq.write_table(queries, tmp_path / "a.parquet")
+    run = tiles.best(f"file://{tmp_path}", of, *settings)
+    tasks = [[x for b in run(iter([part])) for x in b.to_pylist()] for part in (rows.slice(0, 300), rows.slice(300), rows.slice(0, 300))]
+    assert len(tasks[0]) == 200 and len(tasks[1]) < 120 and len(tasks[2]) <= 200
+    for q in range(40):
+        whole = sorted((-score(q, r), f"C{r}") for r in range(400) if of is tiles.Vectors or score(q, r) > 0)[:5]
+        for parts in (tasks[:2], tasks[1:]):
+            got = sorted((-x["score"], x["chunk_id"]) for t in parts for x in t if x["query_id"] == q)[:5]
+            assert [x[1] for x in got] == [x[1] for x in whole] and np.allclose([x[0] for x in got], [x[0] for x in whole], atol=1.5e-6)
